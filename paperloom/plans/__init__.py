@@ -1,11 +1,16 @@
-"""Registered queries of the library, by area; each area has QUERIES and ORACLE."""
+"""Registered queries of the library, by area."""
 
 from __future__ import annotations
 
+from . import charts, dedup, gates, joins, reports, search, streams, structure, text
+from ._registry import ORACLE, QUERIES
+
+__all__ = ["charts", "dedup", "gates", "joins", "reports", "search", "streams", "structure", "text"]
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
