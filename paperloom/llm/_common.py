@@ -8,6 +8,7 @@ as ``bytes.lower()`` does. Both run in C and never look at Unicode tables.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept in a worker's dictionary before it starts anew; longer words are never kept.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 CACHE_LENGTH = 64
+#: Texts that a worker unpacks from a batch at once.
+SLICE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,11 +47,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back; for larger tables, whose columns are read apart."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that :func:`written` made so far; call it when results that read them are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def most_frequent(counts: DataFrame, freq: str, most: int, columns: list[str]):
+    """An Arrow table of the rows with the highest ``freq``: all those from a frequency on that together are ``most`` at most.
+
+    The driver sees a histogram of frequencies (cut at a million) and then no more than ``most`` rows.
+    """
+    sizes = counts.groupBy(F.least(F.col(freq), F.lit(1_000_000)).alias("f")).agg(F.count("*").alias("n")).collect()
+    lowest, total = None, 0
+    for f, n in sorted(((r.f, r.n) for r in sizes), reverse=True):
+        total += n
+        if total > most:
+            break
+        lowest = f
+    return counts.where(F.lit(False) if lowest is None else F.col(freq) >= lowest).select(columns).toArrow()
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (a null id: fold of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+def slices(batches, size: int = SLICE):
+    """The batches in slices of a few rows, so that only these are unpacked to Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, size):
+            yield batch.slice(low, size)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembering short words up to a fixed number."""
 
@@ -61,6 +105,39 @@ class WordHashes(dict):
         return value
 
 
+class HashedTable(dict):
+    """word -> a number of a table that is kept as sorted 64-bit hashes, -1 for words outside; remembers short words."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        super().__init__()
+        order = np.argsort(hashes)
+        self.hashes, self.values, self.long = hashes[order], values[order], {}
+
+    def prepare(self, words) -> None:
+        """Looks up the words that aren't remembered, all at once."""
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            found = np.where(self.hashes[at] == h, self.values[at], -1).tolist()
+        else:
+            found = [-1] * len(new)
+        self.long = {}
+        for w, v in zip(new, found, strict=True):
+            (self if len(w) <= CACHE_LENGTH else self.long)[w] = v
+
+    def __missing__(self, word: bytes) -> int:
+        return self.long[word]
+
+
+def signed_hash(word: bytes) -> int:
+    """The 64-bit hash as a signed number, as a bigint column has it."""
+    h = xxhash.xxh3_64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 

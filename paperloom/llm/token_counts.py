@@ -3,8 +3,8 @@
 A pre-token here is a white-space-delimited word (the tokenizer drops white space and never joins
 across it), so a text's count is the sum over its words. The words of the corpus are gathered with
 their frequencies, each distinct one goes through the library once, and the counts come back to the
-documents by a join on the word. The most frequent words, a fixed number of short ones, go to the
-executors as a dictionary of bounded size; only the rest of each document's words is shuffled, so no
+documents by a join on the word's 64-bit hash. The most frequent words go to the executors as a table of
+bounded size (12 bytes a word); only the rest of each document's words is shuffled, so no
 word that fills a large part of the corpus meets in one task. Words over ``LONG_WORD`` bytes are
 counted where they stand.
 
@@ -15,12 +15,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The dictionary sent to executors holds at most so many words of at most so many bytes: under 50 MB.
-HOT_WORDS, HOT_LENGTH = 1 << 20, 40
+from ._common import HashedTable, most_frequent, signed_hash, slices, written
+
+#: The table sent to executors holds at most so many words: under 50 MB.
+HOT_WORDS = 1 << 22
 LONG_WORD = 256
 #: A task's own counts are passed on when so many words have gathered.
 FLUSH_WORDS = 400_000
@@ -49,7 +53,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "freq"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if text:
                     seen.update(text.split())
@@ -64,59 +68,57 @@ def distinct_words(docs: DataFrame) -> DataFrame:
 
 
 def word_pieces(words: DataFrame, tokenizer_file: str) -> DataFrame:
-    """(word, freq, pieces): each distinct word through the library once."""
+    """(h, freq, pieces): each distinct word through the library once."""
 
     def run(batches):
         tokenizer = load(tokenizer_file)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_pieces(tokenizer, batch.column(0).to_pylist()), pa.int32())], ["word", "freq", "pieces"])
+            found = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(signed_hash, found)), pa.int64()), batch.column(1), pa.array(count_pieces(tokenizer, found), pa.int32())], ["h", "freq", "pieces"])
 
-    return words.mapInArrow(run, "word binary, freq long, pieces int")
+    return words.mapInArrow(run, "h long, freq long, pieces int")
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``."""
-    from ._common import checkpointed
-
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    vocabulary = checkpointed(word_pieces(distinct_words(docs), tokenizer_file))
-    top = vocabulary.where(F.octet_length("word") <= HOT_LENGTH).orderBy(F.desc("freq"), "word").limit(hot_words).select("word", "pieces").collect()
-    hot = spark.sparkContext.broadcast({bytes(w): n for w, n in top})
+    vocabulary = written(word_pieces(distinct_words(docs), tokenizer_file))
+    top = most_frequent(vocabulary, "freq", hot_words, ["h", "pieces"])
+    hot = spark.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64), top.column("pieces").to_numpy()))
 
     def run(batches):
-        import xxhash
-
-        known, tokenizer = hot.value, load(tokenizer_file)
-        get = known.get
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or b""
+        known, tokenizer = HashedTable(*hot.value), load(tokenizer_file)
+        cols: list[list] = [[], [], [], []]
+        for batch in slices(batches):
+            ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
+            counts = [Counter(t.split()) for t in texts]
+            known.prepare(set().union(*counts))
+            for doc_id, text, words in zip(ids, texts, counts, strict=True):
                 key = xxhash.xxh3_64_intdigest(text, 0 if doc_id is None else doc_id & (1 << 63) - 1) - (1 << 63)
                 total, rest = 0, []
-                for word, freq in Counter(text.split()).items():
-                    n = get(word)
-                    if n is not None:
+                for word, freq in words.items():
+                    n = known[word]
+                    if n >= 0:
                         total += n * freq
                     elif len(word) <= LONG_WORD:
-                        rest.append((word, freq))
+                        rest.append((signed_hash(word), freq))
                     else:
                         total += freq * count_pieces(tokenizer, [word])[0]
-                # the first row carries the document; one without other words gets a word that no text has, spread by its key
-                rest = rest or [(b" %d" % key, 0)]
+                # the first row carries the document; one without other words gets its own key for a hash, and counts it 0 times
+                rest = rest or [(key, 0)]
                 cols[0] += [key] * len(rest)
-                cols[1] += [w for w, _ in rest]
+                cols[1] += [h for h, _ in rest]
                 cols[2] += [f for _, f in rest]
                 cols[3] += [{"doc_id": doc_id, "n_bytes": len(text), "n": total}] + [None] * (len(rest) - 1)
-                if len(cols[0]) >= 100_000:
-                    yield _batch(cols)
-                    cols = [[], [], [], []]
-            if cols[0]:
+            if len(cols[0]) >= 50_000:
                 yield _batch(cols)
+                cols = [[], [], [], []]
+        if cols[0]:
+            yield _batch(cols)
 
-    parts = docs.mapInArrow(run, "row_key long, word binary, freq int, doc struct<doc_id:long,n_bytes:long,n:long>")
-    joined = parts.join(vocabulary.select("word", "pieces"), "word", "left")
+    parts = docs.mapInArrow(run, "row_key long, h long, freq int, doc struct<doc_id:long,n_bytes:long,n:long>")
+    joined = parts.join(vocabulary.select("h", "pieces"), "h", "left")
     counted = joined.select("row_key", (F.col("freq").cast("long") * F.coalesce("pieces", F.lit(0))).alias("n"), "doc")
     total = counted.groupBy("row_key").agg(F.sum("n").alias("n"), F.count("doc").alias("copies"), F.max("doc").alias("doc"))
     total = total.select("doc.doc_id", "doc.n_bytes", (F.col("doc.n") + F.expr("n div copies")).alias("n"), "copies")
@@ -128,4 +130,4 @@ _DOC = pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int6
 
 
 def _batch(cols: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.binary(), pa.int32(), _DOC], strict=True)], ["row_key", "word", "freq", "doc"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), _DOC], strict=True)], ["row_key", "h", "freq", "doc"])
