@@ -211,3 +211,87 @@ def suppressed_by_tables(blocks: DataFrame, tables: DataFrame, page: str, share:
         return w * h > share * area
 
     return blocks.join(boxes, page, "left").where(~F.coalesce(F.exists("_t", covers), F.lit(False))).drop("_t")
+
+
+def _runs(rows: DataFrame, group: list[str], order: str, starts: Column, name: str = "_run") -> DataFrame:
+    """Numbers runs of rows of a group in order; a row for which ``starts`` holds begins a new one."""
+    w = Window.partitionBy(*group).orderBy(order)
+    return rows.withColumn("_s", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).withColumn(name, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+
+
+def _joined(rows: DataFrame, keys: list[str], order: str, text: str, by: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p[text]), by).alias(text), F.count("*").alias("lines"))
+
+
+def joined_lines(lines: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """Lines that don't end a sentence are joined to the next one."""
+    before = F.lag(text).over(Window.partitionBy(doc).orderBy(order))
+    runs = _runs(lines, [doc], order, before.rlike(SENTENCE_ENDS))
+    return _joined(runs, [doc, "_run"], order, text, " ").withColumnRenamed("_run", "block")
+
+
+def code_islands(lines: DataFrame, doc: str, page: str, order: str, text: str, is_code: Column) -> DataFrame:
+    """Consecutive code lines of a page as one fenced block; a page's end closes it."""
+    rows = lines.withColumn("_code", is_code)
+    w = Window.partitionBy(doc, page).orderBy(order)
+    runs = _runs(rows, [doc, page], order, F.lag("_code").over(w) != F.col("_code")).where("_code")
+    return _joined(runs, [doc, page, "_run"], order, text, "\n").select(doc, page, F.col("_run").alias("block"), F.concat(F.lit("```\n"), text, F.lit("\n```")).alias(text), "lines")
+
+
+def note_sections(lines: DataFrame, doc: str, order: str, text: str) -> DataFrame:
+    """(doc, title, body): lines under the heading before them; sections of one title are joined in order."""
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    heading = F.when(F.col(text).rlike("^#+ "), F.regexp_replace(text, "^#+ +", ""))
+    rows = lines.withColumn("_h", heading).withColumn("title", F.last("_h", ignorenulls=True).over(w)).where("_h is null and title is not null")
+    return _joined(rows, [doc, "title"], order, text, "\n")
+
+
+def merged_headings(elements: DataFrame, doc: str, order: str, level: str, text: str, longest: int = 60) -> DataFrame:
+    """Neighbouring headings of one level as one, as long as the result is short. A fold in order, by document."""
+    kinds = dict(elements.dtypes)
+
+    def run(pdf):
+        out = []
+        for row in pdf.sort_values(order)[[doc, order, level, text]].itertuples(index=False, name=None):
+            if out and row[2] > 0 and out[-1][2] == row[2] and len(out[-1][3]) + 1 + len(row[3]) <= longest:
+                out[-1] = (*out[-1][:3], f"{out[-1][3]} {row[3]}")
+            else:
+                out.append(row)
+        return pd.DataFrame(out, columns=[doc, order, level, text])
+
+    return elements.select(doc, order, level, text).groupBy(doc).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (doc, order, level, text)))
+
+
+def split_at_sections(sections: DataFrame, chapter: str, start: str, last: str, most: int, least: int = 2) -> DataFrame:
+    """(chapter, first, last): chunks of at most ``most`` pages that end before a section where one fits, else even cuts; a last chunk under ``least`` pages joins the one before."""
+    kinds = dict(sections.dtypes)
+
+    def run(pdf):
+        starts, end = sorted(int(x) for x in pdf[start]), int(pdf[last].max())
+        low, out = starts[0], []
+        while low <= end:
+            fits = [s for s in [*starts, end + 1] if low < s <= low + most]
+            cut = max(fits) if fits else low + most
+            out.append([low, min(cut - 1, end)])
+            low = cut
+        if len(out) > 1 and out[-1][1] - out[-1][0] + 1 < least:
+            out[-2][1] = out.pop()[1]
+        return pd.DataFrame({chapter: [pdf[chapter].iloc[0]] * len(out), "first": [a for a, _ in out], "last": [b for _, b in out]})
+
+    return sections.groupBy(chapter).applyInPandas(run, f"{chapter} {kinds[chapter]}, first long, last long")
+
+
+def balanced_blocks(blocks: DataFrame, group: str, order: str, text: str, slots: Column) -> DataFrame:
+    """A group's n blocks in ``slots`` slots: runs of ceil(n / slots) blocks joined; fewer blocks leave slots empty."""
+    n = F.count("*").over(Window.partitionBy(group))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    rows = blocks.withColumn("_size", F.ceil(n / slots)).withColumn("slot", F.floor(at / F.col("_size")) + 1)
+    return _joined(rows, [group, "slot"], order, text, "\n")
+
+
+def promoted(pool: DataFrame, group: str, key: str, chosen: DataFrame) -> DataFrame:
+    """A pool with the chosen candidate of each group selected instead of the one before; others as they were."""
+    c = chosen.select(group, F.col(key).alias("_chosen"))
+    state = F.when(F.col("_chosen").isNull(), F.col("status")).when(F.col(key) == F.col("_chosen"), "promoted").when(F.col("status").isin("selected", "promoted"), "candidate").otherwise(F.col("status"))
+    return pool.join(c, group, "left").withColumn("status", state).drop("_chosen")

@@ -198,3 +198,60 @@ def slot_assignment(t):
     s = t("supplier").groupBy((F.col("s_nationkey") % 5).alias("n_regionkey"), F.col("s_nationkey").alias("slot")).agg(F.sum("s_acctbal").alias("capacity"))
     s = s.withColumn("r", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("capacity"), "slot")))
     return n.join(s, ["n_regionkey", "r"]).select("n_regionkey", "n_nationkey", "slot")
+
+
+_ENDS = """regexp_matches(x, '[.!?:;。！？：；…]["''”’)\\]]*$')"""
+
+
+@query(
+    f"""SELECT doc_id, block, count(*) AS lines, md5(array_to_string(list(l ORDER BY i), ' ')) AS h FROM (SELECT doc_id, i, l, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM
+    (SELECT *, CASE WHEN coalesce({_ENDS.replace("x,", "lag(l) OVER (PARTITION BY doc_id ORDER BY i),")}, true) THEN 1 ELSE 0 END AS s FROM {_LINES})) GROUP BY doc_id, block"""
+)
+def line_merging(t):
+    return S.joined_lines(_lines(t), "doc_id", "i", "l").select("doc_id", "block", "lines", F.md5("l").alias("h"))
+
+
+@query(
+    f"""SELECT doc_id, block, count(*) AS lines, md5('```' || chr(10) || array_to_string(list(l ORDER BY i), chr(10)) || chr(10) || '```') AS h FROM (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM
+    (SELECT *, CASE WHEN c = lag(c) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS s FROM (SELECT *, contains(l, '!') OR contains(l, '|') AS c FROM {_LINES}))) WHERE c GROUP BY doc_id, block"""
+)
+def code_islands(t):
+    rows = _lines(t).withColumn("page", F.lit(1))
+    out = S.code_islands(rows, "doc_id", "page", "i", "l", F.col("l").contains("!") | F.col("l").contains("|"))
+    return out.select("doc_id", "block", "lines", F.md5("l").alias("h"))
+
+
+@query(
+    f"""SELECT doc_id, title, count(*) AS lines, md5(array_to_string(list(l ORDER BY i), chr(10))) AS h FROM (SELECT *, last_value(hd IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS title FROM
+    (SELECT *, CASE WHEN i % 4 = 1 THEN 'T' || (i % 3) END AS hd FROM {_LINES})) WHERE hd IS NULL AND title IS NOT NULL GROUP BY doc_id, title"""
+)
+def note_sections(t):
+    marked = _lines(t).withColumn("l", F.when(F.col("i") % 4 == 1, F.concat(F.lit("## T"), (F.col("i") % 3).cast("string"))).otherwise(F.when(F.col("l").rlike("^#+ "), F.concat(F.lit(" "), "l")).otherwise(F.col("l"))))
+    return S.note_sections(marked, "doc_id", "i", "l").select("doc_id", "title", "lines", F.md5("l").alias("h"))
+
+
+@query(
+    """SELECT conv_id, slot, count(*) AS lines, md5(array_to_string(list(text ORDER BY turn), chr(10))) AS h FROM (SELECT conv_id, turn, text, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / ceil(count(*) OVER (PARTITION BY conv_id) / 3)) AS BIGINT) + 1 AS slot FROM conversations) GROUP BY conv_id, slot"""
+)
+def block_balancing(t):
+    return S.balanced_blocks(t("conversations"), "conv_id", "turn", "text", F.lit(3)).select("conv_id", "slot", "lines", F.md5("text").alias("h"))
+
+
+@query()
+def heading_merging(t):
+    rows = _lines(t).select("doc_id", "i", (F.when(F.length("l") < 30, 2).otherwise(0)).alias("level"), "l")
+    return S.merged_headings(rows, "doc_id", "i", "level", "l")
+
+
+@query()
+def section_chunks(t):
+    c = t("conversations")
+    last = c.groupBy("conv_id").agg((F.max("turn") * 4 + 6).alias("last"))
+    return S.split_at_sections(c.join(last, "conv_id").select("conv_id", (F.col("turn") * 4 + 1).alias("start"), "last"), "conv_id", "start", "last", 10)
+
+
+@query("SELECT p_partkey, CASE WHEN c IS NULL THEN status WHEN p_partkey = c THEN 'promoted' WHEN status = 'selected' THEN 'candidate' ELSE status END AS status FROM (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 'selected' ELSE 'candidate' END AS status FROM part) LEFT JOIN (SELECT p_brand, min(p_partkey) AS c FROM part WHERE p_size > 45 GROUP BY 1) USING (p_brand)")
+def candidate_promotion(t):
+    pool = t("part").select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 5 == 0, "selected").otherwise("candidate").alias("status"))
+    chosen = t("part").where("p_size > 45").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    return S.promoted(pool, "p_brand", "p_partkey", chosen).select("p_partkey", "status")
