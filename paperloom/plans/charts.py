@@ -17,12 +17,12 @@ def _series(t):
     return rows
 
 
-@query(f"SELECT grp, idx, round(100 + (1080 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0, 1) AS x, round(620 - value / top * 570, 1) AS y, 50.0 AS width, round(value / top * 570, 1) AS height, round(100 + (1080 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0 + 25, 1) AS label_x, 650.0 AS label_y FROM {_SERIES}")
+@query(f"SELECT grp, idx, round(100 + (1080 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0, 1) AS x, round(620 - value / top * 570, 1) AS y, CAST(50 AS DOUBLE) AS width, round(value / top * 570, 1) AS height, round(100 + (1080 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0 + 25, 1) AS label_x, CAST(650 AS DOUBLE) AS label_y FROM {_SERIES}")
 def bar_chart(t):
     return L.bars(_series(t), "grp", _AREA)
 
 
-@query(f"SELECT grp, idx, 100.0 AS x, round(50 + (570 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0, 1) AS y, round(value / top * 1080, 1) AS width, 50.0 AS height, 90.0 AS label_x, round(50 + (570 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0 + 25, 1) AS label_y FROM {_SERIES}")
+@query(f"SELECT grp, idx, CAST(100 AS DOUBLE) AS x, round(50 + (570 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0, 1) AS y, round(value / top * 1080, 1) AS width, CAST(50 AS DOUBLE) AS height, CAST(90 AS DOUBLE) AS label_x, round(50 + (570 - (n * 50 + (n - 1) * 15.0)) / 2 + (idx - 1) * 65.0 + 25, 1) AS label_y FROM {_SERIES}")
 def bar_chart_horizontal(t):
     return L.bars(_series(t), "grp", _AREA, horizontal=True)
 
