@@ -61,14 +61,12 @@ def test_decontamination_matches_brute_force(spark, docs, nothing):
             s = windows(x, 5)
             if s and 100 * len(s & windows(t, 5)) >= 80 * len(s):
                 want[d, i] += 1
-    for block in (16 << 20, 64):  # whole, and in blocks
-        if block == 64:
-            with pytest.raises(ValueError):
-                decontaminate.contained_items(docs, table, block_bytes=8)
-            continue
+    with pytest.raises(ValueError):
+        decontaminate.contained_items(docs, table, block_bytes=8)
+    for block in (16 << 20, 400):  # whole, and in blocks
         got = Counter((r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, table, block_bytes=block).collect())
         assert got == want
-    kept = decontaminate.drop_contaminated(docs, table)
+    kept = decontaminate.drop_contaminated(docs, table, block_bytes=400)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, t in ROWS if not any(windows(x, 5) and 100 * len(windows(x, 5) & windows(t, 5)) >= 80 * len(windows(x, 5)) for _, x in items))
     assert decontaminate.contained_items(nothing, table).count() == 0
@@ -300,11 +298,13 @@ def test_automaton_is_a_distribution():
     automaton = lm_scores.Automaton(unigram, {one(0): (10, 3), one(1): (6, 2), one(0) << b | 1: (4, 2)}, {one(0): [(1, 5), (2, 3)], one(1): [(0, 4)], one(0) << b | 1: [(2, 3)]})
     for s in range(len(automaton.fail)):
         assert abs(sum(10 ** automaton.move(s, t)[0] for t in range(4)) - 1) < 1e-9
-    moves = lm_scores.Moves(automaton)
     log, s = automaton.move(0, 0)
     log2, s2 = automaton.move(s, 1)
     log3, _ = automaton.move(s2, 2)
-    assert abs(lm_scores.traverse([0, 1, 2], moves) - (log + log2 + log3)) < 1e-12 and s2 != s
+    assert abs(lm_scores.traverse(automaton, [0, 1, 2]) - (log + log2 + log3)) < 1e-12 and s2 != s
+    rng = np.random.default_rng(9)
+    texts = [rng.choice([0, 1, 2, 3, lm_scores.OUTSIDE], int(rng.integers(1, 30))) for _ in range(50)]
+    assert np.allclose(lm_scores.traverse_all(automaton, texts, 3), [lm_scores.traverse(automaton, x.tolist()) for x in texts])
 
 
 def test_license_scan(spark, docs, nothing):
