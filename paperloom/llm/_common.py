@@ -7,6 +7,8 @@ as ``bytes.lower()`` does. Both run in C and never look at Unicode tables.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
-        found = "file://" + tempfile.mkdtemp(prefix="loom-ckpt-")
+        made = tempfile.mkdtemp(prefix="loom-ckpt-")
+        atexit.register(shutil.rmtree, made, True)
+        found = "file://" + made
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found

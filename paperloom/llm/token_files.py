@@ -33,13 +33,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_LENGTH, CACHE_WORDS, shared_dir
+from ._common import CACHE_LENGTH, shared_dir, slices
 from .token_counts import load
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 PART_SCHEMA = "part int, n_docs long, n_tokens long"
 
 
+#: Words whose ids a worker remembers, some 200 MB; it starts anew beyond.
+CACHE_WORDS = 1 << 20
+_WORD_IDS: dict = {}
+
+
+def word_ids(tokenizer_file: str, kind: str) -> WordIds:
+    """The worker's own dictionary, kept from task to task."""
+    if (tokenizer_file, kind) not in _WORD_IDS:
+        _WORD_IDS[tokenizer_file, kind] = WordIds(load(tokenizer_file), kind)
+    return _WORD_IDS[tokenizer_file, kind]
+
+
 class WordIds(dict):
     """word -> its ids as packed bytes, through the library once while remembered."""
 
@@ -82,10 +94,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = {k: f"{folder}/.part-{part:05d}.{attempt}.{k}" for k in ("bin", "idx", "ids", "nul")}
         files = {k: open(v, "wb") for k, v in names.items()}
-        cache, end = WordIds(load(tokenizer_file), kind), np.array([end_id], kind).tobytes()
+        cache, end = word_ids(tokenizer_file, kind), np.array([end_id], kind).tobytes()
         at = docs_here = 0
         files["idx"].write(np.zeros(1, "<u8").tobytes())
-        for batch in batches:
+        for batch in slices(batches):
             offsets = []
             for text in batch.column(1).to_pylist():
                 data = cache.encode(text or b"") + end
