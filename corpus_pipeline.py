@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import bpe_codec, decontaminate, ngram_jaccard, quality_rules, toxicity
-from paperloom.llm._common import shared_dir
+from paperloom.llm._common import release, shared_dir
 from paperloom.llm.queries import pattern, table, vocabulary
 
 
@@ -21,18 +21,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # the stage before is stored
     return quality_rules.drop_failed(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # the stage before is stored
     return ngram_jaccard.one_of_each_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # the stage before is stored
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)  # the stage before is stored
     return bpe_codec.encode_decode(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern())
 
 
