@@ -6,18 +6,20 @@ Only the entries that can matter are ever multiplied:
 1. Documents with equal sets are one row of the matrix (a class, named by a 128-bit digest of the
    set), however many copies there are.
 2. *Blocks by column.* Within a row the n-grams are ordered from rare to frequent. Two rows of n and m
-   n-grams that link share at least ceil(90 (n + m) / 190) of them, so they share one among the first
-   n - ceil(0.9 n) + 1 of either: only this prefix is dealt out, by n-gram, and one n-gram's rows are a
-   block. A passage that many documents share is frequent, comes last in their order and stays out.
+   n-grams that link share at least ceil(90 (n + m) / 190) of them, so they share s = ``SHARED`` + n / ``EACH``
+   (of the smaller n) among the first n - ceil(0.9 n) + s of either: only this prefix is dealt out, by n-gram, and one n-gram's rows are
+   a block. A passage that many documents share is frequent, comes last in their order and stays out.
 3. *Size-derived bounds.* A pair is discarded unless 0.9 n <= m <= n / 0.9 and the n-grams left after
-   the shared one in both orders still reach the overlap that a link needs.
+   the first shared one in both orders still reach the overlap that a link needs.
 4. Overlap counts are accumulated exactly, over the whole sets, for each pair that is left.
 
-A block of b rows isn't multiplied out. Its *pivot*, the row that has the shared n-gram earliest in
-its order, is tried against the others; rows linked to the pivot are in one component and need no
-product among themselves. Only rows of a block that are still in different components after that are
-paired. So a group of thousands of near copies costs a product each, not a square, and no link between
-components is lost: every pair that is passed over is either out of bounds or already in one component.
+A block of b rows isn't multiplied out at once. Its *pivot*, the row with the fewest rare n-grams of its own
+(the text that the others were made from, where there is one: the same row in all of a group's blocks), is
+tried against the others; rows linked to the pivot are in one component and need no product among
+themselves. Only blocks whose rows are still in different components go on: the small ones as pairs, the
+large ones, gathered by pivot into *cells*, as products of two slabs of ``SLAB`` rows at most, each in a
+task of its own that returns no more links than it has rows. No link between components is lost: every
+pair that is passed over is out of bounds or already in one component.
 
 The order needs frequencies, but any order that all rows agree on gives the same result: each task
 counts n-grams over its own documents, counts of ``LOCAL`` or more are summed over all tasks, and the
@@ -36,11 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, checkpointed, components, shingle_hashes, signed, word_hashes
+from ._common import WordHashes, checkpointed, components, shingle_hashes, signed, slices, word_hashes, written
 
 WORDS, PERCENT = 3, 90
 #: An n-gram's count in a task is passed on from here; at most so many n-grams rank by count.
 LOCAL, HEAVY = 4, 1 << 20
+#: Prefixes are as long as it takes for linked rows to share so many n-grams in them, and one more for each so many of their size.
+SHARED, EACH = 3, 20
+#: Blocks of up to so many rows are paired; the rows of larger ones are multiplied in slabs of so many.
+SMALL, SLAB = 8, 1024
 #: Bits of the filters that say which n-grams and documents are wanted: 8 MB. They only spare work.
 FILTER_BITS = 1 << 26
 
@@ -55,7 +61,8 @@ def digest(shingles: np.ndarray) -> bytes:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Links between different sets need ten n-grams or more (at 90 %), so their overlap is over SHARED."""
+    return min(n, n - -(-percent * n // 100) + SHARED + n // EACH)
 
 
 def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +71,7 @@ def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEA
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, cache, k) for t in batch.column(0).to_pylist()]
+            sets = [shingle_set(t, cache, k) for part in slices([batch]) for t in part.column(0).to_pylist()]
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[n >= local])), pa.array(n[n >= local].astype(np.int64))], ["h", "n"])
@@ -81,7 +88,7 @@ def matrix_rows(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
 
     def run(batches):
         (hot, counts), cache = heavy.value, WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, cache, k)
@@ -110,7 +117,10 @@ def _is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def block_entries(classes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(gram, set_id, n, pos): the prefixes' entries, without most n-grams that only one class has."""
+    """(gram, set_id, n, pos, lead): the prefixes' entries, without most n-grams that only one class has.
+
+    ``lead`` is how many rare n-grams of its own a class has before the first that is shared.
+    """
     spark = classes.sparkSession
     shared = classes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
     sent = spark.sparkContext.broadcast(bitmap(shared.select(F.expr(f"gram & {bits - 1}L").alias("place")), bits))
@@ -123,68 +133,149 @@ def block_entries(classes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
             gram = grams.flatten().to_numpy()
             pos = np.arange(len(gram)) - (grams.offsets.to_numpy() - grams.offsets[0].as_py())[owner]
             keep = _is_set(wanted, gram & (bits - 1))
-            owner = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(pos[keep].astype(np.int64))], ["gram", "set_id", "n", "pos"])
+            owner, pos = owner[keep], pos[keep].astype(np.int64)
+            lead = np.full(batch.num_rows, 1 << 31)
+            np.minimum.at(lead, owner, pos)
+            at = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), pa.array(lead[owner])], ["gram", "set_id", "n", "pos", "lead"])
 
-    return classes.select("set_id", "n", "prefix").mapInArrow(run, "gram long, set_id binary, n long, pos long")
+    return classes.select("set_id", "n", "prefix").mapInArrow(run, "gram long, set_id binary, n long, pos long, lead long")
 
 
-def linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int, bits: int = FILTER_BITS) -> DataFrame:
-    """The pairs (a, b) of classes whose exact overlap makes a link. ``pairs`` is a checkpoint.
+def wanted_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(set_id, shingles) of at least the classes in ``ids``, read again from one document of each.
 
-    The sets are read again from one document of each class, found by a bitmap over document ids.
+    The documents are found by a bitmap over their ids.
     """
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
     members = rows.join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(place.alias("place")), bits))
 
     def run(batches):
         wanted, cache = sent.value, WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).filter(pa.array(_is_set(wanted, batch.column(0).to_numpy())))
             sets = [s for t in texts.to_pylist() if len(s := shingle_set(t, cache, k))]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    sets = docs.select(place.alias("place"), "text").mapInArrow(run, "set_id binary, shingles array<long>")
+    return docs.select(place.alias("place"), "text").mapInArrow(run, "set_id binary, shingles array<long>")
+
+
+def linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose exact overlap makes a link. ``pairs`` is stored."""
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    sets = wanted_sets(docs, rows, ids, k)
     first = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return checkpointed(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct())
 
 
+def product_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of a left and a right slab, no more than join them: a spanning forest.
+
+    The slabs' incidence matrix over the n-grams that two rows or more have, times its transpose.
+    """
+    sizes = np.array([len(s) for s in sets])
+    grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    keep = count[column] > 1
+    owner, column, width = owner[keep], number[column[keep]], int((count > 1).sum())
+    shared = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    step = 4096
+    for low in range(0, width, step):  # blocks of columns, so that memory is bounded
+        inside = (column >= low) & (column < low + step)
+        a, b = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        o, c = owner[inside], column[inside] - low
+        a[at_left[o][at_left[o] >= 0], c[at_left[o] >= 0]] = 1
+        b[at_right[o][at_right[o] >= 0], c[at_right[o] >= 0]] = 1
+        shared += a @ b.T
+    x, y = np.nonzero(100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared))
+    root = list(range(len(sets)))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for i, j in zip(left[x].tolist(), right[y].tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
+def cell_links(docs: DataFrame, rows: DataFrame, members: DataFrame, k: int, percent: int, slab: int = SLAB) -> DataFrame:
+    """(a, b): links that join the linked rows of each cell. ``members``: (cell, set_id), stored."""
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / slab).cast("int").alias("slabs"))
+    placed = members.join(sizes, "cell").withColumn("slab", F.pmod(F.xxhash64("set_id"), F.col("slabs")).cast("int"))
+    # a row goes to each pair of slabs that has its own
+    pairs = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda o: F.struct(F.least(o, F.col("slab")).alias("i"), F.greatest(o, F.col("slab")).alias("j")))
+    dealt = placed.select("cell", "set_id", "slab", F.explode(pairs).alias("p")).select("cell", "set_id", "slab", "p.i", "p.j")
+    sets = wanted_sets(docs, rows, members.select("set_id").distinct(), k)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, slabs = table.column("set_id").to_pylist(), table.column("slab").to_numpy()
+        at = list({x: n for n, x in enumerate(ids)}.values())  # a set may have been read from two documents
+        ids, slabs = [ids[i] for i in at], slabs[at]
+        sets = [np.asarray(table.column("shingles")[int(i)].values.to_numpy()) for i in at]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found = product_links(sets, np.flatnonzero(slabs == i), np.flatnonzero(slabs == j), percent)
+        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.binary()), "b": pa.array([ids[y] for _, y in found], pa.binary())})
+
+    return checkpointed(dealt.join(sets, "set_id").groupBy("cell", "i", "j").applyInArrow(run, "a binary, b binary"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
+    if percent < 75:
+        raise ValueError("below 75 % two different sets may link by fewer n-grams than SHARED")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     order = spark.sparkContext.broadcast(heavy_shingles(docs, k, heavy=heavy))
-    rows = checkpointed(matrix_rows(docs, k, percent, order))
+    rows = written(matrix_rows(docs, k, percent, order))
     # one row of the matrix for each distinct set; copies fold on the map side
-    classes = checkpointed(rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = written(rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     rows = rows.drop("prefix")
 
     entries = block_entries(classes)
-    pivots = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("pos", "set_id", "n")).alias("pivot")).where("rows > 1").drop("rows")
-    blocks = checkpointed(entries.join(pivots, "gram"))
+    pivots = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("lead", "set_id", "n", "pos")).alias("pivot")).where("rows > 1").drop("rows")
+    blocks = written(entries.join(pivots, "gram"))
 
     def in_bounds(n, i, m, j):
         # at the first n-gram that two rows share, what is left of both orders holds their whole overlap
         return f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n} and least({n} - {i}, {m} - {j}) * {100 + percent} >= {percent} * ({n} + {m})"
 
-    tries = blocks.where("set_id != pivot.set_id").where(in_bounds("n", "pos", "pivot.n", "pivot.pos"))
-    tries = checkpointed(tries.select(F.least("set_id", "pivot.set_id").alias("a"), F.greatest("set_id", "pivot.set_id").alias("b")).distinct())
-    links = linked(docs, rows, tries, k, percent)
-    roots = components(links)
+    tries = blocks.where("set_id != pivot.set_id").groupBy(F.least("set_id", "pivot.set_id").alias("a"), F.greatest("set_id", "pivot.set_id").alias("b"))
+    tries = written(tries.agg((F.count("*") - F.expr(f"max(least(n, pivot.n)) div {EACH}")).alias("shared"), F.max(F.expr(in_bounds("n", "pos", "pivot.n", "pivot.pos"))).alias("good")).where(f"good and shared >= {SHARED}").select("a", "b"))
+    roots = components(linked(docs, rows, tries, k, percent))
 
-    # what is left of each block: rows that are still in different components
+    # blocks whose rows are still in different components
     named = blocks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
-    left = named.where("set_id != pivot.set_id").join(split, "gram").select("gram", "set_id", "n", "pos", "root")
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.set_id < y.set_id and x.root != y.root").where(in_bounds("x.n", "x.pos", "y.n", "y.pos"))
-    more = checkpointed(more.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct())
-    if not more.isEmpty():
-        roots = components(links.union(linked(docs, rows, more, k, percent)))
+    split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("gram", "members")
+    # a row with fewer n-grams in such blocks than any link of it would share has none
+    able = named.join(split, "gram").groupBy("set_id").agg(F.count("*").alias("all"), F.first("n").alias("m")).where(f"all >= {SHARED} + ({percent} * m div 100) div {EACH}").select("set_id")
+    left = written(named.join(split, "gram").join(able, "set_id").select("gram", "set_id", "n", "pos", "root", "members", F.col("pivot.set_id").alias("cell")))
+    small = left.where(f"members <= {SMALL}")
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.set_id < y.set_id and x.root != y.root")
+    pairs = pairs.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg((F.count("*") - F.expr(f"max(least(x.n, y.n)) div {EACH}")).alias("shared"), F.max(F.expr(in_bounds("x.n", "x.pos", "y.n", "y.pos"))).alias("good"))
+    pairs = written(pairs.where(f"good and shared >= {SHARED}").select("a", "b").join(tries, ["a", "b"], "left_anti"))
+    # a pair that also shares a large block is in its cell
+    cells = written(left.where(f"members > {SMALL}").select("cell", "set_id").distinct())
+    more = linked(docs, rows, pairs, k, percent).union(cell_links(docs, rows, cells, k, percent))
+    # links between components, one for each two
+    of = roots.withColumnRenamed("node", "n")
+    ends = more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
+    above = components(ends)
+    found = roots.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = found.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root")).distinct()
 
     named = rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"))
