@@ -1,21 +1,24 @@
 """Language-model scores by a weighted backoff automaton over smoothed n-grams.
 
-Tokens are lower-cased words and one end token a text. Unigram counts are exact for every token of the
-training texts. The model's vocabulary is the ``WORDS`` most frequent tokens; n-grams of two tokens or
-more whose context lies in the vocabulary are counted over all training texts, with the totals of each context and
-the number of its distinct continuations. Counts are discounted (absolute discounting, interpolated)
-and the n-grams that are kept become arcs of an automaton:
+Tokens are lower-cased words and one end token a text. The vocabulary is every token of the training
+texts, with exact counts, and the model has every n-gram of two tokens or more that occurs twice or more in
+them. Counts are discounted (absolute discounting, interpolated); in terms of the automaton:
 
 * a *state* is a context that has arcs; state 0 is the empty context;
-* an *arc* (state, token) has a log-probability and a next state, the longest suffix that is a state;
+* an *arc* (state, token) has a log-probability;
 * a *failure arc* of a state leads to its next shorter context and has the backoff weight that makes
-  the state's probabilities sum to one, whichever n-grams are kept.
+  the state's probabilities sum to one.
 
-A text is scored in one left-to-right traversal that carries the state; a token outside the model's
-vocabulary takes failure arcs to state 0. The automaton has ``ARCS`` arcs at most (n-grams are kept
-by count, down to the lowest count that fits; counting itself covers all): some 20 MB. The counts of
-the ``HOT`` most frequent tokens go to the executors in 32 MB; those of all others
-come by a join on the token's 64-bit hash, which no frequent token takes part in.
+The model is a table by 64-bit key, as large as the corpus makes it: log-probabilities of tokens, backoff
+weights of states, and of each arc its *gain*, the log-probability less what the state's failure arc and
+the shorter context would give. A token's log-probability is then its unigram's plus, for each context that
+ends before it, the context's weight and the arc's gain where there are any: a sum over keys, whichever of
+them are looked up at hand and whichever are joined. States are looked up, not carried from token to token;
+:class:`Automaton` and :func:`traverse` are the same model in its literal form, for tests.
+
+The ``HOT`` most frequent tokens, the weights of the ``WORDS`` most frequent contexts and the ``ARCS`` most
+frequent arcs go to the executors; all others come by a join, which no frequent key takes part in. A bitmap
+of fixed size over the keys spares the join most n-grams that the model doesn't have. These sizes change no score.
 
 Null text: as empty; empty text: the end token alone. Repeated rows: a row each. Extra columns: ignored.
 No training texts: N and V are 0, every token is unknown and scores log10(1).
@@ -24,6 +27,7 @@ No training texts: N and V are 0, every token is unknown and scores log10(1).
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import HashedTable, fold_of, most_frequent, signed, signed_hash, slices, written
+from ._common import _STEP, HashedTable, WordHashes, fold_of, mixed, most_frequent, signed, slices, word_hashes, written
+from .ngram_jaccard import FILTER_BITS, _is_set, bitmap
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 2
 HOT, WORDS, ARCS = 1 << 21, 1 << 16, 1 << 19
 DISCOUNT = 0.75
-#: Bits of a token's number in an n-gram's key; the highest number stands for all tokens outside.
+#: Bits of a token's number in a context's number of an Automaton; the highest number stands for all tokens outside.
 BITS = 20
 OUTSIDE = (1 << BITS) - 1
 #: The end token's text: no word has a space.
 END = b" end"
 FLUSH_WORDS = 400_000
+#: Tokens whose n-grams a worker counts at once.
+FLUSH_TOKENS = 2_000_000
+#: What tells the key of a context's backoff weight from the n-gram's own.
+_WEIGHT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def token_hash(word: bytes) -> int:
@@ -72,42 +81,83 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def ngrams(texts: DataFrame, hot, order: int, words: int) -> DataFrame:
-    """(context, total, kinds, arcs array<struct<token,c>>) for n-grams of 2 to ``order`` tokens.
+def gram_keys(contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams by those of all their tokens but the last, and but the first."""
+    return mixed(contexts * _STEP + suffixes)
+
+
+def weight_keys(contexts: np.ndarray) -> np.ndarray:
+    return mixed(contexts ^ _WEIGHT)
+
+
+def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
+    """(context, suffix, key, owner) of the n-grams within texts, for each size from 2 to ``order``."""
+    key = hashes
+    for size in range(2, order + 1):
+        context, suffix = key[:-1], key[1:]
+        key = gram_keys(context, suffix)
+        inside = owner[: len(key)] == owner[size - 1 :]
+        yield context[inside], suffix[inside], key[inside], owner[: len(key)][inside]
 
-    A context's number has a 1 before its tokens' numbers, so that lengths differ. Arcs are the
-    continuations in the vocabulary with a count of two or more.
-    """
+
+def ngrams(texts: DataFrame, size: int) -> DataFrame:
+    """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more."""
+
+    def counted(parts):
+        lengths = list(map(len, parts))
+        *_, (context, suffix, key, _) = windows(np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths), size)
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(context[at])), pa.array(signed(suffix[at])), pa.array(n)], ["context", "suffix", "c"])
 
     def run(batches):
-        numbers = HashedTable(hot.value[0], np.arange(len(hot.value[0])))
+        cache, parts, tokens = WordHashes(), [], 0
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                parts.append(word_hashes((text or b"").lower().split() + [END], cache))
+                tokens += len(parts[-1])
+                if tokens >= FLUSH_TOKENS:
+                    yield counted(parts)
+                    parts, tokens = [], 0
+        if parts:
+            yield counted(parts)
+
+    return texts.select("text").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
+
+
+def level(texts: DataFrame, shorter: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Arcs (key, c, p, v) and states (key, c, v) of n-grams of ``size`` tokens; v is an arc's gain and a state's weight.
+
+    ``shorter``: (key, c, p) of the n-grams one token shorter. It has every n-gram's context and suffix, as
+    these occur as often at least.
+    """
+
+    def keyed(batches):
         for batch in batches:
-            parts = []
-            for part in slices([batch]):
-                texts = [(t or b"").lower().split() + [END] for t in part.column(0).to_pylist()]
-                numbers.prepare(set().union(*texts))
-                for tokens in texts:
-                    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-                    parts.append(np.where((ids < 0) | (ids >= words), OUTSIDE, ids))
-                    parts.append(np.full(order - 1, -1))
-            if not parts:
-                continue
-            ids = np.concatenate(parts)
-            for size in range(2, order + 1):
-                window = [ids[j : len(ids) - size + 1 + j] for j in range(size)]
-                good = window[-1] >= 0
-                for x in window[:-1]:
-                    good &= (x >= 0) & (x != OUTSIDE)
-                key = np.ones(int(good.sum()), np.int64)
-                for x in window:
-                    key = (key << BITS) | x[good]
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int32))], ["key", "c"])
-
-    counts = texts.select("text").mapInArrow(run, "key long, c int").groupBy("key").agg(F.sum("c").alias("c"))
-    arc = F.when((F.col("c") > 1) & (F.expr(f"key & {OUTSIDE}") != OUTSIDE), F.struct(F.expr(f"cast(key & {OUTSIDE} as int)").alias("token"), F.col("c")))
-    by_context = counts.select(F.expr(f"shiftright(key, {BITS})").alias("context"), "c", arc.alias("arc"))
-    return by_context.groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.collect_list("arc").alias("arcs"))
+            context, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in ("context", "suffix"))
+            keys = [pa.array(signed(gram_keys(context, suffix))), pa.array(signed(weight_keys(context)))]
+            yield pa.RecordBatch.from_arrays([*keys, *(batch.column(k) for k in ("context", "c", "low"))], ["key", "weight", "context", "c", "low"])
+
+    low = ngrams(texts, size).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
+    grams = written(low.mapInArrow(keyed, "key long, weight long, context long, c long, low double"))
+    sums = grams.groupBy("context").agg(F.first("weight").alias("key"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
+    # every context is followed by a token; of its continuations that are no arcs each occurs once
+    states = sums.join(shorter.select(F.col("key").alias("context"), F.col("c")), "context")
+    states = states.withColumn("mass", DISCOUNT * (F.col("arcs") + F.col("c") - F.col("arcs_c")) / F.col("c"))
+    here = (F.col("arcs_c") - DISCOUNT * F.col("arcs")) / F.col("c") + F.col("mass") * F.col("arcs_low")
+    weight = F.log10(F.greatest(1 - here, F.lit(1e-12)) / F.greatest(1 - F.col("arcs_low"), F.lit(1e-12)))
+    states = written(states.select("context", "key", "c", "mass", weight.alias("v")))
+    joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context")
+    arcs = joined.withColumn("p", (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low"))
+    arcs = written(arcs.select("key", "c", "p", (F.log10("p") - F.col("backoff") - F.log10("low")).alias("v")))
+    return arcs, states.select("key", "c", "v")
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each wanted key is in a sorted array, and where."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return keys[at] == wanted, at
 
 
 class Automaton:
@@ -230,33 +280,8 @@ def traverse_all(automaton: Automaton, texts: list[np.ndarray], order: int) -> n
     return np.add.reduceat(log, np.cumsum(lengths) - lengths)  # every text has its end token
 
 
-def build(ngram_table: DataFrame, unigram: np.ndarray, most_arcs: int = ARCS) -> Automaton:
-    """The automaton of the most frequent n-grams: all those of a count that together fit ``most_arcs``."""
-    arcs = ngram_table.where(F.size("arcs") > 0).select("context", "total", "kinds", F.explode("arcs").alias("arc"))
-    sizes = sorted(((r.c, r.n) for r in arcs.groupBy(F.least(F.col("arc.c"), F.lit(1_000_000)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    lowest, total = None, 0
-    for c, n in sizes:
-        total += n
-        if total > most_arcs:
-            break
-        lowest = c
-    if lowest is None:
-        return Automaton(unigram, {}, {})
-    table = arcs.where(F.col("arc.c") >= lowest).select("context", "total", "kinds", "arc.token", "arc.c").toArrow()
-    columns = [table.column(k).to_numpy() for k in ("context", "total", "kinds", "token", "c")]
-    order = np.lexsort((columns[3], columns[0]))
-    contexts: dict[int, tuple[int, int]] = {}
-    by_context: dict[int, list[tuple[int, int]]] = {}
-    for context, total, kinds, token, c in zip(*(x[order].tolist() for x in columns), strict=True):
-        contexts[context] = (total, kinds)
-        by_context.setdefault(context, []).append((token, c))
-    return Automaton(unigram, contexts, by_context)
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_tokens: int = HOT, words: int = WORDS, most_arcs: int = ARCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    if order > 2 and order * BITS + 1 > 63:
-        raise ValueError(f"an order of {order} does not fit a 64-bit key")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     texts = docs.where("not held_out")
@@ -265,54 +290,71 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     scale = n + 0.5 * (v + 1)
     top = most_frequent(counts, "c", hot_tokens, ["h", "c"])
     hot_h, hot_c = top.column("h").to_numpy(), top.column("c").to_numpy()
-    by_rank = np.lexsort((hot_h, -hot_c))
-    hashes, logs = hot_h[by_rank].view(np.uint64), np.log10((hot_c[by_rank] + 0.5) / scale)
-    hot = spark.sparkContext.broadcast((hashes, logs))
-    words = min(words, OUTSIDE - 1)
-    table = written(ngrams(texts, hot, order, words))
-    sent = spark.sparkContext.broadcast(build(table, logs[:words], most_arcs))
+    tokens = counts.select(F.col("h").alias("key"), "c", ((F.col("c") + 0.5) / F.lit(scale)).alias("p"))
+    arcs, states, shorter = [], [], tokens
+    for size in range(2, order + 1):
+        shorter, weights = level(texts, shorter, size)
+        arcs.append(shorter.select("key", "c", "v"))
+        states.append(weights)
+    parts = [(p, most) for tables, most in ((arcs, most_arcs), (states, words)) for p in tables]
+    tops = [most_frequent(p, "c", most, ["key", "v"]) for p, most in parts]
+    hot_keys = np.concatenate([t.column("key").to_numpy() for t in tops] or [np.zeros(0, np.int64)]).view(np.uint64)
+    hot_values = np.concatenate([t.column("v").to_numpy() for t in tops] or [np.zeros(0)])
+    by_key = np.argsort(hot_keys)
+    model = tokens.select("key", F.log10("p").alias("v"), F.lit(True).alias("token"))
+    grams = tokens.select("key").where("false")
+    for p, _ in parts:
+        model = model.union(p.select("key", "v", F.lit(False)))
+        grams = grams.union(p.select("key"))
+    bits = bitmap(grams.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")))
+    hot = spark.sparkContext.broadcast((hot_h.view(np.uint64), np.log10((hot_c + 0.5) / scale), hot_keys[by_key], hot_values[by_key], bits))
 
     def run(batches):
-        hashes, logs = hot.value
-        numbers, automaton = HashedTable(hashes, np.arange(len(hashes))), sent.value
-        cols: list[list] = [[], [], [], []]
+        hashes, logs, keys, values, bits = hot.value
+        numbers = HashedTable(hashes, np.arange(len(hashes)))
         for batch in slices(batches):
-            ids_, held_, texts = (c.to_pylist() for c in batch.columns)
-            texts = [t or b"" for t in texts]
+            texts = [t or b"" for t in batch.column(2).to_pylist()]
             lists = [t.lower().split() + [END] for t in texts]
             numbers.prepare(set().union(*lists))
-            numbered = [np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)) for tokens in lists]
-            paths = traverse_all(automaton, [np.where((x < 0) | (x >= words), OUTSIDE, x) for x in numbered], order).tolist()
-            for doc_id, held_out, text, tokens, ids, path in zip(ids_, held_, texts, lists, numbered, paths, strict=True):
-                key = xxhash.xxh3_64_intdigest(text, 0 if doc_id is None else doc_id & (1 << 63) - 1) - (1 << 63)
-                known = ids >= 0
-                base = float(logs[ids[known]].sum())
-                path += float(logs[ids[ids >= words]].sum())  # known, but outside the model's vocabulary
-                rest = Counter(tokens[i] for i in np.flatnonzero(~known))
-                # the first row carries the document; one without other tokens gets its own key for a hash, and counts it 0 times
-                h = list(map(signed_hash, rest)) or [key]
-                cols[0] += [key] * len(h)
-                cols[1] += h
-                cols[2] += list(rest.values()) or [0]
-                cols[3] += [{"doc_id": doc_id, "held_out": held_out, "n": len(tokens), "known": int(known.sum()), "base": base, "path": path}] + [None] * (len(h) - 1)
-            if len(cols[0]) >= 50_000:
-                yield _batch(cols)
-                cols = [[], [], [], []]
-        if cols[0]:
-            yield _batch(cols)
-
-    parts = docs.mapInArrow(run, "row_key long, h long, freq int, doc struct<doc_id:long,held_out:boolean,n:long,known:long,base:double,path:double>")
-    joined = parts.join(counts, "h", "left")
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(scale)) * F.col("freq")
-    each = joined.select("row_key", "doc", log.alias("log"), F.when(F.col("c") > 0, F.col("freq").cast("long")).otherwise(F.lit(0)).alias("known"))
-    total = each.groupBy("row_key").agg(F.sum("log").alias("log"), F.sum("known").alias("known"), F.count("doc").alias("copies"), F.max("doc").alias("doc"))
-    rest = F.col("log") / F.col("copies")
-    out = total.select("doc.doc_id", "doc.held_out", F.col("doc.n").alias("n_tokens"), (F.col("doc.known") + F.expr("known div copies")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("doc.base") + rest).alias("base_score"), (F.col("doc.path") + rest).alias("score"), F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
+            flat, size = list(chain.from_iterable(lists)), len(lists)
+            lengths = np.fromiter(map(len, lists), np.int64, size)
+            owner = np.repeat(np.arange(size), lengths)
+            ids = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+            known, rest = np.flatnonzero(ids >= 0), np.flatnonzero(ids < 0)
+            h = np.zeros(len(flat), np.uint64)
+            h[known] = hashes[ids[known]]
+            h[rest] = [token_hash(flat[i]) for i in rest.tolist()]
+            base = np.bincount(owner[known], logs[ids[known]], size).astype(float)  # whole numbers if none is known
+            path = base.copy()
+            asked = [(owner[rest], h[rest], np.ones(len(rest), bool))]
+            for context, _, key, own in windows(h, owner, order):
+                for wanted in (key, weight_keys(context)):
+                    here, at = found(keys, wanted)
+                    path += np.bincount(own[here], values[at[here]], size)
+                    other = ~here & _is_set(bits, (wanted & np.uint64(FILTER_BITS - 1)).astype(np.int64))
+                    asked.append((own[other], wanted[other], np.zeros(int(other.sum()), bool)))
+            row_key = np.array([xxhash.xxh3_64_intdigest(t, 0 if i is None else i & (1 << 63) - 1) for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)], np.uint64)
+            own, key, token = (np.concatenate(x) for x in zip(*asked, strict=True))
+            # a text that asks for nothing gets its own key, and counts it 0 times
+            alone = np.flatnonzero(np.bincount(own, minlength=size) == 0)
+            freq = np.concatenate([np.ones(len(own), np.int32), np.zeros(len(alone), np.int32)])
+            own, key, token = np.concatenate([own, alone]), np.concatenate([key, row_key[alone]]), np.concatenate([token, np.zeros(len(alone), bool)])
+            by = np.lexsort((key, own))
+            own, key, token, freq = own[by], key[by], token[by], freq[by]
+            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])]) if len(own) else np.zeros(0, np.int64)
+            freq = np.add.reduceat(freq, first) if len(first) else freq
+            own, key, token = own[first], key[first], token[first]
+            # the first row carries the document
+            leads = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+            n_known = np.bincount(owner[known], minlength=size)
+            doc = pa.StructArray.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(path)], ["doc_id", "held_out", "n", "known", "base", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(row_key)[own]), pa.array(signed(key)), pa.array(freq.astype(np.int32)), pa.array(token), doc.take(pa.array(own, mask=~leads))], ["row_key", "key", "freq", "asks_token", "doc"])
+
+    asked = docs.mapInArrow(run, "row_key long, key long, freq int, asks_token boolean, doc struct<doc_id:long,held_out:boolean,n:long,known:long,base:double,path:double>")
+    joined = asked.join(model, "key", "left")
+    unknown = F.when(F.col("asks_token"), float(np.log10(0.5 / scale))).otherwise(0.0)
+    each = joined.select("row_key", "doc", "asks_token", (F.coalesce("v", unknown) * F.col("freq")).alias("log"), F.when(F.col("asks_token") & F.col("token"), F.col("freq").cast("long")).otherwise(F.lit(0)).alias("known"))
+    base = F.when(F.col("asks_token"), F.col("log")).otherwise(0.0)
+    total = each.groupBy("row_key").agg(F.sum("log").alias("log"), F.sum(base).alias("base"), F.sum("known").alias("known"), F.count("doc").alias("copies"), F.max("doc").alias("doc"))
+    out = total.select("doc.doc_id", "doc.held_out", F.col("doc.n").alias("n_tokens"), (F.col("doc.known") + F.expr("known div copies")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("base") / F.col("copies")).alias("base_score"), (F.col("doc.path") + F.col("log") / F.col("copies")).alias("score"), F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
     return out.drop("_copy")
-
-
-_DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("path", pa.float64())])
-
-
-def _batch(cols: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), _DOC], strict=True)], ["row_key", "h", "freq", "doc"])

@@ -291,6 +291,37 @@ def test_lm_scores(docs, nothing, order, hot, vocabulary, arcs):
     assert lm_scores.lm_scores(nothing).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_have_every_ngram(spark, order):
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(rng.integers(1, 60))) % 200)) for i in range(150)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    train = [words(t) + [b" end"] for d, t in rows if not held(d)]
+    c = Counter(x for w in train for x in w)
+    scale, number = sum(c.values()) + 0.5 * (len(c) + 1), {x: k for k, x in enumerate(c)}
+    unigram = np.log10(np.array([(c[x] + 0.5) / scale for x in c]))
+    total, kinds, arcs = Counter(), Counter(), defaultdict(list)
+    for size in range(2, order + 1):
+        for gram, n in Counter(g for w in train for g in zip(*[w[j:] for j in range(size)])).items():
+            context = 1
+            for x in gram[:-1]:
+                context = context << lm_scores.BITS | number[x]
+            total[context] += n
+            kinds[context] += 1
+            if n > 1:
+                arcs[context].append((number[gram[-1]], n))
+    automaton = lm_scores.Automaton(unigram, {k: (total[k], kinds[k]) for k in arcs}, arcs)
+    want = {}
+    for d, t in rows:
+        w = words(t) + [b" end"]
+        unknown = sum(x not in c for x in w) * math.log10(0.5 / scale)
+        want[d] = lm_scores.traverse(automaton, [number.get(x, lm_scores.OUTSIDE) for x in w]) + unknown
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({}, {"hot_tokens": 20, "words": 5, "most_arcs": 10}, {"hot_tokens": 0, "words": 0, "most_arcs": 0}):  # what is sent changes no score
+        got = {r.doc_id: r.score for r in lm_scores.lm_scores(table, order=order, **sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_automaton_is_a_distribution():
     unigram = np.log10(np.array([0.4, 0.3, 0.2, 0.1]))
     b = lm_scores.BITS
