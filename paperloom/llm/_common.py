@@ -7,12 +7,12 @@ as ``bytes.lower()`` does. Both run in C and never look at Unicode tables.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
+from contextlib import contextmanager
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ SLICE = 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where no folder is set (local tests) a temporary one is made and set.
+    It is never made up: without one, what one machine writes another can't see.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,11 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
-        made = tempfile.mkdtemp(prefix="loom-ckpt-")
-        atexit.register(shutil.rmtree, made, True)
-        found = "file://" + made
+        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
@@ -51,38 +47,60 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_TABLES: list[str] = []
+_SCOPES: list[list[str]] = [[]]
+
+
+@contextmanager
+def tables_of(mine: list[str]):
+    """Tables that :func:`written` makes inside go on this list, for :func:`release` to delete when their result is stored."""
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.remove(mine)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back; for larger tables, whose columns are read apart."""
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back; for larger tables, whose columns are read apart.
+
+    A result that reads the table needs it: outside :func:`tables_of` it stays as long as the session.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append(path)
+    _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that :func:`written` made so far; call it when results that read them are stored."""
+def release(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes these tables; call it when the results that read them are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bins of a histogram of frequencies, to each doubling.
+_BINS = 16
+
+
 def most_frequent(counts: DataFrame, freq: str, most: int, columns: list[str]):
-    """An Arrow table of the rows with the highest ``freq``: all those from a frequency on that together are ``most`` at most.
+    """An Arrow table of ``most`` rows at most: the highest frequencies, to a sixteenth of a doubling.
 
-    The driver sees a histogram of frequencies (cut at a million) and then no more than ``most`` rows.
+    The driver sees a histogram of the logarithms of frequencies (a thousand bins at most, whatever the data),
+    then the rows of the whole bins that fit and, of the next bin, a share by hash. Callers have
+    another way for all other rows, so that the choice changes no result.
     """
-    sizes = counts.groupBy(F.least(F.col(freq), F.lit(1_000_000)).alias("f")).agg(F.count("*").alias("n")).collect()
-    lowest, total = None, 0
+    place = F.floor(F.log2(F.col(freq).cast("double")) * _BINS).cast("int")
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 20))
+    sizes = counts.groupBy(place.alias("f")).agg(F.count("*").alias("n")).collect()
+    lowest, total, share = 1 << 20, 0, 0
     for f, n in sorted(((r.f, r.n) for r in sizes), reverse=True):
-        total += n
-        if total > most:
+        if total + n > most:
+            share = (most - total) * (1 << 20) // n
             break
-        lowest = f
-    return counts.where(F.lit(False) if lowest is None else F.col(freq) >= lowest).select(columns).toArrow()
+        lowest, total = f, total + n
+    chosen = counts.where((place >= lowest) | ((place == F.lit(f)) & (part < share))) if sizes else counts
+    return chosen.select(columns).limit(most).toArrow()
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -97,11 +115,121 @@ def slices(batches, size: int = SLICE):
             yield batch.slice(low, size)
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_S33 = np.uint64(33)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit reaches every output bit."""
+    h = (h ^ (h >> _S33)) * _MIX1
+    h = (h ^ (h >> _S33)) * _MIX2
+    return h ^ (h >> _S33)
+
+
+#: Bytes of text whose words are hashed at once; a longer text is cut at white space.
+CHUNK = 1 << 20
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random number for each byte, and the same with A-Z as a-z: a word's hash is a polynomial in them.
+_CASED = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_LOWER = _CASED.copy()
+_LOWER[65:91] = _CASED[97:123]
+_ROOT = 0xD1342543DE82EF95
+_POWERS = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
+
+
+def _powers(n: int, forward: bool) -> np.ndarray:
+    """The first n powers (modulo 2^64) of an odd number, or of its inverse; those of a chunk are kept."""
+    if len(_POWERS[forward]) < n:
+        root = _ROOT if forward else pow(_ROOT, -1, 1 << 64)
+        steps = np.full(max(n, CHUNK + 1), root, np.uint64)
+        steps[0] = 1
+        made = np.cumprod(steps)
+        if n > CHUNK + 1:
+            return made
+        _POWERS[forward] = made
+    return _POWERS[forward][:n]
+
+
+def binary_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary array and its n + 1 offsets in them, without a copy; nulls are empty."""
+    wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32, len(texts) + 1, texts.offset * (8 if wide else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    found = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return found, at
+
+
+class Words:
+    """The words of a chunk of texts: byte ``start`` and ``end`` in ``data``, the text's row as ``owner``, and a 64-bit ``hash``.
+
+    The chunk has ``rows`` texts from row ``first_row`` on; a long text comes in several chunks, of which only the last ``ends`` it.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first_row: int, lower: bool, ends: bool = True):
+        self.first_row, self.rows, self.ends = first_row, len(offsets) - 1, ends
+        space, n = SPACE[data], len(data)
+        first, last = np.ones(n, bool), np.ones(n, bool)
+        first[1:], last[:-1] = space[:-1], space[1:]
+        inner = offsets[1:-1]
+        inner = inner[(inner > 0) & (inner < n)]
+        first[inner] = True
+        last[inner - 1] = True
+        self.data = data
+        self.start, self.end = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
+        self.owner = np.searchsorted(offsets, self.start, "right") - 1 + first_row
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_LOWER if lower else _CASED)[data] * _powers(n, True), out=total[1:])
+        h = (total[self.end] - total[self.start]) * _powers(n, False)[self.start] if n else np.zeros(0, np.uint64)
+        self.hash = mixed(h + (self.end - self.start).astype(np.uint64) * _STEP)
+
+    def word(self, at: int) -> bytes:
+        return self.data[self.start[at] : self.end[at]].tobytes()
+
+
+def _cut(data: np.ndarray, low: int, high: int, most: int) -> int:
+    """Where to cut a long text: after the last white space of its next ``most`` bytes, or after the first beyond."""
+    cut = min(low + most, high)
+    if cut < high and len(spaces := np.flatnonzero(SPACE[data[low:cut]])):
+        return low + int(spaces[-1]) + 1
+    while cut < high:
+        if len(spaces := np.flatnonzero(SPACE[data[cut : min(cut + most, high)]])):
+            return cut + int(spaces[0]) + 1
+        cut = min(cut + most, high)
+    return high
+
+
+def word_chunks(texts: pa.Array, lower: bool = True, most: int = CHUNK):
+    """The words of all texts in order, in chunks of up to ``most`` bytes."""
+    data, offsets = binary_parts(texts)
+    row, n = 0, len(texts)
+    while row < n:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        low, high = int(offsets[row]), int(offsets[end])
+        if high - low <= most:
+            yield Words(data[low:high], offsets[row : end + 1] - low, row, lower)
+        else:  # one long text
+            while low < high:
+                cut = _cut(data, low, high, most)
+                yield Words(data[low:cut], np.array([0, cut - low]), row, lower, cut == high)
+                low = cut
+        row = end
+
+
+def hashed_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text)."""
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for words in word_chunks(texts, lower):
+        hashes.append(words.hash)
+        counts += np.bincount(words.owner, minlength=len(texts))
+    return np.concatenate(hashes), counts
+
+
 class WordHashes(dict):
-    """word -> 64-bit hash, remembering short words up to a fixed number."""
+    """word -> its hash, as :class:`Words` has it for lower-cased words; remembers short words up to a fixed number."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = int(Words(np.frombuffer(word, np.uint8), np.array([0, len(word)]), 0, False).hash[0])
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -109,55 +237,62 @@ class WordHashes(dict):
         return value
 
 
-class HashedTable(dict):
-    """word -> a number of a table that is kept as sorted 64-bit hashes, -1 for words outside; remembers short words."""
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, a place of each, how often, each value's number among them)."""
+    order = np.argsort(values)
+    there = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = there[1:] != there[:-1]
+    starts = np.flatnonzero(first)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return there[starts], order[starts], np.diff(np.append(starts, len(values))), number
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        super().__init__()
-        order = np.argsort(hashes)
-        self.hashes, self.values, self.long = hashes[order], values[order], {}
 
-    def prepare(self, words) -> None:
-        """Looks up the words that aren't remembered, all at once."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            found = np.where(self.hashes[at] == h, self.values[at], -1).tolist()
-        else:
-            found = [-1] * len(new)
-        self.long = {}
-        for w, v in zip(new, found, strict=True):
-            (self if len(w) <= CACHE_LENGTH else self.long)[w] = v
-
-    def __missing__(self, word: bytes) -> int:
-        return self.long[word]
+class Runs:
+    """word -> a run of numbers, kept in flat arrays and found by the word's hash; starts anew beyond a fixed size.
 
+    ``make(words)`` gives the runs of words that aren't there, as lists.
+    """
 
-def signed_hash(word: bytes) -> int:
-    """The 64-bit hash as a signed number, as a bigint column has it."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    def __init__(self, make, kind, words: int = CACHE_WORDS, numbers: int = 1 << 22):
+        self.make, self.kind, self.most_words, self.most_numbers = make, kind, words, numbers
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[int, int] = {}
+        self.start, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def places(self, words: Words) -> np.ndarray:
+        """Each word's place in ``start`` and ``length``."""
+        hashes, at, _, number = grouped(words.hash)
+        keys = hashes.tolist()
+        found = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(found < 0)
+        if len(new) and (len(self.index) + len(new) > self.most_words or len(self.pool) > self.most_numbers):
+            self.clear()
+            new = np.arange(len(keys))
+        if len(new):
+            made = self.make([words.word(i) for i in at[new].tolist()])
+            length = np.fromiter(map(len, made), np.int64, len(made))
+            found[new] = np.arange(len(self.start), len(self.start) + len(new))
+            self.index.update(zip(hashes[new].tolist(), found[new].tolist(), strict=True))
+            self.start = np.append(self.start, len(self.pool) + np.cumsum(length) - length)
+            self.length = np.append(self.length, length)
+            self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(made), self.kind, int(length.sum())))
+        return found[number]
+
+    def numbers(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs at these places end to end, and their lengths."""
+        length = self.length[places]
+        at = np.repeat(self.start[places] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        return self.pool[at], length
 
 
 def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_S33 = np.uint64(33)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit reaches every output bit."""
-    h = (h ^ (h >> _S33)) * _MIX1
-    h = (h ^ (h >> _S33)) * _MIX2
-    return h ^ (h >> _S33)
-
-
 def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of ``k`` words in order; with fewer words, of the whole sequence; none without words."""
     n = len(ids)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, HashedTable, WordHashes, fold_of, mixed, most_frequent, signed, slices, word_hashes, written
+from ._common import _STEP, CACHE_LENGTH, CACHE_WORDS, WordHashes, fold_of, mixed, most_frequent, signed, slices, word_hashes, written
 from .ngram_jaccard import FILTER_BITS, _is_set, bitmap
 
 FOLDS, HELD_OUT = 5, 1
@@ -54,8 +54,38 @@ FLUSH_TOKENS = 2_000_000
 _WEIGHT = np.uint64(0xD6E8FEB86659FD93)
 
 
+_HASHES = WordHashes()
+
+
 def token_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return _HASHES[word]
+
+
+class HashedTable(dict):
+    """word -> a number of a table that is kept as sorted 64-bit hashes, -1 for words outside; remembers short words."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        super().__init__()
+        order = np.argsort(hashes)
+        self.hashes, self.values, self.long = hashes[order], values[order], {}
+
+    def prepare(self, words) -> None:
+        """Looks up the words that aren't remembered, all at once."""
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        new = [w for w in words if w not in self]
+        h = np.fromiter(map(token_hash, new), np.uint64, len(new))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            found = np.where(self.hashes[at] == h, self.values[at], -1).tolist()
+        else:
+            found = [-1] * len(new)
+        self.long = {}
+        for w, v in zip(new, found, strict=True):
+            (self if len(w) <= CACHE_LENGTH else self.long)[w] = v
+
+    def __missing__(self, word: bytes) -> int:
+        return self.long[word]
 
 
 def unigrams(texts: DataFrame) -> DataFrame:

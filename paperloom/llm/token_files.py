@@ -13,11 +13,12 @@ Format, for each part of a set in the shared folder:
 Documents are range-partitioned and sorted by id, so the parts in order are the corpus in order. A
 task writes under a name of its own attempt and renames when done: an attempt that is repeated after
 a lost executor replaces its part by the same bytes, and an unfinished one leaves no part. Texts are
-encoded a word at a time through a bounded dictionary (the tokenizer drops white space and never
-joins across it); nothing but the open batch is held in memory.
+encoded by way of their words: a worker keeps the ids of the words it has met in flat arrays of bounded size
+and a slice of texts is one gather from them; nothing but the open slice is held in memory.
 
-Null text: as empty, only the end id. Null doc_id: first in order. Repeated rows: each is written.
-Empty table: no parts. Extra columns: ignored.
+Null text: as empty, only the end id. Null doc_id: first in order; negative ones before others. Repeated ids:
+in order of their texts' bytes; repeated rows: each is written. Very long texts: written in chunks. Empty
+table: no parts. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -33,45 +34,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import CACHE_LENGTH, shared_dir, slices
-from .token_counts import load
+from ._common import Runs, shared_dir, slices, word_chunks
+from .pre_tokens import PreTokens, load
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 PART_SCHEMA = "part int, n_docs long, n_tokens long"
 
 
-#: Words whose ids a worker remembers, some 200 MB; it starts anew beyond.
-CACHE_WORDS = 1 << 20
+#: Words and ids that a worker remembers, some 200 MB; it starts anew beyond.
+CACHE_WORDS, CACHE_IDS = 1 << 20, 1 << 23
 _WORD_IDS: dict = {}
 
 
-def word_ids(tokenizer_file: str, kind: str) -> WordIds:
-    """The worker's own dictionary, kept from task to task."""
+def word_ids(tokenizer_file: str, kind: str) -> Runs:
+    """word -> its ids, through the library once while remembered; the worker's own, kept from task to task."""
     if (tokenizer_file, kind) not in _WORD_IDS:
-        _WORD_IDS[tokenizer_file, kind] = WordIds(load(tokenizer_file), kind)
-    return _WORD_IDS[tokenizer_file, kind]
+        pre = PreTokens(tokenizer_file)
 
+        def make(words: list[bytes]) -> list[list[int]]:
+            split = [pre.split(w) for w in words]
+            known = {p: pre.ids(p) for p in {p for s in split if s for p in s}}
+            return [pre.whole(w) if s is None else known[s[0]] if len(s) == 1 else [i for p in s for i in known[p]] for w, s in zip(words, split, strict=True)]
 
-class WordIds(dict):
-    """word -> its ids as packed bytes, through the library once while remembered."""
+        _WORD_IDS[tokenizer_file, kind] = Runs(make, kind, CACHE_WORDS, CACHE_IDS)
+    return _WORD_IDS[tokenizer_file, kind]
 
-    def __init__(self, tokenizer, kind: str):
-        super().__init__()
-        self.tokenizer, self.kind = tokenizer, kind
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self]
-        extra: dict = {}
-        if new:
-            if len(self) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                (self if len(word) <= CACHE_LENGTH else extra)[word] = np.array(found.ids, self.kind).tobytes()
-        if extra:
-            return b"".join([self[w] if w in self else extra[w] for w in words])
-        return b"".join(map(self.__getitem__, words))
+def encoded(texts: pa.Array, runs: Runs, end_id: int):
+    """(ids, ends): the ids of all texts in order, each with the end id, in parts; and the places in the part where texts end."""
+    for words in word_chunks(texts, lower=False):
+        ids, length = runs.numbers(runs.places(words))
+        if not words.ends:
+            yield ids, np.zeros(0, np.int64)
+            continue
+        sizes = np.bincount(words.owner - words.first_row, length, words.rows).astype(np.int64)
+        ends = np.cumsum(sizes)
+        yield np.insert(ids, ends, end_id), ends + np.arange(1, words.rows + 1)
 
 
 def local_path(uri: str) -> str:
@@ -88,27 +86,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
     folder = local_path(folder)
     os.makedirs(folder, exist_ok=True)
     kind = "<u2" if load(tokenizer_file).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    width = int(kind[-1])
 
     def run(batches):
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         names = {k: f"{folder}/.part-{part:05d}.{attempt}.{k}" for k in ("bin", "idx", "ids", "nul")}
         files = {k: open(v, "wb") for k, v in names.items()}
-        cache, end = word_ids(tokenizer_file, kind), np.array([end_id], kind).tobytes()
-        at = docs_here = 0
+        runs, at, docs_here = word_ids(tokenizer_file, kind), 0, 0
         files["idx"].write(np.zeros(1, "<u8").tobytes())
         for batch in slices(batches):
-            offsets = []
-            for text in batch.column(1).to_pylist():
-                data = cache.encode(text or b"") + end
-                files["bin"].write(data)
-                at += len(data) // width
-                offsets.append(at)
-            docs_here += len(offsets)
+            for found, ends in encoded(batch.column(1), runs, end_id):
+                files["bin"].write(found.data)
+                files["idx"].write((at + ends).astype("<u8").tobytes())
+                at += len(found)
             ids = batch.column(0)
-            files["idx"].write(np.array(offsets, "<u8").tobytes())
-            files["ids"].write(np.array([x or 0 for x in ids.to_pylist()], "<i8").tobytes())
-            files["nul"].write(np.array(ids.is_null().to_pylist(), "u1").tobytes())
+            docs_here += len(ids)
+            files["ids"].write(ids.fill_null(0).to_numpy().astype("<i8").tobytes())
+            files["nul"].write(ids.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes())
         for k, f in files.items():
             f.close()
             if docs_here:
@@ -119,7 +112,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs_here], pa.int64()), pa.array([at], pa.int64())], ["part", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # by the start of the text too: one id may have many rows
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     parts, base = [], 0
     for r in sorted(ordered.mapInArrow(run, PART_SCHEMA).collect()):  # one row for each part
         parts.append({"part": r.part, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "base": base})
