@@ -8,26 +8,31 @@ Only the entries that can matter are ever multiplied:
 2. *Blocks by column.* Within a row the n-grams are ordered from rare to frequent. Two rows of n and m
    n-grams that link share at least ceil(90 (n + m) / 190) of them, so they share s = ``SHARED`` + n / ``EACH``
    (of the smaller n) among the first n - ceil(0.9 n) + s of either: only this prefix is dealt out, by n-gram, and one n-gram's rows are
-   a block. A passage that many documents share is frequent, comes last in their order and stays out.
-3. *Size-derived bounds.* A pair is discarded unless 0.9 n <= m <= n / 0.9 and the n-grams left after
-   the first shared one in both orders still reach the overlap that a link needs.
-4. Overlap counts are accumulated exactly, over the whole sets, for each pair that is left.
-
-A block of b rows isn't multiplied out at once. Its *pivot*, the row with the fewest rare n-grams of its own
-(the text that the others were made from, where there is one: the same row in all of a group's blocks), is
-tried against the others; rows linked to the pivot are in one component and need no product among
-themselves. Only blocks whose rows are still in different components go on: the small ones as pairs, the
-large ones, gathered by pivot into *cells*, as products of two slabs of ``SLAB`` rows at most, each in a
-task of its own that returns no more links than it has rows. No link between components is lost: every
-pair that is passed over is out of bounds or already in one component.
-
-The order needs frequencies, but any order that all rows agree on gives the same result: each task
-counts n-grams over its own documents, counts of ``LOCAL`` or more are summed over all tasks, and the
+   a block. A passage that many documents share is frequent, comes last in their order and stays out. A row
+   takes part only if enough of its prefix is in any other's.
+3. *Size-derived bounds.* A pair is discarded unless 0.9 n <= m <= n / 0.9; unless each has room for the other,
+   as a row that has u n-grams before a shared one that stand in no other's prefix shares n - u at most; unless the n-grams left after the first
+   shared one in both orders still reach the overlap that a link needs; and unless it shares s n-grams.
+4. A pair that is left is held against a sketch of one parity bit for about each n-gram, from which the
+   symmetric difference is so many at least; no link is lost by it and nearly all other pairs are.
+5. Overlap counts are accumulated exactly, over the whole sets, for each pair that still stands.
+
+A block of b rows isn't multiplied out at once. Its *pivot*, the row with the fewest n-grams of its own (the text that
+the others were made from, where there is one: the same row in all of a group's blocks), is multiplied with the
+others; rows linked to the pivot are in one component and need no product among themselves. Only blocks whose
+rows are still in different components go on, gathered by pivot into *cells*: those of up to ``SMALL`` rows as pairs, larger ones
+as products of two slabs of ``SLAB`` rows at most, of sketches first; whole sets go only to slabs, and only of rows, that have a
+pair left. A task returns no more links than it has rows. No link between components is lost: every pair that is passed
+over is out of bounds or already in one component.
+
+The order needs frequencies, but any order that all rows agree on gives the same result: each Arrow batch of
+documents is counted by itself, counts of ``LOCAL`` or more are summed over all batches, and the
 ``HEAVY`` most frequent (a table of 16 MB) are sent to the executors; all others rank by their hash.
 
-Null text, or no words: an empty set, linked with nothing; the component is the document's own id.
-Rows with a null id take part and name no component unless all ids of it are null. Repeated rows: a row
-each. Extra columns: ignored by :func:`jaccard_components`, kept by :func:`one_of_each_group`.
+Null text, or no words: an empty set, linked with nothing; the component is the document's own id. Rows with a null id take
+part and name no component unless all ids of it are null. Repeated rows, and ids that stand on several texts: a row each, linked by their own text. Very long
+texts: one set each, in the memory of a task. Ties: the lowest id names a component. Empty table: no rows.
+Extra columns: ignored by :func:`jaccard_components`, kept by :func:`one_of_each_group`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,28 +43,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, checkpointed, components, shingle_hashes, signed, slices, word_hashes, written
+from ._common import checkpointed, components, hashed_words, most_frequent, shingle_hashes, signed, slices, written
 
 WORDS, PERCENT = 3, 90
-#: An n-gram's count in a task is passed on from here; at most so many n-grams rank by count.
+#: An n-gram's count in a batch is passed on from here; at most so many n-grams rank by count.
 LOCAL, HEAVY = 4, 1 << 20
 #: Prefixes are as long as it takes for linked rows to share so many n-grams in them, and one more for each so many of their size.
 SHARED, EACH = 3, 20
-#: Blocks of up to so many rows are paired; the rows of larger ones are multiplied in slabs of so many.
+#: Cells of up to so many rows are paired; the rows of larger ones are multiplied in slabs of so many.
 SMALL, SLAB = 8, 1024
 #: Bits of the filters that say which n-grams and documents are wanted: 8 MB. They only spare work.
 FILTER_BITS = 1 << 26
-
-
-def shingle_set(text: bytes | None, cache: WordHashes, k: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(word_hashes((text or b"").lower().split(), cache), k))
+#: Bits of a sketch: a power of two from this one on, up to this one.
+SKETCH_BITS, SKETCH_MOST = 64, 1 << 16
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, counts = hashed_words(texts)
+    out, at = [], 0
+    for n in counts.tolist():
+        s = shingle_hashes(hashes[at : at + n], k)
+        at += n
+        s.sort()
+        if len(s) > 1:
+            first = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=first[1:])
+            s = s[first]
+        out.append(s)
+    return out
 
 
 def digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bit for each of about as many places as there are shingles: whether an odd number of them falls there."""
+    bits = SKETCH_BITS
+    while bits < len(shingles) and bits < SKETCH_MOST:
+        bits *= 2
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Links between different sets need ten n-grams or more (at 90 %), so their overlap is over SHARED."""
     return min(n, n - -(-percent * n // 100) + SHARED + n // EACH)
@@ -69,39 +95,55 @@ def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEA
     """(hashes sorted, counts) of the most frequent n-grams."""
 
     def run(batches):
-        cache = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, cache, k) for part in slices([batch]) for t in part.column(0).to_pylist()]
+            sets = [s for part in slices([batch]) for s in shingle_sets(part.column(0), k)]
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[n >= local])), pa.array(n[n >= local].astype(np.int64))], ["h", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(heavy).toArrow()
+    counts = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    top = most_frequent(counts, "n", heavy, ["h", "n"])
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(digest, sets)), "<i8").reshape(-1, 2)
+
+
 def matrix_rows(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
-    """(doc_id, set_id, n, prefix): each document's class and the rare end of its n-grams."""
+    """(doc_id, d1, d2, n, prefix, sketch) of documents with words: the class, and the rare end of its n-grams.
+
+    A copy of what the task has seen before comes without prefix and sketch.
+    """
 
     def run(batches):
-        (hot, counts), cache = heavy.value, WordHashes()
+        (hot, counts), seen = heavy.value, set()
         for batch in slices(batches):
-            ids, sizes, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, cache, k)
-                n = len(s)
-                ids.append(digest(s))
-                sizes.append(n)
-                if n and len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    s = s[np.lexsort((s, np.where(hot[at] == s, counts[at], 0)))]
-                prefixes.append(signed(s[: prefix_length(n, percent)]) if n else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "set_id", "n", "prefix"])
-
-    return docs.mapInArrow(run, "doc_id long, set_id binary, n long, prefix array<long>")
+            sets = shingle_sets(batch.column(1), k)
+            d = _digests(sets)
+            at = [i for i, s in enumerate(sets) if len(s)]
+            prefixes, sketches = [], []
+            for i in at:
+                s, name = sets[i], (int(d[i, 0]), int(d[i, 1]))
+                if name in seen:
+                    prefixes.append(None)
+                    sketches.append(None)
+                    continue
+                if len(seen) >= 1 << 18:
+                    seen.clear()
+                seen.add(name)
+                sketches.append(sketch(s))
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    often = np.where(hot[place] == s, counts[place], 0)
+                    s = s[np.argsort(often, kind="stable")]
+                prefixes.append(signed(s[: prefix_length(len(s), percent)]))
+            sizes = [len(sets[i]) for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(d[at, 0]), pa.array(d[at, 1]), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "d1", "d2", "n", "prefix", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n long, prefix array<long>, sketch binary")
 
 
 def bitmap(places: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -116,10 +158,11 @@ def _is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
 
 
-def block_entries(classes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(gram, set_id, n, pos, lead): the prefixes' entries, without most n-grams that only one class has.
+def block_entries(classes: DataFrame, percent: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(gram, cid, n, pos, own, top): the prefixes' entries, of classes that may link, without most n-grams that only one class has.
 
-    ``lead`` is how many rare n-grams of its own a class has before the first that is shared.
+    ``own``: n-grams of the prefix that no other class has there. ``top``: the size that a linked class can have that also has this
+    n-gram in its prefix, as it has none of the ``own`` ones before it.
     """
     spark = classes.sparkSession
     shared = classes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -128,49 +171,117 @@ def block_entries(classes: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     def run(batches):
         wanted = sent.value
         for batch in batches:
-            grams = batch.column(2)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(grams.offsets.to_numpy()))
-            gram = grams.flatten().to_numpy()
-            pos = np.arange(len(gram)) - (grams.offsets.to_numpy() - grams.offsets[0].as_py())[owner]
+            rows, grams = batch.num_rows, batch.column(2)
+            offsets = grams.offsets.to_numpy().astype(np.int64)
+            size = np.diff(offsets)
+            owner, gram = np.repeat(np.arange(rows), size), grams.flatten().to_numpy()
+            pos = np.arange(len(gram)) - (offsets[:-1] - offsets[0])[owner]
             keep = _is_set(wanted, gram & (bits - 1))
-            owner, pos = owner[keep], pos[keep].astype(np.int64)
-            lead = np.full(batch.num_rows, 1 << 31)
-            np.minimum.at(lead, owner, pos)
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), pa.array(lead[owner])], ["gram", "set_id", "n", "pos", "lead"])
+            n = batch.column(1).to_numpy()
+            least = -(-percent * n // 100)
+            have = np.bincount(owner[keep], minlength=rows)
+            own = size - have
+            # of the n-grams before this one, those that no other has there are in no set that has this one in its prefix
+            before = np.cumsum(keep) - keep
+            apart = pos - (before - before[offsets[:-1][owner] - offsets[0]])
+            top = ((100 + percent) * (n[owner] - apart) - percent * n[owner]) // percent
+            keep &= (have >= SHARED + least // EACH)[owner] & (top >= least[owner])
+            at = owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), batch.column(0).take(pa.array(at)), *(pa.array(x.astype(np.int64)) for x in (n[at], pos[keep], own[at], top[keep]))], ["gram", "cid", "n", "pos", "own", "top"])
+
+    return classes.select("cid", "n", "prefix").mapInArrow(run, "gram long, cid long, n long, pos long, own long, top long")
+
+
+def sketch_holds(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """False only if the sets' symmetric difference is larger than a link allows."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def sketched(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), with the digests of both, that their sketches don't discard."""
+    one = classes.select("cid", "d1", "d2", "n", "sketch")
+    both = pairs.join(one.toDF("a", "a1", "a2", "an", "as"), "a").join(one.toDF("b", "b1", "b2", "bn", "bs"), "b").select("a", "a1", "a2", "b", "b1", "b2", "an", "bn", "as", "bs")
 
-    return classes.select("set_id", "n", "prefix").mapInArrow(run, "gram long, set_id binary, n long, pos long, lead long")
+    def run(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(6, 10))
+            yield batch.filter(pa.array([sketch_holds(p, q, i, j, percent) for p, q, i, j in zip(x, y, n, m, strict=True)], pa.bool_())).select(range(6))
+
+    return both.mapInArrow(run, "a long, a1 long, a2 long, b long, b1 long, b2 long")
 
 
-def wanted_sets(docs: DataFrame, rows: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(set_id, shingles) of at least the classes in ``ids``, read again from one document of each.
+def wanted_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(d1, d2, shingles) of at least the classes in ``ids`` (d1, d2, low), read again from the document with the lowest id of each.
 
-    The documents are found by a bitmap over their ids.
+    The documents are found by a bitmap over ids and digests.
     """
-    members = rows.join(ids, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(members.select(place.alias("place")), bits))
 
-    def run(batches):
-        wanted, cache = sent.value, WordHashes()
+    def place(doc_id, d1, d2):
+        return F.pmod(F.xxhash64(doc_id, d1, d2), F.lit(bits)).alias("place")
+
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(place("low", "d1", "d2")), bits))
+    # documents of which no class is wanted aren't split into words
+    by_id = bitmap(ids.select(F.pmod(F.xxhash64("low"), F.lit(bits)).alias("place")), bits)
+    sent_ids = docs.sparkSession.sparkContext.broadcast(by_id)
+
+    def sets(batches):
+        wanted, seen = sent_ids.value, set()
         for batch in slices(batches):
-            texts = batch.column(1).filter(pa.array(_is_set(wanted, batch.column(0).to_numpy())))
-            sets = [s for t in texts.to_pylist() if len(s := shingle_set(t, cache, k))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], ["set_id", "shingles"])
+            texts = batch.filter(pa.array(_is_set(wanted, batch.column(2).to_numpy())))
+            found = [(i, s) for i, s in enumerate(shingle_sets(texts.column(1), k)) if len(s)]
+            names = [digest(s) for _, s in found]
+            new = [j for j, name in enumerate(names) if name not in seen]
+            if len(seen) >= 1 << 18:
+                seen.clear()
+            seen.update(names)
+            d = np.frombuffer(b"".join(names[j] for j in new), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([texts.column(0).take(pa.array([found[j][0] for j in new], pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([signed(found[j][1]) for j in new], pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "shingles"])
+
+    read = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).mapInArrow(sets, "doc_id long, d1 long, d2 long, shingles array<long>")
 
-    return docs.select(place.alias("place"), "text").mapInArrow(run, "set_id binary, shingles array<long>")
+    def run(batches):
+        wanted = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array(_is_set(wanted, batch.column(4).to_numpy()))).select(range(1, 4))
 
+    return read.select("doc_id", "d1", "d2", "shingles", place("doc_id", "d1", "d2")).mapInArrow(run, "d1 long, d2 long, shingles array<long>")
 
-def linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose exact overlap makes a link. ``pairs`` is stored."""
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    sets = wanted_sets(docs, rows, ids, k)
-    first = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = first.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    held = written(sketched(classes, pairs, percent))
+    ids = classes.select("cid", "d1", "d2", "low").join(held.select(F.col("a").alias("cid")).union(held.select(F.col("b").alias("cid"))).distinct(), "cid", "left_semi")
+    sets = wanted_sets(docs, ids, k)
+    first = held.join(sets.toDF("a1", "a2", "sa"), ["a1", "a2"]).select("a", "b", "b1", "b2", "sa")
+    both = first.join(sets.toDF("b1", "b2", "sb"), ["b1", "b2"])
     shared = F.size(F.array_intersect("sa", "sb"))
     return checkpointed(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct())
 
 
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The edges (x, y) between n nodes that join what the edges before them don't."""
+    root = list(range(n))
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            out.append((i, j))
+    return out
+
+
 def product_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links between rows of a left and a right slab, no more than join them: a spanning forest.
 
@@ -194,99 +305,169 @@ def product_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
         b[at_right[o][at_right[o] >= 0], c[at_right[o] >= 0]] = 1
         shared += a @ b.T
     x, y = np.nonzero(100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared))
-    root = list(range(len(sets)))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    out = []
-    for i, j in zip(left[x].tolist(), right[y].tolist(), strict=True):
-        a, b = find(i), find(j)
-        if a != b:
-            root[a] = b
-            out.append((i, j))
-    return out
-
-
-def cell_links(docs: DataFrame, rows: DataFrame, members: DataFrame, k: int, percent: int, slab: int = SLAB) -> DataFrame:
-    """(a, b): links that join the linked rows of each cell. ``members``: (cell, set_id), stored."""
+    return forest(left[x], right[y], len(sets))
+
+
+def open_rows(sketches: list[bytes], n: np.ndarray, root: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the rows that have a pair between the slabs, of different roots, that bounds and sketches don't discard."""
+    length = np.array([len(s) for s in sketches])
+    keep = np.zeros(len(sketches), bool)
+    for size in np.unique(length[left]).tolist():  # linked rows' sketches are of one length, or one twice the other
+        for other in (size // 2, size, size * 2):
+            i, j = left[length[left] == size], right[length[right] == other]
+            if not len(i) or not len(j):
+                continue
+            width = min(size, other)
+            fold = lambda x: (np.bitwise_xor(x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]) if x.shape[1] > width else x).view(np.uint64)
+            a, b = (fold(np.frombuffer(b"".join(sketches[r] for r in rows.tolist()), np.uint8).reshape(len(rows), -1)) for rows in (i, j))
+            for at in range(len(i)):
+                r, m = i[at], n[j]
+                good = (root[j] != root[r]) & (100 * m >= percent * n[r]) & (100 * n[r] >= percent * m)
+                some = np.flatnonzero(good)
+                if len(some):
+                    apart = np.bitwise_count(b[some] ^ a[at]).sum(1, dtype=np.int64)
+                    some = some[apart * (100 + percent) <= (100 - percent) * (n[r] + m[some])]
+                    keep[j[some]] = True
+                    keep[r] |= len(some) > 0
+    return np.flatnonzero(keep)
+
+
+def cell_links(docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int, slab: int = SLAB) -> DataFrame:
+    """(a, b): links that join the linked rows of each cell. ``members``: (cell, cid, root), stored."""
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / slab).cast("int").alias("slabs"))
-    placed = members.join(sizes, "cell").withColumn("slab", F.pmod(F.xxhash64("set_id"), F.col("slabs")).cast("int"))
+    placed = members.join(sizes, "cell").withColumn("slab", F.pmod(F.xxhash64("cid"), F.col("slabs")).cast("int"))
+    placed = placed.join(classes.select("cid", "d1", "d2", "n", "sketch", "low"), "cid")
     # a row goes to each pair of slabs that has its own
     pairs = F.transform(F.sequence(F.lit(0), F.col("slabs") - 1), lambda o: F.struct(F.least(o, F.col("slab")).alias("i"), F.greatest(o, F.col("slab")).alias("j")))
-    dealt = placed.select("cell", "set_id", "slab", F.explode(pairs).alias("p")).select("cell", "set_id", "slab", "p.i", "p.j")
-    sets = wanted_sets(docs, rows, members.select("set_id").distinct(), k)
+    dealt = placed.select("cell", "cid", "root", "slab", "d1", "d2", "n", "sketch", "low", F.explode(pairs).alias("p")).select("cell", "p.i", "p.j", "slab", "cid", "root", "d1", "d2", "n", "sketch", "low")
+
+    def open_(table: pa.Table) -> pa.Table:
+        slabs, n, root = (table.column(c).to_numpy() for c in ("slab", "n", "root"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        at = open_rows(table.column("sketch").to_pylist(), n, root, np.flatnonzero(slabs == i), np.flatnonzero(slabs == j), percent)
+        return table.select(["cell", "i", "j", "slab", "cid", "d1", "d2", "low"]).take(pa.array(at, pa.int64()))
+
+    left = written(dealt.groupBy("cell", "i", "j").applyInArrow(open_, "cell long, i int, j int, slab int, cid long, d1 long, d2 long, low long"))
+    sets = wanted_sets(docs, left.select("d1", "d2", "low").distinct(), k)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, slabs = table.column("set_id").to_pylist(), table.column("slab").to_numpy()
+        ids, slabs = table.column("cid").to_pylist(), table.column("slab").to_numpy()
         at = list({x: n for n, x in enumerate(ids)}.values())  # a set may have been read from two documents
         ids, slabs = [ids[i] for i in at], slabs[at]
         sets = [np.asarray(table.column("shingles")[int(i)].values.to_numpy()) for i in at]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         found = product_links(sets, np.flatnonzero(slabs == i), np.flatnonzero(slabs == j), percent)
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.binary()), "b": pa.array([ids[y] for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
-    return checkpointed(dealt.join(sets, "set_id").groupBy("cell", "i", "j").applyInArrow(run, "a binary, b binary"))
+    return checkpointed(left.join(sets, ["d1", "d2"]).groupBy("cell", "i", "j").applyInArrow(run, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
-    if percent < 75:
-        raise ValueError("below 75 % two different sets may link by fewer n-grams than SHARED")
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    order = spark.sparkContext.broadcast(heavy_shingles(docs, k, heavy=heavy))
-    rows = written(matrix_rows(docs, k, percent, order))
-    # one row of the matrix for each distinct set; copies fold on the map side
-    classes = written(rows.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    rows = rows.drop("prefix")
-
-    entries = block_entries(classes)
-    pivots = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("lead", "set_id", "n", "pos")).alias("pivot")).where("rows > 1").drop("rows")
-    blocks = written(entries.join(pivots, "gram"))
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows (x_ and y_) of one block each that share enough n-grams and are in bounds. A product's accumulated counts."""
+    p, both = percent, 100 + percent
+    # at the first n-gram that two rows share, what is left of both orders holds their whole overlap
+    good = f"least(x_n - x_pos, y_n - y_pos) * {both} >= {p} * (x_n + y_n)"
+    inside = f"x_cid != y_cid and 100 * x_n >= {p} * y_n and 100 * y_n >= {p} * x_n"
+    named = entries.where(inside).groupBy(F.least("x_cid", "y_cid").alias("a"), F.greatest("x_cid", "y_cid").alias("b"))
+    counted = named.agg(F.count("*").alias("shared"), F.max(F.expr("least(x_n, y_n)")).alias("smaller"), F.max(F.expr(good)).alias("good"), F.min(F.expr("x_n <= y_top and y_n <= x_top")).alias("room"))
+    return counted.where(f"good and room and shared >= {SHARED} + smaller div {EACH}").select("a", "b")
 
-    def in_bounds(n, i, m, j):
-        # at the first n-gram that two rows share, what is left of both orders holds their whole overlap
-        return f"100 * {n} >= {percent} * {m} and 100 * {m} >= {percent} * {n} and least({n} - {i}, {m} - {j}) * {100 + percent} >= {percent} * ({n} + {m})"
 
-    tries = blocks.where("set_id != pivot.set_id").groupBy(F.least("set_id", "pivot.set_id").alias("a"), F.greatest("set_id", "pivot.set_id").alias("b"))
-    tries = written(tries.agg((F.count("*") - F.expr(f"max(least(n, pivot.n)) div {EACH}")).alias("shared"), F.max(F.expr(in_bounds("n", "pos", "pivot.n", "pivot.pos"))).alias("good")).where(f"good and shared >= {SHARED}").select("a", "b"))
-    roots = components(linked(docs, rows, tries, k, percent))
+def labelled_classes(docs: DataFrame, k: int, percent: int, heavy: int) -> DataFrame:
+    """(d1, d2, root, low): the component of each class of documents (doc_id, text), and the lowest id of the class."""
+    if percent < 75:
+        raise ValueError("below 75 % two different sets may link by fewer n-grams than SHARED")
+    order = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, k, heavy=heavy))
+    one = matrix_rows(docs, k, percent, order).groupBy("d1", "d2")
+    one = one.agg(F.first("n").alias("n"), F.first("prefix", True).alias("prefix"), F.first("sketch", True).alias("sketch"), F.min("doc_id").alias("low"))
+    classes = written(one.withColumn("cid", F.monotonically_increasing_id()))
+
+    entries = written(block_entries(classes, percent))
+    pivots = entries.groupBy("gram").agg(F.count("*").alias("rows"), F.min(F.struct("own", "cid", "n", "pos", "top")).alias("p")).where("rows > 1")
+    pivots = written(pivots.select("gram", F.col("p.cid").alias("y_cid"), F.col("p.n").alias("y_n"), F.col("p.pos").alias("y_pos"), F.col("p.top").alias("y_top")))
+    x = entries.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "top")))
+    tries = written(_pairs(x.join(pivots, "gram"), percent))
+    roots = components(linked(docs, classes, tries, k, percent))
 
     # blocks whose rows are still in different components
-    named = blocks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("gram", "members")
+    named = entries.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("gram")
+    left = named.join(split.join(pivots.select("gram", F.col("y_cid").alias("cell")), "gram"), "gram")
     # a row with fewer n-grams in such blocks than any link of it would share has none
-    able = named.join(split, "gram").groupBy("set_id").agg(F.count("*").alias("all"), F.first("n").alias("m")).where(f"all >= {SHARED} + ({percent} * m div 100) div {EACH}").select("set_id")
-    left = written(named.join(split, "gram").join(able, "set_id").select("gram", "set_id", "n", "pos", "root", "members", F.col("pivot.set_id").alias("cell")))
-    small = left.where(f"members <= {SMALL}")
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.set_id < y.set_id and x.root != y.root")
-    pairs = pairs.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg((F.count("*") - F.expr(f"max(least(x.n, y.n)) div {EACH}")).alias("shared"), F.max(F.expr(in_bounds("x.n", "x.pos", "y.n", "y.pos"))).alias("good"))
-    pairs = written(pairs.where(f"good and shared >= {SHARED}").select("a", "b").join(tries, ["a", "b"], "left_anti"))
-    # a pair that also shares a large block is in its cell
-    cells = written(left.where(f"members > {SMALL}").select("cell", "set_id").distinct())
-    more = linked(docs, rows, pairs, k, percent).union(cell_links(docs, rows, cells, k, percent))
+    able = left.groupBy("cid").agg(F.count("*").alias("have"), F.first("n").alias("m")).where(f"have >= {SHARED} + ({percent} * m div 100) div {EACH}").select("cid")
+    left = written(left.join(able, "cid").select("cell", "gram", "cid", "n", "pos", "top", "root"))
+    cells = written(left.select("cell", "cid", "root").distinct())
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    small = left.join(sizes.where(f"rows <= {SMALL}").select("cell"), "cell", "left_semi")
+    x, y = (small.select("cell", "gram", *(F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "pos", "top", "root"))) for s in "xy")
+    pairs = _pairs(x.join(y, ["cell", "gram"]).where("x_root != y_root and x_cid < y_cid"), percent)
+    pairs = written(pairs.join(tries, ["a", "b"], "left_anti"))
+    large = written(cells.join(sizes.where(f"rows > {SMALL}").select("cell"), "cell", "left_semi"))
+    more = linked(docs, classes, pairs, k, percent).union(cell_links(docs, classes, large, k, percent))
     # links between components, one for each two
     of = roots.withColumnRenamed("node", "n")
     ends = more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
     above = components(ends)
-    found = roots.join(above.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    roots = found.union(above.join(roots.select("node"), "node", "left_anti").select("node", "root")).distinct()
+    found = classes.select("d1", "d2", "cid", "low").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return written(found.join(above.toDF("root", "top"), "root", "left").select("d1", "d2", F.coalesce("top", "root").alias("root"), "low"))
+
+
+def keyed(docs: DataFrame, text_col: str, k: int, names: list[str]) -> DataFrame:
+    """The documents, with all their columns, and the digest of their set in two columns, its size and the text's hash, named so.
+
+    A text without words has a hash of the row in place of a digest.
+    """
+    keep = len(docs.columns)
+
+    def run(batches):
+        for batch in slices(batches):
+            texts, place = batch.column(keep), batch.column(keep + 1).to_numpy()
+            sets = shingle_sets(texts, k)
+            size, d = np.array([len(s) for s in sets], np.int64), _digests(sets)
+            cols = [np.where(size > 0, d[:, 0], place), np.where(size > 0, d[:, 1], 0), size, np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts.to_pylist()], np.uint64).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(c, pa.int64()) for c in cols)], [*batch.schema.names[:keep], *names])
+
+    # what is added for the reading has no name that could clash
+    rows = docs.select("*", F.col(text_col).cast("binary").alias(names[0]), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map" not in t and c != text_col], F.lit(0)).alias(names[1]))
+    schema = docs.schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(run, schema)
 
-    named = rows.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    lowest = named.groupBy("root").agg(F.min("doc_id").alias("lowest"))
-    return named.join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    classes = labelled_classes(docs, k, percent, heavy)
+    lowest = classes.groupBy("root").agg(F.min("low").alias("lowest"))
+    names = classes.join(lowest, "root").select("d1", "d2", "lowest")
+    rows = keyed(docs, "text", k, ["d1", "d2", "n", "h"]).select("doc_id", "d1", "d2", "n")
+    joined = rows.join(names, ["d1", "d2"], "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, less all but the lowest id of each component.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:
+    """The documents, with all their columns, less all but one of each component.
 
-    Rows that repeat the id that stays are one document and stay once; rows without an id all stay.
+    The row with the lowest id stays (one without an id only if none has one); of several texts under that id, the one with the lowest
+    digest and hash; of rows that repeat id and text, one. Texts without words all stay.
     """
-    found = jaccard_components(docs, id_col, text_col, k, percent)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stays, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    classes = labelled_classes(plain, k, percent, heavy)
+    used, names = {c.lower() for c in docs.columns}, []
+    for name in ("d1", "d2", "n", "h", "i", "copy", "k1", "k2", "k3", "k4"):
+        while name in used:
+            name += "_"
+        names.append(name)
+        used.add(name)
+    d1, d2, n, h, i, copy, k1, k2, k3, k4 = names
+    rows = keyed(docs, text_col, k, [d1, d2, n, h]).withColumn(i, F.col(id_col).cast("long"))
+    low = keyed(plain, "text", k, ["d1", "d2", "n", "h"]).where("n > 0").groupBy("d1", "d2", "doc_id", "h").agg(F.count("*").alias("copies"))
+    low = low.join(classes.select("d1", "d2", "root"), ["d1", "d2"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d1", "d2", "h", "copies")).alias("r"))
+    low = written(low.select(*(F.col(f"r.{c}").alias(x) for c, x in (("d1", k1), ("d2", k2), ("doc_id", k3), ("h", k4), ("copies", copy)))))
+    match = (F.col(d1) == F.col(k1)) & (F.col(d2) == F.col(k2)) & (F.col(h) == F.col(k4)) & F.col(i).eqNullSafe(F.col(k3))
+    stay = rows.join(low.where(F.col(copy) == 1), match, "left").where((F.col(n) == 0) | F.col(k1).isNotNull()).select(docs.columns)
+    repeated = low.where(F.col(copy) > 1)
+    if repeated.isEmpty():
+        return stay
+    return stay.union(rows.join(repeated, match, "left_semi").dropDuplicates([d1, d2, h, i]).select(docs.columns))
