@@ -98,8 +98,13 @@ def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEA
         for batch in batches:
             sets = [s for part in slices([batch]) for s in shingle_sets(part.column(0), k)]
             if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[n >= local])), pa.array(n[n >= local].astype(np.int64))], ["h", "n"])
+                flat = np.concatenate(sets)
+                sets.clear()
+                flat.sort()
+                often = flat[: len(flat) - local + 1][flat[: len(flat) - local + 1] == flat[local - 1 :]]
+                h = often[np.append(True, often[1:] != often[:-1])] if len(often) else often
+                n = np.searchsorted(flat, h, "right") - np.searchsorted(flat, h, "left")
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     counts = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     top = most_frequent(counts, "n", heavy, ["h", "n"])
@@ -126,12 +131,12 @@ def matrix_rows(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
             at = [i for i, s in enumerate(sets) if len(s)]
             prefixes, sketches = [], []
             for i in at:
-                s, name = sets[i], (int(d[i, 0]), int(d[i, 1]))
+                s, name = sets[i], d[i].tobytes()
                 if name in seen:
                     prefixes.append(None)
                     sketches.append(None)
                     continue
-                if len(seen) >= 1 << 18:
+                if len(seen) >= 1 << 16:
                     seen.clear()
                 seen.add(name)
                 sketches.append(sketch(s))
@@ -221,35 +226,29 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS
     The documents are found by a bitmap over ids and digests.
     """
 
-    def place(doc_id, d1, d2):
-        return F.pmod(F.xxhash64(doc_id, d1, d2), F.lit(bits)).alias("place")
+    mask = bits - 1
+    low = F.coalesce("low", F.lit(0))
+    # a class by its digest and its lowest id; documents that aren't any class's lowest aren't split into words
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(bitmap(ids.select(p.bitwiseAND(F.lit(mask)).alias("place")), bits) for p in (F.col("d1").bitwiseXOR(low), F.xxhash64("low"))))
 
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(place("low", "d1", "d2")), bits))
-    # documents of which no class is wanted aren't split into words
-    by_id = bitmap(ids.select(F.pmod(F.xxhash64("low"), F.lit(bits)).alias("place")), bits)
-    sent_ids = docs.sparkSession.sparkContext.broadcast(by_id)
-
-    def sets(batches):
-        wanted, seen = sent_ids.value, set()
+    def run(batches):
+        (by_class, by_id), seen = sent.value, set()
         for batch in slices(batches):
-            texts = batch.filter(pa.array(_is_set(wanted, batch.column(2).to_numpy())))
-            found = [(i, s) for i, s in enumerate(shingle_sets(texts.column(1), k)) if len(s)]
-            names = [digest(s) for _, s in found]
-            new = [j for j, name in enumerate(names) if name not in seen]
-            if len(seen) >= 1 << 18:
+            texts = batch.filter(pa.array(_is_set(by_id, batch.column(2).to_numpy())))
+            sets = shingle_sets(texts.column(1), k)
+            names = _digests(sets)
+            wanted = _is_set(by_class, (names[:, 0] ^ texts.column(0).fill_null(0).to_numpy()) & mask)
+            if len(seen) >= 1 << 16:
                 seen.clear()
-            seen.update(names)
-            d = np.frombuffer(b"".join(names[j] for j in new), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([texts.column(0).take(pa.array([found[j][0] for j in new], pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([signed(found[j][1]) for j in new], pa.list_(pa.int64()))], ["doc_id", "d1", "d2", "shingles"])
-
-    read = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).mapInArrow(sets, "doc_id long, d1 long, d2 long, shingles array<long>")
-
-    def run(batches):
-        wanted = sent.value
-        for batch in batches:
-            yield batch.filter(pa.array(_is_set(wanted, batch.column(4).to_numpy()))).select(range(1, 4))
-
-    return read.select("doc_id", "d1", "d2", "shingles", place("doc_id", "d1", "d2")).mapInArrow(run, "d1 long, d2 long, shingles array<long>")
+            at = []
+            for i in np.flatnonzero(wanted).tolist():
+                name = names[i].tobytes()
+                if len(sets[i]) and name not in seen:
+                    seen.add(name)
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at, 0]), pa.array(names[at, 1]), pa.array([signed(sets[i]) for i in at], pa.list_(pa.int64()))], ["d1", "d2", "shingles"])
+
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(F.lit(mask)).alias("place")).mapInArrow(run, "d1 long, d2 long, shingles array<long>")
 
 
 def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
