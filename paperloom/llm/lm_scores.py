@@ -1,112 +1,86 @@
 """Language-model scores by a weighted backoff automaton over smoothed n-grams.
 
 Tokens are lower-cased words and one end token a text. The vocabulary is every token of the training
-texts, with exact counts, and the model has every n-gram of two tokens or more that occurs twice or more in
+texts, with exact counts, and the model has every n-gram of two to ``ORDER`` tokens that occurs twice or more in
 them. Counts are discounted (absolute discounting, interpolated); in terms of the automaton:
 
 * a *state* is a context that has arcs; state 0 is the empty context;
-* an *arc* (state, token) has a log-probability;
+* an *arc* (state, token) has a log-probability and leads to the longest state that what has been read ends with;
 * a *failure arc* of a state leads to its next shorter context and has the backoff weight that makes
   the state's probabilities sum to one.
 
-The model is a table by 64-bit key, as large as the corpus makes it: log-probabilities of tokens, backoff
-weights of states, and of each arc its *gain*, the log-probability less what the state's failure arc and
-the shorter context would give. A token's log-probability is then its unigram's plus, for each context that
-ends before it, the context's weight and the arc's gain where there are any: a sum over keys, whichever of
-them are looked up at hand and whichever are joined. States are looked up, not carried from token to token;
-:class:`Automaton` and :func:`traverse` are the same model in its literal form, for tests.
+A text's score is what one traversal from left to right adds up: the state is carried from token to token, a token
+follows its arc or failure arcs down to a state that has one, and state 0 has every known token. Many texts are traversed side
+by side, a token at a step; a long one is cut, and a cut's state is what the ``ORDER`` - 1 tokens before it lead to from state 0.
 
-The ``HOT`` most frequent tokens, the weights of the ``WORDS`` most frequent contexts and the ``ARCS`` most
-frequent arcs go to the executors; all others come by a join, which no frequent key takes part in. A bitmap
-of fixed size over the keys spares the join most n-grams that the model doesn't have. These sizes change no score.
+The model is as large as the corpus makes it. The *hot* automaton, all arcs that occur at least so often that ``ARCS`` of them
+are enough, goes to the executors, as do the ``HOT`` most frequent tokens. What it lacks comes by a join: an arc's log-probability
+is its shorter context's, plus the state's backoff weight, plus a *gain*, so that a traversal of the whole automaton adds to that of the hot
+one just the weights and gains of the contexts and arcs that are not hot, each of which is a key of the text's own n-grams. No
+frequent key takes part in the join, and a bitmap of fixed size spares it most keys that the model doesn't have. These sizes change no score.
 
-Null text: as empty; empty text: the end token alone. Repeated rows: a row each. Extra columns: ignored.
-No training texts: N and V are 0, every token is unknown and scores log10(1).
+N-grams that occur once are kept from the shuffle: tasks first send 32-bit fingerprints, four bytes an n-gram, and only n-grams whose fingerprint comes
+twice are counted by their keys.
+
+Null text: as empty; empty text: the end token alone. Null, negative and repeated ids: kept apart by id and text; repeated rows: a row each. Very
+long texts: read in chunks, their hashed tokens in the memory of a task. Ties: an arc is hot or not by its count alone. Extra columns: ignored.
+Empty table: no rows. No training texts: N and V are 0, every token is unknown and scores log10(1).
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, CACHE_LENGTH, CACHE_WORDS, WordHashes, fold_of, mixed, most_frequent, signed, slices, word_hashes, written
-from .ngram_jaccard import FILTER_BITS, _is_set, bitmap
+from ._common import _STEP, fold_of, grouped, hashed_words, mixed, most_frequent, signed, slices, written
+from .ngram_jaccard import _is_set, bitmap
 
 FOLDS, HELD_OUT = 5, 1
-ORDER = 2
-HOT, WORDS, ARCS = 1 << 21, 1 << 16, 1 << 19
+ORDER = 3
+HOT, ARCS = 1 << 21, 1 << 20
 DISCOUNT = 0.75
-#: Bits of a token's number in a context's number of an Automaton; the highest number stands for all tokens outside.
-BITS = 20
-OUTSIDE = (1 << BITS) - 1
-#: The end token's text: no word has a space.
-END = b" end"
-FLUSH_WORDS = 400_000
-#: Tokens whose n-grams a worker counts at once.
-FLUSH_TOKENS = 2_000_000
+#: The end token's hash.
+END = mixed(np.array([0x5851F42D4C957F2D], np.uint64))[0]
+#: Tokens whose n-grams a worker counts at once, and tokens to each bucket of fingerprints.
+FLUSH_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 21
+#: Bits of the filters: 16 MB. They only spare work.
+FILTER_BITS = 1 << 27
+#: Tokens that are traversed in a row; rows of documents that are scored at once.
+CUT, ROWS = 256, 2048
 #: What tells the key of a context's backoff weight from the n-gram's own.
 _WEIGHT = np.uint64(0xD6E8FEB86659FD93)
 
 
-_HASHES = WordHashes()
-
-
-def token_hash(word: bytes) -> int:
-    return _HASHES[word]
-
-
-class HashedTable(dict):
-    """word -> a number of a table that is kept as sorted 64-bit hashes, -1 for words outside; remembers short words."""
-
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        super().__init__()
-        order = np.argsort(hashes)
-        self.hashes, self.values, self.long = hashes[order], values[order], {}
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens in order, with the end tokens; number of tokens of each text)."""
+    hashes, counts = hashed_words(texts)
+    return np.insert(hashes, np.cumsum(counts), END), counts + 1
 
-    def prepare(self, words) -> None:
-        """Looks up the words that aren't remembered, all at once."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self]
-        h = np.fromiter(map(token_hash, new), np.uint64, len(new))
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            found = np.where(self.hashes[at] == h, self.values[at], -1).tolist()
-        else:
-            found = [-1] * len(new)
-        self.long = {}
-        for w, v in zip(new, found, strict=True):
-            (self if len(w) <= CACHE_LENGTH else self.long)[w] = v
 
-    def __missing__(self, word: bytes) -> int:
-        return self.long[word]
+def gathered(batches, most: int = FLUSH_TOKENS):
+    """The tokens of many texts at once: (hashes, number of tokens of each text)."""
+    parts, total = [], 0
+    for batch in slices(batches):
+        parts.append(tokens_of(batch.column(0)))
+        total += len(parts[-1][0])
+        if total >= most:
+            yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+            parts, total = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def unigrams(texts: DataFrame) -> DataFrame:
     """(h, c) of every token of the texts."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def out():
-            h = np.fromiter(map(token_hash, seen), np.uint64, len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update((text or b"").lower().split())
-                seen[END] += 1
-                if len(seen) >= FLUSH_WORDS:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+        for hashes, _ in gathered(batches):
+            h, _, n, _ = grouped(hashes)
+            for low in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[low : low + (1 << 16)])), pa.array(n[low : low + (1 << 16)])], ["h", "c"])
 
     return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -130,33 +104,73 @@ def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
         yield context[inside], suffix[inside], key[inside], owner[: len(key)][inside]
 
 
-def ngrams(texts: DataFrame, size: int) -> DataFrame:
+def _places(keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    """A key's place in a bitmap: by its first 32 + 16 bits, which fingerprints have."""
+    return (mixed(keys >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def repeated(texts: DataFrame, size: int, tokens: int) -> np.ndarray:
+    """A bitmap of the places of n-grams of ``size`` tokens that occur twice or more, and of few others."""
+    buckets = 1 << min(16, max(4, int(tokens // BUCKET_TOKENS).bit_length()))
+
+    def send(batches):
+        for hashes, counts in gathered(batches):
+            *_, (_, _, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
+            key, _, n, _ = grouped(key)
+            key = np.repeat(key, np.minimum(n, 2))  # in order
+            bucket = (key >> np.uint64(48)) % np.uint64(buckets)
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+            prints = (key[by] >> np.uint64(16)).astype(np.uint32)
+            tops = (key[by] >> np.uint64(48)).astype(np.uint16)
+            for b in range(buckets):
+                low, high = cuts[b], cuts[b + 1]
+                if high > low:
+                    # the places of equal prints are equal if their top bits are: these are sent as runs
+                    top, _, runs, _ = grouped(tops[low:high]) if buckets < 1 << 16 else (np.array([b], np.uint16), None, np.array([high - low]), None)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([top.tobytes()], pa.binary()), pa.array([runs.astype("<u4").tobytes()], pa.binary()), pa.array([prints[low:high].tobytes()], pa.binary())], ["bucket", "tops", "runs", "prints"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        tops, runs, prints = (table.column(c).to_pylist() for c in ("tops", "runs", "prints"))
+        top = np.concatenate([np.repeat(np.frombuffer(t, np.uint16), np.frombuffer(r, "<u4")) for t, r in zip(tops, runs, strict=True)])
+        keys = (top.astype(np.uint64) << np.uint64(32)) | np.concatenate([np.frombuffer(p, np.uint32) for p in prints])
+        keys.sort()
+        twice = keys[1:][keys[1:] == keys[:-1]]
+        place, _, _, _ = grouped(_places(twice << np.uint64(16)))
+        word, _, _, at = grouped(place >> 6)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << (place & 63).astype(np.uint64))
+        return pa.table({"w": pa.array(word.astype(np.int32)), "b": pa.array(signed(bits))})
+
+    sent = texts.select("text").mapInArrow(send, "bucket int, tops binary, runs binary, prints binary")
+    words = sent.groupBy("bucket").applyInArrow(meet, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out
+
+
+def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
     """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more."""
-
-    def counted(parts):
-        lengths = list(map(len, parts))
-        *_, (context, suffix, key, _) = windows(np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths), size)
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(context[at])), pa.array(signed(suffix[at])), pa.array(n)], ["context", "suffix", "c"])
+    sent = texts.sparkSession.sparkContext.broadcast(repeated(texts, size, tokens))
 
     def run(batches):
-        cache, parts, tokens = WordHashes(), [], 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                parts.append(word_hashes((text or b"").lower().split() + [END], cache))
-                tokens += len(parts[-1])
-                if tokens >= FLUSH_TOKENS:
-                    yield counted(parts)
-                    parts, tokens = [], 0
-        if parts:
-            yield counted(parts)
+        wanted = sent.value
+        for hashes, counts in gathered(batches):
+            *_, (context, suffix, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
+            keep = _is_set(wanted, _places(key))
+            context, suffix = context[keep], suffix[keep]
+            _, at, n, _ = grouped(key[keep])
+            for low in range(0, len(at), 1 << 16):
+                some = at[low : low + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(context[some])), pa.array(signed(suffix[some])), pa.array(n[low : low + (1 << 16)])], ["context", "suffix", "c"])
 
     return texts.select("text").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
 
 
-def level(texts: DataFrame, shorter: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Arcs (key, c, p, v) and states (key, c, v) of n-grams of ``size`` tokens; v is an arc's gain and a state's weight.
+def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Arcs (key, context, suffix, c, p, lift, v) and states (context, key, top, v) of n-grams of ``size`` tokens.
 
+    v is an arc's gain and a state's weight; top the count of a state's most frequent arc.
     ``shorter``: (key, c, p) of the n-grams one token shorter. It has every n-gram's context and suffix, as
     these occur as often at least.
     """
@@ -164,22 +178,25 @@ def level(texts: DataFrame, shorter: DataFrame, size: int) -> tuple[DataFrame, D
     def keyed(batches):
         for batch in batches:
             context, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in ("context", "suffix"))
-            keys = [pa.array(signed(gram_keys(context, suffix))), pa.array(signed(weight_keys(context)))]
-            yield pa.RecordBatch.from_arrays([*keys, *(batch.column(k) for k in ("context", "c", "low"))], ["key", "weight", "context", "c", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(gram_keys(context, suffix))), *(batch.column(k) for k in ("context", "suffix", "c", "low"))], ["key", "context", "suffix", "c", "low"])
+
+    def weighted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(signed(weight_keys(batch.column(0).to_numpy().view(np.uint64)))), *batch.columns], ["key", *batch.schema.names])
 
-    low = ngrams(texts, size).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
-    grams = written(low.mapInArrow(keyed, "key long, weight long, context long, c long, low double"))
-    sums = grams.groupBy("context").agg(F.first("weight").alias("key"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
+    low = ngrams(texts, size, tokens).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
+    grams = written(low.mapInArrow(keyed, "key long, context long, suffix long, c long, low double"))
+    sums = grams.groupBy("context").agg(F.max("c").alias("top"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
     # every context is followed by a token; of its continuations that are no arcs each occurs once
     states = sums.join(shorter.select(F.col("key").alias("context"), F.col("c")), "context")
     states = states.withColumn("mass", DISCOUNT * (F.col("arcs") + F.col("c") - F.col("arcs_c")) / F.col("c"))
     here = (F.col("arcs_c") - DISCOUNT * F.col("arcs")) / F.col("c") + F.col("mass") * F.col("arcs_low")
     weight = F.log10(F.greatest(1 - here, F.lit(1e-12)) / F.greatest(1 - F.col("arcs_low"), F.lit(1e-12)))
-    states = written(states.select("context", "key", "c", "mass", weight.alias("v")))
+    states = written(states.select("context", "top", "c", "mass", weight.alias("v")).mapInArrow(weighted, "key long, context long, top long, c long, mass double, v double"))
     joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context")
     arcs = joined.withColumn("p", (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low"))
-    arcs = written(arcs.select("key", "c", "p", (F.log10("p") - F.col("backoff") - F.log10("low")).alias("v")))
-    return arcs, states.select("key", "c", "v")
+    arcs = written(arcs.select("key", "context", "suffix", "c", "p", (F.log10("p") - F.log10("low")).alias("lift"), (F.log10("p") - F.log10("low") - F.col("backoff")).alias("v")))
+    return arcs, states.select("context", "key", "top", "v")
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,200 +208,192 @@ def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Automaton:
-    """States, arcs and failure arcs as arrays; small, and sent to every executor."""
-
-    def __init__(self, unigram: np.ndarray, contexts: dict[int, tuple[int, int]], arcs: dict[int, list[tuple[int, int]]]):
-        """unigram: log10 p of each numbered token. contexts: total and kinds. arcs: (token, count) of each."""
-        self.unigram = unigram
-        states = {0: 0} | {c: k for k, c in enumerate(sorted(arcs), 1)}
-        size = len(states)
-        self.fail, self.backoff = np.zeros(size, np.int32), np.zeros(size)
-        prob: dict[tuple[int, int], float] = {}
-
-        def shorter(context: int) -> int:
-            """A context without its first token."""
-            tokens = (context.bit_length() - 1) // BITS
-            return (1 << BITS * (tokens - 1)) | context & ((1 << BITS * (tokens - 1)) - 1) if tokens > 1 else 0
-
-        def state(context: int) -> int:
-            while context not in states:
-                context = shorter(context)
-            return states[context]
-
-        def p(context: int, token: int) -> float:
-            """Probability of a token after a context, by the arcs and failure arcs made so far."""
-            weight = 1.0
-            while context:
-                if (context, token) in prob:
-                    return weight * prob[context, token]
-                weight *= 10 ** self.backoff[states[context]] if context in states else 1.0
-                context = shorter(context)
-            return weight * 10 ** unigram[token]
-
-        keys, nexts, logs = [], [], []
-        for context in sorted(arcs):  # shorter ones are smaller numbers
-            s, (total, kinds), less = states[context], contexts[context], shorter(context)
-            mass = DISCOUNT * kinds / total
-            lower = [p(less, t) for t, _ in arcs[context]]
-            here = [(c - DISCOUNT) / total + mass * q for (_, c), q in zip(arcs[context], lower, strict=True)]
-            self.fail[s] = state(less)
-            self.backoff[s] = np.log10(max(1 - sum(here), 1e-12) / max(1 - sum(lower), 1e-12))
-            for (t, _), q in zip(arcs[context], here, strict=True):
-                prob[context, t] = q
-                keys.append((s << BITS) | t)
-                longer = (context or 1) << BITS | t
-                nexts.append(state(longer))
-                logs.append(np.log10(q))
-        order = np.argsort(np.array(keys, np.int64)) if keys else np.zeros(0, np.int64)
-        self.keys, self.next, self.log = np.array(keys, np.int64)[order], np.array(nexts, np.int32)[order], np.array(logs, float)[order]
-        known = np.array(sorted(c for c in states if c), np.int64)
-        self.contexts, self.context_states = known, np.array([states[c] for c in known.tolist()], np.int64)
-        self.first = np.zeros(len(unigram), np.int32)
-        for context, s in states.items():
-            if context and context < 1 << 2 * BITS and context >> BITS == 1:
-                self.first[context & OUTSIDE] = s
-
-    def move(self, s: int, token: int) -> tuple[float, int]:
-        """(log-probability, next state) of a token at a state; a negative token only fails down to state 0."""
-        log = 0.0
-        while s:
-            if token >= 0:
-                key = (s << BITS) | token
-                at = int(np.searchsorted(self.keys, key))
-                if at < len(self.keys) and self.keys[at] == key:
-                    return log + float(self.log[at]), int(self.next[at])
-            log += float(self.backoff[s])
-            s = int(self.fail[s])
-        return (log + float(self.unigram[token]), int(self.first[token])) if token >= 0 else (log, 0)
-
-
-def traverse(automaton: Automaton, tokens: list[int]) -> float:
-    """The sum of log-probabilities along one traversal, token by token; a token outside adds backoff weights only."""
-    s, total = 0, 0.0
-    for t in tokens:
-        log, s = automaton.move(s, -1 if t == OUTSIDE else t)
-        total += log
-    return total
-
-
-def traverse_all(automaton: Automaton, texts: list[np.ndarray], order: int) -> np.ndarray:
-    """The same sums for many texts, traversed side by side in arrays.
-
-    The state that the traversal carries to a token is the longest state among the contexts that end before
-    it; from there all tokens follow arcs or, together, failure arcs until each has found an arc or state 0.
+    """States, arcs and failure arcs as arrays.
+
+    ``arcs``: for each size from 2 on, (key, context, suffix, lift), the lift being an arc's log-probability less its suffix's;
+    ``weights``: (context, backoff weight) likewise. An n-gram's context and suffix must be there too, or be tokens. An arc's ``log`` is what it
+    adds to its token's own log-probability.
     """
-    lengths = np.array([len(x) for x in texts])
-    ids = np.concatenate(texts)
-    n = len(ids)
-    inside = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # tokens before it in its text
-    state = np.zeros(n, np.int64)
-    for size in range(1, order):  # longer contexts replace shorter ones
-        context = np.ones(n, np.int64)
-        good = inside >= size
-        for back in range(size, 0, -1):
-            before = np.roll(ids, back)
-            good &= before != OUTSIDE
-            context = context << BITS | before
-        if len(automaton.contexts):
-            at = np.minimum(np.searchsorted(automaton.contexts, context), len(automaton.contexts) - 1)
-            good &= automaton.contexts[at] == context
-            state = np.where(good, automaton.context_states[at], state)
-    log = np.zeros(n)
-    open_ = np.arange(n)
-    while len(open_):
-        s, t = state[open_], ids[open_]
-        at_root = s == 0
-        rooted = open_[at_root]
-        known = rooted[ids[rooted] != OUTSIDE]
-        log[known] += automaton.unigram[ids[known]]
-        open_, s, t = open_[~at_root], s[~at_root], t[~at_root]
-        if not len(open_):
+
+    def __init__(self, arcs: list[tuple], weights: list[tuple]):
+        self.order = 1 + len(arcs)
+        # states by the size of their context; their numbers go on from size to size
+        self.by_size, self.backoff, self.of, low = [], [np.zeros(1)], [np.zeros(1, np.uint64)], 1
+        for context, weight in weights:
+            order = np.argsort(context)
+            self.by_size.append((context[order], low))
+            self.backoff.append(weight[order])
+            self.of.append(context[order])
+            low += len(order)
+        self.backoff, self.of = np.concatenate(self.backoff), np.concatenate(self.of)
+        self.size = np.repeat(np.arange(len(self.by_size) + 1), [1, *(len(c) for c, _ in self.by_size)])
+        self.fail = np.zeros(low, np.int64)
+        self.keys, self.log, self.next = [], [], []
+        for n, (key, _, suffix, lift) in enumerate(arcs, 1):
+            order = np.argsort(key)
+            key, suffix, lift = key[order], suffix[order], lift[order]
+            # to the state of the whole n-gram, or else to where its suffix leads
+            to = self.state(key, n + 1)
+            below = found(self.keys[-1], suffix)[1] if n > 1 else None
+            shorter = self.state(suffix, 1) if n == 1 else self.next[-1][below]
+            self.log.append(lift if n == 1 else lift + self.log[-1][below])
+            self.keys.append(key)
+            self.next.append(np.where(to > 0, to, shorter))
+            # a state's failure arc leads to where its context's suffix leads
+            if n < len(self.by_size):
+                contexts, first = self.by_size[n]
+                at = found(key, contexts)[1]
+                self.fail[first : first + len(contexts)] = shorter[at] if len(key) else 0
+
+    def state(self, contexts: np.ndarray, size: int) -> np.ndarray:
+        """The numbers of the states of these contexts; 0 for those that are none."""
+        if size > len(self.by_size):
+            return np.zeros(len(contexts), np.int64)
+        known, first = self.by_size[size - 1]
+        here, at = found(known, contexts)
+        return np.where(here, first + at, 0)
+
+    def traverse(self, hashes: np.ndarray, counts: np.ndarray, unigram: np.ndarray, cut: int = CUT) -> np.ndarray:
+        """What each token adds to the score. ``unigram``: what it adds at state 0, 0 for a token that is not at hand."""
+        total, out = len(hashes), unigram.copy()
+        if self.order == 1 or not total:
+            return out
+        ends = np.cumsum(counts)
+        pieces = -(-counts // cut)
+        text = np.repeat(np.arange(len(counts)), pieces)
+        start = (ends - counts)[text] + (np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text]) * cut
+        stop = np.minimum(start + cut, ends[text])
+        begin = np.maximum(start - (self.order - 1), (ends - counts)[text])  # the tokens before a cut only lead to its state
+        first = self.state(hashes, 1)
+        # keys of the n-grams that begin at each token, by size; those over a text's end are never asked for
+        grams = [hashes]
+        state, at = np.zeros(len(text), np.int64), begin.copy()
+        for _ in range(self.order - 2):
+            grams.append(gram_keys(grams[-1][:-1], grams[-1][1:]))
+        active = np.arange(len(text))
+        while len(active):
+            pos, s = at[active], state[active]
+            counted = pos >= start[active]
+            going = np.flatnonzero(s > 0)
+            then = first[pos]
+            while len(going):
+                here, size, p = s[going], self.size[s[going]], pos[going]
+                done = np.zeros(len(going), bool)
+                for n in range(1, self.order):
+                    of = np.flatnonzero(size == n)
+                    if len(of):
+                        key = gram_keys(self.of[here[of]], grams[n - 1][p[of] - (n - 1)])
+                        hit, arc = found(self.keys[n - 1], key)
+                        took = of[hit]
+                        done[took] = True
+                        then[going[took]] = self.next[n - 1][arc[hit]]
+                        add = took[counted[going[took]]]
+                        out[p[add]] += self.log[n - 1][arc[hit]][counted[going[took]]]
+                back = ~done & counted[going]
+                out[p[back]] += self.backoff[here[back]]
+                s[going] = self.fail[here]
+                going = going[~done]
+                going = going[s[going] > 0]
+            state[active] = then
+            at[active] += 1
+            active = active[at[active] < stop[active]]
+        return out
+
+
+def hot_count(parts: list[DataFrame], most: int) -> int:
+    """The lowest count from which on all arcs together are ``most`` at most, to a sixteenth of a doubling."""
+    bins: dict[int, list[int]] = {}
+    for part in parts:
+        for r in part.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 16).alias("f")).agg(F.min("c").alias("low"), F.count("*").alias("n")).collect():
+            have = bins.setdefault(r.f, [r.low, 0])
+            bins[r.f] = [min(have[0], r.low), have[1] + r.n]
+    lowest, total = 1 << 62, 0
+    for _, (low, n) in sorted(bins.items(), reverse=True):
+        total += n
+        if total > most:
             break
-        key = s << BITS | t
-        at = np.minimum(np.searchsorted(automaton.keys, key), len(automaton.keys) - 1)
-        hit = automaton.keys[at] == key
-        log[open_[hit]] += automaton.log[at[hit]]
-        open_, s = open_[~hit], s[~hit]
-        log[open_] += automaton.backoff[s]
-        state[open_] = automaton.fail[s]
-    return np.add.reduceat(log, np.cumsum(lengths) - lengths)  # every text has its end token
+        lowest = low
+    return lowest
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_tokens: int = HOT, words: int = WORDS, most_arcs: int = ARCS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_tokens: int = HOT, most_arcs: int = ARCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     texts = docs.where("not held_out")
     counts = written(unigrams(texts))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = n + 0.5 * (v + 1)
     top = most_frequent(counts, "c", hot_tokens, ["h", "c"])
-    hot_h, hot_c = top.column("h").to_numpy(), top.column("c").to_numpy()
+    hot_h, hot_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    by = np.argsort(hot_h)
     tokens = counts.select(F.col("h").alias("key"), "c", ((F.col("c") + 0.5) / F.lit(scale)).alias("p"))
     arcs, states, shorter = [], [], tokens
     for size in range(2, order + 1):
-        shorter, weights = level(texts, shorter, size)
-        arcs.append(shorter.select("key", "c", "v"))
+        shorter, weights = level(texts, shorter, size, n)
+        arcs.append(shorter)
         states.append(weights)
-    parts = [(p, most) for tables, most in ((arcs, most_arcs), (states, words)) for p in tables]
-    tops = [most_frequent(p, "c", most, ["key", "v"]) for p, most in parts]
-    hot_keys = np.concatenate([t.column("key").to_numpy() for t in tops] or [np.zeros(0, np.int64)]).view(np.uint64)
-    hot_values = np.concatenate([t.column("v").to_numpy() for t in tops] or [np.zeros(0)])
-    by_key = np.argsort(hot_keys)
+    hot = hot_count(arcs, most_arcs)
+    hot_arcs, hot_states = [], []
+    for a, s in zip(arcs, states, strict=True):
+        table = a.where(F.col("c") >= hot).select("key", "context", "suffix", "lift").toArrow()
+        hot_arcs.append((*(table.column(c).to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), table.column("lift").to_numpy()))
+        table = s.where(F.col("top") >= hot).select("context", "v").toArrow()
+        hot_states.append((table.column("context").to_numpy().view(np.uint64), table.column("v").to_numpy()))
     model = tokens.select("key", F.log10("p").alias("v"), F.lit(True).alias("token"))
-    grams = tokens.select("key").where("false")
-    for p, _ in parts:
-        model = model.union(p.select("key", "v", F.lit(False)))
-        grams = grams.union(p.select("key"))
-    bits = bitmap(grams.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")))
-    hot = spark.sparkContext.broadcast((hot_h.view(np.uint64), np.log10((hot_c + 0.5) / scale), hot_keys[by_key], hot_values[by_key], bits))
+    cold = tokens.select("key", "p").where("false").select("key", F.col("p").alias("v"))
+    for a, s in zip(arcs, states, strict=True):
+        cold = cold.union(a.where(F.col("c") < hot).select("key", "v")).union(s.where(F.col("top") < hot).select("key", "v"))
+    model = model.union(cold.select("key", "v", F.lit(False)))
+    # two places for each key
+    second = F.shiftrightunsigned("key", 32)
+    places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
+    sent = sc.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(places, FILTER_BITS)))
 
     def run(batches):
-        hashes, logs, keys, values, bits = hot.value
-        numbers = HashedTable(hashes, np.arange(len(hashes)))
-        for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
-            lists = [t.lower().split() + [END] for t in texts]
-            numbers.prepare(set().union(*lists))
-            flat, size = list(chain.from_iterable(lists)), len(lists)
-            lengths = np.fromiter(map(len, lists), np.int64, size)
+        known_h, logs, automaton, bits = sent.value
+        mask = np.uint64(FILTER_BITS - 1)
+        for batch in slices(batches, ROWS):
+            size = batch.num_rows
+            h, lengths = tokens_of(batch.column(2))
             owner = np.repeat(np.arange(size), lengths)
-            ids = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
-            known, rest = np.flatnonzero(ids >= 0), np.flatnonzero(ids < 0)
-            h = np.zeros(len(flat), np.uint64)
-            h[known] = hashes[ids[known]]
-            h[rest] = [token_hash(flat[i]) for i in rest.tolist()]
-            base = np.bincount(owner[known], logs[ids[known]], size).astype(float)  # whole numbers if none is known
-            path = base.copy()
-            asked = [(owner[rest], h[rest], np.ones(len(rest), bool))]
-            for context, _, key, own in windows(h, owner, order):
-                for wanted in (key, weight_keys(context)):
-                    here, at = found(keys, wanted)
-                    path += np.bincount(own[here], values[at[here]], size)
-                    other = ~here & _is_set(bits, (wanted & np.uint64(FILTER_BITS - 1)).astype(np.int64))
-                    asked.append((own[other], wanted[other], np.zeros(int(other.sum()), bool)))
-            row_key = np.array([xxhash.xxh3_64_intdigest(t, 0 if i is None else i & (1 << 63) - 1) for t, i in zip(texts, batch.column(0).to_pylist(), strict=True)], np.uint64)
+            known, at = found(known_h, h)
+            unigram = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
+            base = np.bincount(owner, unigram, size)
+            path = np.bincount(owner, automaton.traverse(h, lengths, unigram), size)
+            asked = [(owner[~known], h[~known], np.ones(int((~known).sum()), bool))]
+            for gram_size, (context, _, key, own) in enumerate(windows(h, owner, order), 1):
+                is_hot = automaton.state(context, gram_size) > 0
+                for wanted, maybe in ((key, ~found(automaton.keys[gram_size - 1], key)[0]), (weight_keys(context), ~is_hot)):
+                    some = np.flatnonzero(maybe)
+                    some = some[_is_set(bits, (wanted[some] & mask).astype(np.int64))]
+                    some = some[_is_set(bits, ((wanted[some] >> np.uint64(32)) & mask).astype(np.int64))]
+                    asked.append((own[some], wanted[some], np.zeros(len(some), bool)))
+            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t or b"") for t in batch.column(2).to_pylist()), "<i8").reshape(-1, 2)
             own, key, token = (np.concatenate(x) for x in zip(*asked, strict=True))
-            # a text that asks for nothing gets its own key, and counts it 0 times
-            alone = np.flatnonzero(np.bincount(own, minlength=size) == 0)
-            freq = np.concatenate([np.ones(len(own), np.int32), np.zeros(len(alone), np.int32)])
-            own, key, token = np.concatenate([own, alone]), np.concatenate([key, row_key[alone]]), np.concatenate([token, np.zeros(len(alone), bool)])
             by = np.lexsort((key, own))
-            own, key, token, freq = own[by], key[by], token[by], freq[by]
-            first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])]) if len(own) else np.zeros(0, np.int64)
-            freq = np.add.reduceat(freq, first) if len(first) else freq
-            own, key, token = own[first], key[first], token[first]
-            # the first row carries the document
-            leads = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+            own, key, token = own[by], key[by], token[by]
+            first = np.ones(len(own), bool)
+            first[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(first)
+            freq = np.diff(np.append(first, len(own)))
+            # a row of its own carries the document, and asks for nothing: its key is the text's, counted 0 times
+            own, key, token = np.concatenate([np.arange(size), own[first]]), np.concatenate([d[:, 0], signed(key[first])]), np.concatenate([np.zeros(size, bool), token[first]])
+            freq, nothing = np.concatenate([np.zeros(size, np.int64), freq]), np.arange(len(own)) >= size
             n_known = np.bincount(owner[known], minlength=size)
-            doc = pa.StructArray.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(path)], ["doc_id", "held_out", "n", "known", "base", "path"])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(row_key)[own]), pa.array(signed(key)), pa.array(freq.astype(np.int32)), pa.array(token), doc.take(pa.array(own, mask=~leads))], ["row_key", "key", "freq", "asks_token", "doc"])
-
-    asked = docs.mapInArrow(run, "row_key long, key long, freq int, asks_token boolean, doc struct<doc_id:long,held_out:boolean,n:long,known:long,base:double,path:double>")
-    joined = asked.join(model, "key", "left")
+            docs_of = [pa.array(x[own], mask=nothing) for x in (lengths, n_known, base, path)]
+            take = pa.array(own)
+            out = pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(d[own, 0]), pa.array(d[own, 1]), pa.array(key), pa.array(freq), pa.array(token), *docs_of], names)
+            for low in range(0, out.num_rows, 1 << 16):
+                yield out.slice(low, 1 << 16)
+
+    names = ["doc_id", "held_out", "d1", "d2", "key", "freq", "asks_token", "n", "known", "base", "path"]
+    asked = docs.mapInArrow(run, "doc_id long, held_out boolean, d1 long, d2 long, key long, freq long, asks_token boolean, n long, known long, base double, path double")
+    joined = asked.join(model, "key", "left").where("asks_token or v is null or not token")
     unknown = F.when(F.col("asks_token"), float(np.log10(0.5 / scale))).otherwise(0.0)
-    each = joined.select("row_key", "doc", "asks_token", (F.coalesce("v", unknown) * F.col("freq")).alias("log"), F.when(F.col("asks_token") & F.col("token"), F.col("freq").cast("long")).otherwise(F.lit(0)).alias("known"))
-    base = F.when(F.col("asks_token"), F.col("log")).otherwise(0.0)
-    total = each.groupBy("row_key").agg(F.sum("log").alias("log"), F.sum(base).alias("base"), F.sum("known").alias("known"), F.count("doc").alias("copies"), F.max("doc").alias("doc"))
-    out = total.select("doc.doc_id", "doc.held_out", F.col("doc.n").alias("n_tokens"), (F.col("doc.known") + F.expr("known div copies")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("base") / F.col("copies")).alias("base_score"), (F.col("doc.path") + F.col("log") / F.col("copies")).alias("score"), F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
+    each = joined.withColumn("log", F.coalesce("v", unknown) * F.col("freq")).withColumn("hits", F.when(F.col("asks_token") & F.col("token"), F.col("freq")).otherwise(F.lit(0)))
+    asks_base = F.when(F.col("asks_token"), F.col("log")).otherwise(0.0)
+    total = each.groupBy("doc_id", "held_out", "d1", "d2").agg(F.sum("log").alias("log"), F.sum(asks_base).alias("asks_base"), F.sum("hits").alias("hits"), F.count("n").alias("copies"), *(F.max(c).alias(c) for c in ("n", "known", "base", "path")))
+    # rows that repeat id and text have asked for the same
+    out = total.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.expr("hits div copies")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("asks_base") / F.col("copies")).alias("base_score"), (F.col("path") + F.col("log") / F.col("copies")).alias("score"), F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
     return out.drop("_copy")
