@@ -1,39 +1,47 @@
 """Sharding by histogram sort: shards of near-equal bytes, from exact counts below probed boundaries.
 
-Rows are ordered by the key (64-bit hash of the text, doc_id), so equal texts stand together. The
-shards are 40 ranges of that order. Their boundaries (splitters) are found without sorting: in each
+Rows are ordered by the key (64-bit hash of the text, hash of the id), so equal texts, a *group*, stand together. Groups of over
+``LARGE`` of a shard's bytes that fit in a shard are so few (``shards`` / ``LARGE`` at most) that the driver deals them out, the
+largest first, each to the shard with the fewest bytes. The other rows of the 40 shards are ranges of the key's order that fill each up to its equal share.
+Their boundaries (splitters) are found without sorting: in each
 round the exact bytes and rows of the bins between candidate boundaries are counted across all
 partitions, with map-side sums; for each splitter, the bin that its target falls into is probed again
 by finer boundaries, until a boundary's exact bytes below are within tolerance of the target or a bin
-holds one key only. The key's digits are the probes, so a bin that a large group of copies fills is
-refined through the hash to the ids and the group is split where the target falls. Then rows move
-once, each straight to its place.
+holds one group only. The key's digits are the probes. A group that fits in a shard is never split; one that doesn't is refined
+through the hashes of its ids and split where the target falls. Then rows move once, each straight to its place.
 
-Each shard is cut into ``runs`` ranges by the same splitters, so that a shard isn't one task. A row's
-slot is its rank in its run plus the rows of the shard's runs before it, which the counts give exactly;
-slots have no gaps.
+Shards differ from each other by ``LARGE`` of a shard at most, the size of the groups at their two ends, unless single groups or rows leave no
+choice: a row that is larger than a shard's share, or groups of over half of it, which no dealing makes equal.
 
-DataFrame functions only. The driver sees bins' sums: at most 2^FIRST_BITS, then 2^NEXT_BITS for each
-splitter. Null text: as empty. Null doc_id: before all ids. Rows that repeat both are one key: they stay
-in one range. Empty table: no rows. The columns ``shard`` and ``slot`` of the input, if any, are replaced.
+A shard isn't one task: its rows are dealt on by the first bits of their hash into *bins*, of as many bytes as a task takes at once whatever the
+size of the table, and those of groups over that by hashes of ids. A row's slot is its rank in its bin plus the rows of the shard's bins before it; slots have no gaps.
+
+DataFrame functions only. The driver sees bins' sums, at most 2^FIRST_BITS, then 2^NEXT_BITS for each
+splitter, and the large groups. Null text: as empty. Null, negative and wide ids: by their hashes. Very long texts: a row each, whole. Rows that repeat id and text
+are one key: they stay in one shard. Ties: equal keys in any order. Empty table: no rows. The columns ``shard`` and ``slot`` of the input, if any, are replaced.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, written
 
-SHARDS, RUNS = 40, 4
+SHARDS = 40
 #: A splitter is near enough when its error is under this share of a shard's bytes.
 TOLERANCE = 0.001
+#: Groups over this share of a shard's bytes are dealt out one by one.
+LARGE = 0.01
+#: Bytes that a task ranks at once, and bins that there are at least.
+BIN_BYTES, BINS = 64 << 20, 512
 FIRST_BITS, NEXT_BITS = 14, 9
 HASH_BITS = 63
 OVERHEAD = 16
-_H, _D, _RUN, _RANK = "_shard_hash", "_shard_id", "_shard_run", "_shard_rank"
+_H, _D, _SHARD, _BIN, _SUB, _RANK, _BASE = "_shard_hash", "_shard_id", "_shard_of", "_shard_bin", "_shard_sub", "_shard_rank", "_shard_base"
 
 
 def row_size(text: Column) -> Column:
@@ -51,14 +59,14 @@ class Splitter:
     rows: int
 
 
-def _digits(id_bits: int) -> list[tuple[str, int, int]]:
+def _digits() -> list[tuple[str, int, int]]:
     """(column, shift, bits) of the key's digits, most significant first."""
     out, left = [("h", HASH_BITS - FIRST_BITS, FIRST_BITS)], HASH_BITS - FIRST_BITS
     while left:
         bits = min(NEXT_BITS, left)
         left -= bits
         out.append(("h", left, bits))
-    left = id_bits
+    left = HASH_BITS
     while left:
         bits = min(NEXT_BITS, left)
         left -= bits
@@ -66,13 +74,11 @@ def _digits(id_bits: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def splitters(keys: DataFrame, targets_of, tolerance_of, id_bits: int) -> list[Splitter]:
-    """The splitters for the targets, by rounds of counting. keys: (h, d, size)."""
-    digits = _digits(id_bits)
+def splitters(keys: DataFrame, targets: list[int], tolerance: float, whole: float) -> list[Splitter]:
+    """The splitters for the targets, by rounds of counting. keys: (h, d, size). Groups of up to ``whole`` bytes aren't split."""
+    digits = _digits()
     found: dict[int, Splitter] = {}
     active: dict[tuple[int, int], tuple[int, int, list[int]]] = {}  # prefix (h, d) -> bytes and rows before it, targets inside
-    targets: list[int] = []
-    tolerance = 0.0
     for level, (column, shift, bits) in enumerate(digits):
         rows = keys
         if level:
@@ -92,8 +98,6 @@ def splitters(keys: DataFrame, targets_of, tolerance_of, id_bits: int) -> list[S
         digit = F.shiftright(column, shift).bitwiseAND(F.lit((1 << bits) - 1)).alias("digit")
         bins = rows.groupBy("ph", "pd", digit).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
         if not level:
-            total = sum(r.bytes for r in bins)
-            targets, tolerance = targets_of(total), tolerance_of(total)
             active = {(0, 0): (0, 0, list(range(len(targets))))}
         last = level == len(digits) - 1
         deeper: dict[tuple[int, int], tuple[int, int, list[int]]] = {}
@@ -107,7 +111,8 @@ def splitters(keys: DataFrame, targets_of, tolerance_of, id_bits: int) -> list[S
                 while waiting and targets[waiting[0]] <= at_bytes + r.bytes:
                     t = waiting.pop(0)
                     below, above_ = targets[t] - at_bytes, at_bytes + r.bytes - targets[t]
-                    if last or min(below, above_) <= tolerance or r.rows == 1:
+                    group = column == "h" and not shift and r.bytes <= whole
+                    if last or min(below, above_) <= tolerance or r.rows == 1 or group:
                         step = 1 if above_ < below else 0
                         found[t] = _bound(column, prefix, (r.digit + step), shift, bits, at_bytes + step * r.bytes, at_rows + step * r.rows)
                     else:
@@ -137,25 +142,58 @@ def _place(bounds: list[Splitter], low: int, high: int) -> Column:
     return F.when(below, _place(bounds, low, middle)).otherwise(_place(bounds, middle + 1, high))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
+def dealt(groups: list[tuple[int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
+    """(hash -> shard, bytes of each shard): the largest group first, each to the emptiest shard."""
+    heap = [(0, k) for k in range(shards)]
+    at = {}
+    for size, h in sorted(((b, h) for h, b in groups), reverse=True):
+        have, k = heapq.heappop(heap)
+        at[h] = k
+        heapq.heappush(heap, (have + size, k))
+    sizes = [0] * shards
+    for have, k in heap:
+        sizes[k] = have
+    return at, sizes
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE, bins: int = BINS) -> DataFrame:
     """The documents, with all their columns, and ``shard`` and ``slot``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ends = docs.agg(F.min(id_col), F.max(id_col)).first()
-    first = ends[0] if ends[0] is not None else 0
-    id_bits = max(1, ((ends[1] or 0) - first + 1).bit_length())
-    h = F.shiftrightunsigned(F.xxhash64(text), 1)
-    d = F.coalesce(F.col(id_col).cast("long") - F.lit(first) + 1, F.lit(0).cast("long"))
+    h = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1)
+    d = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long")), 1)
     keys = checkpointed(docs.select(h.alias("h"), d.alias("d"), row_size(F.col(text_col)).alias("size")))
-    n = shards * runs
-    bounds = splitters(keys, lambda total: [total * k // n for k in range(1, n)], lambda total: tolerance * total / shards, id_bits)
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    each = total / shards
+    # at most shards / LARGE groups are so large
+    groups = keys.groupBy("h").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > LARGE * each).collect()
+    at, sizes = dealt([(r.h, r.bytes) for r in groups if r.bytes <= each], shards)
+    rest = [max(0.0, each - x) for x in sizes]
+    bits = max(bins, -(-total // BIN_BYTES)).bit_length() - 1
+    # h:shard:bits of its ids' hashes that deal a group on
+    named = [f"{r.h}:{at.get(r.h, -1)}:{min(30, max(0, int(r.bytes * (1 << bits) // max(total, 1)).bit_length()))}" for r in groups]
+    entry = F.split("entry", ":")
+    large = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(",".join(named)), ",")).alias("entry"))
+    large = large.where("entry != ''").select(entry[0].cast("long").alias(_H), entry[1].cast("int").alias("_shard_to"), entry[2].cast("int").alias("_shard_bits"))
+
+    pool = keys.join(F.broadcast(large.where("_shard_to >= 0").withColumnRenamed(_H, "h")), "h", "left_anti")
+    left = total - sum(sizes)
+    share = left / sum(rest) if sum(rest) else 0.0
+    targets = [int(share * sum(rest[:k])) for k in range(1, shards)]
+    bounds = splitters(pool, targets, tolerance * each, each)
     bounds.sort(key=lambda b: (b.hash, b.id))
-    rows_before = [0] + [b.rows for b in bounds]
-    if len(rows_before) == 1:
-        rows_before = [0] * n
-    inside = [rows_before[k] - rows_before[k // runs * runs] for k in range(n)]
+
+    placed = F.coalesce(F.when(F.col("_shard_to") >= 0, F.col("_shard_to")), _place(bounds, 0, len(bounds)))
+    sub = F.coalesce(F.expr(f"shiftright({_D}, {HASH_BITS} - _shard_bits)"), F.lit(0).cast("long"))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(large), _H, "left").withColumns({_SHARD: placed, _BIN: F.shiftrightunsigned(_H, HASH_BITS - bits), _SUB: sub}).drop("_shard_to", "_shard_bits")
+
+    # rows before each bin of a shard: a row for each bin
+    place = [_SHARD, _BIN, _SUB]
+    counted = written(binned(keys.select(F.col("h").alias(_H), F.col("d").alias(_D))).groupBy(place).agg(F.count("*").alias("n")))
+    before = Window.partitionBy(_SHARD).orderBy(_BIN, _SUB).rowsBetween(Window.unboundedPreceding, -1)
+    base = counted.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias(_BASE))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    # the comparisons' columns have names that a table is not likely to use, and end with this function
-    keyed = docs.select(*kept, h.alias(_H), d.alias(_D)).withColumn(_RUN, _place(bounds, 0, len(bounds)))
-    rank = F.row_number().over(Window.partitionBy(_RUN).orderBy(_H, _D))
-    offset = F.element_at(F.lit(inside), F.col(_RUN) + 1)
-    return keyed.withColumn(_RANK, rank).select(*kept, (F.col(_RUN) / runs).cast("int").alias("shard"), (F.col(_RANK) - 1 + offset).cast("long").alias("slot"))
+    # the added columns have names that a table is not likely to use, and end with this function
+    rank = F.row_number().over(Window.partitionBy(place).orderBy(_H, _D))
+    ranked = binned(docs.select(*kept, h.alias(_H), d.alias(_D))).withColumn(_RANK, rank)
+    return ranked.join(base, place).select(*kept, F.col(_SHARD).alias("shard"), (F.col(_RANK) - 1 + F.col(_BASE)).alias("slot"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from paperloom.llm import _common, bpe_codec, decontaminate, license_scan, lm_scores, ngram_jaccard, quality_rules, sharding, token_counts, token_files, toxicity  # noqa: E402
+from paperloom.llm import _common, bpe_codec, decontaminate, license_scan, lm_scores, ngram_jaccard, quality_rules, queries, sharding, token_counts, token_files, toxicity  # noqa: E402
 
 BASE = "the quick brown fox jumps over the lazy dog and runs far away into the deep dark wood where nobody ever goes at night"
 ROWS = [
@@ -408,10 +408,18 @@ def test_sharding(spark, docs, nothing):
         slots[r.shard].append(r.slot)
         size[r.shard] += len(r.text) + 16
     assert sorted(slots) == list(range(7)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 7 + 700
+    assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 7 + 330
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    shards_of = defaultdict(set)
+    for r in got:
+        shards_of[r.text].add(r.shard)
+    share = sum(size.values()) / 7
+    weight = Counter()
+    for _, t in rows:
+        weight[t] += len(t) + 16
+    assert all(len(s) == 1 for t, s in shards_of.items() if weight[t] <= share) and max(weight.values()) > share
     few = sharding.shard(docs)
-    assert few.columns == [*docs.columns, "shard", "slot"] and few.count() == len(ROWS)
+    assert few.columns == [*docs.columns, "shard", "slot"] and Counter((r.doc_id, r.text) for r in few.collect()) == Counter(ROWS)
     by = defaultdict(list)
     for r in few.collect():
         by[r.shard].append(r.slot)
@@ -419,6 +427,21 @@ def test_sharding(spark, docs, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_sharding_query(spark, tmp_path):
+    """The query's columns against what they are defined as."""
+    rows = [(i * (1 << 40) - (1 << 62) if i % 2 else i, None if i % 50 == 7 else "é" * (i % 90) + str(i % 300)) for i in range(2000)] + [(None, "x"), ((1 << 63) - 1, "y"), (-(1 << 63), "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_sharding(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 16
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == Counter((d, size(t), zlib.crc32((t or "").encode()), "bytes", None) for d, t in rows)
+    total, slots = Counter(), defaultdict(list)
+    for r in got:
+        total[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert set(total) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(total.values()) - min(total.values()) <= 0.03 * sum(total.values()) / 40 + 2 * max(size(t) for _, t in rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
