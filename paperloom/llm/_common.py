@@ -7,6 +7,7 @@ as ``bytes.lower()`` does. Both run in C and never look at Unicode tables.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from contextlib import contextmanager
 from itertools import chain, repeat
@@ -65,10 +66,28 @@ def written(df: DataFrame) -> DataFrame:
 
     A result that reads the table needs it: outside :func:`tables_of` it stays as long as the session.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCOPES[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    sweep(spark)
+    return out
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that no plan can reach any more; it finds them when the driver collects its garbage, which may be never."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that :func:`written` made, once nothing that is still to run reads it."""
+    for scope in _SCOPES:
+        if table._loom_path in scope:
+            scope.remove(table._loom_path)
+    release(table.sparkSession, [table._loom_path])
 
 
 def release(spark: SparkSession, tables: list[str]) -> None:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, fold_of, grouped, hashed_words, mixed, most_frequent, signed, slices, written
+from ._common import _STEP, discard, fold_of, grouped, hashed_words, mixed, most_frequent, signed, slices, written
 from .ngram_jaccard import _is_set, bitmap
 
 FOLDS, HELD_OUT = 5, 1
@@ -196,6 +196,7 @@ def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int) -> tuple
     joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context")
     arcs = joined.withColumn("p", (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low"))
     arcs = written(arcs.select("key", "context", "suffix", "c", "p", (F.log10("p") - F.log10("low")).alias("lift"), (F.log10("p") - F.log10("low") - F.col("backoff")).alias("v")))
+    discard(grams)
     return arcs, states.select("context", "key", "top", "v")
 
 

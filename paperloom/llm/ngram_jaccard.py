@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, components, hashed_words, most_frequent, shingle_hashes, signed, slices, written
+from ._common import checkpointed, components, discard, hashed_words, most_frequent, shingle_hashes, signed, slices, written
 
 WORDS, PERCENT = 3, 90
 #: An n-gram's count in a batch is passed on from here; at most so many n-grams rank by count.
@@ -108,6 +108,7 @@ def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEA
 
     counts = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     top = most_frequent(counts, "n", heavy, ["h", "n"])
+    discard(counts)
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -408,7 +409,10 @@ def labelled_classes(docs: DataFrame, k: int, percent: int, heavy: int) -> DataF
     ends = more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()
     above = components(ends)
     found = classes.select("d1", "d2", "cid", "low").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    return written(found.join(above.toDF("root", "top"), "root", "left").select("d1", "d2", F.coalesce("top", "root").alias("root"), "low"))
+    labels = written(found.join(above.toDF("root", "top"), "root", "left").select("d1", "d2", F.coalesce("top", "root").alias("root"), "low"))
+    for table in (classes, entries, pivots, tries, left, cells, pairs, large):
+        discard(table)
+    return labels
 
 
 def keyed(docs: DataFrame, text_col: str, k: int, names: list[str]) -> DataFrame:
