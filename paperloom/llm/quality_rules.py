@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, shingle_hashes, word_hashes
-from .toxicity import labelled_sample
+from .toxicity import labelled_sample, one_row_each
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SAMPLE = 10_000
@@ -153,7 +153,7 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, monotone: list[int],
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Trees:
     """Fits the trees to ``labels.quality``."""
     picked = labelled_sample(docs, labels, "quality", sample)
-    texts = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
+    texts = one_row_each(docs, picked, text_col)
 
     def run(batches):
         cache = WordHashes()

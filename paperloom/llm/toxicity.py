@@ -1,26 +1,28 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-Terms of a text: its words (runs of letters and digits of the lower-cased text) and, for each word,
+Terms of a text: its words (runs of letters and digits of the lower-cased text) and, for each longer word,
 its first 3, 4, 5 and 6 characters, so that forms of one stem share terms. A term's value is the square
-root of its share of the text's words: each kind of term is then a unit vector whatever the length.
+root of its share of the text's words: each kind of term is then a unit vector at most, whatever the length.
 Score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j): the pairwise part learns that two
 harmless terms together (an insult and a group's name) are not harmless, which additive weights can't.
 
-The model is trained on the driver, by AdaGrad, on a bounded sample of labelled rows: at most
-``SAMPLE`` of each class, taken in the order of a hash of their ids, each class weighted back to its
-true share. Terms that fewer than ``LEAST_DOCS`` sampled documents have are left out. The sampled
+The model is trained on the driver, by AdaGrad that touches a batch's terms only, on a bounded sample of labelled rows: at most
+``SAMPLE`` ids of each class, taken in the order of a hash of their ids, each class weighted back to its
+true share, and one row of each id. No term is left out for telling little by itself, only those that fewer than ``LEAST_DOCS`` sampled documents have. The sampled
 documents' terms are hashed on the executors. The model (a table of 2^18 terms by 1 + FACTORS floats,
-7 MB) is broadcast and scoring is one narrow pass over whole texts.
+7 MB) is broadcast and scoring is one narrow pass over whole texts, whatever their length.
 
 Labels, lang, source and doc_id are never inputs of a score. Null text: as empty. Empty text: no
-terms, the score is the bias alone. No labelled rows of one class: all scores are that class's prior.
-Repeated rows: a row each. Labels that repeat a doc_id with both values: the higher counts.
+terms, the score is the bias alone. No labelled rows of one class, or an empty table: all scores are that class's prior (0 if none is known).
+Repeated rows: a row each; ids that stand on several texts teach by the text that sorts first. Labels that repeat a doc_id with both values: the higher counts.
+Ties: a score of 0.5 is predicted 1. Extra columns: ignored by :func:`score_documents`, kept by :func:`drop_toxic`, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,7 @@ BITS, FACTORS = 18, 6
 PREFIXES = (3, 4, 5, 6)
 SAMPLE = 3000
 LEAST_DOCS = 3
-TERMS = 1024
-EPOCHS = 20
+EPOCHS = 12
 #: Values are square roots of shares, mostly under 0.1; this brings them to the scale of the weights.
 SCALE = 10.0
 FOLDS = 5
@@ -45,11 +46,11 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 class WordTerms(dict):
-    """word -> row of term numbers: the word, then its prefixes."""
+    """word -> its term numbers: the word, then its prefixes."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         mask = (1 << BITS) - 1
-        row = (xxhash.xxh3_64_intdigest(word) & mask, *(xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") & mask for n in PREFIXES))
+        row = (xxhash.xxh3_64_intdigest(word) & mask, *(xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") & mask for n in PREFIXES if len(word) >= n))
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS // 2:
                 self.clear()
@@ -62,10 +63,11 @@ def terms(text: str | None, cache: WordTerms) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(WORD.findall((text or "").lower()))
     if not counts:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    table = np.array([cache[w] for w in counts], np.int32)
+    rows = [cache[w] for w in counts]
     share = np.fromiter(counts.values(), np.float64, len(counts))
-    numbers, at = np.unique(table.ravel(), return_inverse=True)
-    share = np.bincount(at.ravel(), np.repeat(share / share.sum(), table.shape[1]))
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    numbers, at = np.unique(np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum())), return_inverse=True)
+    share = np.bincount(at, np.repeat(share / share.sum(), lengths))
     return numbers.astype(np.int32), (SCALE * np.sqrt(share)).astype(np.float32)
 
 
@@ -84,51 +86,48 @@ class FactorizationMachine:
         return 1.0 / (1.0 + np.exp(-min(max(z, -60.0), 60.0)))
 
 
-def chosen_terms(seen: np.ndarray, with_label: np.ndarray, n: int, n_label: int) -> np.ndarray:
-    """The TERMS terms whose presence tells most about the label, by chi-square, of those that enough documents have."""
-    found = np.flatnonzero(seen >= min(LEAST_DOCS, 1 + n // 20))
-    a, b = with_label[found].astype(float), (seen - with_label)[found].astype(float)
-    c, d = n_label - a, (n - n_label) - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    return np.sort(found[np.argsort(-chi, kind="stable")[:TERMS]])
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 7, epochs: int = EPOCHS, rate: float = 0.2, batch: int = 128, l1: float = 2e-3) -> FactorizationMachine:
+    """AdaGrad on the weighted logistic loss; a batch changes the weights and factors of its own terms.
 
-
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, seed: int = 7, epochs: int = EPOCHS, rate: float = 0.3, batch: int = 128, shrink: float = 2e-5) -> FactorizationMachine:
-    """AdaGrad on the weighted logistic loss."""
+    The L1 penalty takes back to 0 what the gradients of many documents don't keep up.
+    """
     size = 1 << BITS
     out_w, out_v = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(40.0 if share else -40.0, out_w, out_v)
     seen = np.bincount(np.concatenate([n for n, _ in rows]), minlength=size)
-    with_label = np.bincount(np.concatenate([n for (n, _), y in zip(rows, labels, strict=True) if y]), minlength=size)
-    active = chosen_terms(seen, with_label, len(rows), int(labels.sum()))
+    active = np.flatnonzero(seen >= min(LEAST_DOCS, 1 + len(rows) // 20))
     place = np.full(size, -1, np.int64)
     place[active] = np.arange(len(active))
     rows = [(place[n][place[n] >= 0], v[place[n] >= 0]) for n, v in rows]
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(active)), rng.normal(0, 0.05, (len(active), FACTORS))
-    b, gw, gv, gb = np.log(share / (1 - share)), np.full(len(active), 1e-6), np.full((len(active), FACTORS), 1e-6), 1e-6
+    w, v = np.zeros(len(active)), rng.normal(0, 0.02, (len(active), FACTORS))
+    b, gw, gv, gb = np.log(share / (1 - share)), np.full(len(active), 1e-3), np.full((len(active), FACTORS), 1e-3), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
             lengths = np.array([len(rows[i][0]) for i in part])
-            number, x = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part]).astype(np.float64)
-            owner = np.repeat(np.arange(len(part)), lengths)
-            vx = v[number] * x[:, None]
-            total = np.stack([np.bincount(owner, vx[:, f], len(part)) for f in range(FACTORS)], 1)
-            z = b + np.bincount(owner, w[number] * x, len(part)) + 0.5 * ((total**2).sum(1) - np.bincount(owner, (vx**2).sum(1), len(part)))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * weights[part]
-            used, at = np.unique(number, return_inverse=True)
-            dw = np.bincount(at, g[owner] * x) / len(part) + shrink * w[used]
-            dv = np.stack([np.bincount(at, g[owner] * x * (total[owner, f] - vx[:, f])) for f in range(FACTORS)], 1) / len(part) + shrink * v[used]
+            used, at = np.unique(np.concatenate([rows[i][0] for i in part]), return_inverse=True)
+            if not len(used):
+                continue
+            # the batch as a matrix of its documents by its terms
+            x = np.zeros((len(part), len(used)), np.float32)
+            x[np.repeat(np.arange(len(part)), lengths), at] = np.concatenate([rows[i][1] for i in part])
+            x2, vu = x * x, v[used]
+            total = x @ vu
+            z = b + x @ w[used] + 0.5 * ((total**2).sum(1) - (x2 @ (vu * vu)).sum(1))
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * weights[part] / len(part)
+            dw = g @ x
+            dv = x.T @ (g[:, None] * total) - (g @ x2)[:, None] * vu
             gw[used] += dw**2
             gv[used] += dv**2
-            w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
-            gb += g.mean() ** 2
-            b -= rate * g.mean() / np.sqrt(gb)
+            for table, step, slope in ((w, rate / np.sqrt(gw[used]), dw), (v, 0.3 * rate / np.sqrt(gv[used]), dv)):
+                moved = table[used] - step * slope
+                table[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+            gb += g.sum() ** 2
+            b -= rate * g.sum() / np.sqrt(gb)
     out_w[active], out_v[active] = w, v
     return FactorizationMachine(float(b), out_w, out_v)
 
@@ -139,7 +138,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, sample: int
     With ``folds``, rows whose id falls in fold 0 are never taken.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id")
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
     if folds:
         known = known.where(fold_of(F.col("doc_id"), folds) != 0)
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -151,10 +150,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, sample: int
     return picked
 
 
+def one_row_each(docs: DataFrame, picked: DataFrame, text_col: str) -> DataFrame:
+    """(doc_id, text, label, weight): of each picked id one row, the text that sorts first; as many rows as ids at most."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct("text", "label", "weight")).alias("r"))
+    return one.select("doc_id", "r.text", "r.label", "r.weight")
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE, folds: int | None = FOLDS) -> FactorizationMachine:
     """Trains on ``labels.toxic`` of rows outside fold 0."""
     picked = labelled_sample(docs, labels, "toxic", sample, folds)
-    texts = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * sample rows at most
+    texts = one_row_each(docs, picked, text_col)
 
     def run(batches):
         cache = WordTerms()

@@ -242,6 +242,51 @@ def test_factorization_machine_learns_a_pair():
     assert right >= 0.97 * len(rows)
 
 
+def hidden_pair(seed, n=1500, weak=1400):
+    """Terms 11 and 22 decide the label together only; each of 1,400 others leans a little to one label."""
+    rng, rows, y = np.random.default_rng(seed), [], []
+    lean = np.random.default_rng(9).normal(0, 0.35, weak)
+    for k in range(n):
+        one, two = k % 2, k // 2 % 2
+        toxic = one and two
+        have = 2000 + np.flatnonzero(rng.random(weak) < 1 / (1 + np.exp(3.2 - lean * (1 if toxic else -1))))
+        have = np.array(sorted([*have.tolist(), *[11] * one, *[22] * two]))
+        rows.append((have, np.full(len(have), 10 / np.sqrt(len(have)), np.float32)))
+        y.append(float(toxic))
+    return rows, np.array(y)
+
+
+def test_factorization_machine_learns_a_pair_among_many_terms():
+    rows, y = hidden_pair(1)
+    model = toxicity.train(rows, y, np.ones(len(y)))
+    fresh, truth = hidden_pair(2)
+    assert np.mean([(model.score(*r) >= 0.5) == (t == 1) for r, t in zip(fresh, truth, strict=True)]) >= 0.97
+    assert model.factors[11] @ model.factors[22] > 0.5
+
+
+def test_toxicity_scores_match_the_formula(spark, docs):
+    rng = np.random.default_rng(3)
+    size = 1 << toxicity.BITS
+    model = toxicity.FactorizationMachine(-0.3, rng.normal(0, 0.5, size).astype(np.float32), rng.normal(0, 0.3, (size, toxicity.FACTORS)).astype(np.float32))
+    want = Counter()
+    for d, t in ROWS:
+        found = Counter(toxicity.WORD.findall((t or "").lower()))
+        share = Counter()
+        for w, n in found.items():
+            for key in [w, *(f"{k}:{w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k)]:
+                share[toxicity.xxhash.xxh3_64_intdigest(key) % size] += n / sum(found.values())
+        x = {i: 10 * math.sqrt(v) for i, v in share.items()}
+        z = model.bias + sum(float(model.weights[i]) * v for i, v in x.items())
+        z += sum(float(model.factors[i] @ model.factors[j]) * x[i] * x[j] for i in x for j in x if i < j)
+        p = 1 / (1 + math.exp(-max(min(z, 60), -60)))
+        want[d, round(p, 3), int(p >= 0.5)] += 1
+    assert Counter((r.doc_id, round(r.score, 3), r.predicted) for r in toxicity.score_documents(docs, model).collect()) == want
+    # an id on several texts, and labels that repeat: one row of each id teaches
+    lab = spark.createDataFrame([(3, 1, 0), (3, 1, 1), (7, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
+    picked = toxicity.labelled_sample(docs, lab, "toxic", 10)
+    assert sorted((r.doc_id, r.label) for r in toxicity.one_row_each(docs, picked, "text").collect()) == [(3, 1), (7, 0)]
+
+
 @pytest.fixture(scope="module")
 def encoding():
     import tiktoken
