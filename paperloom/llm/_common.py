@@ -122,6 +122,13 @@ def most_frequent(counts: DataFrame, freq: str, most: int, columns: list[str]):
     return chosen.select(columns).limit(most).toArrow()
 
 
+def fresh_name(df: DataFrame, name: str = "_loom") -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (a null id: fold of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")

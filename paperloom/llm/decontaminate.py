@@ -9,16 +9,17 @@ number of shingles. A partition whose largest item has n shingles keeps, of each
 shingle hashes, k = floor(0.2 n) + 1. A document that contains 0.8 of an item misses at most
 floor(0.2 n) of its shingles, so it shares at least one of those k hashes (k - misses, in general):
 the sketch size follows from the partition's size bound and the search has no false negatives. On the
-document's side the sketch is all hashes under the largest hash that any item keeps, which is the same
+document's side a partition's sketch is all hashes under the largest that any of its items keeps, which is the same
 sampling rate; documents smaller than an item's bound are passed over. Candidates are then verified
 by exact shingle containment on the words themselves.
 
 Items are few and short next to the corpus. They go to the executors in blocks of ``BLOCK_BYTES`` of
-text at most (checked), each block against all documents in a narrow pass; there is no shuffle, so
-copies, hot sources or a passage in every document move nothing.
+text, a longer item in a block of its own, each block against all documents in a narrow pass; there is no shuffle, so
+copies, hot sources or a passage in every document move nothing. Items of equal text are one in their block.
 
-Null or empty text: no shingles, neither found nor finding. Repeated documents: a row each. Repeated
-items: a row each. Extra columns: ignored by :func:`contained_items`, kept by :func:`drop_contaminated`.
+Null or empty text: no shingles, neither found nor finding. Repeated documents, and null, negative or repeated ids: a row each. Repeated
+items: a row each. Very long documents and items: taken whole. Ties: an item at exactly 0.8 is found. Empty tables: no rows found, all documents kept.
+Extra columns: ignored by :func:`contained_items`, kept by :func:`drop_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, shingle_hashes, word_hashes
+from ._common import WordHashes, fresh_name, hashed_words, shingle_hashes, slices, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -55,64 +56,77 @@ class Sketches:
 
     def __init__(self, items: list[tuple[int, bytes]], k: int = WORDS, percent: int = PERCENT):
         self.k, self.percent = k, percent
+        ids: dict[bytes, list] = defaultdict(list)
+        for i, t in items:
+            ids[t].append(i)
         cache = WordHashes()
-        hashes = [np.unique(shingle_hashes(word_hashes(t.lower().split(), cache), k)) for _, t in items]
-        self.items = [(i, t, len(h)) for (i, t), h in zip(items, hashes, strict=True)]
-        largest: dict[int, int] = defaultdict(int)
-        for h in hashes:
+        found = [(t, np.unique(shingle_hashes(word_hashes(t.lower().split(), cache), k))) for t in ids]
+        self.items = [(ids[t], len(h), _windows(t.lower().split(), k)) for t, h in found]
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for at, (_, h) in enumerate(found):
             if len(h):
-                largest[len(h).bit_length()] = max(largest[len(h).bit_length()], len(h))
-        kept: dict[int, list[int]] = defaultdict(list)
-        self.hits_needed = np.zeros(len(items), np.int64)
-        for at, h in enumerate(hashes):
-            n = len(h)
-            if n:
-                top = largest[n.bit_length()]
+                by_size[len(h).bit_length()].append(at)
+        self.hits_needed = np.zeros(len(found), np.int64)
+        #: Of each size: the kept hashes in order, and the items that keep each.
+        self.parts = []
+        for places in by_size.values():
+            top = max(len(found[at][1]) for at in places)
+            kept: dict[int, list[int]] = defaultdict(list)
+            for at in places:
+                h = found[at][1]
+                n = len(h)
                 size = min(n, top - _need(top, percent) + 1)
                 self.hits_needed[at] = max(1, size - (n - _need(n, percent)))
                 for x in h[:size].tolist():
                     kept[x].append(at)
-        self.hashes = np.array(sorted(kept), np.uint64)
-        self.owners = [kept[x] for x in self.hashes.tolist()]
-        self.highest = self.hashes[-1] if len(self.hashes) else np.uint64(0)
-        self.windows = [_windows(t.lower().split(), k) for _, t in items]
-
-    def find(self, text: bytes, cache: WordHashes) -> list[tuple[int, int]]:
-        """(item's place, shingles shared) of all items that the text contains."""
-        if not len(self.hashes):
-            return []
-        words = text.lower().split()
-        h = shingle_hashes(word_hashes(words, cache), self.k)
-        low = np.unique(h[h <= self.highest])
-        if not len(low):
-            return []
-        at = np.searchsorted(self.hashes, low)
-        hit = at[self.hashes[np.minimum(at, len(self.hashes) - 1)] == low]
-        if not len(hit):
-            return []
-        counts = Counter(owner for x in hit.tolist() for owner in self.owners[x])
+            hashes = np.array(sorted(kept), np.uint64)
+            self.parts.append((hashes, [kept[x] for x in hashes.tolist()]))
+
+    def find(self, text: bytes, h: np.ndarray) -> list[tuple[int, int]]:
+        """(item's place, shingles shared) of all items that the text contains; h: the hashes of its shingles."""
         found, own = [], None
-        for item, n in counts.items():
-            size = self.items[item][2]
-            if n >= self.hits_needed[item] and len(h) >= _need(size, self.percent):
-                own = _windows(words, self.k) if own is None else own
-                shared = len(self.windows[item] & own)
-                if shared * 100 >= self.percent * len(self.windows[item]):
-                    found.append((item, shared))
+        for hashes, owners in self.parts:
+            low = np.unique(h[h <= hashes[-1]])
+            at = np.searchsorted(hashes, low)
+            counts = Counter(owner for x in at[hashes[at] == low].tolist() for owner in owners[x])
+            for item, n in counts.items():
+                _, size, shingles = self.items[item]
+                if n >= self.hits_needed[item] and len(h) >= _need(size, self.percent):
+                    own = _windows(text.lower().split(), self.k) if own is None else own
+                    shared = len(shingles & own)
+                    if shared * 100 >= self.percent * len(shingles):
+                        found.append((item, shared))
         return found
 
+    def search(self, texts: pa.Array):
+        """(row, item's place, shingles shared) of all texts."""
+        hashes, counts = hashed_words(texts)
+        ends = np.cumsum(counts)
+        for row in np.flatnonzero(counts).tolist() if self.parts else ():
+            h = shingle_hashes(hashes[ends[row] - counts[row] : ends[row]], self.k)
+            text = None
+            for hashes_, _ in self.parts:
+                if text is None and len(h) and h.min() <= hashes_[-1]:
+                    text = texts[row].as_py()
+            if text is not None:
+                for item, shared in self.find(text, h):
+                    yield row, item, shared
+
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
-    """Items as lists for the driver, a block of bounded size at a time."""
+    """Items as lists for the driver, a block of bounded size at a time; an item over that is alone."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes))
-    for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        size = block.agg(F.sum(F.octet_length("t"))).first()[0] or 0 if n > 1 else total
-        if size > 2 * block_bytes:
-            raise ValueError(f"a block of {size} bytes of items is over the bound of {2 * block_bytes}: one item is too long")
-        yield [(r.i, bytes(r.t)) for r in block.collect()]
+    block, texts, size = [], set(), 0
+    for r in rows.toLocalIterator():
+        text = bytes(r.t)
+        more = 0 if text in texts else len(text)
+        if block and size + more > block_bytes:
+            yield block
+            block, texts, size = [], set(), 0
+        block.append((r.i, text))
+        texts.add(text)
+        size += len(text) if more or not size else 0
+    yield block
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -124,11 +138,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         sent = spark.sparkContext.broadcast(Sketches(block, k, percent))
 
         def run(batches, sent=sent):
-            sketches, cache = sent.value, WordHashes()
-            for batch in batches:
-                found = [(d, *sketches.items[i][::2], n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for i, n in sketches.find(t, cache)]
-                d, i, size, n = zip(*found) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (d, i, size, n)), pa.array([a / b for a, b in zip(n, size, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+            sketches = sent.value
+            for batch in slices(batches):
+                found = [(row, i, sketches.items[item][1], n) for row, item, n in sketches.search(batch.column(1)) for i in sketches.items[item][0]]
+                row, i, size, n = zip(*found) if found else ((), (), (), ())
+                cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (i, size, n)), pa.array([a / b for a, b in zip(n, size, strict=True)], pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         part = rows.mapInArrow(run, SCHEMA)
         out = part if out is None else out.union(part)
@@ -142,10 +157,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         sent = spark.sparkContext.broadcast(Sketches(block, k, percent))
 
         def run(batches, sent=sent):
-            sketches, cache = sent.value, WordHashes()
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not (t and sketches.find(t.encode(), cache)) for t in texts], pa.bool_()))
+            sketches = sent.value
+            for batch in slices(batches):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, _, _ in sketches.search(batch.column(batch.num_columns - 1))]] = False
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.col(text_col).cast("binary").alias(fresh_name(docs))).mapInArrow(run, docs.schema)
     return docs
