@@ -13,8 +13,8 @@ A text's score is what one traversal from left to right adds up: the state is ca
 follows its arc or failure arcs down to a state that has one, and state 0 has every known token. Many texts are traversed side
 by side, a token at a step; a long one is cut, and a cut's state is what the ``ORDER`` - 1 tokens before it lead to from state 0.
 
-The model is as large as the corpus makes it. The *hot* automaton, all arcs that occur at least so often that ``ARCS`` of them
-are enough, goes to the executors, as do the ``HOT`` most frequent tokens. What it lacks comes by a join: an arc's log-probability
+The model is as large as the corpus makes it. The *hot* automaton, of each size of n-gram all arcs that occur at least so often that ``ARCS`` are
+enough for all sizes, goes to the executors, as do the ``HOT`` most frequent tokens. What it lacks comes by a join: an arc's log-probability
 is its shorter context's, plus the state's backoff weight, plus a *gain*, so that a traversal of the whole automaton adds to that of the hot
 one just the weights and gains of the contexts and arcs that are not hot, each of which is a key of the text's own n-grams. No
 frequent key takes part in the join, and a bitmap of fixed size spares it most keys that the model doesn't have. These sizes change no score.
@@ -35,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, discard, fold_of, grouped, hashed_words, mixed, most_frequent, signed, slices, written
+from ._common import _STEP, discard, fold_of, grouped, hashed_words, mixed, signed, slices, written
 from .ngram_jaccard import _is_set, bitmap
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
-HOT, ARCS = 1 << 21, 1 << 20
+HOT, ARCS = 1 << 21, 1 << 21
 DISCOUNT = 0.75
 #: The end token's hash.
 END = mixed(np.array([0x5851F42D4C957F2D], np.uint64))[0]
@@ -167,37 +167,44 @@ def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
 
 
-def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Arcs (key, context, suffix, c, p, lift, v) and states (context, key, top, v) of n-grams of ``size`` tokens.
+def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Arcs (key, c, v, p, context, suffix, lift), states (key, top, v, context) of n-grams of ``size`` tokens, and the count from which on they are hot.
 
-    v is an arc's gain and a state's weight; top the count of a state's most frequent arc.
+    v is an arc's gain and a state's weight; top the count of a state's most frequent arc; lift the log-probability less the suffix's. What only the hot ones
+    need, context, suffix and lift, only these have, and only a level that another is built on has p.
     ``shorter``: (key, c, p) of the n-grams one token shorter. It has every n-gram's context and suffix, as
-    these occur as often at least.
+    these occur as often at least; so what is hot here, from ``least`` on, has a hot context and suffix. At most ``most`` arcs are hot.
     """
 
     def keyed(batches):
         for batch in batches:
             context, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in ("context", "suffix"))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(gram_keys(context, suffix))), *(batch.column(k) for k in ("context", "suffix", "c", "low"))], ["key", "context", "suffix", "c", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(gram_keys(context, suffix))), *batch.columns], ["key", *batch.schema.names])
 
     def weighted(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(weight_keys(batch.column(0).to_numpy().view(np.uint64)))), *batch.columns], ["key", *batch.schema.names])
 
     low = ngrams(texts, size, tokens).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
-    grams = written(low.mapInArrow(keyed, "key long, context long, suffix long, c long, low double"))
+    grams = written(low)
+    hot = max(least, hot_count(grams, most))
     sums = grams.groupBy("context").agg(F.max("c").alias("top"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
     # every context is followed by a token; of its continuations that are no arcs each occurs once
     states = sums.join(shorter.select(F.col("key").alias("context"), F.col("c")), "context")
     states = states.withColumn("mass", DISCOUNT * (F.col("arcs") + F.col("c") - F.col("arcs_c")) / F.col("c"))
     here = (F.col("arcs_c") - DISCOUNT * F.col("arcs")) / F.col("c") + F.col("mass") * F.col("arcs_low")
     weight = F.log10(F.greatest(1 - here, F.lit(1e-12)) / F.greatest(1 - F.col("arcs_low"), F.lit(1e-12)))
-    states = written(states.select("context", "top", "c", "mass", weight.alias("v")).mapInArrow(weighted, "key long, context long, top long, c long, mass double, v double"))
-    joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context")
-    arcs = joined.withColumn("p", (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low"))
-    arcs = written(arcs.select("key", "context", "suffix", "c", "p", (F.log10("p") - F.log10("low")).alias("lift"), (F.log10("p") - F.log10("low") - F.col("backoff")).alias("v")))
+    states = written(states.select("context", "top", "c", "mass", weight.alias("v")))
+    joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context").select("context", "suffix", "c", "low", "total", "mass", "backoff")
+    joined = joined.mapInArrow(keyed, "key long, context long, suffix long, c long, low double, total long, mass double, backoff double")
+    p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low")
+    lift = F.log10(p) - F.log10("low")
+    is_hot = F.col("c") >= hot
+    arcs = written(joined.select("key", "c", (lift - F.col("backoff")).alias("v"), F.when(F.lit(not last), p).alias("p"), *(F.when(is_hot, F.col(c)).alias(c) for c in ("context", "suffix")), F.when(is_hot, lift).alias("lift")))
     discard(grams)
-    return arcs, states.select("context", "key", "top", "v")
+    weights = written(states.select("context", "top", "v").mapInArrow(weighted, "key long, context long, top long, v double").select("key", "top", "v", F.when(F.col("top") >= hot, F.col("context")).alias("context")))
+    discard(states)
+    return arcs, weights, hot
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,15 +308,11 @@ class Automaton:
         return out
 
 
-def hot_count(parts: list[DataFrame], most: int) -> int:
-    """The lowest count from which on all arcs together are ``most`` at most, to a sixteenth of a doubling."""
-    bins: dict[int, list[int]] = {}
-    for part in parts:
-        for r in part.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 16).alias("f")).agg(F.min("c").alias("low"), F.count("*").alias("n")).collect():
-            have = bins.setdefault(r.f, [r.low, 0])
-            bins[r.f] = [min(have[0], r.low), have[1] + r.n]
+def hot_count(counts: DataFrame, most: int) -> int:
+    """The lowest count c from which on all rows together are ``most`` at most, to a sixteenth of a doubling."""
+    bins = counts.groupBy(F.floor(F.log2(F.col("c").cast("double")) * 16).alias("f")).agg(F.min("c").alias("low"), F.count("*").alias("n")).collect()
     lowest, total = 1 << 62, 0
-    for _, (low, n) in sorted(bins.items(), reverse=True):
+    for _, low, n in sorted(bins, reverse=True):
         total += n
         if total > most:
             break
@@ -325,27 +328,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     counts = written(unigrams(texts))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     scale = n + 0.5 * (v + 1)
-    top = most_frequent(counts, "c", hot_tokens, ["h", "c"])
+    often = hot_count(counts, hot_tokens)
+    top = counts.where(F.col("c") >= often).select("h", "c").toArrow()
     hot_h, hot_c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     by = np.argsort(hot_h)
     tokens = counts.select(F.col("h").alias("key"), "c", ((F.col("c") + 0.5) / F.lit(scale)).alias("p"))
-    arcs, states, shorter = [], [], tokens
+    cold = tokens.where("false").select("key", F.col("p").alias("v"))
+    hot_arcs, hot_states, shorter, least = [], [], tokens, 2
     for size in range(2, order + 1):
-        shorter, weights = level(texts, shorter, size, n)
-        arcs.append(shorter)
-        states.append(weights)
-    hot = hot_count(arcs, most_arcs)
-    hot_arcs, hot_states = [], []
-    for a, s in zip(arcs, states, strict=True):
-        table = a.where(F.col("c") >= hot).select("key", "context", "suffix", "lift").toArrow()
+        shorter, states, least = level(texts, shorter, size, n, least, most_arcs // (order - 1), size == order)
+        table = shorter.where(F.col("c") >= least).select("key", "context", "suffix", "lift").toArrow()
         hot_arcs.append((*(table.column(c).to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), table.column("lift").to_numpy()))
-        table = s.where(F.col("top") >= hot).select("context", "v").toArrow()
+        table = states.where(F.col("top") >= least).select("context", "v").toArrow()
         hot_states.append((table.column("context").to_numpy().view(np.uint64), table.column("v").to_numpy()))
-    model = tokens.select("key", F.log10("p").alias("v"), F.lit(True).alias("token"))
-    cold = tokens.select("key", "p").where("false").select("key", F.col("p").alias("v"))
-    for a, s in zip(arcs, states, strict=True):
-        cold = cold.union(a.where(F.col("c") < hot).select("key", "v")).union(s.where(F.col("top") < hot).select("key", "v"))
-    model = model.union(cold.select("key", "v", F.lit(False)))
+        cold = cold.union(shorter.where(F.col("c") < least).select("key", "v")).union(states.where(F.col("top") < least).select("key", "v"))
+    model = tokens.where(F.col("c") < often).select("key", F.log10("p").alias("v"), F.lit(True).alias("token")).union(cold.select("key", "v", F.lit(False)))
     # two places for each key
     second = F.shiftrightunsigned("key", 32)
     places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
