@@ -6,13 +6,14 @@ splits on the logistic loss, of small depth, with monotonic constraints, so that
 repeated lines, words or windows can never raise a score. The trees are flattened into numpy arrays
 (feature, threshold, left, right, value) and a batch of documents descends all of them at once.
 
-They are fitted on the driver to the statistics of at most ``SAMPLE`` labelled rows of each class, taken
-in the order of a hash of their ids and weighted back to the classes' true shares. The arrays are a few
-KB; scoring is one narrow pass over whole texts.
+They are fitted on the driver to the statistics of at most ``SAMPLE`` labelled ids of each class, taken
+in the order of a hash of their ids and weighted back to the classes' true shares, and one row of each id. The arrays are a few
+KB; scoring is one narrow pass over whole texts, whatever their length.
 
 Words are runs of bytes other than ASCII white space. Null or empty text: no words, fails the fixed rule.
-No labelled rows of one class: the trees are empty and the fixed rule alone decides. Repeated rows: a
-row each. Extra columns: ignored by :func:`judge`, kept by :func:`drop_failed`.
+No labelled rows of one class: the trees are empty and the fixed rule alone decides. Null, negative and repeated ids, repeated rows: a
+row each; an id that stands on several texts teaches by the text that sorts first. Ties: a score of 0.5 is kept; of equal splits the first feature's.
+Empty table: no rows. Extra columns: ignored by :func:`judge`, kept by :func:`drop_failed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -150,9 +151,9 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, monotone: list[int],
     return Trees(bias, table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int), table[:, 4], np.array(roots or [0]), depth)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Trees:
-    """Fits the trees to ``labels.quality``."""
-    picked = labelled_sample(docs, labels, "quality", sample)
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int = SAMPLE, folds: int | None = None) -> Trees:
+    """Fits the trees to ``labels.quality``; with ``folds``, without the rows of fold 0."""
+    picked = labelled_sample(docs, labels, "quality", sample, folds)
     texts = one_row_each(docs, picked, text_col)
 
     def run(batches):

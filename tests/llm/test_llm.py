@@ -352,6 +352,30 @@ def test_quality_counts_and_trees(spark, docs, nothing):
     assert quality_rules.judge(nothing, quality_rules.fit(nothing, lab)).count() == 0
 
 
+def descend(trees, x):
+    """One document through every tree, a node at a time."""
+    z = trees.bias
+    for node in trees.roots.tolist():
+        while trees.left[node] != node:
+            node = int(trees.left[node] if x[trees.feature[node]] <= trees.threshold[node] else trees.right[node])
+        z += trees.value[node]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_verdicts_on_rows_that_were_not_fitted(spark):
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality_rules.fit(docs, lab, folds=5)
+    truth = {r.doc_id: r.quality for r in lab.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    right = Counter()
+    for r in quality_rules.judge(docs, trees).collect():
+        p = descend(trees, quality_rules.statistics(texts[r.doc_id], _common.WordHashes())[1])
+        assert abs(r.score - p) < 1e-9 and r.kept == (not r.base_failed and p >= 0.5)
+        if truth.get(r.doc_id) is not None and not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 5 == 0:
+            right[truth[r.doc_id], r.kept == bool(truth[r.doc_id])] += 1
+    assert right[1, True] >= 0.97 * (right[1, True] + right[1, False]) > 20 and right[0, True] >= 0.9 * (right[0, True] + right[0, False])
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(6)
     x = rng.random((1500, 3))
