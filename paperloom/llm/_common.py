@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..state import checkpointed, shared_dir
+
 #: Words kept in a worker's dictionary before it starts anew; longer words are never kept.
 CACHE_WORDS = 1 << 18
 CACHE_LENGTH = 64
@@ -25,29 +27,6 @@ CACHE_LENGTH = 64
 SLICE = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    It is never made up: without one, what one machine writes another can't see.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and cuts its lineage there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _SCOPES: list[list[str]] = [[]]
 
 
