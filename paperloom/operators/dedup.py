@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..state import checkpointed
+
 
 def keep_first(rows: DataFrame, groups: list[str], order: Column, key: str) -> DataFrame:
     """(key, kept): the first row of each group by ``order`` is kept; rows with a null group always."""
@@ -33,11 +35,13 @@ BLOCK = 2048
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(i, j) with i < j whose inner product is over the threshold, exactly.
 
-    Vectors are packed into blocks; each pair of blocks meets once and is one matrix product in a task,
+    Vectors are packed into blocks of about ``block`` rows by a hash of their keys; each pair of blocks meets once and is one matrix product in a task,
     so no pair of rows is ever a row of a join. The number of block pairs is (n / block)^2 / 2: for a
     table too large for that, block by a key first (a label, or the class ids of a coarse clustering).
     """
-    packed = vectors.select(F.expr(f"{key} div {block}").alias("b"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).groupBy("b").agg(F.collect_list("k").alias("ks"), F.flatten(F.collect_list("v")).alias("vs"))
+    blocks = max(1, -(-vectors.count() // block))
+    packed = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("r"))
+    packed = packed.select("b", F.col("r.k").alias("ks"), F.flatten("r.v").alias("vs"))
     left, right = packed.toDF("b", "ks", "vs"), packed.toDF("b2", "ks2", "vs2")
     # each block goes to the partners with a higher number, by an equi-join on the pair's name
     numbers = packed.select("b").distinct()
@@ -62,23 +66,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
 def greedy_keep(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, kept): rows in order of key; a row is kept unless a kept row before it has an edge to it.
 
+    An edge goes from the earlier row to the later, by any order; keys only name rows.
     The lexicographically first maximal independent set of the edges (i, j), i < j. In each round, rows
     whose earlier neighbours are all settled are settled; rounds are as many as the longest chain.
     """
-    keep = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if keep else df.persist()
-
-    edges = cut(edges.select("i", "j").distinct())
-    state = cut(edges.select(F.col("j").alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    edges = checkpointed(edges.select("i", "j").distinct())
+    state = checkpointed(edges.select(F.col("j").alias("k")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     while True:
         # rows that are nobody's later neighbour are not in the state: they are kept
         states = state.select(F.col("k").alias("i"), F.col("kept").alias("ik"), F.lit(True).alias("later"))
         earlier = edges.join(states, "i", "left").withColumn("ik", F.when(F.col("later").isNull(), True).otherwise(F.col("ik")))
         verdict = earlier.groupBy(F.col("j").alias("k")).agg(F.max(F.when(F.col("ik"), 1).otherwise(0)).alias("absorbed"), F.max(F.when(F.col("ik").isNull(), 1).otherwise(0)).alias("waits"))
         new = state.join(verdict, "k").select("k", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("absorbed") == 1, False).when(F.col("waits") == 0, True).alias("kept"))
-        state = cut(new)
+        state = checkpointed(new)
         if state.where("kept is null").isEmpty():
             break
     return rows.select(F.col(key)).join(state.withColumnRenamed("k", key), key, "left").select(key, F.coalesce("kept", F.lit(True)).alias("kept"))
@@ -118,6 +118,24 @@ def geometric_clusters(boxes: DataFrame, group: str, key: str, x: str, y: str, a
     return boxes.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
+def contained_rectangles(rects: DataFrame, page: str, key: str, share: float = 0.9, cell: int = 16) -> DataFrame:
+    """(i, j): of one page's rectangles (x, y, w, h), i covers ``share`` of j or more, over a half, and comes before it: larger, or as large with a lower key.
+
+    What covers over half of a rectangle's area that way covers its centre, so j stands in its centre's cell of a grid, i in
+    all cells that it touches, and only those that meet in one are compared.
+    """
+    if share <= 0.75:
+        raise ValueError("less than three quarters may be covered without the centre")
+    r = rects.select(page, F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
+    cells = lambda low, size: F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(low) + F.col(size)) / cell))
+    a = r.select(page, F.col("k").alias("i"), *(F.col(c).alias(f"a{c}") for c in "xywh"), F.explode(cells("x", "w")).alias("cx"), cells("y", "h").alias("cys"))
+    a = a.select("*", F.explode("cys").alias("cy")).drop("cys")
+    b = r.select(page, F.col("k").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xywh"), F.floor((F.col("x") + F.col("w") / 2) / cell).alias("cx"), F.floor((F.col("y") + F.col("h") / 2) / cell).alias("cy"))
+    across = "greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by + bh) - greatest(ay, by))"
+    first = "(aw * ah > bw * bh or (aw * ah = bw * bh and i < j))"
+    return a.join(b, [page, "cx", "cy"]).where(f"{first} and {across} + 1e-9 >= {share} * bw * bh").select("i", "j")
+
+
 def term_frequencies(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, tok, tf)."""
     return rows.select(*keys, F.explode(tokens).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("tf"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..state import checkpointed
+
 
 def detect_changes(known: DataFrame, found: DataFrame, key: str, mark: str) -> DataFrame:
     """(key, change): new, modified, deleted or unchanged, by a full outer join on the key."""
@@ -46,15 +48,13 @@ def first_tier(left: DataFrame, key: str, tiers: list[DataFrame], other: str) ->
 def closure(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
     """All nodes that the start nodes reach: a breadth-first search whose frontier is joined to the edges.
 
-    Each round is written to the checkpoint folder if the session has one, so lineage stays short and
-    a lost executor costs one round.
+    Each round is written to the checkpoint folder, so lineage stays short and a lost executor costs one round.
     """
-    keep = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
     seen = start.select(F.col(node).alias(node)).distinct()
     frontier = seen
     while True:
         step = frontier.join(edges, frontier[node] == edges[src]).select(edges[dst].alias(node)).distinct().join(seen, node, "left_anti")
-        step = step.checkpoint() if keep else step.persist()
+        step = checkpointed(step)
         if step.isEmpty():
             return seen
         seen, frontier = seen.union(step), step

@@ -29,8 +29,8 @@ def bars(series: DataFrame, group: str, area: Area, width: float = 50.0, gap_rat
     return rows.select(group, "idx", r(at).alias("x"), r(F.lit(y1) - long_).alias("y"), r(F.lit(width)).alias("width"), r(long_).alias("height"), r(at + width / 2).alias("label_x"), r(F.lit(y1 + 30)).alias("label_y"))
 
 
-def slices(series: DataFrame, group: str, radius: float, cx: float, cy: float, start: float = -90.0) -> DataFrame:
-    """percentage, angles, end points and label position of each pie slice; groups of zero total have none."""
+def slices(series: DataFrame, group: str, radius: float, cx: float, cy: float, start: float = -90.0, inner: float = 0.0) -> DataFrame:
+    """percentage, angles, end points, path and label position of each slice of a pie, or of a donut with an inner radius; groups of zero total have none."""
     w = Window.partitionBy(group).orderBy("idx")
     rows = series.withColumn("_total", F.sum("value").over(Window.partitionBy(group))).where("_total != 0")
     before = F.coalesce(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -38,16 +38,22 @@ def slices(series: DataFrame, group: str, radius: float, cx: float, cy: float, s
     b = a + F.col("value") / F.col("_total") * 360
     rows = rows.withColumn("_a", a).withColumn("_b", b)
     mid = F.radians((F.col("_a") + F.col("_b")) / 2)
-    pt = lambda f, c: F.round(F.lit(radius) * f(F.radians(c)), 2)
+    pt = lambda r, f, c: F.round(F.lit(float(r)) * f(F.radians(c)), 2)
+    points = {"start_x": pt(radius, F.cos, F.col("_a")), "start_y": pt(radius, F.sin, F.col("_a")), "end_x": pt(radius, F.cos, F.col("_b")), "end_y": pt(radius, F.sin, F.col("_b"))}
+    points |= {f"_i{n}": pt(inner, f, F.col(c)) for n, f, c in ((0, F.cos, "_a"), (1, F.sin, "_a"), (2, F.cos, "_b"), (3, F.sin, "_b"))}
+    rows = rows.withColumns(points | {"large_arc": F.when(F.col("_b") - F.col("_a") > 180, 1).otherwise(0)})
     return rows.select(
-        group, "idx", F.round(F.col("value") / F.col("_total") * 100, 1).alias("percentage"), F.round("_a", 1).alias("start_angle"), F.round("_b", 1).alias("end_angle"), F.when(F.col("_b") - F.col("_a") > 180, 1).otherwise(0).alias("large_arc"),
-        pt(F.cos, F.col("_a")).alias("start_x"), pt(F.sin, F.col("_a")).alias("start_y"), F.round(cx + radius * 0.7 * F.cos(mid), 1).alias("label_x"), F.round(cy + radius * 0.7 * F.sin(mid), 1).alias("label_y"),
+        group, "idx", F.round(F.col("value") / F.col("_total") * 100, 1).alias("percentage"), F.round("_a", 1).alias("start_angle"), F.round("_b", 1).alias("end_angle"), "large_arc",
+        "start_x", "start_y", "end_x", "end_y", slice_path(radius, inner).alias("path"), F.round(cx + radius * 0.7 * F.cos(mid), 1).alias("label_x"), F.round(cy + radius * 0.7 * F.sin(mid), 1).alias("label_y"),
     )
 
 
-def slice_paths(parts: DataFrame, radius: float) -> Column:
-    """The path of a full pie's slice from its points, as SVG text."""
-    return F.format_string(f"M 0,0 L %.2f,%.2f A {radius},{radius} 0 %d,1", "start_x", "start_y", "large_arc")
+def slice_path(radius: float, inner: float = 0.0) -> Column:
+    """A slice's outline as SVG text: from the centre, or along the inner circle and back, closed."""
+    outer = f"A {radius},{radius} 0 %d,1 %.2f,%.2f"
+    if not inner:
+        return F.format_string(f"M 0,0 L %.2f,%.2f {outer} Z", "start_x", "start_y", "large_arc", "end_x", "end_y")
+    return F.format_string(f"M %.2f,%.2f L %.2f,%.2f {outer} L %.2f,%.2f A {inner},{inner} 0 %d,0 %.2f,%.2f Z", "_i0", "_i1", "start_x", "start_y", "large_arc", "end_x", "end_y", "_i2", "_i3", "large_arc", "_i0", "_i1")
 
 
 def radar(series: DataFrame, group: str, radius: float, cx: float, cy: float, start: float = -90.0) -> DataFrame:

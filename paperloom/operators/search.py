@@ -8,6 +8,8 @@ kept by an aggregate that folds on the map side, never by sorting a query's hits
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +72,84 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query") -> DataFrame:
-    """(query_id, vec_id, score, rank): the best k of each of a bounded set of queries.
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 4096
 
-    The queries are sent to all tasks; each task keeps the best k of each query over its own vectors, and
-    the partial bests are merged once more: k rows a query and task are shuffled, whatever the table's size.
+
+def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score, rank): the best k of each of a set of queries.
+
+    Queries go out in blocks of about ``block``, each against all vectors in one pass: a batch of vectors is one matrix
+    product with the block, of which the task keeps the best k of each query so far. Then k rows a query and
+    task are shuffled, whatever the table's size, and merged. Ties go to the lowest key.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    out = None
+    for part in range(blocks):
+        some = queries.select(F.col(query_key).cast("long"), F.col(query_vector)).where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == part).toArrow()
+        names = some.column(0).to_numpy()
+        rows = np.array(some.column(1).to_pylist(), float)
+        sent = vectors.sparkSession.sparkContext.broadcast((names, rows))
+
+        def run(batches, sent=sent):
+            names, rows = sent.value
+            if not len(names):
+                return
+            best, ids = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = batch.column(0).to_numpy()
+                score = rows @ np.array(batch.column(1).to_pylist(), float).T
+                best, ids = np.concatenate([best, score], 1), np.concatenate([ids, np.broadcast_to(own, score.shape)], 1)
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["q", "v", "s"])
+
+        found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, "q long, v long, s double")
+        out = found if out is None else out.union(found)
+    merged = out.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "v"))), 1, k).alias("best"))
+    return merged.select(F.col("q").alias(query_key), F.posexplode("best").alias("rank", "hit")).select(query_key, F.col("hit.v").alias(key), (-F.col("hit.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+#: Items that :func:`best_text_for` sends to all tasks at most, in bytes of their words.
+ITEM_BYTES = 64 << 20
+
+
+def best_text_for(texts: DataFrame, items: DataFrame, key: str, item_key: str, words: str, most: int = ITEM_BYTES) -> DataFrame:
+    """(item_key, key, score): for each item the text with the largest share of the item's distinct words; ties to the lowest key.
+
+    ``words`` names the array of distinct words in both. Items are a small table (its size is checked): their words go to all tasks, each keeps
+    the best text of each item so far, and one row an item and task is shuffled. No word pairs rows, however frequent.
+    Items no word of which occurs are left out; so are items without words.
     """
-    pairs = vectors.join(F.broadcast(queries)).select(query_key, key, dot(F.col(vector), F.col(query_vector)).alias("score"))
-    local = pairs.groupBy(query_key, F.spark_partition_id().alias("_part")).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), key))), 1, k).alias("best"))
-    merged = local.groupBy(query_key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return merged.select(query_key, F.posexplode("best").alias("rank", "hit")).select(query_key, F.col(f"hit.{key}").alias(key), (-F.col("hit.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    size = items.agg(F.sum(F.expr(f"aggregate({words}, 0L, (n, w) -> n + octet_length(w))"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} bytes of items are more than the {most} that are sent to every task; split the table of items")
+    rows = items.select(F.col(item_key).cast("long"), words).collect()
+    owners: dict[str, list[int]] = {}
+    for at, r in enumerate(rows):
+        for w in r[1] or ():
+            owners.setdefault(w, []).append(at)
+    sent = texts.sparkSession.sparkContext.broadcast(({w: np.array(x) for w, x in owners.items()}, np.array([r[0] for r in rows], np.int64), np.array([max(1, len(r[1] or ())) for r in rows], float)))
+
+    def run(batches):
+        owners, names, sizes = sent.value
+        best, ids = np.zeros(len(names)), np.zeros(len(names), np.int64)
+        for batch in batches:
+            for own, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = [owners[w] for w in found or () if w in owners]
+                if hits:
+                    score = np.bincount(np.concatenate(hits), minlength=len(names)) / sizes
+                    better = (score > best) | ((score == best) & (score > 0) & (own < ids))
+                    best[better], ids[better] = score[better], own
+        at = np.flatnonzero(best)
+        yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids[at]), pa.array(best[at])], ["i", "k", "s"])
+
+    found = texts.select(F.col(key).cast("long"), words).mapInArrow(run, "i long, k long, s double")
+    best = found.groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
+    return best.select(F.col("i").alias(item_key), F.col("b.k").alias(key), (-F.col("b.s")).alias("score"))
 
 
 def keyword_subscore(tokens: list[str], text: Column, words: Column, title: Column, file: Column) -> Column:

@@ -27,13 +27,21 @@ def bar_chart_horizontal(t):
     return L.bars(_series(t), "grp", _AREA, horizontal=True)
 
 
-@query(
-    f"""SELECT grp, idx, round(value / total * 100, 1) AS percentage, round(a, 1) AS start_angle, round(b, 1) AS end_angle, CASE WHEN b - a > 180 THEN 1 ELSE 0 END AS large_arc, round(200 * cos(radians(a)), 2) AS start_x, round(200 * sin(radians(a)), 2) AS start_y,
-    round(640 + 140 * cos(radians((a + b) / 2)), 1) AS label_x, round(360 + 140 * sin(radians((a + b) / 2)), 1) AS label_y FROM (SELECT *, a + value / total * 360 AS b FROM
-    (SELECT *, -90 + coalesce(sum(value) OVER (PARTITION BY grp ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total * 360 AS a FROM {_SERIES}))"""
-)
+_ANGLES = f"""(SELECT *, CASE WHEN b - a > 180 THEN 1 ELSE 0 END AS large_arc FROM (SELECT *, a + value / total * 360 AS b FROM
+    (SELECT *, -90 + coalesce(sum(value) OVER (PARTITION BY grp ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total * 360 AS a FROM {_SERIES})))"""
+_POINTS = "round(200 * cos(radians(a)), 2) AS start_x, round(200 * sin(radians(a)), 2) AS start_y, round(200 * cos(radians(b)), 2) AS end_x, round(200 * sin(radians(b)), 2) AS end_y"
+_LABEL = "round(640 + 140 * cos(radians((a + b) / 2)), 1) AS label_x, round(360 + 140 * sin(radians((a + b) / 2)), 1) AS label_y"
+
+
+@query(f"SELECT grp, idx, round(value / total * 100, 1) AS percentage, round(a, 1) AS start_angle, round(b, 1) AS end_angle, large_arc, {_POINTS}, {_LABEL} FROM {_ANGLES}")
 def pie_chart(t):
-    return L.slices(_series(t), "grp", 200.0, 640.0, 360.0)
+    return L.slices(_series(t), "grp", 200.0, 640.0, 360.0).drop("path")
+
+
+@query(f"SELECT grp, idx, {_POINTS}, large_arc, {_LABEL} FROM {_ANGLES}")
+def donut_chart(t):
+    """Slices of a ring; its outlines are in the unit tests."""
+    return L.slices(_series(t), "grp", 200.0, 640.0, 360.0, inner=120.0).drop("path", "percentage", "start_angle", "end_angle")
 
 
 @query(f"SELECT grp, idx, round(value / (top / 1.1) * 100, 1) AS percentage, round(a, 1) AS angle, round(r * cos(radians(a)), 2) AS x, round(r * sin(radians(a)), 2) AS y, round(640 + r * cos(radians(a)), 2) AS abs_x, round(360 + r * sin(radians(a)), 2) AS abs_y FROM (SELECT *, -90 + (idx - 1) * (360.0 / n) AS a, 200 * value / (top / 1.1) AS r FROM {_SERIES})")
@@ -43,10 +51,10 @@ def radar_chart(t):
 
 @query(
     """SELECT grp, idx, round(CASE WHEN hi = lo THEN 100 ELSE 100 + (x - lo) / (hi - lo) * 1080 END, 1) AS svg_x, round(CASE WHEN top = 0 THEN 620 ELSE 620 + value / top * -570 END, 1) AS svg_y
-    FROM (SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS idx, l_quantity AS x, l_extendedprice AS value, min(l_quantity) OVER (PARTITION BY l_suppkey) AS lo, max(l_quantity) OVER (PARTITION BY l_suppkey) AS hi, max(l_extendedprice) OVER (PARTITION BY l_suppkey) * 1.1 AS top FROM lineitem WHERE l_suppkey <= 20)"""
+    FROM (SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS idx, l_quantity AS x, l_extendedprice AS value, min(l_quantity) OVER (PARTITION BY l_suppkey) AS lo, max(l_quantity) OVER (PARTITION BY l_suppkey) AS hi, max(l_extendedprice) OVER (PARTITION BY l_suppkey) * 1.1 AS top FROM lineitem)"""
 )
 def line_chart(t):
-    series = t("lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("value"))
+    series = t("lineitem").select(F.col("l_suppkey").alias("grp"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("value"))
     return L.line_points(series, "grp", _AREA)
 
 

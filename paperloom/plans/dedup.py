@@ -72,11 +72,11 @@ def two_stage_dedup(t):
     return G.greedy_keep(first, G.similar_pairs(first, 0.4), "vec_id")
 
 
-_BOX = "SELECT l_orderkey, l_linenumber, min(l_partkey) % 300 AS x, min(l_suppkey) % 40 AS y, min(l_quantity) AS area FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL"
+_BOX = "SELECT l_orderkey, l_linenumber, min(l_partkey) % 300 AS x, min(l_suppkey) % 40 AS y, min(l_quantity) AS area FROM lineitem GROUP BY ALL"
 
 
 def _boxes(t):
-    each = t("lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber")
+    each = t("lineitem").groupBy("l_orderkey", "l_linenumber")
     return each.agg((F.min("l_partkey") % 300).alias("x"), (F.min("l_suppkey") % 40).alias("y"), F.min("l_quantity").alias("area"))
 
 
@@ -96,10 +96,16 @@ def element_filter(t):
     return kept.select("l_orderkey", "l_linenumber", (F.col("x") * F.col("y") >= 0.6 * 12000).alias("background"))
 
 
-@query("SELECT c.conv_id, c.turn FROM conversations c WHERE md5(trim(c.text)) IN (SELECT md5(trim(text)) FROM documents)")
+_CANON = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^(Crawled|Imported):.*$', '\1:', 'g'), '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5({_CANON})) AS first_id FROM (SELECT doc_id, 'Crawled: ' || doc_id || chr(13) || chr(10) || text AS text FROM documents)) WHERE doc_id <> first_id")
 def equivalent_documents(t):
-    key = F.md5(F.trim("text")).alias("h")
-    return t("conversations").select("conv_id", "turn", key).join(t("documents").select(key), "h", "left_semi").select("conv_id", "turn")
+    """Documents, each with a line of its own time of import, whose content an earlier one has."""
+    text = F.concat(F.lit("Crawled: "), F.col("doc_id").cast("string"), F.lit("\r\n"), "text")
+    rows = t("documents").select("doc_id", F.md5(X.canonical_content(text)).alias("h"))
+    first = rows.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    return rows.join(first, "h").where("doc_id != first_id").select("doc_id", "first_id")
 
 
 _TF = "SELECT conv_id, turn, tok, count(*) AS tf FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM conversations) GROUP BY ALL"
@@ -121,21 +127,23 @@ def tf_cosine_adjacent(t):
     return out.select("conv_id", "turn", "nxt", "sim", (F.col("sim") > 0.75).alias("redundant"))
 
 
+_RECTS = "SELECT page, k, p % 20 AS x, s % 10 AS y, 5 + p % 37 AS w, 5 + s % 29 AS h FROM (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
+
+
 @query(
-    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w * h DESC, l_orderkey) - 1 AS i, x, y, w, h FROM (SELECT l_orderkey, min(l_partkey) % 50 AS x, min(l_suppkey) % 10 AS y, 5 + min(l_partkey) % 37 AS w, 5 + min(l_suppkey) % 29 AS h FROM lineitem WHERE l_linenumber = 1 AND l_orderkey <= 400 GROUP BY 1)),
-    e AS MATERIALIZED (SELECT a.i, b.i AS j FROM r a JOIN r b ON a.i < b.i AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.9 * b.w * b.h),
-    {_WALK} SELECT i AS k, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC LIMIT 1), i) AS kept FROM r"""
+    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, k) AS n FROM ({_RECTS})),
+    e AS MATERIALIZED (SELECT a.page, a.n AS i, b.n AS j FROM r a JOIN r b ON a.page = b.page AND a.n < b.n AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.9 * b.w * b.h),
+    before AS MATERIALIZED (SELECT r.page, r.n, coalesce(list(e.i), []) AS of FROM r LEFT JOIN e ON e.page = r.page AND e.j = r.n GROUP BY ALL),
+    walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT page FROM r) UNION ALL
+        SELECT walk.page, before.n, CASE WHEN len(list_filter(of, lambda x: list_contains(kept, x))) > 0 THEN kept ELSE list_append(kept, before.n) END FROM walk JOIN before ON before.page = walk.page AND before.n = walk.n + 1),
+    done AS (SELECT page, arg_max(kept, n) AS kept FROM walk GROUP BY page)
+    SELECT r.k, list_contains(done.kept, r.n) AS kept FROM r JOIN done USING (page)"""
 )
 def rectangle_suppression(t):
-    from pyspark.sql import Window
-
-    each = t("lineitem").where("l_linenumber = 1 and l_orderkey <= 400").groupBy("l_orderkey").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    rows = each.selectExpr("l_orderkey", "p % 50 as x", "s % 10 as y", "5 + p % 37 as w", "5 + s % 29 as h")
-    r = rows.withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.col("w") * F.col("h")), "l_orderkey")).cast("long") - 1)
-    a, b = r.alias("a"), r.alias("b")
-    across = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
-    edges = a.join(b, F.expr(f"a.k < b.k and {across} >= 0.9 * b.w * b.h")).select(F.col("a.k").alias("i"), F.col("b.k").alias("j"))
-    return G.greedy_keep(r, edges, "k")
+    """On each page (an order), rectangles that a larger one that stays covers to nine tenths go."""
+    each = t("lineitem").groupBy(F.col("l_orderkey").alias("page"), F.expr("l_orderkey * 10 + l_linenumber").alias("k")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    rows = each.selectExpr("page", "k", "p % 20 as x", "s % 10 as y", "5 + p % 37 as w", "5 + s % 29 as h")
+    return G.greedy_keep(rows, G.contained_rectangles(rows, "page", "k"), "k")
 
 
 @query(

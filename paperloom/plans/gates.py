@@ -17,11 +17,19 @@ STAGES = [
 _CLOSING = ("the ", "Thank", "der ")
 
 
+#: Faults that pages can have, put on some of the turns, as the tables' own texts have none.
+_FAULTS = {3: "text || ' {{TITLE}}'", 5: "' 12 . '", 7: "text || chr(65533)", 9: "''"}
+
+
 def _pages(t):
-    return t("conversations").select(F.col("conv_id").alias("deck"), (F.col("turn") + 1).alias("page"), "text", F.left("text", F.lit(40)).alias("title"))
+    part, text = F.expr("(conv_id * 31 + turn) % 17"), F.col("text")
+    text = F.when(part == 3, F.concat(text, F.lit(" {{TITLE}}"))).when(part == 5, " 12 . ").when(part == 7, F.concat(text, F.lit("\ufffd"))).when(part == 9, "").otherwise(text)
+    pages = t("conversations").select(F.col("conv_id").alias("deck"), (F.col("turn") + 1).alias("page"), text.alias("text"))
+    return pages.withColumn("title", F.substring_index("text", "\n", 1))
 
 
-_PAGES = "(SELECT conv_id AS deck, turn + 1 AS page, text, left(text, 40) AS title FROM conversations)"
+_TURNS = f"(SELECT conv_id AS deck, turn + 1 AS page, CASE (conv_id * 31 + turn) % 17 {' '.join(f'WHEN {k} THEN {v}' for k, v in _FAULTS.items())} ELSE text END AS text FROM conversations)"
+_PAGES = f"(SELECT *, string_split(text, chr(10))[1] AS title FROM {_TURNS})"
 
 
 def _has(text: str, words) -> str:
@@ -187,9 +195,9 @@ def missing_attribution(t):
     return t("documents").where(F.col("text").contains("Licensed under CC BY") & ~F.col("text").contains("©")).select("doc_id")
 
 
-@query(f"SELECT deck, bool_and(length(text) <= 2000) AS fits, bool_and(NOT contains(text, '�')) AS clean, bool_and(length(text) <= 2000 AND NOT contains(text, '�')) AS passed FROM {_PAGES} GROUP BY deck")
+@query(f"SELECT deck, bool_and(length(text) <= 100) AS fits, bool_and(NOT contains(text, '�')) AS clean, bool_and(length(text) <= 100 AND NOT contains(text, '�')) AS passed FROM {_PAGES} GROUP BY deck")
 def deck_verification(t):
-    fits, clean = F.length("text") <= 2000, ~F.col("text").contains("�")
+    fits, clean = F.length("text") <= 100, ~F.col("text").contains("�")
     return _pages(t).groupBy("deck").agg(F.min(fits).alias("fits"), F.min(clean).alias("clean"), F.min(fits & clean).alias("passed"))
 
 

@@ -20,12 +20,12 @@ def positional_lookup(t):
 
 
 @query(
-    """WITH new AS (SELECT c_custkey AS k, arg_max(v, i) AS v FROM (SELECT o_custkey AS c_custkey, o_totalprice AS v, o_orderkey AS i FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1)
+    """WITH new AS (SELECT c_custkey AS k, arg_max(v, i) AS v FROM (SELECT o_custkey AS c_custkey, o_totalprice AS v, o_orderkey AS i FROM orders) GROUP BY 1)
     SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new"""
 )
 def upsert_by_key(t):
     stored = t("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = t("orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("i"))
+    new = t("orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("i"))
     return J.upsert(stored, new, "k", F.col("i"))
 
 
@@ -39,16 +39,21 @@ def change_diff(t):
 
 
 @query(
-    """WITH l AS (SELECT item_id, lower(left(text, 12)) AS a, left(text, 4) AS b FROM benchmark), r AS (SELECT doc_id, lower(left(text, 12)) AS a, left(text, 4) AS b FROM documents),
-    t1 AS (SELECT item_id, doc_id, 1 AS tier FROM l JOIN (SELECT a, min(doc_id) AS doc_id FROM r GROUP BY a HAVING count(*) = 1) USING (a)),
-    t2 AS (SELECT item_id, doc_id, 2 AS tier FROM l JOIN (SELECT b, min(doc_id) AS doc_id FROM r GROUP BY b HAVING count(*) = 1) USING (b)),
-    u AS (SELECT item_id, doc_id, tier, row_number() OVER (PARTITION BY item_id ORDER BY tier, doc_id) AS rn FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2))
-    SELECT l.item_id, u.doc_id, coalesce(u.tier, 0) AS tier FROM l LEFT JOIN u ON l.item_id = u.item_id AND rn = 1"""
+    """WITH l AS (SELECT conv_id, turn, text AS a, string_split(text, chr(10))[1] AS b FROM conversations), r AS (SELECT doc_id, text AS a, string_split(text, chr(10))[1] AS b FROM documents),
+    t1 AS (SELECT conv_id, turn, doc_id, 1 AS tier FROM l JOIN (SELECT a, min(doc_id) AS doc_id FROM r GROUP BY a HAVING count(*) = 1) USING (a)),
+    t2 AS (SELECT conv_id, turn, doc_id, 2 AS tier FROM l JOIN (SELECT b, min(doc_id) AS doc_id FROM r GROUP BY b HAVING count(*) = 1) USING (b)),
+    u AS (SELECT conv_id, turn, doc_id, tier, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tier, doc_id) AS rn FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2))
+    SELECT l.conv_id * 1000 + l.turn AS entry, u.doc_id, coalesce(u.tier, 0) AS tier FROM (SELECT DISTINCT conv_id, turn FROM l) l LEFT JOIN u ON l.conv_id = u.conv_id AND l.turn = u.turn AND rn = 1
+    UNION ALL SELECT -1 - d.doc_id, e.doc_id, CASE WHEN e.doc_id IS NULL THEN 0 ELSE e.tier END FROM documents d LEFT JOIN (SELECT q.doc_id AS k, coalesce(t1.doc_id, t2.doc_id) AS doc_id, CASE WHEN t1.doc_id IS NOT NULL THEN 1 ELSE 2 END AS tier FROM documents q
+        LEFT JOIN (SELECT a, min(doc_id) AS doc_id FROM r GROUP BY a HAVING count(*) = 1) t1 ON t1.a = q.text LEFT JOIN (SELECT b, min(doc_id) AS doc_id FROM r GROUP BY b HAVING count(*) = 1) t2 ON t2.b = string_split(q.text, chr(10))[1]) e ON e.k = d.doc_id"""
 )
 def tiered_title_match(t):
-    cut = lambda d: d.withColumn("a", F.lower(F.left("text", F.lit(12)))).withColumn("b", F.left("text", F.lit(4)))
-    left, right = cut(t("benchmark")), cut(t("documents"))
-    return J.first_tier(left, "item_id", [J.unique_matches(left, right, "item_id", "doc_id", on) for on in ("a", "b")], "doc_id")
+    """Conversation turns and documents matched to documents by the whole text, else by the whole first line, each if it names one only."""
+    first = lambda d: d.withColumn("a", F.col("text")).withColumn("b", F.substring_index("text", "\n", 1))
+    turns = t("conversations").dropDuplicates(["conv_id", "turn"]).select(F.expr("conv_id * 1000 + turn").alias("entry"), "text")
+    left = first(turns.union(t("documents").select((-1 - F.col("doc_id")).alias("entry"), "text")))
+    right = first(t("documents"))
+    return J.first_tier(left, "entry", [J.unique_matches(left, right, "entry", "doc_id", on) for on in ("a", "b")], "doc_id")
 
 
 @query(
@@ -98,9 +103,9 @@ def near_dup_pairs(t):
     return G.similar_pairs(t("embeddings"), 0.45)
 
 
-@query("SELECT l_orderkey, l_linenumber, s_suppkey AS box FROM lineitem JOIN supplier ON l_extendedprice / 100 BETWEEN s_acctbal AND s_acctbal + 5 WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, s_suppkey AS box FROM lineitem JOIN supplier ON l_extendedprice / 100 BETWEEN s_acctbal AND s_acctbal + 5")
 def range_containment(t):
-    points = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("x"))
+    points = t("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 100).alias("x"))
     boxes = t("supplier").select(F.col("s_suppkey").alias("box"), F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 5).alias("high"))
     return J.bucket_range_join(points, boxes, "x", "low", "high", 5.0).select("l_orderkey", "l_linenumber", "box")
 

@@ -9,11 +9,11 @@ from ..operators import search as S
 from ._registry import query
 
 TERMS = ["license", "the", "stupid"]
-_KW = "string_split(lower(substr(text, 1, 200)), ' ')"
+_KW = "string_split(lower(text), ' ')"
 
 
 def _words(column: str = "text"):
-    return F.split(F.lower(F.substring(column, 1, 200)), " ")
+    return F.split(F.lower(column), " ")
 
 
 _KEYWORD_SCORE = "(" + " + ".join(f"CASE WHEN len(list_filter({_KW}, lambda w: contains(w, '{q}'))) > 0 THEN 2 WHEN contains(lower(text), '{q}') THEN 1 ELSE 0 END" for q in TERMS) + f") / {2 * len(TERMS)}.0"
@@ -24,7 +24,7 @@ def kw_search_topk(t):
     return S.keyword_search(t("documents"), TERMS, 50, "doc_id", _words(), F.col("text")).select("doc_id", "source", "score")
 
 
-_TAGS = "list_distinct([lang, source] || regexp_extract_all(lower(substr(text, 1, 300)), '[a-z]+'))"
+_TAGS = "list_distinct([lang, source] || regexp_extract_all(lower(text), '[a-z]+'))"
 
 
 def _tag_sql(tokens):
@@ -39,7 +39,7 @@ def _tag_sql(tokens):
 
 @query(f"SELECT doc_id, score FROM (SELECT doc_id, lang, {_tag_sql(['src1', 'license', 'the'])} AS score FROM (SELECT *, {_TAGS} AS tags, lower(text) AS low FROM documents)) WHERE score > 0 AND lang = 'en' ORDER BY score DESC, doc_id LIMIT 40")
 def tag_search(t):
-    tags = F.array_distinct(F.concat(F.array("lang", "source"), F.regexp_extract_all(F.lower(F.substring("text", 1, 300)), F.lit("[a-z]+"), F.lit(0))))
+    tags = F.array_distinct(F.concat(F.array("lang", "source"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
     score = S.tag_score(tags, F.col("source"), F.col("lang"), F.col("text"), F.col("source"), ["src1", "license", "the"])
     return t("documents").select("doc_id", "lang", score.alias("score")).where("score > 0 and lang = 'en'").orderBy(F.desc("score"), "doc_id").limit(40).select("doc_id", "score")
 
@@ -106,15 +106,15 @@ def plugged_ranking(t):
 
 
 _CAND = """SELECT p_partkey, p_brand, p_type, w, h, rel, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'ok' END AS tier FROM (SELECT *, CAST(p_size * 40 AS INT) AS w, CAST(p_partkey % 900 AS INT) AS h,
-    (CASE WHEN contains(lower(p_name || ' ' || p_type), 'steel') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'brass') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'part') THEN 1 ELSE 0 END) / 3.0 AS rel FROM part)"""
+    (CASE WHEN contains(lower(p_name || ' ' || p_type), 'red') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'widget') THEN 1 ELSE 0 END + CASE WHEN contains(lower(p_name || ' ' || p_type), 'economy') THEN 1 ELSE 0 END) / 3.0 AS rel FROM part)"""
 _SCORE = "CASE WHEN tier IS NOT NULL AND rel > 0 THEN rel * 10000.0 + CASE WHEN w > 0 AND h > 0 AND w > h THEN 1000.0 ELSE -250.0 END - CASE WHEN w < 800 THEN 500.0 ELSE 0 END + least(greatest(w, 0) * greatest(h, 0) / 1000.0, 5000.0) END"
 
 
 def _candidates(t):
     w, h = (F.col("p_size") * 40).cast("int"), (F.col("p_partkey") % 900).cast("int")
     tier = F.when(F.col("p_partkey") % 7 != 0, "ok")
-    score = S.candidate_score("steel brass part", ["steel", "brass", "part"], tier, F.col("p_name"), F.col("p_type"), w, h, "landscape", 800)
-    return t("part").select("p_partkey", "p_brand", S.relevance(["steel", "brass", "part"], F.col("p_name"), F.col("p_type")).alias("rel"), score.alias("score"), w.alias("w"), h.alias("h"))
+    score = S.candidate_score("red widget economy", ["red", "widget", "economy"], tier, F.col("p_name"), F.col("p_type"), w, h, "landscape", 800)
+    return t("part").select("p_partkey", "p_brand", S.relevance(["red", "widget", "economy"], F.col("p_name"), F.col("p_type")).alias("rel"), score.alias("score"), w.alias("w"), h.alias("h"))
 
 
 @query(f"SELECT p_partkey, rel, CAST({_SCORE} AS DOUBLE) AS score FROM ({_CAND})")
@@ -139,13 +139,9 @@ def orientation_fallback(t):
     JOIN (SELECT item_id, len(x) AS n, unnest(x) AS tok FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM benchmark)) b USING (tok) GROUP BY b.item_id, d.doc_id)) WHERE r = 1"""
 )
 def search_to_fill(t):
-    """The best document for each item by the share of its tokens; a hit is folded by key before it is ranked."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    items = t("benchmark").select("item_id", F.size(tokens).alias("n"), F.explode(tokens).alias("tok"))
-    docs = t("documents").select("doc_id", F.explode(tokens).alias("tok"))
-    hits = docs.join(items, "tok").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("score"))
-    best = hits.groupBy("item_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("best"))
-    return best.select("item_id", "best.doc_id", (-F.col("best.s")).alias("score"))
+    """The best document for each item by the share of its tokens."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")
+    return S.best_text_for(t("documents").select("doc_id", words), t("benchmark").select("item_id", words), "doc_id", "item_id", "words")
 
 
 @query(f"SELECT array_to_string(list(doc_id ORDER BY score DESC, doc_id), ',') AS merged FROM (SELECT doc_id, {_KEYWORD_SCORE} AS score FROM documents) WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, {_KEYWORD_SCORE} AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10)")

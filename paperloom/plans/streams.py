@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators.joins import detect_changes, last_of_each
+from ..state import shared_dir
 from ..streaming import changes as C
 from ._registry import query
 
@@ -22,8 +22,7 @@ def keyed_state(t):
 def streaming_state(t):
     """The same state, kept by a stream over the events' files that is run to its end."""
     spark = t.spark
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base or 'file://' + tempfile.mkdtemp(prefix='loom-stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     snapshots = C.Snapshots(spark, f"{folder}/state", "user_id long, event_type string, event_id long")
     versions = []
     stream = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*").select("user_id", "event_type", "event_id")

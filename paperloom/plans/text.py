@@ -93,9 +93,9 @@ def first_line_titles(t):
 _SLUG = "left(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9_一-鿿-]+|_+', '_', 'g'), '_+|^_+|_+$', '_', 'g'), {})"
 
 
-@query(f"SELECT doc_id, {_SLUG.format('left(text, 60)', 30)} AS slug FROM documents")
+@query(f"SELECT doc_id, {_SLUG.format('text', 30)} AS slug FROM documents")
 def slug(t):
-    return t("documents").select("doc_id", X.slug(F.left("text", F.lit(60))).alias("slug"))
+    return t("documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -125,9 +125,9 @@ def half_width_fold(t):
     return t("conversations").select("conv_id", "turn", X.half_width(F.col("text")).alias("folded"))
 
 
-@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(left(text, 50), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS title FROM documents")
+@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS title FROM documents")
 def normalized_titles(t):
-    return t("documents").select("doc_id", X.normalized_title(F.left("text", F.lit(50))).alias("title"))
+    return t("documents").select("doc_id", X.normalized_title(F.col("text")).alias("title"))
 
 
 @query("SELECT page_id, CAST(nullif(regexp_extract(k, '^ *([0-9]+)', 1), '') AS INT) AS number, regexp_replace(k, '^[0-9]+ *[.|-] *', '') AS rest FROM (SELECT page_id, page_id || '. ' || url AS k FROM pages)")
@@ -199,9 +199,14 @@ def attribution_text(t):
 _PLACEHOLDER = X.PLACEHOLDER
 
 
-@query(f"SELECT page_id, len(regexp_extract_all(html, '{_PLACEHOLDER}')) AS n FROM pages WHERE regexp_matches(html, '{_PLACEHOLDER}')")
+_FILLED = "(SELECT page_id, html || CASE page_id % 4 WHEN 0 THEN '<p>{{TITLE}} [[body]]</p>' WHEN 1 THEN '<TITLE>' WHEN 2 THEN '#{n}' ELSE '{{ }' END AS html FROM pages)"
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(html, '{_PLACEHOLDER}')) AS n FROM {_FILLED} WHERE regexp_matches(html, '{_PLACEHOLDER}')")
 def placeholder_residue(t):
-    return t("pages").select("page_id", F.size(X.placeholders(F.col("html"))).cast("long").alias("n")).where("n > 0")
+    """Placeholders left in pages made from a template: the table's pages, each with an end of a template that was filled or not."""
+    end = F.when(F.col("page_id") % 4 == 0, "<p>{{TITLE}} [[body]]</p>").when(F.col("page_id") % 4 == 1, "<TITLE>").when(F.col("page_id") % 4 == 2, "#{n}").otherwise("{{ }")
+    return t("pages").select("page_id", F.size(X.placeholders(F.concat("html", end))).cast("long").alias("n")).where("n > 0")
 
 
 @query(

@@ -167,3 +167,41 @@ def test_markdown_of_pages():
     main, whole = structure.markdown_of("<html><nav>menu</nav><body><main><h2>Head &amp; line</h2><p>" + "word " * 30 + "<a href='/x'>go</a></p><ul><li>one<li>two</ul></main><div>side</div></body>")
     assert main.startswith("## Head & line") and "[go](/x)" in main and "- one" in main and "menu" not in whole and "side" in whole
     assert structure.markdown_of(None) == ("", "")
+
+
+def test_slice_paths(spark):
+    from paperloom.operators import layout as L
+
+    series = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 1.0), ("z", 1, 0.0)], "grp string, idx int, value double")
+    pie = {r.idx: r.path for r in L.slices(series, "grp", 100.0, 0.0, 0.0).collect()}
+    assert pie == {1: "M 0,0 L 0.00,-100.00 A 100.0,100.0 0 1,1 -100.00,0.00 Z", 2: "M 0,0 L -100.00,-0.00 A 100.0,100.0 0 0,1 -0.00,-100.00 Z"} or {k: v.replace("-0.00", "0.00") for k, v in pie.items()} == {1: "M 0,0 L 0.00,-100.00 A 100.0,100.0 0 1,1 -100.00,0.00 Z", 2: "M 0,0 L -100.00,0.00 A 100.0,100.0 0 0,1 0.00,-100.00 Z"}
+    ring = [r.path.replace("-0.00", "0.00") for r in L.slices(series, "grp", 100.0, 0.0, 0.0, inner=50.0).orderBy("idx").collect()]
+    assert ring[0] == "M 0.00,-50.00 L 0.00,-100.00 A 100.0,100.0 0 1,1 -100.00,0.00 L -50.00,0.00 A 50.0,50.0 0 1,0 0.00,-50.00 Z"
+
+
+def test_rankings_that_sql_has_no_word_for(spark):
+    from paperloom.operators import search as S
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = [(i, rng.normal(size=8).round(3).tolist()) for i in range(200)] + [(500, [0.0] * 8)]
+    queries = [(i, rng.normal(size=8).tolist()) for i in range(23)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame(queries, "query_id long, query array<double>")
+    want = {(q, n + 1): v for q, x in queries for n, (_, v) in enumerate(sorted((-float(np.dot(x, e)), v) for v, e in vectors)[:4])}
+    for block in (4096, 5):
+        assert {(r.query_id, r["rank"]): r.vec_id for r in S.vector_topk_many(table, asked, 4, block=block).collect()} == want
+    assert S.vector_topk_many(table.where("false"), asked, 4).count() == 0 and S.vector_topk_many(table, asked.where("false"), 4).count() == 0
+    texts = spark.createDataFrame([(3, ["a", "b"]), (1, ["a", "c"]), (2, None), (4, ["z"])], "k long, words array<string>").repartition(3)
+    items = spark.createDataFrame([(10, ["a"]), (11, ["b", "c", "z"]), (12, ["q"]), (13, None), (14, [])], "i long, words array<string>")
+    assert {tuple(r) for r in S.best_text_for(texts, items, "k", "i", "words").collect()} == {(10, 1, 1.0), (11, 1, 1 / 3)}
+
+    def length(batches):
+        for pdf in batches:
+            yield pdf.assign(score=pdf["words"].map(lambda w: float(len(w) if w is not None else 0)))[["k", "score"]]
+
+    ranked = S.plugged_ranking(texts, length, "k long, score double", 2, [F.desc("score"), F.col("k")])
+    assert [r.k for r in ranked.collect()] == [1, 3]
+    e = spark.createDataFrame([(["x", "y", "x"],), ([],), (["x", "y", "x"],)], "w array<string>").select(S.hashed_embedding(F.col("w")).alias("e")).collect()
+    assert list(e[0].e) == list(e[2].e) and abs(sum(x * x for x in e[0].e) - 1) < 1e-6 and not any(e[1].e)
