@@ -120,6 +120,8 @@ def slices(batches, size: int = SLICE):
             yield batch.slice(low, size)
 
 
+#: Keys to each bucket of fingerprints, and to a row of them at most.
+BUCKET_KEYS = 1 << 21
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -314,6 +316,65 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size with the numbers in column ``place`` set; the driver gets at most bits / 64 words."""
+    words = places.select(F.expr("cast(place div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("b"))
+    return _gathered_bits(words, bits)
+
+
+def _gathered_bits(words: DataFrame, bits: int) -> np.ndarray:
+    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[table.column("w").to_numpy()] = table.column("b").to_numpy()
+    return out
+
+
+def is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys' places in a bitmap, by their first 48 bits, which fingerprints have."""
+    return (mixed(keys >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def repeated(rows: DataFrame, keys_of, total: int, bits: int) -> np.ndarray:
+    """A bitmap of the places of 64-bit keys that occur twice or more, and of few others.
+
+    ``keys_of(batches)`` yields arrays of keys; ``total`` is about how many there are. Tasks send the keys' first 48 bits, four bytes a key
+    as 16 bits of a bucket's keys are mostly alike and go as runs, and a bucket's are sorted together; buckets are as many as it takes.
+    """
+    buckets = 1 << min(16, max(4, int(total // BUCKET_KEYS).bit_length()))
+
+    def send(batches):
+        for keys in keys_of(batches):
+            key, _, n, _ = grouped(keys)
+            key = np.repeat(key, np.minimum(n, 2))  # in order
+            tops = (key >> np.uint64(48)).astype(np.uint16)
+            prints = (key >> np.uint64(16)).astype(np.uint32)
+            bucket = tops % buckets if buckets < 1 << 16 else tops
+            by = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                here = by[cuts[b] : cuts[b + 1]]
+                top, _, runs, _ = grouped(tops[here])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (top, runs.astype("<u4"), prints[here]))], ["bucket", "tops", "runs", "prints"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        tops, runs, prints = (table.column(c).to_pylist() for c in ("tops", "runs", "prints"))
+        top = np.concatenate([np.repeat(np.frombuffer(t, np.uint16), np.frombuffer(r, "<u4")) for t, r in zip(tops, runs, strict=True)])
+        keys = (top.astype(np.uint64) << np.uint64(32)) | np.concatenate([np.frombuffer(p, np.uint32) for p in prints])
+        keys.sort()
+        place, _, _, _ = grouped(places(keys[1:][keys[1:] == keys[:-1]] << np.uint64(16), bits))
+        word, _, _, at = grouped(place >> 6)
+        found = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(found, at, np.uint64(1) << (place & 63).astype(np.uint64))
+        return pa.table({"w": pa.array(word.astype(np.int32)), "b": pa.array(signed(found))})
+
+    sent = rows.mapInArrow(send, "bucket int, tops binary, runs binary, prints binary")
+    return _gathered_bits(sent.groupBy("bucket").applyInArrow(meet, "w int, b long"), bits)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each connected component, for nodes that have an edge.
 

@@ -35,8 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, discard, fold_of, grouped, hashed_words, mixed, signed, slices, written
-from .ngram_jaccard import _is_set, bitmap
+from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, signed, slices, written
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -44,8 +43,8 @@ HOT, ARCS = 1 << 21, 1 << 21
 DISCOUNT = 0.75
 #: The end token's hash.
 END = mixed(np.array([0x5851F42D4C957F2D], np.uint64))[0]
-#: Tokens whose n-grams a worker counts at once, and tokens to each bucket of fingerprints.
-FLUSH_TOKENS, BUCKET_TOKENS = 1 << 21, 1 << 21
+#: Tokens whose n-grams a worker counts at once.
+FLUSH_TOKENS = 1 << 20
 #: Bits of the filters: 16 MB. They only spare work.
 FILTER_BITS = 1 << 27
 #: Tokens that are traversed in a row; rows of documents that are scored at once.
@@ -104,60 +103,20 @@ def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
         yield context[inside], suffix[inside], key[inside], owner[: len(key)][inside]
 
 
-def _places(keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
-    """A key's place in a bitmap: by its first 32 + 16 bits, which fingerprints have."""
-    return (mixed(keys >> np.uint64(16)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def repeated(texts: DataFrame, size: int, tokens: int) -> np.ndarray:
-    """A bitmap of the places of n-grams of ``size`` tokens that occur twice or more, and of few others."""
-    buckets = 1 << min(16, max(4, int(tokens // BUCKET_TOKENS).bit_length()))
-
-    def send(batches):
+def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
+    """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more."""
+    def keys_of(batches):
         for hashes, counts in gathered(batches):
             *_, (_, _, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
-            key, _, n, _ = grouped(key)
-            key = np.repeat(key, np.minimum(n, 2))  # in order
-            bucket = (key >> np.uint64(48)) % np.uint64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
-            prints = (key[by] >> np.uint64(16)).astype(np.uint32)
-            tops = (key[by] >> np.uint64(48)).astype(np.uint16)
-            for b in range(buckets):
-                low, high = cuts[b], cuts[b + 1]
-                if high > low:
-                    # the places of equal prints are equal if their top bits are: these are sent as runs
-                    top, _, runs, _ = grouped(tops[low:high]) if buckets < 1 << 16 else (np.array([b], np.uint16), None, np.array([high - low]), None)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([top.tobytes()], pa.binary()), pa.array([runs.astype("<u4").tobytes()], pa.binary()), pa.array([prints[low:high].tobytes()], pa.binary())], ["bucket", "tops", "runs", "prints"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        tops, runs, prints = (table.column(c).to_pylist() for c in ("tops", "runs", "prints"))
-        top = np.concatenate([np.repeat(np.frombuffer(t, np.uint16), np.frombuffer(r, "<u4")) for t, r in zip(tops, runs, strict=True)])
-        keys = (top.astype(np.uint64) << np.uint64(32)) | np.concatenate([np.frombuffer(p, np.uint32) for p in prints])
-        keys.sort()
-        twice = keys[1:][keys[1:] == keys[:-1]]
-        place, _, _, _ = grouped(_places(twice << np.uint64(16)))
-        word, _, _, at = grouped(place >> 6)
-        bits = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(bits, at, np.uint64(1) << (place & 63).astype(np.uint64))
-        return pa.table({"w": pa.array(word.astype(np.int32)), "b": pa.array(signed(bits))})
-
-    sent = texts.select("text").mapInArrow(send, "bucket int, tops binary, runs binary, prints binary")
-    words = sent.groupBy("bucket").applyInArrow(meet, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out
-
+            yield key
 
-def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
-    """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more."""
-    sent = texts.sparkSession.sparkContext.broadcast(repeated(texts, size, tokens))
+    sent = texts.sparkSession.sparkContext.broadcast(repeated(texts.select("text"), keys_of, tokens, FILTER_BITS))
 
     def run(batches):
         wanted = sent.value
         for hashes, counts in gathered(batches):
             *_, (context, suffix, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
-            keep = _is_set(wanted, _places(key))
+            keep = is_set(wanted, places(key, FILTER_BITS))
             context, suffix = context[keep], suffix[keep]
             _, at, n, _ = grouped(key[keep])
             for low in range(0, len(at), 1 << 16):
@@ -345,8 +304,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     model = tokens.where(F.col("c") < often).select("key", F.log10("p").alias("v"), F.lit(True).alias("token")).union(cold.select("key", "v", F.lit(False)))
     # two places for each key
     second = F.shiftrightunsigned("key", 32)
-    places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
-    sent = sc.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(places, FILTER_BITS)))
+    asked_places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
+    sent = sc.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
 
     def run(batches):
         known_h, logs, automaton, bits = sent.value
@@ -364,8 +323,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 is_hot = automaton.state(context, gram_size) > 0
                 for wanted, maybe in ((key, ~found(automaton.keys[gram_size - 1], key)[0]), (weight_keys(context), ~is_hot)):
                     some = np.flatnonzero(maybe)
-                    some = some[_is_set(bits, (wanted[some] & mask).astype(np.int64))]
-                    some = some[_is_set(bits, ((wanted[some] >> np.uint64(32)) & mask).astype(np.int64))]
+                    some = some[is_set(bits, (wanted[some] & mask).astype(np.int64))]
+                    some = some[is_set(bits, ((wanted[some] >> np.uint64(32)) & mask).astype(np.int64))]
                     asked.append((own[some], wanted[some], np.zeros(len(some), bool)))
             d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t or b"") for t in batch.column(2).to_pylist()), "<i8").reshape(-1, 2)
             own, key, token = (np.concatenate(x) for x in zip(*asked, strict=True))

@@ -42,8 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import checkpointed, components, discard, hashed_words, most_frequent, shingle_hashes, signed, slices, written
+from ._common import bitmap, checkpointed, components, discard, hashed_words, is_set, most_frequent, places, repeated, shingle_hashes, signed, slices, written
 
 WORDS, PERCENT = 3, 90
 #: An n-gram's count in a batch is passed on from here; at most so many n-grams rank by count.
@@ -152,18 +153,6 @@ def matrix_rows(docs: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n long, prefix array<long>, sketch binary")
 
 
-def bitmap(places: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size with the numbers in column ``place`` set; the driver gets at most bits / 64 words."""
-    words = places.select(F.expr("cast(place div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    return out
-
-
-def _is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bits[place >> 6] >> (place & 63)) & 1 == 1
-
-
 def block_entries(classes: DataFrame, percent: int, bits: int = FILTER_BITS) -> DataFrame:
     """(gram, cid, n, pos, own, top): the prefixes' entries, of classes that may link, without most n-grams that only one class has.
 
@@ -171,8 +160,13 @@ def block_entries(classes: DataFrame, percent: int, bits: int = FILTER_BITS) ->
     n-gram in its prefix, as it has none of the ``own`` ones before it.
     """
     spark = classes.sparkSession
-    shared = classes.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
-    sent = spark.sparkContext.broadcast(bitmap(shared.select(F.expr(f"gram & {bits - 1}L").alias("place")), bits))
+    def keys_of(batches):
+        for batch in batches:
+            for part in slices([batch], 4096):
+                yield part.column(0).flatten().to_numpy().view(np.uint64)
+
+    total = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    sent = spark.sparkContext.broadcast(repeated(classes.select("prefix"), keys_of, total, bits))
 
     def run(batches):
         wanted = sent.value
@@ -182,7 +176,7 @@ def block_entries(classes: DataFrame, percent: int, bits: int = FILTER_BITS) ->
             size = np.diff(offsets)
             owner, gram = np.repeat(np.arange(rows), size), grams.flatten().to_numpy()
             pos = np.arange(len(gram)) - (offsets[:-1] - offsets[0])[owner]
-            keep = _is_set(wanted, gram & (bits - 1))
+            keep = is_set(wanted, places(gram.view(np.uint64), bits))
             n = batch.column(1).to_numpy()
             least = -(-percent * n // 100)
             have = np.bincount(owner[keep], minlength=rows)
@@ -235,10 +229,10 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS
     def run(batches):
         (by_class, by_id), seen = sent.value, set()
         for batch in slices(batches):
-            texts = batch.filter(pa.array(_is_set(by_id, batch.column(2).to_numpy())))
+            texts = batch.filter(pa.array(is_set(by_id, batch.column(2).to_numpy())))
             sets = shingle_sets(texts.column(1), k)
             names = _digests(sets)
-            wanted = _is_set(by_class, (names[:, 0] ^ texts.column(0).fill_null(0).to_numpy()) & mask)
+            wanted = is_set(by_class, (names[:, 0] ^ texts.column(0).fill_null(0).to_numpy()) & mask)
             if len(seen) >= 1 << 16:
                 seen.clear()
             at = []
@@ -432,10 +426,7 @@ def keyed(docs: DataFrame, text_col: str, k: int, names: list[str]) -> DataFrame
 
     # what is added for the reading has no name that could clash
     rows = docs.select("*", F.col(text_col).cast("binary").alias(names[0]), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map" not in t and c != text_col], F.lit(0)).alias(names[1]))
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names)]))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY) -> DataFrame:

@@ -18,14 +18,12 @@ Empty table: no rows. Extra columns: ignored by :func:`judge`, kept by :func:`dr
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, shingle_hashes, word_hashes
+from ._common import fresh_name, grouped, hashed_words, shingle_hashes, slices
 from .toxicity import labelled_sample, one_row_each
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -47,23 +45,22 @@ FEATURES = {
     "words_per_line": 0,
 }
 
+#: Bytes that begin no code point of a word: white space, and the later bytes of longer code points.
+_NO_CHARACTER = bytes([*b" \t\n\r\x0b\x0c", *range(0x80, 0xC0)])
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
-def statistics(text: str | None, cache: WordHashes) -> tuple[tuple[int, int, int, int, int], list[float]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the FEATURES of a whole text."""
-    text = text or ""
-    data = text.encode()
-    words = data.split()
-    n = len(words)
-    chars = len(text) - (len(data) - len(data.translate(None, b" \t\n\r\x0b\x0c")))
+def statistics(data: bytes, ids: np.ndarray) -> tuple[tuple[int, int, int, int, int], list[float]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and the FEATURES of a whole text; ids: the hashes of its words."""
+    n = len(ids)
+    chars = len(data.translate(None, _NO_CHARACTER))
     symbols = len(data) - len(data.translate(None, b"#*$%&|<>"))
     lines = [x for x in data.split(b"\n") if x.strip()]
     dup = len(lines) - len(set(lines))
-    ids = word_hashes(words, cache)
     repeated = 0
     if n > WINDOW:
-        _, at, count = np.unique(shingle_hashes(ids, WINDOW), return_inverse=True, return_counts=True)
+        _, _, count, at = grouped(shingle_hashes(ids, WINDOW))
         first = np.flatnonzero(count[at] >= 2)
         if len(first):
             edge = np.zeros(n + 1, np.int64)
@@ -71,14 +68,21 @@ def statistics(text: str | None, cache: WordHashes) -> tuple[tuple[int, int, int
             edge[first + WINDOW] -= 1
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
     each, letters = max(n, 1), max(chars, 1)
-    counts = Counter(words)
+    kinds, _, counts, _ = grouped(ids)
     upper = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     digits = len(data) - len(data.translate(None, b"0123456789"))
     stutter = int((ids[1:] == ids[:-1]).sum()) if n > 1 else 0
-    features = [np.log1p(n), chars / each, symbols / each, dup / max(len(lines), 1), repeated / each, stutter / each, len(counts) / each, upper / letters, data.count(b"!") / each, digits / letters, max(counts.values(), default=0) / each, n / max(len(lines), 1)]
+    features = [np.log1p(n), chars / each, symbols / each, dup / max(len(lines), 1), repeated / each, stutter / each, len(kinds) / each, upper / letters, data.count(b"!") / each, digits / letters, int(counts.max()) / each if n else 0.0, n / max(len(lines), 1)]
     return (n, chars, symbols, dup, repeated), features
 
 
+def all_statistics(texts: pa.Array) -> list[tuple[tuple[int, int, int, int, int], list[float]]]:
+    """The statistics of each text."""
+    hashes, counts = hashed_words(texts, lower=False)
+    ends = np.cumsum(counts)
+    return [statistics(t or b"", hashes[e - n : e]) for t, e, n in zip(texts.to_pylist(), ends.tolist(), counts.tolist(), strict=True)]
+
+
 def base_fails(n: int, repeated: int) -> bool:
     return n < LEAST_WORDS or 100 * repeated > MOST_REPEATED_PERCENT * n
 
@@ -157,12 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int
     texts = one_row_each(docs, picked, text_col)
 
     def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            found = [statistics(t, cache)[1] for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = [x for _, x in all_statistics(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "label", "weight", "x"])
 
-    table = texts.select("doc_id", "text", "label", "weight").mapInArrow(run, "doc_id long, label int, weight double, x array<double>").toArrow().sort_by("doc_id")
+    table = texts.select("doc_id", F.col("text").cast("binary").alias("text"), "label", "weight").mapInArrow(run, "doc_id long, label int, weight double, x array<double>").toArrow().sort_by("doc_id")
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return train(x, table.column("label").to_numpy().astype(float), table.column("weight").to_numpy(), list(FEATURES.values()))
 
@@ -172,15 +175,14 @@ def judge(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            found = [statistics(t, cache) for t in batch.column(1).to_pylist()]
+        for batch in slices(batches):
+            found = all_statistics(batch.column(1))
             score = sent.value.score(np.array([f for _, f in found]))
             failed = np.array([base_fails(c[0], c[4]) for c, _ in found], bool)
             counts = [pa.array([c[j] for c, _ in found], pa.int64()) for j in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(failed), pa.array(~failed & (score >= 0.5), pa.bool_()), pa.array(score, pa.float64())], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def drop_failed(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
@@ -188,10 +190,10 @@ def drop_failed(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        cache = WordHashes()
-        for batch in batches:
-            found = [statistics(t, cache) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        for batch in slices(batches):
+            own = range(batch.num_columns - 1)
+            found = all_statistics(batch.column(batch.num_columns - 1))
             failed = np.array([base_fails(c[0], c[4]) for c, _ in found], bool)
-            yield batch.filter(pa.array(~failed & (sent.value.score(np.array([f for _, f in found])) >= 0.5), pa.bool_()))
+            yield batch.select(own).filter(pa.array(~failed & (sent.value.score(np.array([f for _, f in found])) >= 0.5), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.select("*", F.col(text_col).cast("binary").alias(fresh_name(docs))).mapInArrow(run, docs.schema)

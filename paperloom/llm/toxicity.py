@@ -100,27 +100,32 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     active = np.flatnonzero(seen >= min(LEAST_DOCS, 1 + len(rows) // 20))
     place = np.full(size, -1, np.int64)
     place[active] = np.arange(len(active))
-    rows = [(place[n][place[n] >= 0], v[place[n] >= 0]) for n, v in rows]
+    rows = [(place[n][place[n] >= 0].astype(np.int32), v[place[n] >= 0]) for n, v in rows]
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(active)), rng.normal(0, 0.02, (len(active), FACTORS))
-    b, gw, gv, gb = np.log(share / (1 - share)), np.full(len(active), 1e-3), np.full((len(active), FACTORS), 1e-3), 1e-6
+    w, v = np.zeros(len(active), np.float32), rng.normal(0, 0.02, (len(active), FACTORS)).astype(np.float32)
+    b, gw, gv, gb = np.log(share / (1 - share)), np.full(len(active), 1e-3, np.float32), np.full((len(active), FACTORS), 1e-3, np.float32), 1e-6
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
             lengths = np.array([len(rows[i][0]) for i in part])
-            used, at = np.unique(np.concatenate([rows[i][0] for i in part]), return_inverse=True)
-            if not len(used):
+            number, x = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+            if not len(number):
                 continue
-            # the batch as a matrix of its documents by its terms
-            x = np.zeros((len(part), len(used)), np.float32)
-            x[np.repeat(np.arange(len(part)), lengths), at] = np.concatenate([rows[i][1] for i in part])
-            x2, vu = x * x, v[used]
-            total = x @ vu
-            z = b + x @ w[used] + 0.5 * ((total**2).sum(1) - (x2 @ (vu * vu)).sum(1))
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * weights[part] / len(part)
-            dw = g @ x
-            dv = x.T @ (g[:, None] * total) - (g @ x2)[:, None] * vu
+            owner, some = np.repeat(np.arange(len(part)), lengths), np.flatnonzero(lengths)
+            starts = (np.cumsum(lengths) - lengths)[some]
+            by = np.argsort(number)
+            first = np.flatnonzero(np.append(True, np.diff(number[by]) != 0))
+            used = number[by][first]
+            vx = v[number] * x[:, None]
+            total, squares, z = np.zeros((len(part), FACTORS), np.float32), np.zeros(len(part)), np.full(len(part), b)
+            total[some], squares[some] = np.add.reduceat(vx, starts), np.add.reduceat((vx * vx).sum(1), starts)
+            z[some] += np.add.reduceat(w[number] * x, starts)
+            z += 0.5 * ((total**2).sum(1) - squares)
+            g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * weights[part] / len(part)).astype(np.float32)
+            gx = g[owner] * x
+            dw = np.add.reduceat(gx[by], first)
+            dv = np.add.reduceat((gx[:, None] * (total[owner] - vx))[by], first)
             gw[used] += dw**2
             gv[used] += dv**2
             for table, step, slope in ((w, rate / np.sqrt(gw[used]), dw), (v, 0.3 * rate / np.sqrt(gv[used]), dv)):
@@ -169,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([n for n, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "weight", "numbers", "values"])
 
     table = texts.select("doc_id", "text", "label", "weight").mapInArrow(run, "doc_id long, label int, weight double, numbers array<int>, values array<float>").toArrow().sort_by("doc_id")
-    rows = [(np.asarray(n.values.to_numpy(zero_copy_only=False), np.int64), np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)) for n, v in zip(table.column("numbers"), table.column("values"), strict=True)]
+    rows = [(np.asarray(n.values.to_numpy(zero_copy_only=False), np.int32), np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)) for n, v in zip(table.column("numbers"), table.column("values"), strict=True)]
     return train(rows, table.column("label").to_numpy().astype(np.float64), table.column("weight").to_numpy())
 
 
