@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import charts, dedup, gates, joins, reports, search, streams, structure, text
+from . import charts, dedup, gates, joins, media, reports, search, streams, structure, text
 from ._registry import ORACLE, QUERIES
 
-__all__ = ["charts", "dedup", "gates", "joins", "reports", "search", "streams", "structure", "text"]
+__all__ = ["charts", "dedup", "gates", "joins", "media", "reports", "search", "streams", "structure", "text"]
 
 
 def queries():
