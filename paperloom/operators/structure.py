@@ -41,6 +41,14 @@ def links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     return found.select(key, link.alias("link"))
 
 
+#: Classes and ids that contents of pages often have; of the first two a part is enough, whatever its case.
+CONTENT_CLASS_PARTS = ["tys-main-zt-show", "tys-main"]
+CONTENT_CLASSES = "TRS_Editor TRS_UEDITOR ucontent article-content news-content detail-content content-text pages_content zwgk_content content_detail text_content main-content main_content view-content info-content content".split()
+CONTENT_IDS = ["Zoom", "content", "article"]
+#: Least characters of a named container, of a plain one, and the score under which plain ones are tried; what a Chinese character and a paragraph add.
+NAMED_LEAST, PLAIN_LEAST, WEAK_SCORE, CJK_WORTH, PARAGRAPH_WORTH = 100, 200, 200, 2, 50
+
+
 class _Tree(HTMLParser):
     """Collects markdown lines and candidate containers of one page."""
 
@@ -51,8 +59,10 @@ class _Tree(HTMLParser):
         self.line = ""
         self.mark = ""
         self.href: list[str] = []
-        self.stack: list[tuple[str, int]] = []
-        self.boxes: list[tuple[str, int, int]] = []
+        # open containers: tag, whether it is named as content, lines, characters and Chinese characters before it, paragraphs right in it
+        self.stack: list[list] = []
+        self.boxes: list[tuple[str, bool, int, int, int, int, int]] = []
+        self.chars = self.chinese = 0
 
     def flush(self):
         text = " ".join(self.line.split())
@@ -74,8 +84,13 @@ class _Tree(HTMLParser):
         elif tag == "a":
             self.href.append(dict(attrs).get("href") or "")
             self.line += "["
+        if tag == "p" and self.stack:
+            self.stack[-1][5] += 1
         if tag in ("div", "section", "article", "main", "body"):
-            self.stack.append((tag, len(self.lines)))
+            have = dict(attrs)
+            classes = (have.get("class") or "").split()
+            named = tag in ("article", "main") or have.get("id") in CONTENT_IDS or any(c in CONTENT_CLASSES or any(x in c.lower() for x in CONTENT_CLASS_PARTS) for c in classes)
+            self.stack.append([tag, named, len(self.lines), self.chars, self.chinese, 0])
 
     def handle_endtag(self, tag):
         if tag in CLUTTER and self.skip:
@@ -88,24 +103,37 @@ class _Tree(HTMLParser):
         elif tag not in VOID and tag not in ("b", "i", "em", "strong", "span", "code"):
             self.flush()
         if tag in ("div", "section", "article", "main", "body") and self.stack:
-            name, low = self.stack.pop()
-            self.boxes.append((name, low, len(self.lines)))
+            name, named, low, chars, chinese, paragraphs = self.stack.pop()
+            self.boxes.append((name, named, low, len(self.lines), self.chars - chars, self.chinese - chinese, paragraphs))
 
     def handle_data(self, data):
         if not self.skip:
             self.line += data
+            text = data.strip()
+            self.chars += len(text)
+            self.chinese += sum("\u4e00" <= c <= "\u9fa5" for c in text)
 
 
 def markdown_of(html: str | None) -> tuple[str, str]:
-    """(main content, whole page) of a page as Markdown. The main content is the longest of main and article, from 100 characters on, else the longest container."""
+    """(main content, whole page) of a page as Markdown.
+
+    The main content is the container of the highest score, its characters and twice its Chinese ones: of those that are named as content, from
+    100 characters on; if the best of these is weak, of the plain ones of over 200 characters with paragraphs right in them, each of which adds 50. Else the whole page.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree.flush()
-    texts = [(n, "\n\n".join(tree.lines[a:b])) for n, a, b in tree.boxes]
-    good = [x for n, x in texts if n in ("main", "article") and len(x) >= 100] or [x for _, x in texts]
-    whole = "\n\n".join(tree.lines)
-    return max(good, key=len, default=whole), whole
+    whole, best, top = "\n\n".join(tree.lines), None, 0
+    for _, named, low, high, chars, chinese, _ in tree.boxes:
+        if named and chars >= NAMED_LEAST and chars + CJK_WORTH * chinese > top:
+            best, top = (low, high), chars + CJK_WORTH * chinese
+    if top < WEAK_SCORE:
+        for tag, _, low, high, chars, chinese, paragraphs in tree.boxes:
+            score = chars + CJK_WORTH * chinese + PARAGRAPH_WORTH * paragraphs
+            if tag == "div" and chars > PLAIN_LEAST and paragraphs and score > top:
+                best, top = (low, high), score
+    return ("\n\n".join(tree.lines[slice(*best)]) if best else whole), whole
 
 
 def html_to_markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -276,7 +304,8 @@ def split_at_sections(sections: DataFrame, chapter: str, start: str, last: str,
             out.append([low, min(cut - 1, end)])
             low = cut
         if len(out) > 1 and out[-1][1] - out[-1][0] + 1 < least:
-            out[-2][1] = out.pop()[1]
+            tail = out.pop()
+            out[-1][1] = tail[1]
         return pd.DataFrame({chapter: [pdf[chapter].iloc[0]] * len(out), "first": [a for a, _ in out], "last": [b for _, b in out]})
 
     return sections.groupBy(chapter).applyInPandas(run, f"{chapter} {kinds[chapter]}, first long, last long")

@@ -205,3 +205,42 @@ def test_rankings_that_sql_has_no_word_for(spark):
     assert [r.k for r in ranked.collect()] == [1, 3]
     e = spark.createDataFrame([(["x", "y", "x"],), ([],), (["x", "y", "x"],)], "w array<string>").select(S.hashed_embedding(F.col("w")).alias("e")).collect()
     assert list(e[0].e) == list(e[2].e) and abs(sum(x * x for x in e[0].e) - 1) < 1e-6 and not any(e[1].e)
+
+
+def test_main_content():
+    words, more = "w" * 120, "中" * 90
+    assert structure.markdown_of(f"<body><nav>{'n' * 900}</nav><div>{'x' * 300}</div><article>{words}</article></body>")[0] == words  # named, though shorter
+    assert structure.markdown_of(f"<div class='news-content'>{words}</div><div id='Zoom'>{more}{more}</div>")[0] == more + more  # Chinese characters count thrice
+    assert structure.markdown_of(f"<div class='a TYS-MAIN-b'>{words}</div><main>{'m' * 99}</main>")[0] == words
+    plain = f"<div><p>{'p' * 110}</p><p>{'q' * 110}</p></div>"
+    assert structure.markdown_of(f"<div>{'x' * 260}</div>{plain}<article>{words}</article>")[0] == "p" * 110 + "\n\n" + "q" * 110  # the named one is weak
+    assert structure.markdown_of("<p>short</p><footer>f</footer>") == ("short", "short") and structure.markdown_of(None) == ("", "")
+
+
+def test_numbers_and_names(spark):
+    rows = spark.createDataFrame([("12. Intro",), ("3 - Plan",), ("7| x",), ("Plan 9",), ("deck_ppt169_20240131",), ("deck-20240131",)], "t string")
+    got = {r.t: r.p for r in rows.select("t", X.without_number(F.col("t")).alias("p")).collect()}
+    assert got["12. Intro"] == "Intro" and got["3 - Plan"] == "Plan" and got["7| x"] == "x" and got["Plan 9"] == "Plan 9"
+    parts = X.project_name(F.col("t"))
+    named = {r[0]: tuple(r)[1:] for r in rows.select("t", *(parts[k].alias(k) for k in sorted(parts))).collect()}
+    assert {"deck", "ppt169", "2024-01-31"} <= set(map(str, named["deck_ppt169_20240131"])) and "deck-20240131" in named["deck-20240131"]
+
+
+
+
+def test_headings_are_merged(spark):
+    rows = [("d", 1, 2, "A long"), ("d", 2, 2, "heading"), ("d", 3, 0, "body"), ("d", 4, 0, "body"), ("d", 5, 2, "x" * 40), ("d", 6, 2, "y" * 40), ("d", 7, 3, "z"), ("e", 1, 2, "alone")]
+    out = structure.merged_headings(spark.createDataFrame(rows, "doc string, n int, level int, text string"), "doc", "n", "level", "text")
+    assert sorted(tuple(r) for r in out.collect()) == [("d", 1, 2, "A long heading"), ("d", 3, 0, "body"), ("d", 4, 0, "body"), ("d", 5, 2, "x" * 40), ("d", 6, 2, "y" * 40), ("d", 7, 3, "z"), ("e", 1, 2, "alone")]
+
+
+def test_chunks_end_before_sections(spark):
+    def chunks(starts, last, most):
+        rows = spark.createDataFrame([("c", s, last) for s in starts], "chapter string, start int, last int")
+        return sorted(tuple(r)[1:] for r in structure.split_at_sections(rows, "chapter", "start", "last", most).collect())
+
+    for starts, last, most in (([1, 4, 9, 12], 20, 8), ([1], 30, 10), ([3, 5], 6, 50), ([1, 2, 3, 4, 5, 6], 6, 2), ([1, 10], 11, 10)):
+        got = chunks(starts, last, most)
+        assert got[0][0] == starts[0] and got[-1][1] == last and all(a[1] + 1 == b[0] for a, b in zip(got, got[1:]))
+        assert all(b - a + 1 <= most + 1 for a, b in got)
+    assert chunks([1, 4, 9, 12], 20, 8)[0] == (1, 8) and chunks([3, 5], 6, 50) == [(3, 6)]
