@@ -563,3 +563,40 @@ def test_pipeline(spark, tmp_path):
     clean = {d for d in first if not any(100 * len(windows(x, 5) & windows(texts[d], 5)) >= 80 * len(windows(x, 5)) for x in items)}
     assert set(ids) == clean
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated texts, wide and repeated ids, clashing columns, and an empty table, through all stages."""
+    import corpus_pipeline
+
+    good = [(i, f"{BASE} number {i} " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(40)]
+    rows = [*ROWS, *good, (good[3][0], good[4][1] + " again"), (None, good[5][1] + " tail"), ((1 << 62), good[6][1]), good[7]]
+    table = spark.createDataFrame([(i, t, None, "s" if i else None, None, 1.0, "d", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, d1 string, copy int")
+    items = spark.createDataFrame([(1, " ".join(good[9][1].split()[30:50])), (2, None), (None, ""), (1, "no such words stand anywhere at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, None, 1), (3, 0, None), (7, None, None)], "doc_id long, quality int, toxic int")
+    for name, data in (("full", table), ("empty", table.where("false"))):
+        data.repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    lab = spark.read.parquet(f"{tmp_path}/full/labels.parquet")
+    tox = toxicity.drop_toxic(docs, toxicity.fit(docs, lab))
+    assert tox.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in quality_rules.drop_failed(tox, quality_rules.fit(tox, lab)).collect()]
+    held = windows(items.first().text, 5)
+    clean = [(d, t) for d, t in one_of_each(kept, 5, 80) if 100 * len(held & windows(t, 5)) < 80 * len(held)]
+    out = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert len(clean) > 20 and Counter((r.doc_id, r.decoded_sha256) for r in out) == Counter((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in clean)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    plain = lambda rows: Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
+    got = queries.queries()[name](spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert plain(map(tuple, got.collect())) == plain(want) and want
