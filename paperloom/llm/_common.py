@@ -58,9 +58,32 @@ def written(df: DataFrame) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files that no plan can reach any more; it finds them when the driver collects its garbage, which may be never."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
+_SENT: list[list] = []
+
+
+def send(spark: SparkSession, value):
+    """Broadcasts a value of bounded size."""
+    sent = spark.sparkContext.broadcast(value)
+    if _SENT:
+        _SENT[-1].append(sent)
+    return sent
+
+
+@contextmanager
+def sent_within():
+    """What :func:`send` broadcasts inside is forgotten at the end, everywhere: all that reads it must be stored by then."""
+    _SENT.append([])
+    try:
+        yield
+    finally:
+        for sent in _SENT.pop():
+            sent.destroy()
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that :func:`written` made, once nothing that is still to run reads it."""
     for scope in _SCOPES:

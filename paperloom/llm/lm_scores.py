@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, signed, slices, written
+from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, send, sent_within, signed, slices, written
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -110,7 +110,7 @@ def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
             *_, (_, _, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
             yield key
 
-    sent = texts.sparkSession.sparkContext.broadcast(repeated(texts.select("text"), keys_of, tokens, FILTER_BITS))
+    sent = send(texts.sparkSession, repeated(texts.select("text"), keys_of, tokens, FILTER_BITS))
 
     def run(batches):
         wanted = sent.value
@@ -126,11 +126,11 @@ def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
 
 
-def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: int, most: int, last: bool) -> tuple[DataFrame, DataFrame, int]:
-    """Arcs (key, c, v, p, context, suffix, lift), states (key, top, v, context) of n-grams of ``size`` tokens, and the count from which on they are hot.
+def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: int, most: int, last: bool) -> tuple[DataFrame | None, DataFrame, tuple, tuple, int]:
+    """N-grams of ``size`` tokens: (key, c, p) of all for the next level; (key, v) of the arcs and states that aren't hot; the hot arcs (key, context,
+    suffix, lift) and states (context, weight) as arrays; and the count from which on they are hot.
 
-    v is an arc's gain and a state's weight; top the count of a state's most frequent arc; lift the log-probability less the suffix's. What only the hot ones
-    need, context, suffix and lift, only these have, and only a level that another is built on has p.
+    v is an arc's gain or a state's weight; lift an arc's log-probability less its suffix's.
     ``shorter``: (key, c, p) of the n-grams one token shorter. It has every n-gram's context and suffix, as
     these occur as often at least; so what is hot here, from ``least`` on, has a hot context and suffix. At most ``most`` arcs are hot.
     """
@@ -144,8 +144,9 @@ def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: i
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(weight_keys(batch.column(0).to_numpy().view(np.uint64)))), *batch.columns], ["key", *batch.schema.names])
 
-    low = ngrams(texts, size, tokens).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
-    grams = written(low)
+    with sent_within():
+        low = ngrams(texts, size, tokens).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
+        grams = written(low)
     hot = max(least, hot_count(grams, most))
     sums = grams.groupBy("context").agg(F.max("c").alias("top"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
     # every context is followed by a token; of its continuations that are no arcs each occurs once
@@ -159,11 +160,19 @@ def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: i
     p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low")
     lift = F.log10(p) - F.log10("low")
     is_hot = F.col("c") >= hot
-    arcs = written(joined.select("key", "c", (lift - F.col("backoff")).alias("v"), F.when(F.lit(not last), p).alias("p"), *(F.when(is_hot, F.col(c)).alias(c) for c in ("context", "suffix")), F.when(is_hot, lift).alias("lift")))
+    # only the hot ones need context, suffix and lift, and the others v
+    arcs = written(joined.select("key", "c", F.when(F.lit(not last), p).alias("p"), F.when(~is_hot, lift - F.col("backoff")).alias("v"), *(F.when(is_hot, F.col(c)).alias(c) for c in ("context", "suffix")), F.when(is_hot, lift).alias("lift")))
     discard(grams)
-    weights = written(states.select("context", "top", "v").mapInArrow(weighted, "key long, context long, top long, v double").select("key", "top", "v", F.when(F.col("top") >= hot, F.col("context")).alias("context")))
+    table = arcs.where(is_hot).select("key", "context", "suffix", "lift").toArrow()
+    hot_arcs = (*(table.column(c).to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), table.column("lift").to_numpy())
+    table = states.where(F.col("top") >= hot).select("context", "v").toArrow()
+    hot_states = (table.column("context").to_numpy().view(np.uint64), table.column("v").to_numpy())
+    weights = states.where(F.col("top") < hot).select("context", "top", "v").mapInArrow(weighted, "key long, context long, top long, v double").select("key", "v")
+    cold = written(arcs.where(~is_hot).select("key", "v").union(weights))
     discard(states)
-    return arcs, weights, hot
+    longer = None if last else written(arcs.select("key", "c", "p"))
+    discard(arcs)
+    return longer, cold, hot_arcs, hot_states, hot
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +290,6 @@ def hot_count(counts: DataFrame, most: int) -> int:
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_tokens: int = HOT, most_arcs: int = ARCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold_of(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     texts = docs.where("not held_out")
     counts = written(unigrams(texts))
@@ -295,17 +303,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     cold = tokens.where("false").select("key", F.col("p").alias("v"))
     hot_arcs, hot_states, shorter, least = [], [], tokens, 2
     for size in range(2, order + 1):
-        shorter, states, least = level(texts, shorter, size, n, least, most_arcs // (order - 1), size == order)
-        table = shorter.where(F.col("c") >= least).select("key", "context", "suffix", "lift").toArrow()
-        hot_arcs.append((*(table.column(c).to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), table.column("lift").to_numpy()))
-        table = states.where(F.col("top") >= least).select("context", "v").toArrow()
-        hot_states.append((table.column("context").to_numpy().view(np.uint64), table.column("v").to_numpy()))
-        cold = cold.union(shorter.where(F.col("c") < least).select("key", "v")).union(states.where(F.col("top") < least).select("key", "v"))
+        longer, more, arcs, states, least = level(texts, shorter, size, n, least, most_arcs // (order - 1), size == order)
+        if size > 2:
+            discard(shorter)
+        hot_arcs.append(arcs)
+        hot_states.append(states)
+        cold, shorter = cold.union(more), longer
     model = tokens.where(F.col("c") < often).select("key", F.log10("p").alias("v"), F.lit(True).alias("token")).union(cold.select("key", "v", F.lit(False)))
     # two places for each key
     second = F.shiftrightunsigned("key", 32)
     asked_places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
-    sent = sc.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
 
     def run(batches):
         known_h, logs, automaton, bits = sent.value

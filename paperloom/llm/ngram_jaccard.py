@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import bitmap, checkpointed, components, discard, hashed_words, is_set, most_frequent, places, repeated, shingle_hashes, signed, slices, written
+from ._common import bitmap, checkpointed, components, discard, hashed_words, is_set, most_frequent, places, repeated, send, sent_within, shingle_hashes, signed, slices, written
 
 WORDS, PERCENT = 3, 90
 #: An n-gram's count in a batch is passed on from here; at most so many n-grams rank by count.
@@ -166,7 +166,7 @@ def block_entries(classes: DataFrame, percent: int, bits: int = FILTER_BITS) ->
                 yield part.column(0).flatten().to_numpy().view(np.uint64)
 
     total = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    sent = spark.sparkContext.broadcast(repeated(classes.select("prefix"), keys_of, total, bits))
+    sent = send(spark, repeated(classes.select("prefix"), keys_of, total, bits))
 
     def run(batches):
         wanted = sent.value
@@ -224,7 +224,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, k: int, bits: int = FILTER_BITS
     mask = bits - 1
     low = F.coalesce("low", F.lit(0))
     # a class by its digest and its lowest id; documents that aren't any class's lowest aren't split into words
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(bitmap(ids.select(p.bitwiseAND(F.lit(mask)).alias("place")), bits) for p in (F.col("d1").bitwiseXOR(low), F.xxhash64("low"))))
+    sent = send(docs.sparkSession, tuple(bitmap(ids.select(p.bitwiseAND(F.lit(mask)).alias("place")), bits) for p in (F.col("d1").bitwiseXOR(low), F.xxhash64("low"))))
 
     def run(batches):
         (by_class, by_id), seen = sent.value, set()
@@ -368,10 +368,15 @@ def _pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def labelled_classes(docs: DataFrame, k: int, percent: int, heavy: int) -> DataFrame:
-    """(d1, d2, root, low): the component of each class of documents (doc_id, text), and the lowest id of the class."""
+    """(d1, d2, root, low): the component of each class of documents (doc_id, text), and the lowest id of the class. A stored table."""
+    with sent_within():
+        return _labelled_classes(docs, k, percent, heavy)
+
+
+def _labelled_classes(docs: DataFrame, k: int, percent: int, heavy: int) -> DataFrame:
     if percent < 75:
         raise ValueError("below 75 % two different sets may link by fewer n-grams than SHARED")
-    order = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, k, heavy=heavy))
+    order = send(docs.sparkSession, heavy_shingles(docs, k, heavy=heavy))
     one = matrix_rows(docs, k, percent, order).groupBy("d1", "d2")
     one = one.agg(F.first("n").alias("n"), F.first("prefix", True).alias("prefix"), F.first("sketch", True).alias("sketch"), F.min("doc_id").alias("low"))
     classes = written(one.withColumn("cid", F.monotonically_increasing_id()))
@@ -397,7 +402,9 @@ def labelled_classes(docs: DataFrame, k: int, percent: int, heavy: int) -> DataF
     pairs = _pairs(x.join(y, ["cell", "gram"]).where("x_root != y_root and x_cid < y_cid"), percent)
     pairs = written(pairs.join(tries, ["a", "b"], "left_anti"))
     large = written(cells.join(sizes.where(f"rows > {SMALL}").select("cell"), "cell", "left_semi"))
-    more = linked(docs, classes, pairs, k, percent).union(cell_links(docs, classes, large, k, percent))
+    none = tries.select("a", "b").where("false")
+    more = none if pairs.isEmpty() else linked(docs, classes, pairs, k, percent)
+    more = more if large.isEmpty() else more.union(cell_links(docs, classes, large, k, percent))
     # links between components, one for each two
     of = roots.withColumnRenamed("node", "n")
     ends = more.join(of.toDF("a", "ra"), "a", "left").join(of.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b").distinct()

@@ -96,20 +96,26 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not 0 < share < 1:
         return FactorizationMachine(40.0 if share else -40.0, out_w, out_v)
-    seen = np.bincount(np.concatenate([n for n, _ in rows]), minlength=size)
+    counts = np.array([len(n) for n, _ in rows])
+    flat, values = np.concatenate([n for n, _ in rows]), np.concatenate([v for _, v in rows])
+    seen = np.bincount(flat, minlength=size)
     active = np.flatnonzero(seen >= min(LEAST_DOCS, 1 + len(rows) // 20))
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[active] = np.arange(len(active))
-    rows = [(place[n][place[n] >= 0].astype(np.int32), v[place[n] >= 0]) for n, v in rows]
+    flat = place[flat]
+    keep = flat >= 0
+    counts = np.bincount(np.repeat(np.arange(len(rows)), counts)[keep], minlength=len(rows))
+    flat, values, begins = flat[keep], values[keep], np.cumsum(counts) - counts
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(active), np.float32), rng.normal(0, 0.02, (len(active), FACTORS)).astype(np.float32)
     b, gw, gv, gb = np.log(share / (1 - share)), np.full(len(active), 1e-3, np.float32), np.full((len(active), FACTORS), 1e-3, np.float32), 1e-6
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(counts))
         for low in range(0, len(order), batch):
             part = order[low : low + batch]
-            lengths = np.array([len(rows[i][0]) for i in part])
-            number, x = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+            lengths = counts[part]
+            at = np.repeat(begins[part] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            number, x = flat[at], values[at]
             if not len(number):
                 continue
             owner, some = np.repeat(np.arange(len(part)), lengths), np.flatnonzero(lengths)
@@ -174,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", sample: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([n for n, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["doc_id", "label", "weight", "numbers", "values"])
 
     table = texts.select("doc_id", "text", "label", "weight").mapInArrow(run, "doc_id long, label int, weight double, numbers array<int>, values array<float>").toArrow().sort_by("doc_id")
-    rows = [(np.asarray(n.values.to_numpy(zero_copy_only=False), np.int32), np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)) for n, v in zip(table.column("numbers"), table.column("values"), strict=True)]
+    flat = [table.column(c).combine_chunks() for c in ("numbers", "values")]
+    offsets = flat[0].offsets.to_numpy() if len(table) else np.zeros(1, np.int32)
+    numbers, values = ((c.values if len(table) else c).to_numpy(zero_copy_only=False) for c in flat) if len(table) else (np.zeros(0, np.int32), np.zeros(0, np.float32))
+    rows = [(numbers[a:b], values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]  # views
     return train(rows, table.column("label").to_numpy().astype(np.float64), table.column("weight").to_numpy())
 
 
