@@ -124,13 +124,6 @@ def most_frequent(counts: DataFrame, freq: str, most: int, columns: list[str]):
     return chosen.select(columns).limit(most).toArrow()
 
 
-def fresh_name(df: DataFrame, name: str = "_loom") -> str:
-    """A column name that ``df`` doesn't have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (a null id: fold of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
@@ -157,8 +150,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-#: Bytes of text whose words are hashed at once; a longer text is cut at white space.
-CHUNK = 1 << 20
+#: Bytes of text whose words are hashed at once, and where each chunk costs something besides; a longer text is cut at white space.
+CHUNK, LARGE_CHUNK = 1 << 18, 1 << 20
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A random number for each byte, and the same with A-Z as a-z: a word's hash is a polynomial in them.
 _CASED = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
@@ -172,10 +165,11 @@ def _powers(n: int, forward: bool) -> np.ndarray:
     """The first n powers (modulo 2^64) of an odd number, or of its inverse; those of a chunk are kept."""
     if len(_POWERS[forward]) < n:
         root = _ROOT if forward else pow(_ROOT, -1, 1 << 64)
-        steps = np.full(max(n, CHUNK + 1), root, np.uint64)
+        kept = next((size for size in (CHUNK + 1, LARGE_CHUNK + 1) if n <= size), 0)
+        steps = np.full(max(n, kept), root, np.uint64)
         steps[0] = 1
         made = np.cumprod(steps)
-        if n > CHUNK + 1:
+        if not kept:
             return made
         _POWERS[forward] = made
     return _POWERS[forward][:n]

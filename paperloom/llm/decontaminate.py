@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, fresh_name, hashed_words, shingle_hashes, slices, word_hashes
+from ._common import WordHashes, hashed_words, shingle_hashes, slices, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -152,7 +152,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that contain none of the items."""
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, docs.columns.index(text_col)
     for block in item_blocks(items, item_col, item_text_col, block_bytes):
         sent = spark.sparkContext.broadcast(Sketches(block, k, percent))
 
@@ -160,8 +160,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             sketches = sent.value
             for batch in slices(batches):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, _, _ in sketches.search(batch.column(batch.num_columns - 1))]] = False
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+                keep[[row for row, _, _ in sketches.search(batch.column(own).cast(pa.binary()))]] = False
+                yield batch.filter(pa.array(keep))
 
-        docs = docs.select("*", F.col(text_col).cast("binary").alias(fresh_name(docs))).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -25,8 +25,8 @@ as products of two slabs of ``SLAB`` rows at most, of sketches first; whole sets
 pair left. A task returns no more links than it has rows. No link between components is lost: every pair that is passed
 over is out of bounds or already in one component.
 
-The order needs frequencies, but any order that all rows agree on gives the same result: each Arrow batch of
-documents is counted by itself, counts of ``LOCAL`` or more are summed over all batches, and the
+The order needs frequencies, but any order that all rows agree on gives the same result: each ``COUNTED``
+documents of a task are counted by themselves, counts of ``LOCAL`` or more are summed, and the
 ``HEAVY`` most frequent (a table of 16 MB) are sent to the executors; all others rank by their hash.
 
 Null text, or no words: an empty set, linked with nothing; the component is the document's own id. Rows with a null id take
@@ -47,8 +47,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ._common import bitmap, checkpointed, components, discard, hashed_words, is_set, most_frequent, places, repeated, send, sent_within, shingle_hashes, signed, slices, written
 
 WORDS, PERCENT = 3, 90
-#: An n-gram's count in a batch is passed on from here; at most so many n-grams rank by count.
-LOCAL, HEAVY = 4, 1 << 20
+#: An n-gram's count among so many documents of a task is passed on from here; at most so many n-grams rank by count.
+COUNTED, LOCAL, HEAVY = 1 << 12, 4, 1 << 20
 #: Prefixes are as long as it takes for linked rows to share so many n-grams in them, and one more for each so many of their size.
 SHARED, EACH = 3, 20
 #: Cells of up to so many rows are paired; the rows of larger ones are multiplied in slabs of so many.
@@ -96,7 +96,7 @@ def heavy_shingles(docs: DataFrame, k: int, local: int = LOCAL, heavy: int = HEA
     """(hashes sorted, counts) of the most frequent n-grams."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, COUNTED):
             sets = [s for part in slices([batch]) for s in shingle_sets(part.column(0), k)]
             if sets:
                 flat = np.concatenate(sets)
@@ -421,18 +421,17 @@ def keyed(docs: DataFrame, text_col: str, k: int, names: list[str]) -> DataFrame
 
     A text without words has a hash of the row in place of a digest.
     """
-    keep = len(docs.columns)
+    keep, own = len(docs.columns), docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
-            texts, place = batch.column(keep), batch.column(keep + 1).to_numpy()
+            texts, place = batch.column(own).cast(pa.binary()), batch.column(keep).to_numpy()
             sets = shingle_sets(texts, k)
             size, d = np.array([len(s) for s in sets], np.int64), _digests(sets)
             cols = [np.where(size > 0, d[:, 0], place), np.where(size > 0, d[:, 1], 0), size, np.array([xxhash.xxh3_64_intdigest(t or b"") for t in texts.to_pylist()], np.uint64).view(np.int64)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *(pa.array(c, pa.int64()) for c in cols)], [*batch.schema.names[:keep], *names])
 
-    # what is added for the reading has no name that could clash
-    rows = docs.select("*", F.col(text_col).cast("binary").alias(names[0]), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map" not in t and c != text_col], F.lit(0)).alias(names[1]))
+    rows = docs.select("*", F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map" not in t and c != text_col], F.lit(0)).alias(names[0]))
     return rows.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in names)]))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_name, grouped, hashed_words, shingle_hashes, slices
+from ._common import grouped, hashed_words, shingle_hashes, slices
 from .toxicity import labelled_sample, one_row_each
 
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -187,13 +187,12 @@ def judge(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
 
 def drop_failed(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that are kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, own = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
         for batch in slices(batches):
-            own = range(batch.num_columns - 1)
-            found = all_statistics(batch.column(batch.num_columns - 1))
+            found = all_statistics(batch.column(own).cast(pa.binary()))
             failed = np.array([base_fails(c[0], c[4]) for c, _ in found], bool)
-            yield batch.select(own).filter(pa.array(~failed & (sent.value.score(np.array([f for _, f in found])) >= 0.5), pa.bool_()))
+            yield batch.filter(pa.array(~failed & (sent.value.score(np.array([f for _, f in found])) >= 0.5), pa.bool_()))
 
-    return docs.select("*", F.col(text_col).cast("binary").alias(fresh_name(docs))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Runs, grouped, most_frequent, slices, word_chunks, written
+from ._common import LARGE_CHUNK, Runs, grouped, most_frequent, slices, word_chunks, written
 from .pre_tokens import PreTokens
 
 #: The table sent to executors holds at most so many pre-tokens: 42 MB.
@@ -66,7 +66,7 @@ def distinct_pre_tokens(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[low : low + OUT_ROWS], pa.string()), pa.array(freq[low : low + OUT_ROWS], pa.int64())], ["word", "freq"])
 
         for batch in slices(batches):
-            for words in word_chunks(batch.column(0), lower=False):
+            for words in word_chunks(batch.column(0), lower=False, most=LARGE_CHUNK):
                 hashes, at, n, _ = grouped(words.hash)
                 for low in range(0, len(hashes), 1 << 14):
                     if len(texts) > FLUSH_WORDS - (1 << 14) or size > FLUSH_BYTES:
@@ -149,7 +149,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int, id_col: str =
         for batch in slices(batches):
             ids, texts, n = batch.column(0), batch.column(1), batch.num_rows
             known, owners, asked, freq = np.zeros(n, np.int64), [], [], []
-            for words in word_chunks(texts, lower=False):
+            for words in word_chunks(texts, lower=False, most=LARGE_CHUNK):
                 numbers, length = costs.runs.numbers(costs.runs.places(words))
                 owner, first = np.repeat(words.owner, length), np.zeros(len(numbers), bool)
                 first[np.cumsum(length) - length] = True

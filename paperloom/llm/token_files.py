@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Runs, shared_dir, slices, word_chunks
+from ._common import LARGE_CHUNK, Runs, shared_dir, slices, word_chunks
 from .pre_tokens import PreTokens, load
 
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -62,7 +62,7 @@ def word_ids(tokenizer_file: str, kind: str) -> Runs:
 
 def encoded(texts: pa.Array, runs: Runs, end_id: int):
     """(ids, ends): the ids of all texts in order, each with the end id, in parts; and the places in the part where texts end."""
-    for words in word_chunks(texts, lower=False):
+    for words in word_chunks(texts, lower=False, most=LARGE_CHUNK):
         ids, length = runs.numbers(runs.places(words))
         if not words.ends:
             yield ids, np.zeros(0, np.int64)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import CACHE_LENGTH, CACHE_WORDS, fold_of
+from ._common import CACHE_LENGTH, CACHE_WORDS, fold_of, slices
 
 BITS, FACTORS = 18, 6
 PREFIXES = (3, 4, 5, 6)
@@ -52,7 +52,7 @@ class WordTerms(dict):
         mask = (1 << BITS) - 1
         row = (xxhash.xxh3_64_intdigest(word) & mask, *(xxhash.xxh3_64_intdigest(f"{n}:{word[:n]}") & mask for n in PREFIXES if len(word) >= n))
         if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS // 2:
+            if len(self) >= CACHE_WORDS // 4:
                 self.clear()
             self[word] = row
         return row
@@ -193,7 +193,7 @@ def score_documents(docs: DataFrame, model: FactorizationMachine, id_col: str =
 
     def run(batches):
         fm, cache = sent.value, WordTerms()
-        for batch in batches:
+        for batch in slices(batches):
             score = [fm.score(*terms(t, cache)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -204,10 +204,12 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, text_col: str = "te
     """The documents, with all their columns, whose score is under 0.5."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    own = docs.columns.index(text_col)
+
     def run(batches):
         fm, cache = sent.value, WordTerms()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        for batch in slices(batches):
+            texts = batch.column(own).to_pylist()
             yield batch.filter(pa.array([fm.score(*terms(t, cache)) < 0.5 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
