@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, conversation_repair, decontaminate, license_scan, lm_scores, ngram_jaccard, quality_rules, sharding, token_counts, token_files, toxicity, vector_codes
+from . import bpe_codec, conversation_repair, decontaminate, language_id, license_scan, lm_scores, ngram_jaccard, quality_rules, sharding, token_counts, token_files, toxicity, vector_codes
 
 #: Vocabulary files, by role; a caller may set others.
 TOKEN_LIMIT = 2048
@@ -74,6 +74,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", sharding.row_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_token_counts, op3_ngram_jaccard, op4_toxicity, op5_bpe_codec, op6_token_files, op7_quality_rules, op8_lm_scores, op9_license_scan, op10_sharding, op12_conversation_repair, op13_vector_codes, pipeline)
+    own = (op1_decontaminate, op2_token_counts, op3_ngram_jaccard, op4_toxicity, op5_bpe_codec, op6_token_files, op7_quality_rules, op8_lm_scores, op9_license_scan, op10_sharding, op11_language_id, op12_conversation_repair, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
