@@ -190,19 +190,6 @@ def repeated_lines(lines: DataFrame, doc: str, page: str, line: str, share: floa
     return counts.where(F.col("times") / F.col("pages") > share).select(doc, line, "times", "pages")
 
 
-def ranges_from_starts(starts: DataFrame, doc: str, start: str, last: str) -> DataFrame:
-    """(doc, start, end): each range ends before the next start, the last one at the document's end."""
-    nxt = F.lead(start).over(Window.partitionBy(doc).orderBy(start))
-    return starts.withColumn("end", F.coalesce(nxt - 1, F.col(last)))
-
-
-def islands(rows: DataFrame, group: list[str], order: list[str], value: str, gap: float, name: str = "island") -> DataFrame:
-    """Consecutive rows of a group whose values are no more than ``gap`` apart share a number from 1."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    new = F.when(F.col(value) - F.lag(value).over(w) > gap, 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_new")
-
-
 def even_chunks(ranges: DataFrame, first: str, last: str, most: int) -> DataFrame:
     """Each range in the fewest chunks of at most ``most`` pages, as even as can be."""
     n = F.col(last) - F.col(first) + 1

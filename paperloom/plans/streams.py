@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators.joins import detect_changes, last_of_each
 from ..state import shared_dir
 from ..streaming import changes as C
@@ -46,13 +47,19 @@ def snapshot_changes(t):
 )
 def edit_coalesce(t):
     e = t("events").select("user_id", "event_id", "event_type", "value", F.col("event_id").alias("last_event"))
-    return C.coalesce_edits(e, "user_id", ["event_id"], ["event_type"], "value", "last_event")
+    return scans.coalesced(e, "user_id", ["event_id"], ["event_type"], "value", "last_event")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, event_id, event_type, event_type = 'error' AS undo FROM events),
+    r AS (SELECT *, sum(CASE WHEN undo THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS raw FROM e),
+    d AS (SELECT *, raw - least(0, min(raw) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS depth FROM r),
+    l AS (SELECT *, min(depth) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM d)
+    SELECT user_id, event_id, event_type FROM l WHERE NOT undo AND coalesce(later, depth) >= depth"""
+)
 def edits_after_undo(t):
     e = t("events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("undo"))
-    return C.undone(e, "user_id", ["event_id"], "undo").select("user_id", "event_id", "event_type")
+    return scans.undone(e, "user_id", ["event_id"], "undo").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events")

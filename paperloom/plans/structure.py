@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import scans
 from ..operators import structure as S
 from ._registry import query
 
@@ -102,7 +103,7 @@ def header_footer_noise(t):
 def chapter_ranges(t):
     d = t("documents").select("source", F.col("doc_id").alias("start"))
     last = d.groupBy("source").agg((F.max("start") + 10).alias("last"))
-    return S.ranges_from_starts(d.join(last, "source"), "source", "start", "last").select("source", "start", "end")
+    return scans.ends_before_next(d.join(last, "source"), "source", "start", "last").select("source", "start", "end")
 
 
 @query("SELECT source, min(doc_id) > 1 AND bool_or(n_chars > 5000) AS front_matter FROM documents GROUP BY source")
@@ -116,7 +117,7 @@ def front_matter(t):
 )
 def gap_islands(t):
     e = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    return S.islands(e, ["user_id"], ["s", "event_id"], "s", 3600).select("user_id", "event_id", "island")
+    return scans.islands(e, ["user_id"], ["s", "event_id"], "s", 3600).select("user_id", "event_id", "island")
 
 
 _GAPS = ", ".join(str(x) for x in (600, 1800, 3600, 7200, 14400))
@@ -129,10 +130,8 @@ _GAPS = ", ".join(str(x) for x in (600, 1800, 3600, 7200, 14400))
 )
 def gap_threshold(t):
     """Of five candidate gaps, the first whose number of blocks is nearest to five; gaps are tried on one pass of the rows."""
-    from pyspark.sql import Window
-
     e = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    d = e.withColumn("d", F.col("s") - F.lag("s").over(Window.partitionBy("user_id").orderBy("s", "event_id")))
+    d = scans.differences(e, ["user_id"], ["s", "event_id"], "s", "d")
     gaps = (600, 1800, 3600, 7200, 14400)
     counts = d.groupBy("user_id").agg(*[(F.sum(F.when(F.col("d") > g, 1).otherwise(0)) + 1).alias(f"b{n}") for n, g in enumerate(gaps)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"b{n}") - 5).alias("off"), F.lit(n).alias("n"), F.lit(g).alias("gap")) for n, g in enumerate(gaps)]))

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + made
     if not current.isDefined():
         sc.setCheckpointDir(found)
+        # checkpoints go to a folder of this application's own
+        deleted_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return found
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> str:
+    """The path, which the driver deletes when it ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and cuts its lineage there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, whose size the planner knows; it stays until the driver ends."""
+    spark = df.sparkSession
+    path = deleted_at_exit(spark, f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Change feeds on Structured Streaming: keyed state, classified changes and coalesced edits.
+"""Change feeds on Structured Streaming: keyed state, and classified changes.
 
 State lives in a Parquet snapshot that ``foreachBatch`` merges batch by batch; a batch writes a new
 version under its id and moves the pointer after that, so a batch that is replayed after a failure
@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import detect_changes, last_of_each
+from ..operators.scans import coalesced, undone  # noqa: F401  edits are read as feeds too
 
 
 class Snapshots:
@@ -52,30 +53,3 @@ def watch(stream: DataFrame, snapshots: Snapshots, key: str, mark: str, order: s
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
-
-
-def coalesce_edits(edits: DataFrame, stream: str, order: list[str], signature: list[str], old: str, new: str) -> DataFrame:
-    """Runs of edits with one signature as a single edit: the first old value, the last new one, and how many."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    same = F.lit(True)
-    for c in signature:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    run = edits.withColumn("_new", F.when(same & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.struct(*order)
-    return run.groupBy(stream, "run", *signature).agg(F.min_by(old, at).alias(old), F.max_by(new, at).alias(new), F.count("*").alias("edits"))
-
-
-def undone(edits: DataFrame, stream: str, order: list[str], is_undo: str) -> DataFrame:
-    """Edits that are left after each undo took back the last edit before it that was still there.
-
-    An undo at depth d closes the edit at that depth: an edit is taken back if the depth falls below its
-    own at any later point. One window over each stream.
-    """
-    w = Window.partitionBy(stream).orderBy(*order)
-    depth = F.sum(F.when(F.col(is_undo), -1).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    lowest = F.min("_depth").over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = edits.withColumn("_raw", depth)
-    # undos on an empty stack do nothing: depth is counted from the lowest point so far
-    floor_ = F.least(F.lit(0), F.min("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_depth", F.col("_raw") - floor_)
-    return rows.withColumn("_later", lowest).where(~F.col(is_undo) & (F.coalesce("_later", F.col("_depth")) >= F.col("_depth"))).drop("_raw", "_depth", "_later")
