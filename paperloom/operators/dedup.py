@@ -28,39 +28,139 @@ def shortest_path_entry(rows: DataFrame, group: str, path: str, order: str) -> D
     return rows.groupBy(group).agg(F.min_by(path, order).alias("first_key"), F.min_by(path, F.struct(F.length(path), F.col(order))).alias("path"), F.count("*").alias("copies"))
 
 
-#: Rows of a block of vectors; a block pair is one matrix product of this many rows a side.
-BLOCK = 2048
+#: Rows of a block; two blocks meet in one matrix product. Cells that vectors are put into at most: their directions are sent to all tasks.
+BLOCK, CELLS = 2048, 1024
+#: Bounds are widened by this share, as they are rounded.
+SLACK = 1e-9
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(i, j) with i < j whose inner product is over the threshold, exactly.
+class Cells:
+    """Directions, and how far the vectors of each one's cell reach along it and across."""
 
-    Vectors are packed into blocks of about ``block`` rows by a hash of their keys; each pair of blocks meets once and is one matrix product in a task,
-    so no pair of rows is ever a row of a join. The number of block pairs is (n / block)^2 / 2: for a
-    table too large for that, block by a key first (a label, or the class ids of a coarse clustering).
+    def __init__(self, directions: np.ndarray):
+        self.directions, n = directions, len(directions)
+        self.low, self.high, self.across = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n)
+
+    def placed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length along each direction, what is left across it, the direction that is nearest) of each vector."""
+        along = vectors @ self.directions.T
+        across = np.sqrt(np.maximum((vectors * vectors).sum(1)[:, None] - along * along, 0))
+        return along, across, along.argmax(1)
+
+    def reached(self, along: np.ndarray, across: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether a vector's product with one of a cell's may be over the threshold: the part along the direction, and the product of what is left across it."""
+        far = np.maximum(along * self.low, along * self.high) + across * self.across
+        return far * (1 + SLACK) + SLACK > threshold
+
+
+def _vectors(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(batch.num_rows, width)
+
+
+def cells_of(rows: DataFrame, width: int, n: int) -> tuple[Cells, dict[int, int]]:
+    """(cells, rows of each): directions are those of ``n`` of the vectors, by a hash."""
+    picked = rows.select("v").distinct().orderBy(F.xxhash64("v")).limit(n).collect()
+    found = np.array([r.v for r in picked], float).reshape(len(picked), width)
+    length = np.sqrt((found * found).sum(1, keepdims=True))
+    cells = Cells(found / np.where(length > 0, length, 1))
+
+    def measure(batches):
+        m = len(cells.directions)
+        counts, low, high, most = np.zeros(m, np.int64), np.full(m, np.inf), np.full(m, -np.inf), np.zeros(m)
+        for batch in batches:
+            along, across, home = cells.placed(_vectors(batch, 0, width))
+            at = np.arange(len(home))
+            counts += np.bincount(home, minlength=m)
+            np.minimum.at(low, home, along[at, home])
+            np.maximum.at(high, home, along[at, home])
+            np.maximum.at(most, home, across[at, home])
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(x[used]) for x in (np.arange(m), counts, low, high, most)], ["cell", "n", "low", "high", "across"])
+
+    measured = rows.select("v").mapInArrow(measure, "cell long, n long, low double, high double, across double")
+    sizes = {}
+    for r in measured.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("across").alias("across")).collect():
+        cells.low[r.cell], cells.high[r.cell], cells.across[r.cell], sizes[r.cell] = r.low, r.high, r.across, r.n
+    return cells, sizes
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, most_cells: int = CELLS) -> DataFrame:
+    """(i, j) with i < j whose inner product is over the threshold, exactly, whatever the threshold.
+
+    A vector is at home in the cell of the direction nearest to it. x.y is the product of their parts along a direction plus that of what is left across it, which is no more than
+    the product of the two residual norms; so a vector visits only the cells (of higher numbers than its own) where its parts and the cell's reach
+    may come over the threshold, and a pair meets in the later one's cell. The higher the threshold, the fewer the visits: at a low one of vectors without clusters, every vector visits
+    every cell, as in any exact join of such data. A cell's homes and visitors are cut into blocks; a pair of blocks is one matrix product in a task, whatever the cell's size. Rows are shuffled
+    as often as blocks meet them, and nothing is a product of tables. Null vectors, and those of another length than the first by hash, have no pairs.
     """
-    blocks = max(1, -(-vectors.count() // block))
-    packed = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("r"))
-    packed = packed.select("b", F.col("r.k").alias("ks"), F.flatten("r.v").alias("vs"))
-    left, right = packed.toDF("b", "ks", "vs"), packed.toDF("b2", "ks2", "vs2")
-    # each block goes to the partners with a higher number, by an equi-join on the pair's name
-    numbers = packed.select("b").distinct()
-    pairs = numbers.join(numbers.toDF("b2"), F.col("b") <= F.col("b2"))
-    both = pairs.join(left, "b").join(right, "b2").select("b", "ks", "vs", "b2", "ks2", "vs2")
-
-    def multiply(batches):
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    if sizes is None:
+        return rows.select(F.col("k").alias("i"), F.col("k").alias("j"))
+    width = sizes.width
+    rows = rows.where(F.size("v") == width)
+    cells, at_home = cells_of(rows, width, min(most_cells, max(1, -(-sizes.n // block))))
+    here = np.arange(len(cells.directions))
+
+    def visits(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home of each vector, cells that it visits, its own among them)."""
+        along, across, home = cells.placed(matrix)
+        return home, cells.reached(along, across, threshold) & (here > home[:, None]) | (here == home[:, None])
+
+    def count(batches):
+        total = np.zeros(len(here), np.int64)
+        for batch in batches:
+            total += visits(_vectors(batch, 0, width))[1].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(total)], ["cell", "n"])
+
+    guests = {r.cell: r.n for r in rows.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    home_blocks = np.array([-(-at_home.get(c, 0) // block) for c in here.tolist()])
+    guest_blocks = np.array([-(-guests.get(c, 0) // block) for c in here.tolist()])
+
+    def send(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ka, kb = np.array(row["ks"]), np.array(row["ks2"])
-                a, b = np.array(row["vs"], float).reshape(len(ka), -1), np.array(row["vs2"], float).reshape(len(kb), -1)
-                x, y = np.nonzero(a @ b.T > threshold)
-                i, j = ka[x], kb[y]
-                if row["b"] == row["b2"]:
-                    keep = i < j
-                    i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["i", "j"])
-
-    return both.mapInArrow(multiply, "i long, j long")
+            keys = batch.column(0).to_numpy()
+            home, cell_of = visits(_vectors(batch, 1, width))
+            part = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            for is_home, row, cell in ((True, np.arange(len(keys)), home), (False, *np.nonzero(cell_of))):
+                own, other = (home_blocks, guest_blocks) if is_home else (guest_blocks, home_blocks)
+                times = other[cell]
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                mine = part[row] % own[cell] if len(row) else row
+                met = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                for low in range(0, len(row), 4096):
+                    some = slice(low, low + 4096)
+                    h, g = (mine[some], met[some]) if is_home else (met[some], mine[some])
+                    taken = pa.array(row[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[some]), pa.array(h), pa.array(g), pa.array(np.full(len(h), is_home)), pa.array(home[row[some]]), batch.column(0).take(taken), batch.column(1).take(taken)], ["cell", "h", "g", "is_home", "home", "k", "v"])
+
+    def multiply(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        is_home, home, keys = (table.column(c).to_numpy() for c in ("is_home", "home", "k"))
+        matrix = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(keys), width)
+        found = [np.zeros(0, np.int64)] * 2
+        if is_home.any() and not is_home.all():
+            x, y = np.nonzero(matrix[~is_home] @ matrix[is_home].T > threshold)
+            guest, host, same = keys[~is_home][x], keys[is_home][y], home[~is_home][x] == home[is_home][y]
+            keep = (guest != host) & (~same | (guest < host))
+            found = [np.minimum(guest, host)[keep], np.maximum(guest, host)[keep]]
+        return pa.table({"i": pa.array(found[0]), "j": pa.array(found[1])})
+
+    sent = rows.mapInArrow(send, "cell long, h long, g long, is_home boolean, home long, k long, v array<double>")
+    return sent.groupBy("cell", "h", "g").applyInArrow(multiply, "i long, j long")
+
+
+def greedy_similar(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, kept): vectors in order of key; one is kept unless a kept one before it is more similar than the threshold.
+
+    Equal vectors that are that similar to themselves are folded first: the first one stands for all, and no other of them can be kept. So a group of copies adds no pairs.
+    """
+    v = F.col(vector)
+    norm = F.aggregate(v, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    rows = vectors.select(key, vector, F.when(v.isNotNull() & (norm > threshold), v).alias("_same"))
+    first = keep_first(rows, ["_same"], F.col(key), key).where("kept").select(key)
+    judged = greedy_keep(first, similar_pairs(rows.join(first, key, "left_semi"), threshold, key, vector), key)
+    return vectors.select(key).join(judged, key, "left").select(key, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def greedy_keep(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:

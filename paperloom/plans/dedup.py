@@ -54,22 +54,20 @@ def _greedy(threshold: float) -> str:
 
 @query(_greedy(0.45))
 def greedy_dedup(t):
-    e = t("embeddings")
-    return G.greedy_keep(e, G.similar_pairs(e, 0.45), "vec_id")
+    return G.greedy_similar(t("embeddings"), 0.45)
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS removed, count(*) FILTER (NOT kept) * 100.0 / count(*) AS removal_rate FROM ({_greedy(0.45)})")
 def dedup_statistics(t):
-    e = t("embeddings")
-    return G.removal_statistics(G.greedy_keep(e, G.similar_pairs(e, 0.45), "vec_id"))
+    return G.removal_statistics(G.greedy_similar(t("embeddings"), 0.45))
 
 
 @query(f"SELECT vec_id, kept FROM ({_greedy(0.4)})")
 def two_stage_dedup(t):
-    """By hash first, then greedily by cosine among the rows that are left (no two vectors here are equal)."""
+    """By hash first, then greedily by cosine among the rows that are left."""
     e = t("embeddings").withColumn("h", F.md5(F.array_join("embedding", ",")))
     first = e.join(G.keep_first(e, ["h"], F.col("vec_id"), "vec_id").where("kept"), "vec_id", "left_semi")
-    return G.greedy_keep(first, G.similar_pairs(first, 0.4), "vec_id")
+    return G.greedy_similar(first, 0.4)
 
 
 _BOX = "SELECT l_orderkey, l_linenumber, min(l_partkey) % 300 AS x, min(l_suppkey) % 40 AS y, min(l_quantity) AS area FROM lineitem GROUP BY ALL"
