@@ -151,10 +151,10 @@ def normalized_title(title: Column) -> Column:
 
 
 def leading_number(title: Column) -> Column:
-    """The number that a title begins with, bare or after a word for slide or page; null without one."""
-    plain = F.regexp_extract(title, "^ *([0-9]+)", 1)
-    named = F.regexp_extract(F.lower(title), "^ *(?:slide|page|p) *[_-]? *([0-9]+)", 1)
-    chinese = F.regexp_extract(title, "^ *第 *([0-9]+) *[页张]", 1)
+    """The number of up to three digits that a title begins with, bare or after a word for slide or page; null without one."""
+    plain = F.regexp_extract(title, "^ *([0-9]{1,3})", 1)
+    named = F.regexp_extract(F.lower(title), "^ *(?:slide|page|p) *[-_:]? *([0-9]{1,3})", 1)
+    chinese = F.regexp_extract(title, "^ *第 *([0-9]{1,3}) *[页张]", 1)
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in (plain, named, chinese)]).cast("int")
 
 

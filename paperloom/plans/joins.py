@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import matching as M
 from ._registry import query
 
 
@@ -38,22 +39,58 @@ def change_diff(t):
     return J.detect_changes(o.where("k % 5 != 0"), o.where("k % 7 != 0").withColumn("m", F.when(F.col("k") % 11 == 0, "X").otherwise(F.col("m"))), "k", "m")
 
 
+_STEM = "doc_id || '_' || array_to_string(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\x0B]+')[1:4], '_')"
+_TITLE = f"""CASE doc_id % 5 WHEN 0 THEN {_STEM} WHEN 1 THEN '(' || replace({_STEM}, '_', ' - ') || ')' WHEN 2 THEN 'Page: ' || doc_id || ' of ' || source
+    WHEN 3 THEN array_to_string(regexp_extract_all(text, '[^ \\t\\r\\n\\f\\x0B]+')[2:4], ' ') ELSE 'w' || doc_id END"""
+_NORM = "trim(lower(regexp_replace({}, '[^a-zA-Z0-9一-鿿]+', '_', 'g')), '_')"
+_NUM = "CAST(nullif(coalesce(nullif(regexp_extract({0}, '^ *([0-9]{{1,3}})', 1), ''), regexp_extract(lower({0}), '^ *(?:slide|page|p) *[-_:]? *([0-9]{{1,3}})', 1)), '') AS INTEGER)"
+
+
 @query(
-    """WITH l AS (SELECT conv_id, turn, text AS a, string_split(text, chr(10))[1] AS b FROM conversations), r AS (SELECT doc_id, text AS a, string_split(text, chr(10))[1] AS b FROM documents),
-    t1 AS (SELECT conv_id, turn, doc_id, 1 AS tier FROM l JOIN (SELECT a, min(doc_id) AS doc_id FROM r GROUP BY a HAVING count(*) = 1) USING (a)),
-    t2 AS (SELECT conv_id, turn, doc_id, 2 AS tier FROM l JOIN (SELECT b, min(doc_id) AS doc_id FROM r GROUP BY b HAVING count(*) = 1) USING (b)),
-    u AS (SELECT conv_id, turn, doc_id, tier, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tier, doc_id) AS rn FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2))
-    SELECT l.conv_id * 1000 + l.turn AS entry, u.doc_id, coalesce(u.tier, 0) AS tier FROM (SELECT DISTINCT conv_id, turn FROM l) l LEFT JOIN u ON l.conv_id = u.conv_id AND l.turn = u.turn AND rn = 1
-    UNION ALL SELECT -1 - d.doc_id, e.doc_id, CASE WHEN e.doc_id IS NULL THEN 0 ELSE e.tier END FROM documents d LEFT JOIN (SELECT q.doc_id AS k, coalesce(t1.doc_id, t2.doc_id) AS doc_id, CASE WHEN t1.doc_id IS NOT NULL THEN 1 ELSE 2 END AS tier FROM documents q
-        LEFT JOIN (SELECT a, min(doc_id) AS doc_id FROM r GROUP BY a HAVING count(*) = 1) t1 ON t1.a = q.text LEFT JOIN (SELECT b, min(doc_id) AS doc_id FROM r GROUP BY b HAVING count(*) = 1) t2 ON t2.b = string_split(q.text, chr(10))[1]) e ON e.k = d.doc_id"""
+    f"""WITH s AS (SELECT doc_id AS stem_id, stem, {_NORM.format("stem")} AS norm, {_NUM.format("stem")} AS num FROM (SELECT doc_id, {_STEM} AS stem FROM documents)),
+    t AS (SELECT doc_id AS entry, title, {_NORM.format("title")} AS norm, {_NUM.format("title")} AS num FROM (SELECT doc_id, {_TITLE} AS title FROM documents)),
+    n AS (SELECT norm, min(stem_id) AS stem_id FROM s WHERE norm <> '' GROUP BY norm HAVING count(*) = 1), m AS (SELECT num, min(stem_id) AS stem_id FROM s WHERE num IS NOT NULL GROUP BY num HAVING count(*) = 1),
+    e AS (SELECT t.*, x.stem_id AS a, n.stem_id AS b, m.stem_id AS c FROM t LEFT JOIN (SELECT stem, min(stem_id) AS stem_id FROM s GROUP BY stem) x ON x.stem = t.title LEFT JOIN n ON n.norm = t.norm LEFT JOIN m ON m.num = t.num),
+    i AS (SELECT e.entry, min(s.stem_id) AS d FROM e JOIN s ON e.a IS NULL AND e.b IS NULL AND e.c IS NULL AND e.norm <> '' AND contains(s.norm, e.norm) GROUP BY e.entry HAVING count(*) = 1)
+    SELECT entry, coalesce(a, b, c, d) AS stem_id, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 WHEN d IS NOT NULL THEN 4 ELSE 0 END AS tier FROM e LEFT JOIN i USING (entry)"""
 )
 def tiered_title_match(t):
-    """Conversation turns and documents matched to documents by the whole text, else by the whole first line, each if it names one only."""
-    first = lambda d: d.withColumn("a", F.col("text")).withColumn("b", F.substring_index("text", "\n", 1))
-    turns = t("conversations").dropDuplicates(["conv_id", "turn"]).select(F.expr("conv_id * 1000 + turn").alias("entry"), "text")
-    left = first(turns.union(t("documents").select((-1 - F.col("doc_id")).alias("entry"), "text")))
-    right = first(t("documents"))
-    return J.first_tier(left, "entry", [J.unique_matches(left, right, "entry", "doc_id", on) for on in ("a", "b")], "doc_id")
+    """Documents' titles, written in five ways, matched to their stems: as they are, normalised, by number, by a part."""
+    words = F.regexp_extract_all("text", F.lit(r"[^ \t\r\n\f\x0B]+"), F.lit(0))
+    d = t("documents").select("doc_id", "source", words.alias("w"))
+    stem = F.concat(F.col("doc_id"), F.lit("_"), F.array_join(F.slice("w", 1, 4), "_"))
+    kind = F.col("doc_id") % 5
+    title = F.when(kind == 0, stem).when(kind == 1, F.concat(F.lit("("), F.replace(stem, F.lit("_"), F.lit(" - ")), F.lit(")"))).when(kind == 2, F.concat(F.lit("Page: "), "doc_id", F.lit(" of "), "source"))
+    title = title.when(kind == 3, F.array_join(F.slice("w", 2, 3), " ")).otherwise(F.concat(F.lit("w"), "doc_id"))
+    return M.match_titles(d.select(F.col("doc_id").alias("entry"), title.alias("title")), "title", "entry", d.select(F.col("doc_id").alias("stem_id"), stem.alias("stem")), "stem", "stem_id")
+
+
+_HALF = "trim(regexp_replace(translate({0}, '（）：', '():'), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH m AS (SELECT old, arg_max(new, place) AS new, min(place) AS place FROM (SELECT item_id AS place, array_to_string(string_split(text, ' ')[1:4], ' ') || ' (' || item_id % 7 || '):' AS old, '<' || item_id || '>' AS new FROM benchmark
+            UNION ALL SELECT 1000000 + item_id, array_to_string(string_split(text, ' ')[1:3], ' '), '[' || item_id || ']' FROM benchmark) GROUP BY old),
+    x AS (SELECT 'line:' || doc_id || ':' || i AS entry, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+        UNION ALL SELECT 'item:' || item_id, CASE item_id % 3 WHEN 0 THEN ' ' || array_to_string(string_split(text, ' ')[1:4], ' ') || ' (' || item_id % 7 || '):' WHEN 1 THEN array_to_string(string_split(text, ' ')[1:4], '  ') || ' （' || item_id % 7 || '）：' ELSE text END FROM benchmark),
+    t AS (SELECT entry, regexp_replace(text, '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g') AS text FROM x),
+    a AS (SELECT entry, new FROM t JOIN m ON text = old WHERE text <> ''),
+    b AS (SELECT entry, arg_min(new, place) AS new FROM t JOIN m ON {_HALF.format("text")} = {_HALF.format("old")} WHERE text <> '' AND entry NOT IN (SELECT entry FROM a) GROUP BY entry),
+    c AS (SELECT entry, arg_min(replace(text, old, new), place) AS new FROM t JOIN m ON length(old) > 4 AND contains(text, old) WHERE text <> '' AND entry NOT IN (SELECT entry FROM a) AND entry NOT IN (SELECT entry FROM b) GROUP BY entry)
+    SELECT t.entry, md5(coalesce(a.new, b.new, c.new)) AS replaced, CASE WHEN a.new IS NOT NULL THEN 1 WHEN b.new IS NOT NULL THEN 2 WHEN c.new IS NOT NULL THEN 3 ELSE 0 END AS tier
+    FROM t LEFT JOIN a USING (entry) LEFT JOIN b USING (entry) LEFT JOIN c USING (entry)"""
+)
+def tiered_replacement(t):
+    """Lines of documents, and openings of items in three forms, replaced by a map from items' openings."""
+    b = t("benchmark").select("item_id", "text", F.split("text", " ").alias("w"), (F.col("item_id") % 7).cast("string").alias("n"))
+    words = lambda k, by: F.array_join(F.slice("w", 1, k), by)
+    long = b.select(F.col("item_id").alias("at"), F.concat(words(4, " "), F.lit(" ("), "n", F.lit("):")).alias("old"), F.concat(F.lit("<"), "item_id", F.lit(">")).alias("new"))
+    short = b.select(F.col("item_id") + 1000000, words(3, " "), F.concat(F.lit("["), "item_id", F.lit("]")))
+    kind = F.col("item_id") % 3
+    form = F.when(kind == 0, F.concat(F.lit(" "), words(4, " "), F.lit(" ("), "n", F.lit("):"))).when(kind == 1, F.concat(words(4, "  "), F.lit(" （"), "n", F.lit("）："))).otherwise(F.col("text"))
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n"))).select(F.concat_ws(":", F.lit("line"), "doc_id", "pos").alias("entry"), F.col("col").alias("text"))
+    texts = lines.union(b.select(F.concat_ws(":", F.lit("item"), "item_id"), form))
+    return M.match_replacements(texts, "text", "entry", long.union(short), "old", "new", "at").select("entry", F.md5("replaced").alias("replaced"), "tier")
 
 
 @query(

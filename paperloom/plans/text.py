@@ -130,7 +130,7 @@ def normalized_titles(t):
     return t("documents").select("doc_id", X.normalized_title(F.col("text")).alias("title"))
 
 
-@query("SELECT page_id, CAST(nullif(regexp_extract(k, '^ *([0-9]+)', 1), '') AS INT) AS number, regexp_replace(k, '^[0-9]+ *[.|-] *', '') AS rest FROM (SELECT page_id, page_id || '. ' || url AS k FROM pages)")
+@query("SELECT page_id, CAST(nullif(regexp_extract(k, '^ *([0-9]{1,3})', 1), '') AS INT) AS number, regexp_replace(k, '^[0-9]+ *[.|-] *', '') AS rest FROM (SELECT page_id, page_id || '. ' || url AS k FROM pages)")
 def leading_numbers(t):
     k = F.concat(F.col("page_id").cast("string"), F.lit(". "), F.col("url"))
     return t("pages").select("page_id", X.leading_number(k).alias("number"), X.without_number(k).alias("rest"))
