@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import scans
 from ..operators.joins import detect_changes, last_of_each
-from ..state import shared_dir
-from ..streaming import changes as C
+from ..state import deleted_at_exit, shared_dir
+from ..streaming import keyed as K
 from ._registry import query
 
 
@@ -21,15 +21,11 @@ def keyed_state(t):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def streaming_state(t):
-    """The same state, kept by a stream over the events' files that is run to its end."""
-    spark = t.spark
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    snapshots = C.Snapshots(spark, f"{folder}/state", "user_id long, event_type string, event_id long")
-    versions = []
-    stream = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*").select("user_id", "event_type", "event_id")
-    query_ = stream.writeStream.foreachBatch(lambda b, i: (C.merge_batch(snapshots, b, i, "user_id", "event_type", "event_id"), versions.append(i))[1]).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return snapshots.read(max(versions, default=-1))
+    """The same state, kept in the state store by a stream over the events' files that is run to its end."""
+    checkpoint = deleted_at_exit(t.spark, f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}")
+    stream = t.spark.readStream.schema(t("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
+    K.watch(stream, "user_id", "event_type", "event_id", checkpoint).awaitTermination()
+    return K.state(t.spark, checkpoint).select(F.col("key").cast("long").alias("user_id"), F.col("mark").alias("event_type"), F.col("last_seen").alias("event_id"))
 
 
 @query(
