@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import crawl as W
 from ..operators import scans
 from ..operators import structure as S
 from ._registry import query
@@ -39,6 +41,30 @@ def html_links(t):
     return S.links(t("pages"), "page_id", "html", "url")
 
 
+_SITE = """SELECT page_id AS n, html, 'https://h' || page_id // 90 || '.example.org' AS host, '/s' || page_id // 9 || '/' AS s, 't' || page_id // 3 || '/' AS g FROM pages"""
+
+
+@query(
+    f"""WITH p AS ({_SITE}), top AS (SELECT n, host || s AS seed, host, s FROM p WHERE n % 9 = 0), mid AS (SELECT n, host, s, g, host || s AS seed FROM p WHERE n % 9 IN (3, 6)),
+    f AS (SELECT seed, host || s || 'Deck' || n || '.pptx' AS link, 0 AS level FROM top UNION ALL SELECT seed, host || s || n || 'D%65ck.PPT', 1 FROM mid
+        UNION ALL SELECT m.seed, m.host || m.s || m.g || 'u' || p.n || '/deck+' || p.n || '.ppt', 2 FROM p JOIN mid m ON m.n = p.n - p.n % 3 WHERE p.n % 3 <> 0)
+    SELECT seed, link, level FROM f"""
+)
+def crawled_files(t):
+    """Each ninth page is a site's top, each third one a folder of it, the others folders of these; the pages link to each other in all forms of references, and keep their own links."""
+    n = F.col("page_id")
+    p = t("pages").select(n.alias("n"), "html", F.concat(F.lit("https://h"), F.expr("page_id div 90"), F.lit(".example.org")).alias("host"), F.concat(F.lit("/s"), F.expr("page_id div 9"), F.lit("/")).alias("s"), F.concat(F.lit("t"), F.expr("page_id div 3"), F.lit("/")).alias("g"))
+    link = lambda *parts: F.concat(F.lit('<a class="x" href="'), *[F.lit(x) if not isinstance(x, Column) else x for x in parts], F.lit('">x</a>'))
+    group = lambda k: F.concat(F.lit("t"), F.expr(f"(n + {k}) div 3"), F.lit("/"))
+    noise = F.concat(link("notes.ppt"), link("#top"), link("javascript:void(0)"), link("a.html"), link("/elsewhere/"), link("manual-deck.pdf"))
+    top = F.concat(link("./Deck", F.col("n"), ".pptx"), link("x/../", group(3)), link("//", F.regexp_replace("host", "^https://", ""), F.col("s"), group(6)))
+    mid = F.concat(link("../", F.col("n"), "D%65ck.PPT"), link("../", F.col("g"), "./u", F.col("n") + 1, "/"), link(F.col("s"), F.col("g"), "u", F.col("n") + 2, "/"))
+    low = link("deck+", F.col("n"), ".ppt")
+    at_top, at_mid = F.col("n") % 9 == 0, F.col("n") % 3 == 0
+    pages = p.select(F.concat("host", "s", F.when(at_top, "").when(at_mid, F.col("g")).otherwise(F.concat("g", F.lit("u"), "n", F.lit("/")))).alias("url"), F.concat(noise, F.when(at_top, top).when(at_mid, mid).otherwise(low), "html").alias("html"), "n")
+    return W.crawl(pages, pages.where("n % 9 = 0"), keywords=("deck",), depth=3)
+
+
 @query()
 def html_to_markdown(t):
     return S.html_to_markdown(t("pages"), "page_id", "html")
