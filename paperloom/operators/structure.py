@@ -215,19 +215,6 @@ def table_alignment(cells: DataFrame, keys: list[str], col: str, value: str) ->
     return cells.where(F.coalesce(value, F.lit("")) != "").groupBy(*keys, col).agg(F.min(number).alias("numeric"))
 
 
-def suppressed_by_tables(blocks: DataFrame, tables: DataFrame, page: str, share: float = 0.6) -> DataFrame:
-    """Blocks that no table of their page covers by more than ``share`` of the block's area (x0, y0, x1, y1)."""
-    boxes = tables.groupBy(page).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_t"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-
-    def covers(b):
-        w = F.greatest(F.lit(0), F.least(F.col("x1"), b["x1"]) - F.greatest(F.col("x0"), b["x0"]))
-        h = F.greatest(F.lit(0), F.least(F.col("y1"), b["y1"]) - F.greatest(F.col("y0"), b["y0"]))
-        return w * h > share * area
-
-    return blocks.join(boxes, page, "left").where(~F.coalesce(F.exists("_t", covers), F.lit(False))).drop("_t")
-
-
 def _runs(rows: DataFrame, group: list[str], order: str, starts: Column, name: str = "_run") -> DataFrame:
     """Numbers runs of rows of a group in order; a row for which ``starts`` holds begins a new one."""
     w = Window.partitionBy(*group).orderBy(order)

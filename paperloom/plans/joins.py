@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import matching as M
+from ..operators import regions as R
 from ._registry import query
 
 
@@ -147,6 +148,36 @@ def range_containment(t):
     return J.bucket_range_join(points, boxes, "x", "low", "high", 5.0).select("l_orderkey", "l_linenumber", "box")
 
 
+_PLACE = f"l_partkey * 7919 % {R.SLIDE_WIDTH} AS x, l_suppkey * 104729 % {R.SLIDE_HEIGHT} AS y"
+_BOX = f"s_suppkey % 4 AS page, s_suppkey AS box, s_suppkey * 15485863 % {R.SLIDE_WIDTH} AS x0, s_suppkey * 32452843 % {R.SLIDE_HEIGHT} AS y0"
+
+
+@query(
+    f"""WITH p AS (SELECT l_orderkey % 4 AS page, l_orderkey, l_linenumber, {_PLACE} FROM lineitem),
+    b AS (SELECT *, CASE WHEN box % 9 = 0 THEN NULL ELSE x0 + (1 << CAST(box % 21 AS INT)) END AS x1, y0 + (1 << CAST(box % 19 AS INT)) AS y1 FROM (SELECT {_BOX} FROM supplier))
+    SELECT l_orderkey, l_linenumber, box FROM p JOIN b ON p.page = b.page AND x BETWEEN x0 AND coalesce(x1, {R.SLIDE_WIDTH}) AND y BETWEEN y0 AND y1"""
+)
+def region_join(t):
+    """Points of four slides in boxes of unlike sizes, some open to the right."""
+    points = t("lineitem").selectExpr("l_orderkey % 4 as page", "l_orderkey", "l_linenumber", *_PLACE.split(", "))
+    boxes = t("supplier").selectExpr(*_BOX.split(", ")).selectExpr("*", "if(box % 9 = 0, null, x0 + shiftleft(1L, cast(box % 21 as int))) as x1", "y0 + shiftleft(1L, cast(box % 19 as int)) as y1")
+    return R.in_regions(points, boxes, "page", "x", "y", least=4096).select("l_orderkey", "l_linenumber", "box")
+
+
+_LAYOUT_ROWS = [(layout, region, *map(float, sides)) for layout, found in R.LAYOUTS.items() for region, sides in found.items()]
+
+
+@query(
+    f"""SELECT layout, region, count(*) AS n FROM (SELECT {_PLACE} FROM lineitem) JOIN (VALUES {", ".join(f"('{a}', '{b}', {x0}, {x1}, {y0}, {y1})" for a, b, x0, x1, y0, y1 in _LAYOUT_ROWS)}) v(layout, region, x0, x1, y0, y1)
+    ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL"""
+)
+def layout_regions(t):
+    """Points counted by the regions of the usual layouts; a point on a border is in both."""
+    points = t("lineitem").selectExpr("0 as page", *_PLACE.split(", "))
+    regions = t.spark.createDataFrame([(0, *r) for r in _LAYOUT_ROWS], "page int, layout string, region string, x0 double, x1 double, y0 double, y1 double")
+    return R.in_regions(points, regions, "page", "x", "y", least=1 << 20).groupBy("layout", "region").agg(F.count("*").alias("n"))
+
+
 @query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 1 ELSE 0 END AS added FROM (SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_partkey % 2 = 0) o FULL JOIN (SELECT ps AS k, max(q) AS v FROM (SELECT l_partkey AS ps, l_quantity AS q FROM lineitem WHERE l_linenumber = 2) GROUP BY ps) n ON o.k = n.k")
 def manifest_merge(t):
     old = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("o"), F.lit(1).alias("has"))

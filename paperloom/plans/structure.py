@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import crawl as W
+from ..operators import regions as R
 from ..operators import scans
 from ..operators import structure as S
 from ._registry import query
@@ -201,7 +202,7 @@ _RECT = "l_orderkey AS page, l_linenumber AS n, l_partkey % 50 AS x0, l_suppkey
 @query(f"WITH b AS (SELECT {_RECT} FROM lineitem WHERE l_linenumber <= 3), k AS (SELECT {_RECT} FROM lineitem WHERE l_linenumber > 3) SELECT page, n FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.page = b.page AND greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0)) > 0.6 * (b.x1 - b.x0) * (b.y1 - b.y0))")
 def table_suppression(t):
     r = t("lineitem").selectExpr(*_RECT.split(", "))
-    return S.suppressed_by_tables(r.where("n <= 3"), r.where("n > 3"), "page").select("page", "n")
+    return R.uncovered(r.where("n <= 3"), r.where("n > 3"), "page", least=4).select("page", "n")
 
 
 @query("SELECT a.conv_id, a.turn, count(*) AS kept FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT conv_id, w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY ALL HAVING count(*) > 5) x WHERE x.conv_id = a.conv_id AND x.w = a.w) GROUP BY ALL")
