@@ -9,6 +9,7 @@ kept by an aggregate that folds on the map side, never by sorting a query's hits
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +40,30 @@ def keyword_search(items: DataFrame, terms: list[str], k: int, key: str, words:
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def tag_score(tags: Column, source: Column, title: Column, context: Column, name: Column, tokens: list[str]) -> Column:
-    """Of each token: 3 for a tag that has it or is in it, 2 for the source, 2 for the title, its occurrences in the context up to 5, 1.5 for the name."""
+def tag_score(tags: Column, source: Column, title: Column, context: Column, name: Column, tokens: list[str], description: Column | None = None) -> Column:
+    """Of each token: 3 for a tag that has it or is in it, 2 for the source, 2 for the title, its occurrences in context and description together up to 5, 1.5 for the name. Nulls are empty."""
     total = F.lit(0.0)
+    source, title, context, name, description = (F.coalesce(c, F.lit("")) for c in (source, title, context, name, F.lit("") if description is None else description))
     for q in tokens:
         total = (
             total
             + F.when(F.exists(tags, _either(q)), 3.0).otherwise(0.0)
             + F.when(F.lower(source).contains(q), 2.0).otherwise(0.0)
             + F.when(F.lower(title).contains(q), 2.0).otherwise(0.0)
-            + F.least(X.occurrences(F.lower(context), F.lit(q)), F.lit(5))
+            + F.least(X.occurrences(F.lower(context), F.lit(q)) + X.occurrences(F.lower(description), F.lit(q)), F.lit(5))
             + F.when(F.lower(name).contains(q), 1.5).otherwise(0.0)
         )
     return total
 
 
+def tag_search(images: DataFrame, tokens: list[str], k: int, key: str, columns: dict[str, Column], formats: list[str] | None = None) -> DataFrame:
+    """The k images of the highest tag score over 0, of the given formats only; ties keep the key's order. ``columns``: tags, source, title, context, description, name, and format."""
+    c = columns
+    rows = images if formats is None else images.where(F.lower(c["format"]).isin([f.lower() for f in formats]))
+    score = tag_score(c["tags"], c["source"], c["title"], c["context"], c["name"], [q.lower() for q in tokens], c["description"])
+    return rows.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+
+
 def _either(q: str):
     return lambda t: t.contains(q) | F.lit(q).contains(t)
 
@@ -76,6 +86,22 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
 QUERY_BLOCK = 4096
 
 
+#: Scores that a task has at once.
+PRODUCT = 1 << 22
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest of each row, in order, ties by id: a partial selection, and a sort of what is over or at its last value."""
+    if scores.shape[1] > 4 * k:
+        last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        wanted = scores >= last
+        width = int(wanted.sum(1).max())  # more than k if some tie
+        at = np.argsort(~wanted, axis=1, kind="stable")[:, :width]
+        scores, ids = np.where(np.take_along_axis(wanted, at, 1), np.take_along_axis(scores, at, 1), -np.inf), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "query", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank): the best k of each of a set of queries.
 
@@ -97,14 +123,18 @@ def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str =
             if not len(names):
                 return
             best, ids = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
+            # as many vectors at once as make a product of a fixed size
+            step = max(k, PRODUCT // len(names))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                score = rows @ np.array(batch.column(1).to_pylist(), float).T
-                best, ids = np.concatenate([best, score], 1), np.concatenate([ids, np.broadcast_to(own, score.shape)], 1)
-                order = np.lexsort((ids, -best), axis=1)[:, :k]
-                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    own, matrix = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    score = rows @ matrix.astype(float, copy=False).T
+                    if best.shape[1] >= k:  # only what beats the last of a query's best, or ties with it
+                        some = (score >= best[:, -1:]).any(0)
+                        score, own = score[:, some], own[some]
+                    best, ids = np.concatenate([best, score], 1), np.concatenate([ids, np.broadcast_to(own, score.shape)], 1)
+                    best, ids = _best(best, ids, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], ["q", "v", "s"])
 
         found = vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, "q long, v long, s double")
@@ -113,42 +143,57 @@ def vector_topk_many(vectors: DataFrame, queries: DataFrame, k: int, key: str =
     return merged.select(F.col("q").alias(query_key), F.posexplode("best").alias("rank", "hit")).select(query_key, F.col("hit.v").alias(key), (-F.col("hit.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
-#: Items that :func:`best_text_for` sends to all tasks at most, in bytes of their words.
+#: Items that :func:`best_text_for` sends to all tasks at once, in bytes of their words.
 ITEM_BYTES = 64 << 20
 
 
-def best_text_for(texts: DataFrame, items: DataFrame, key: str, item_key: str, words: str, most: int = ITEM_BYTES) -> DataFrame:
+def best_text_for(texts: DataFrame, items: DataFrame, key: str, item_key: str, words: str, block: int = ITEM_BYTES) -> DataFrame:
     """(item_key, key, score): for each item the text with the largest share of the item's distinct words; ties to the lowest key.
 
-    ``words`` names the array of distinct words in both. Items are a small table (its size is checked): their words go to all tasks, each keeps
-    the best text of each item so far, and one row an item and task is shuffled. No word pairs rows, however frequent.
-    Items no word of which occurs are left out; so are items without words.
+    ``words`` names the array of distinct words in both. Items' words go to all tasks in blocks of about ``block`` bytes, each in one pass over the texts, as many as it takes: a task keeps
+    the best text of each item of the block so far, and one row an item and task is shuffled. No word pairs rows, however frequent. The overlaps of a batch of texts with the
+    block's items are one sparse product. Items no word of which occurs are left out; so are items without words.
     """
     size = items.agg(F.sum(F.expr(f"aggregate({words}, 0L, (n, w) -> n + octet_length(w))"))).first()[0] or 0
-    if size > most:
-        raise ValueError(f"{size} bytes of items are more than the {most} that are sent to every task; split the table of items")
-    rows = items.select(F.col(item_key).cast("long"), words).collect()
-    owners: dict[str, list[int]] = {}
-    for at, r in enumerate(rows):
-        for w in r[1] or ():
-            owners.setdefault(w, []).append(at)
-    sent = texts.sparkSession.sparkContext.broadcast(({w: np.array(x) for w, x in owners.items()}, np.array([r[0] for r in rows], np.int64), np.array([max(1, len(r[1] or ())) for r in rows], float)))
-
-    def run(batches):
-        owners, names, sizes = sent.value
-        best, ids = np.zeros(len(names)), np.zeros(len(names), np.int64)
-        for batch in batches:
-            for own, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = [owners[w] for w in found or () if w in owners]
-                if hits:
-                    score = np.bincount(np.concatenate(hits), minlength=len(names)) / sizes
-                    better = (score > best) | ((score == best) & (score > 0) & (own < ids))
-                    best[better], ids[better] = score[better], own
-        at = np.flatnonzero(best)
-        yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids[at]), pa.array(best[at])], ["i", "k", "s"])
-
-    found = texts.select(F.col(key).cast("long"), words).mapInArrow(run, "i long, k long, s double")
-    best = found.groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
+    blocks, out = max(1, -(-size // block)), None
+    for part in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == part).select(F.col(item_key).cast("long"), words).toArrow()
+        found_words = [w or () for w in rows.column(1).to_pylist()]
+        owners: dict[str, list[int]] = {}
+        for at, own in enumerate(found_words):
+            for w in own:
+                owners.setdefault(w, []).append(at)
+        lengths = np.array([len(x) for x in owners.values()], np.int64)
+        index = ({w: n for n, w in enumerate(owners)}, np.concatenate([np.zeros(0, np.int64), *map(np.array, owners.values())]).astype(np.int64), np.cumsum(lengths) - lengths, lengths)
+        sent = texts.sparkSession.sparkContext.broadcast((*index, rows.column(0).to_numpy(), np.array([max(1, len(w)) for w in found_words], float)))
+
+        def run(batches, sent=sent):
+            number, of, begin, length, names, sizes = sent.value
+            best, ids = np.zeros(len(names)), np.zeros(len(names), np.int64)
+            for batch in batches:
+                for low in range(0, batch.num_rows, 256):
+                    texts_ = batch.slice(low, 256)
+                    keys = texts_.column(0).to_numpy()
+                    lists = texts_.column(1)
+                    flat = np.fromiter((number.get(w, -1) for w in lists.flatten().to_pylist()), np.int64)
+                    row = np.repeat(np.arange(len(keys)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                    row, flat = row[flat >= 0], flat[flat >= 0]
+                    many = length[flat]
+                    at = np.repeat(begin[flat] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    pair, hits = np.unique(np.repeat(row, many) * len(names) + of[at], return_counts=True)
+                    item, own = pair % max(1, len(names)), keys[pair // max(1, len(names))]
+                    score = hits / sizes[item]
+                    first = np.lexsort((own, -score, item))
+                    first = first[np.append(True, np.diff(item[first]) != 0)] if len(first) else first
+                    item, own, score = item[first], own[first], score[first]
+                    better = (score > best[item]) | ((score == best[item]) & (own < ids[item]))
+                    best[item[better]], ids[item[better]] = score[better], own[better]
+            at = np.flatnonzero(best)
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(ids[at]), pa.array(best[at])], ["i", "k", "s"])
+
+        found = texts.select(F.col(key).cast("long"), words).mapInArrow(run, "i long, k long, s double")
+        out = found if out is None else out.union(found)
+    best = out.groupBy("i").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
     return best.select(F.col("i").alias(item_key), F.col("b.k").alias(key), (-F.col("b.s")).alias("score"))
 
 
@@ -223,12 +268,14 @@ def filter_with_fallback(items: DataFrame, group: str, keep: Column) -> DataFram
 
 
 def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
-    """A unit vector from hashed token counts: the default text encoder, where no model's weights are at hand."""
-    places = F.transform(tokens, lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
-    # bound once: the optimizer would copy the counts into each element's division
-    unit = F.transform(F.array(counts), lambda c: F.transform(F.array(norm(c)), lambda n: F.transform(c, lambda v: v / n)))
-    return F.element_at(F.element_at(unit, 1), 1)
+    """A unit vector from hashed token counts: the default text encoder, where no model's weights are at hand. One pass over the tokens' places."""
+
+    @F.pandas_udf("array<double>")
+    def unit(places: pd.Series) -> pd.Series:
+        counts = [np.bincount(np.asarray(p if p is not None else (), np.int64), minlength=dim).astype(float) for p in places]
+        return pd.Series([c / max(np.sqrt(c @ c), 1e-12) for c in counts])
+
+    return unit(F.transform(F.coalesce(tokens, X.no_strings()), lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int")))
 
 
 def plugged_ranking(items: DataFrame, rank_rows, schema: str, k: int, order: list[Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import ranking as K
 from ..operators import search as S
 from ._registry import query
 
@@ -32,16 +33,25 @@ def _tag_sql(tokens):
     for q in tokens:
         parts.append(
             f"CASE WHEN len(list_filter(tags, lambda g: contains(g, '{q}') OR contains('{q}', g))) > 0 THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(source), '{q}') THEN 2.0 ELSE 0 END"
-            f" + CASE WHEN contains(lower(lang), '{q}') THEN 2.0 ELSE 0 END + least((length(low) - length(replace(low, '{q}', ''))) // length('{q}'), 5) + CASE WHEN contains(lower(source), '{q}') THEN 1.5 ELSE 0 END"
+            f" + CASE WHEN contains(lower(lang), '{q}') THEN 2.0 ELSE 0 END + least((length(low) - length(replace(low, '{q}', ''))) // length('{q}') + (length(hint) - length(replace(hint, '{q}', ''))) // length('{q}'), 5) + CASE WHEN contains(lower(source), '{q}') THEN 1.5 ELSE 0 END"
         )
     return "CAST(" + " + ".join(parts) + " AS DOUBLE)"
 
 
-@query(f"SELECT doc_id, score FROM (SELECT doc_id, lang, {_tag_sql(['src1', 'license', 'the'])} AS score FROM (SELECT *, {_TAGS} AS tags, lower(text) AS low FROM documents)) WHERE score > 0 AND lang = 'en' ORDER BY score DESC, doc_id LIMIT 40")
+_SHAPE = "['png', 'jpg', 'gif'][CAST(doc_id % 3 AS INT) + 1]"
+
+
+@query(
+    f"""SELECT doc_id, format, score FROM (SELECT doc_id, {_SHAPE} AS format, {_tag_sql(['src1', 'license', 'the'])} AS score FROM (SELECT *, {_TAGS} AS tags, lower(text) AS low, lower(string_split(text, chr(10))[1]) AS hint FROM documents))
+    WHERE score > 0 AND format IN ('png', 'gif') ORDER BY score DESC, doc_id LIMIT 40"""
+)
 def tag_search(t):
+    """Documents as images: tags of their words, the first line as their description, three formats of which two are asked for."""
     tags = F.array_distinct(F.concat(F.array("lang", "source"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))))
-    score = S.tag_score(tags, F.col("source"), F.col("lang"), F.col("text"), F.col("source"), ["src1", "license", "the"])
-    return t("documents").select("doc_id", "lang", score.alias("score")).where("score > 0 and lang = 'en'").orderBy(F.desc("score"), "doc_id").limit(40).select("doc_id", "score")
+    kind = F.col("doc_id") % 3
+    images = t("documents").withColumn("format", F.when(kind == 0, "png").when(kind == 1, "jpg").otherwise("gif"))
+    columns = {"tags": tags, "source": F.col("source"), "title": F.col("lang"), "context": F.col("text"), "description": F.substring_index("text", "\n", 1), "name": F.col("source"), "format": F.col("format")}
+    return S.tag_search(images, ["src1", "license", "the"], 40, "doc_id", columns, ["PNG", "gif"]).select("doc_id", "format", "score")
 
 
 _Q = [round(((i * 37) % 19 - 9) / 50.0, 4) for i in range(64)]
@@ -96,13 +106,23 @@ def multi_corpus_search(t):
     return a.unionByName(b)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT query, source AS file, lang AS title, 1 AS slide_num, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) ELSE '' END AS text_preview, n / (1.0 + n_chars) AS score, '/' || doc_id AS path_abs
+        FROM (SELECT *, (length(text) - length(replace(text, query, ''))) // length(query) AS n FROM documents, (SELECT unnest(['der ', 'the ', 'que ']) AS query)) WHERE n > 0)
+    SELECT query, CAST(place AS INT) AS place, file, title, CAST(slide_num AS BIGINT) AS slide_num, text_preview, CAST(score AS DOUBLE) AS score, path_abs FROM
+    (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file, title, slide_num, text_preview, path_abs) AS place FROM r) WHERE place <= 15"""
+)
 def plugged_ranking(t):
-    def shortest(batches):
-        for pdf in batches:
-            yield pdf.assign(score=1.0 / (1 + pdf["n_chars"]))[["doc_id", "score"]]
+    """A ranking function of a user's own: how often a text has the query for its length; it leaves fields out that have defaults."""
+
+    def density(query: str, rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            if n := r["text"].count(query):
+                out.append({"file": r["source"], "title": r["lang"], "score": n / (1.0 + r["n_chars"]), "path_abs": f"/{r['doc_id']}"} | ({"text_preview": r["text"][:20]} if r["doc_id"] % 2 == 0 else {"slide_num": None}))
+        return out
 
-    return S.plugged_ranking(t("documents").select("doc_id", "n_chars"), shortest, "doc_id long, score double", 10, [F.desc("score"), F.col("doc_id")])
+    return K.ranked(t("documents"), ["der ", "the ", "que "], density, 15)
 
 
 _CAND = """SELECT p_partkey, p_brand, p_type, w, h, rel, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'ok' END AS tier FROM (SELECT *, CAST(p_size * 40 AS INT) AS w, CAST(p_partkey % 900 AS INT) AS h,
