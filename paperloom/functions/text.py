@@ -116,22 +116,33 @@ def normalized(text: Column, longest: int = 512) -> Column:
     return F.left(collapse(text), F.lit(longest))
 
 
+def _word_runs(name: Column) -> Column:
+    """Runs of anything but letters, digits and Chinese as single underscores, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(name, f"[^\\p{{L}}\\p{{N}}{CJK}]+", "_"), "^_+|_+$", "")
+
+
 def slug(name: Column, longest: int = 30) -> Column:
-    """Other characters than letters, digits, hyphens and Chinese as single underscores, none at the ends."""
-    return F.left(F.regexp_replace(F.regexp_replace(name, f"[^a-zA-Z0-9_{CJK}-]+|_+", "_"), "_+|^_+|_+$", "_"), F.lit(longest))
+    """A file's name as a short label: without folders and ending, other characters than letters and digits as single underscores; ``image`` if nothing is left."""
+    file = F.regexp_replace(F.element_at(F.split(F.regexp_replace(F.coalesce(name, F.lit("")), "/+$", ""), "/"), -1), r"(?<=.)\.[^.]+$", "")
+    return F.coalesce(F.nullif(F.left(_word_runs(file), F.lit(longest)), F.lit("")), F.lit("image"))
 
 
 def clean_title(title: Column) -> Column:
-    """Without a site's name after the last bar or dash."""
-    return F.trim(F.regexp_replace(title, r" *[|_–—-] *[^|_–—-]{1,30}$", ""))
+    """Without what follows a dash, underscore or bar, if it names a government, portal, website or committee (the words are fixed values)."""
+    return strip(F.regexp_replace(F.coalesce(title, F.lit("")), "[-_|].*?(政府|门户|网站|委员会).*$", ""))
+
+
+def file_safe(name: Column, longest: int = 80) -> Column:
+    """Blanks as underscores, other characters than letters of English, digits and Chinese left out, runs of underscores as one."""
+    return F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, f"{BLANK}+", "_"), "[^一-龥a-zA-Z0-9_]", ""), "_+", "_"), F.lit(longest))
 
 
 def url_base_name(title: Column, url: Column) -> Column:
-    """A file name from the title, or else the URL's host and path, or its host."""
-    host = F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1)
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, "^[a-z]+://[^/?#]+/([^?#]*)", 1), "/+$", ""), "/", "_")
-    fallback = F.when(path == "", host).otherwise(F.concat_ws("_", host, path))
-    return F.coalesce(F.nullif(slug(F.coalesce(title, F.lit("")), 80), F.lit("")), slug(fallback, 80))
+    """A file name from the title, or else the URL's host and path, or its host, or ``untitled``."""
+    host = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
+    fallback = F.when(path != "", F.concat_ws("_", host, path)).otherwise(F.coalesce(F.nullif(host, F.lit("")), F.lit("untitled")))
+    return F.coalesce(F.nullif(file_safe(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(file_safe(fallback), F.lit("")), F.lit("untitled"))
 
 
 def canonical_content(text: Column) -> Column:
@@ -162,14 +173,21 @@ def without_number(title: Column) -> Column:
     return F.regexp_replace(title, r"^[0-9]+ *[.\-|] *", "")
 
 
+#: Marks around a text, the longer ones first, and links: what is left of them when they are read aloud.
+SPOKEN = (r"\*\*(.+?)\*\*", "__(.+?)__", r"\*(.+?)\*", "_(.+?)_", "~~(.+?)~~", "`(.+?)`", r"\[(.+?)\]\(.+?\)")
+
+
 def spoken(markdown: Column) -> Column:
-    """Markdown as it is read aloud: no marks of headings, lists, emphasis, code or links, no blank lines."""
+    """Markdown as it is read aloud: without lines of headings and the marks of emphasis, deletion, code and links; runs of blank lines are one."""
+
     def line(x: Column) -> Column:
-        for pattern, by in ((r"^ *#{1,6} +", ""), (r"^ *[-*+] +", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_]{2}([^*_]+)[*_]{2}", "$1"), ("`([^`]*)`", "$1")):
-            x = F.regexp_replace(x, pattern, by)
-        return strip(x)
+        x = F.regexp_replace(x, f"{BLANK}+$", "")
+        for pattern in SPOKEN:
+            x = F.regexp_replace(x, pattern, "$1")
+        return x
 
-    return F.array_join(F.filter(F.transform(F.split(markdown, "\n"), line), lambda x: x != ""), "\n")
+    lines = F.filter(F.split(markdown, "\r\n|\n|\r"), lambda x: ~F.ltrim(x).startswith("#"))
+    return strip(F.regexp_replace(F.array_join(F.transform(lines, line), "\n"), "\n{3,}", "\n\n"))
 
 
 def orientation(width: Column, height: Column) -> Column:
@@ -248,10 +266,17 @@ def query_ladder(query: Column) -> Column:
     return F.array_distinct(F.filter(F.array(strip(query), *[simpler_query(query, n) for n in (4, 3, 2, 1)]), lambda q: q != ""))
 
 
-def attribution(file: Column, title: Column, author: Column, license_: Column, url: Column) -> Column:
-    """A line of credit; parts that are missing are left out."""
-    by = F.when(F.coalesce(author, F.lit("")) != "", F.concat(F.lit("by "), author))
-    return F.concat_ws(" | ", F.concat_ws(": ", file, F.nullif(title, F.lit(""))), by, F.nullif(license_, F.lit("")), F.nullif(url, F.lit("")))
+#: Display names of providers.
+PROVIDER_NAMES = {"openverse": "Openverse", "wikimedia": "Wikimedia Commons", "pexels": "Pexels", "pixabay": "Pixabay"}
+
+
+def attribution(file: Column, url: Column, title: Column, author: Column, provider: Column, license_: Column, license_url: Column) -> Column:
+    """A credit: ``file — "title" by author via Provider — license: name (url)``; what is missing is left out. Without a file its address, or ``image``."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    shown = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PROVIDER_NAMES.items() for x in pair]), provider), some(provider), F.lit("unknown"))
+    middle = F.concat_ws(" ", F.concat(F.lit('"'), some(title), F.lit('"')), F.concat(F.lit("by "), some(author)), F.concat(F.lit("via "), shown))
+    terms = F.coalesce(F.concat(some(license_), F.lit(" ("), some(license_url), F.lit(")")), some(license_), some(license_url))
+    return F.concat_ws(" — ", F.coalesce(some(file), some(url), F.lit("image")), middle, F.concat(F.lit("license: "), terms))
 
 
 #: What is left of a template's placeholders.

@@ -6,7 +6,7 @@ A caller adds rules of its own with :func:`rule_hits`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR, WARNING = "error", "warning"
@@ -53,32 +53,44 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag; empty if it isn't there."""
+    both = F.regexp_extract(tag, f"[ \\t\\r\\n]{name}[ \\t]*=[ \\t]*(\"[^\"]*\"|'[^']*')", 1)
+    return F.substring(both, F.lit(2), F.length(both) - 2)
+
+
 def static_rules(svg: Column, expected_viewbox: Column | None = None) -> list[tuple[str, str, Column]]:
     """(rule, severity, predicate) of a drawing's text."""
     low = F.lower(svg)
     rules = [(name, ERROR, low.rlike(p)) for name, p in FORBIDDEN.items()] + [(name, ERROR, svg.rlike(p)) for name, p in FORBIDDEN_CASED.items()]
     rules.append(("id_with_style", ERROR, low.contains("<style") & svg.rlike(r"\bid\s*=")))
     rules.append(("symbol_with_use", ERROR, low.contains("<symbol") & low.rlike(r"<use\b")))
-    rules.append(("marker_without_definition", ERROR, low.rlike(r"\bmarker-(?:start|end)\s*=\s*[\"']url\(#([^)]+)\)") & ~low.contains("<marker")))
-    clip = low.contains("<clippath")
-    rules.append(("clip_on_shape", ERROR, clip & svg.rlike(r"(?i)<(?!image\b)(?!svg\b[^>]*\bdata-pptx-crop\s*=\s*[\"']1[\"'])\w+[^>]*\bclip-path\s*=")))
-    refs = F.array_distinct(_all(svg, r"clip-path\s*=\s*[\"']url\(#([^)]+)\)"))
-    rules.append(("clip_without_definition", ERROR, clip & F.exists(refs, lambda r: ~svg.contains(F.concat(F.lit('id="'), r, F.lit('"'))) & ~svg.contains(F.concat(F.lit("id='"), r, F.lit("'"))))))
-    viewbox = F.regexp_extract(svg, 'viewBox="([^"]+)"', 1)
+    # tags and their attributes are taken out once; the rules look at these
+    tags = _all(svg, "(<[A-Za-z][^>]*>)")
+    name = lambda tag: F.lower(F.regexp_extract(tag, "^<([A-Za-z][A-Za-z0-9_]*)", 1))
+    marked = F.exists(tags, lambda tag: attribute(tag, "marker-start").startswith("url(#") | attribute(tag, "marker-end").startswith("url(#"))
+    rules.append(("marker_without_definition", ERROR, marked & ~low.contains("<marker")))
+    clipped, clip = F.filter(tags, lambda tag: attribute(tag, "clip-path") != ""), low.contains("<clippath")
+    # images may be clipped, and a nested drawing that crops one
+    rules.append(("clip_on_shape", ERROR, clip & F.exists(clipped, lambda tag: (name(tag) != "image") & ~((name(tag) == "svg") & (attribute(tag, "data-pptx-crop") == "1")))))
+    wanted = F.filter(F.transform(clipped, lambda tag: F.regexp_extract(attribute(tag, "clip-path"), r"^url\(#(.+)\)$", 1)), lambda ref: ref != "")
+    ids = F.transform(tags, lambda tag: attribute(tag, "id"))
+    rules.append(("clip_without_definition", ERROR, clip & (F.size(F.array_except(wanted, ids)) > 0)))
+    viewbox = F.coalesce(F.try_element_at(F.filter(F.transform(tags, lambda tag: attribute(tag, "viewBox")), lambda v: v != ""), F.lit(1)), F.lit(""))
     rules.append(("viewbox_missing", ERROR, viewbox == ""))
-    rules.append(("viewbox_unusual", WARNING, (viewbox != "") & ~viewbox.rlike(r"^0 0 \d+ \d+")))
+    sides = F.split(F.trim(viewbox), " +")
+    rules.append(("viewbox_unusual", WARNING, (viewbox != "") & ~viewbox.rlike("^0 0 [0-9]+ [0-9]+")))
     if expected_viewbox is not None:
         rules.append(("viewbox_mismatch", ERROR, (viewbox != "") & expected_viewbox.isNotNull() & (viewbox != expected_viewbox)))
-    width, height = F.regexp_extract(svg, r'width="(\d+)"', 1), F.regexp_extract(svg, r'height="(\d+)"', 1)
-    sides = F.split(F.trim(viewbox), r"\s+")
+    side = lambda which: F.coalesce(F.try_element_at(F.filter(F.transform(tags, lambda tag: attribute(tag, which)), lambda v: v.rlike("^[0-9]+$")), F.lit(1)), F.lit(""))
+    width, height = side("width"), side("height")
     differs = (width != F.try_element_at(sides, F.lit(3))) | (height != F.try_element_at(sides, F.lit(4)))
     rules.append(("size_mismatch", WARNING, (width != "") & (height != "") & (F.size(sides) == 4) & differs))
     rules.append(("long_text", WARNING, F.size(_all(svg, "<text[^>]*>([^<]{%d,})</text>" % LONG_TEXT)) > 0))
     rules.append(("unsafe_font", WARNING, F.exists(_all(svg, r"(?i)font-family[:\s=]*[\"']([^\"']+)[\"']"), _unsafe)))
-    top = _all(svg, r"(<pattern\b[^>]*>)")
-    name = lambda tag: F.regexp_extract(tag, r"data-pptx-pattern\s*=\s*[\"']([^\"']*)[\"']", 1)
-    rules.append(("pattern_unnamed", WARNING, F.exists(top, lambda t: name(t) == "")))
-    rules.append(("pattern_unknown", ERROR, F.exists(top, lambda t: (name(t) != "") & ~name(t).isin(PATTERN_FILLS))))
+    fills = F.transform(F.filter(tags, lambda tag: name(tag) == "pattern"), lambda tag: attribute(tag, "data-pptx-pattern"))
+    rules.append(("pattern_unnamed", WARNING, F.array_contains(fills, "")))
+    rules.append(("pattern_unknown", ERROR, F.exists(fills, lambda v: (v != "") & ~v.isin(PATTERN_FILLS))))
     return [(n, s, F.coalesce(p, F.lit(False))) for n, s, p in rules]
 
 
@@ -95,6 +107,31 @@ def rule_hits(drawings: DataFrame, key: str, rules: list[tuple[str, str, Column]
     return drawings.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select(key, "h.rule", "h.severity")
 
 
+#: What an issue is called in a summary.
+CATEGORIES = {"viewbox_missing": "viewBox issues", "viewbox_unusual": "viewBox issues", "viewbox_mismatch": "viewBox issues", "foreign_object": "foreignObject", "font_face": "Font issues", "unsafe_font": "Font issues"}
+OTHER = "Other"
+
+
+def check_report(drawings: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """(kind, name, n, percent): the number of drawings (kind ``total``), of those by their worst finding (``result``: passed, warnings, errors), and of errors by category (``category``).
+
+    One narrow pass makes an array of a drawing's findings; it is exploded once, and all numbers come from one aggregate over grouping sets. The percentage of drawings is cut to a whole number.
+    """
+    hits = F.filter(F.array(*[F.when(p, F.struct(F.lit(CATEGORIES.get(n, OTHER)).alias("category"), F.lit(s).alias("severity"))) for n, s, p in rules]), lambda h: h.isNotNull())
+    rows = drawings.select(hits.alias("h"))
+    errors = F.filter("h", lambda h: h["severity"] == ERROR)
+    result = F.when(F.size(errors) > 0, "errors").when(F.size("h") > 0, "warnings").otherwise("passed")
+    own = F.array(F.struct(result.alias("result"), F.lit(None).cast("string").alias("category")))
+    each = rows.select(F.explode(F.concat(own, F.transform(errors, lambda h: F.struct(F.lit(None).cast("string").alias("result"), h["category"].alias("category"))))).alias("x")).select("x.result", "x.category")
+    sets = each.groupingSets([[F.col("result")], [F.col("category")], []], "result", "category").agg(F.count("result").alias("drawings"), F.count("category").alias("issues"), F.grouping_id("result", "category").alias("of"))
+    total = F.max(F.when(F.col("of") == 3, F.col("drawings"))).over(Window.partitionBy(F.lit(0)))  # a dozen rows
+    kind = F.when(F.col("of") == 3, "total").when(F.col("of") == 1, "result").otherwise("category")
+    n = F.when(kind == "category", F.col("issues")).otherwise(F.col("drawings"))
+    out = sets.select(kind.alias("kind"), F.coalesce("result", "category", F.lit("drawings")).alias("name"), n.alias("n"), (F.col("of") == 3).alias("_all"), F.col("result").alias("_r"), F.col("category").alias("_c"), total.alias("_total"))
+    out = out.where(F.col("_all") | F.col("_r").isNotNull() | F.col("_c").isNotNull())
+    return out.select("kind", "name", "n", F.when((F.col("kind") != "category") & (F.col("_total") > 0), F.floor(F.col("n") * 100 / F.col("_total"))).cast("int").alias("percent"))
+
+
 def check_summary(drawings: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """One row: total, passed (no error and no warning), with warnings only, with errors, and the whole percentages of these."""
     worst = hits.groupBy(key).agg(F.max(F.when(F.col("severity") == ERROR, 2).otherwise(1)).alias("_w"))

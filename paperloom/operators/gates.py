@@ -6,8 +6,6 @@ small tables or literal lists. Issues are one wide table (deck, page, type, tier
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +51,23 @@ def stage_match(pages: DataFrame, stages: list[dict], keys: list[str], title: st
     A pattern that occurs adds its weight once (keywords 10, synonyms 5); covered characters add up to 3.
     The first stage wins ties. Stages are a rule table of a few rows: one expression, no join.
     """
-    low, best = F.lower(F.coalesce(F.col(title), F.lit(""))), F.lit(None).cast("struct<score:int,negative:int,stage_id:string,stage_order:int>")
-    for n, s in enumerate(stages):
-        weight, chars = F.lit(0), F.lit(0)
-        for pattern, w in [(p, 10) for p in s.get("keywords", ())] + [(p, 5) for p in s.get("synonyms", ())]:
-            hits = X.occurrences(low, F.lit(pattern.lower()))
-            weight, chars = weight + F.when(hits > 0, w).otherwise(0), chars + hits * len(pattern)
-        cover = F.when(F.length(low) > 0, F.least(F.lit(3), F.floor(chars * 10 / F.length(low)).cast("int"))).otherwise(0)
-        best = F.greatest(best, F.struct((weight + cover).cast("int").alias("score"), F.lit(-n).alias("negative"), F.lit(s["id"]).alias("stage_id"), F.lit(s["order"]).alias("stage_order")))
-    out = pages.select(*keys, best.alias("b"))
-    good = F.col("b.score") >= least
-    return out.select(*keys, F.when(good, F.col("b.stage_id")).alias("stage_id"), F.when(good, F.col("b.stage_order")).alias("stage_order"), F.when(good, F.col("b.score")).otherwise(0).alias("score"))
+    rows = pages.withColumn("_low", F.lower(F.coalesce(F.col(title), F.lit(""))))
+    rules = [(n, p.lower(), w) for n, s in enumerate(stages) for kind, w in (("keywords", 10), ("synonyms", 5)) for p in s.get(kind, ())]
+    # how often each pattern occurs, once; then sums over each stage's part of that array
+    hits = F.array(*[X.occurrences(F.col("_low"), F.lit(p)) for _, p, _ in rules]).cast("array<int>")
+    table = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(w).alias("weight"), F.lit(len(p)).alias("chars")) for n, p, w in rules])
+    rows = rows.withColumn("_hits", F.filter(F.zip_with(table, hits, lambda r, h: F.struct(r["stage"].alias("stage"), r["weight"].alias("weight"), (r["chars"] * h).alias("chars"))), lambda x: x["chars"] > 0))
+
+    def scored(stage: Column) -> Column:
+        own = F.filter("_hits", lambda x: x["stage"] == stage["n"])
+        total = F.aggregate(own, F.struct(F.lit(0).alias("w"), F.lit(0).alias("c")), lambda t, x: F.struct((t["w"] + x["weight"]).alias("w"), (t["c"] + x["chars"]).alias("c")))
+        cover = lambda t: F.when(F.length("_low") > 0, F.least(F.lit(3), F.floor(t["c"] * 10 / F.length("_low")).cast("int"))).otherwise(0)
+        return F.struct(F.element_at(F.transform(F.array(total), lambda t: t["w"] + cover(t)), 1).alias("score"), (-stage["n"]).alias("negative"), stage["id"].alias("stage_id"), stage["order"].alias("stage_order"))
+
+    every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s["id"]).alias("id"), F.lit(s["order"]).alias("order")) for n, s in enumerate(stages)])
+    out = rows.withColumn("_b", F.array_max(F.transform(every, scored)))
+    good = F.col("_b.score") >= least
+    return out.select(*keys, F.when(good, F.col("_b.stage_id")).alias("stage_id"), F.when(good, F.col("_b.stage_order")).alias("stage_order"), F.when(good, F.col("_b.score")).otherwise(0).alias("score"))
 
 
 def order_violations(matched: DataFrame, deck: str, page: str) -> DataFrame:
@@ -82,13 +86,17 @@ def missing_stages(matched: DataFrame, stages: list[dict], deck: str) -> DataFra
 def gate_report(matched: DataFrame, stages: list[dict], deck: str, page: str, title: str, quality: Column | None = None) -> DataFrame:
     """One row a deck: pages, unmatched, weak and empty titles, missing stages, order violations, passed."""
     q = title_quality(F.col(title)) if quality is None else quality
-    rows = matched.withColumn("_q", q)
+    before = F.last("stage_order", ignorenulls=True).over(Window.partitionBy(deck).orderBy(page).rowsBetween(Window.unboundedPreceding, -1))
+    rows = matched.withColumn("_q", q).withColumn("_back", F.col("stage_order") < before)
+    needed = F.array(*[F.lit(s["id"]) for s in stages if s.get("required")]).cast("array<string>")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    base = rows.groupBy(deck).agg(F.count("*").alias("pages"), n(F.col("stage_id").isNull()).alias("unmatched"), n(F.col("_q") == "weak").alias("weak_titles"), n(F.col("_q") == "empty").alias("empty_titles"))
-    missing = missing_stages(matched, stages, deck).groupBy(deck).agg(F.count("*").alias("missing"))
-    wrong = order_violations(matched, deck, page).groupBy(deck).agg(F.count("*").alias("violations"))
-    out = base.join(missing, deck, "left").join(wrong, deck, "left").fillna(0, ["missing", "violations"])
-    return out.withColumn("passed", (F.col("missing") == 0) & (F.col("empty_titles") == 0))
+    # the window's rows are dealt by deck already
+    out = rows.groupBy(deck).agg(
+        F.count("*").alias("pages"), n(F.col("stage_id").isNull()).alias("unmatched"), n(F.col("_q") == "weak").alias("weak_titles"), n(F.col("_q") == "empty").alias("empty_titles"),
+        F.collect_set("stage_id").alias("_found"), n(F.col("_back")).alias("violations"),
+    )
+    out = out.withColumn("missing", F.size(F.array_except(needed, "_found")).cast("long")).drop("_found")
+    return out.select(deck, "pages", "unmatched", "weak_titles", "empty_titles", "missing", "violations").withColumn("passed", (F.col("missing") == 0) & (F.col("empty_titles") == 0))
 
 
 def content_length(text: Column) -> Column:
@@ -96,25 +104,15 @@ def content_length(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), HOLLOW, ""))
 
 
-def _issue(pages: DataFrame, deck: str, page: str, kind: str, where: Column, tier: Column | None = None) -> DataFrame:
-    return pages.where(where).select(deck, F.col(page).alias("page"), F.lit(kind).alias("type"), (F.lit(None).cast("string") if tier is None else tier).alias("tier"))
-
-
 def page_checks(pages: DataFrame, deck: str, page: str, text: str, closing: tuple[str, ...] = CLOSING_WORDS) -> DataFrame:
-    """Issues of single pages: placeholders left, empty pages, first and last page's content, garbled text."""
+    """Issues of single pages: placeholders left, empty pages, first and last page's content, garbled text. One pass makes an array of a page's issues, which is exploded once."""
     last = pages.groupBy(deck).agg(F.max(page).alias("_last"))
-    rows = pages.join(last, deck)
     body = F.coalesce(F.col(text), F.lit(""))
     cover = (F.col(page) == 1) & (F.length(body) < 20)
     end = (F.col(page) == F.col("_last")) & ~X.any_contained(body, closing)
-    garbled = (F.length(body) >= 5) & body.contains("�")
-    checks = [
-        _issue(rows, deck, page, "C1_PLACEHOLDER", F.size(X.placeholders(body)) > 0),
-        _issue(rows, deck, page, "C2_EMPTY_PAGE", content_length(body) < 10),
-        _issue(rows, deck, page, "C3_CONTENT_MATCH", cover | (~cover & end)),
-        _issue(rows, deck, page, "C7_GARBLED", garbled),
-    ]
-    return reduce(DataFrame.unionByName, checks)
+    found = [("C1_PLACEHOLDER", F.size(X.placeholders(body)) > 0), ("C2_EMPTY_PAGE", content_length(body) < 10), ("C3_CONTENT_MATCH", cover | end), ("C7_GARBLED", (F.length(body) >= 5) & body.contains("\ufffd"))]
+    types = F.filter(F.array(*[F.when(holds, F.lit(kind)) for kind, holds in found]), lambda x: x.isNotNull())
+    return pages.join(last, deck).select(deck, F.col(page).alias("page"), F.explode(types).alias("type"), F.lit(None).cast("string").alias("tier"))
 
 
 def structure_check(pages: DataFrame, deck: str, page: str, text: str, closing: tuple[str, ...] = CLOSING_WORDS_STRUCTURE) -> DataFrame:
@@ -162,19 +160,34 @@ def check_flags(issues: DataFrame, deck: str, kinds: tuple[str, ...]) -> DataFra
     return issues.groupBy(deck).agg(*[F.max(F.col("type") == k).alias(k.lower()) for k in kinds])
 
 
-def static_rules(texts: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """(key, rule) for each pattern of a rule table that a text has; rules are evaluated in one pass."""
-    hits = F.array(*[F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in rules.items()])
-    return texts.select(key, F.explode(F.filter(hits, lambda r: r.isNotNull())).alias("rule"))
+#: How much a font gets smaller for texts of over so many characters, and its least size.
+SHRINK, LEAST_SIZE = ((80, 6), (50, 4), (30, 2), (15, 1)), 8
 
 
-def drift(texts: DataFrame, key: str, values: Column, allowed: list[str]) -> DataFrame:
-    """(value, files) of values that are not in the allowed set."""
-    seen = texts.select(key, F.explode(F.array_distinct(values)).alias("value")).where(~F.col("value").isin(allowed))
-    return seen.groupBy("value").agg(F.countDistinct(key).alias("files"))
+def fitted_size(size: Column, length: Column) -> Column:
+    """A font size that shrinks as a text gets longer; texts of up to 15 characters keep theirs."""
+    out = size
+    for over, less in reversed(SHRINK):
+        out = F.when(length > over, F.greatest(F.lit(LEAST_SIZE), size - less)).otherwise(out)
+    return out
 
 
-def fitted_size(size: Column, length: Column) -> Column:
-    """A font size that shrinks as a text gets longer, 8 at least."""
-    less = F.when(length > 80, 6).when(length > 60, 5).when(length > 45, 4).when(length > 30, 3).when(length > 20, 2).when(length > 15, 1).otherwise(0)
-    return F.greatest(F.lit(8), size - less)
+#: Characters of a text that may overflow, and of a sample; samples of a slide; letters of the languages that may be left over.
+OVERFLOW, SAMPLE, SAMPLES = 100, 80, 5
+LEFT_OVER = {"zh": "[一-鿿]", "ja": "[\u3040-\u309f\u30a0-\u30ff]"}
+
+
+def slide_verification(slides: DataFrame, deck: str, slide: str, texts: str, background: str, expected: str | None = None, lang: str = "zh") -> DataFrame:
+    """A row a slide: is its background (a colour, null without one) the expected one, or any if none is; how many of its texts still have letters of the language, with samples; how many are longer than a box may hold; and whether all is well."""
+    found = F.filter(F.transform(F.coalesce(F.col(texts), X.no_strings()), X.strip), lambda x: x != "")
+    left, long = F.filter(found, lambda x: x.rlike(LEFT_OVER[lang])), F.filter(found, lambda x: F.length(x) > OVERFLOW)
+    shown = F.upper(background)
+    ok = F.coalesce(shown == expected.upper(), F.lit(False)) if expected else F.lit(True)
+    rows = slides.select(deck, slide, shown.alias("background"), ok.alias("background_ok"), F.size(left).cast("long").alias("left_over"), F.transform(F.slice(left, 1, SAMPLES), lambda x: F.left(x, F.lit(SAMPLE))).alias("samples"), F.size(long).cast("long").alias("long_texts"))
+    return rows.withColumn("passed", F.col("background_ok") & (F.col("left_over") == 0) & (F.col("long_texts") == 0))
+
+
+def deck_verification(verified: DataFrame, deck: str) -> DataFrame:
+    """(deck, slides, background_ok, translation_ok, overflow_ok, passed) of :func:`slide_verification`: how many slides pass each check, and whether all pass all."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return verified.groupBy(deck).agg(F.count("*").alias("slides"), n(F.col("background_ok")).alias("background_ok"), n(F.col("left_over") == 0).alias("translation_ok"), n(F.col("long_texts") == 0).alias("overflow_ok"), F.bool_and("passed").alias("passed"))

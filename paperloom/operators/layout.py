@@ -80,30 +80,54 @@ def line_points(series: DataFrame, group: str, area: Area) -> DataFrame:
 
 
 def grid(grids: DataFrame, key: str, rows: str, cols: str, area: Area, padding: float = 20.0, gap: float = 20.0) -> DataFrame:
-    """The cells of each grid."""
+    """The cells of each grid, with their centres."""
     x0, y0, x1, y1 = area
     r, c = F.col(rows), F.col(cols)
     width, height = (F.lit(x1 - x0 - 2 * padding) - (c - 1) * gap) / c, (F.lit(y1 - y0 - 2 * padding) - (r - 1) * gap) / r
     cells = grids.withColumn("row", F.explode(F.sequence(F.lit(1), r))).withColumn("col", F.explode(F.sequence(F.lit(1), c)))
-    return cells.select(key, "row", "col", ((F.col("row") - 1) * c + F.col("col")).alias("index"), F.round(x0 + padding + (F.col("col") - 1) * (width + gap), 1).alias("x"), F.round(y0 + padding + (F.col("row") - 1) * (height + gap), 1).alias("y"), F.round(width, 1).alias("width"), F.round(height, 1).alias("height"))
-
-
-def arrange(images: DataFrame, group: str, slide_width: float, slide_height: float, margin: float = 40.0, gap: float = 20.0, columns: int = 3) -> DataFrame:
-    """Boxes of a slide's n images: a grid of up to three columns."""
-    n = images.groupBy(group).agg(F.count("*").alias("_n"))
-    rows = images.join(n, group)
-    cols = F.least(F.col("_n"), F.lit(columns))
-    lines = F.ceil(F.col("_n") / cols)
-    w, h = (F.lit(slide_width - 2 * margin) - (cols - 1) * gap) / cols, (F.lit(slide_height - 2 * margin) - (lines - 1) * gap) / lines
-    i = F.col("idx") - 1
-    return rows.select(group, "idx", F.round(margin + (i % cols) * (w + gap), 1).alias("x"), F.round(margin + F.floor(i / cols) * (h + gap), 1).alias("y"), F.round(w, 1).alias("width"), F.round(h, 1).alias("height"))
-
-
-def text_beside_image(ratio: Column, width: float, height: float, gap: float) -> tuple[Column, Column, Column]:
-    """(layout, image width, image height): on top for wide images, at the side for others."""
-    top = ratio > 1.5
-    w = F.when(top, F.lit(width)).otherwise(F.least(F.lit(height) * ratio, F.lit((width - gap) * 0.6)))
-    return F.when(top, "image-top").otherwise("image-side"), F.round(w, 1), F.round(F.when(top, F.least(w / ratio, F.lit((height - gap) * 0.6))).otherwise(F.least(F.lit(height), w / ratio)), 1)
+    x, y = x0 + padding + (F.col("col") - 1) * (width + gap), y0 + padding + (F.col("row") - 1) * (height + gap)
+    r1 = lambda c: F.round(c, 1)
+    return cells.select(key, "row", "col", ((F.col("row") - 1) * c + F.col("col")).alias("index"), r1(x).alias("x"), r1(y).alias("y"), r1(width).alias("width"), r1(height).alias("height"), r1(x + width / 2).alias("cx"), r1(y + height / 2).alias("cy"))
+
+
+#: Fixed values, in EMU: margins, gap and the height of a title; columns of a grid.
+MARGIN, GAP, TITLE_HEIGHT, COLUMNS = 457_200, 182_880, 914_400, 3
+
+
+def arrange(images: DataFrame, group: str, slide_width: int, slide_height: int, margin: int = MARGIN, gap: int = GAP, title_height: int = TITLE_HEIGHT, columns: int = COLUMNS) -> DataFrame:
+    """(group, idx, x, y, width, height): boxes of a slide's n images (idx from 1) under its title, in whole units: one alone, two side by side, one above two, or a grid of up to three columns."""
+    rows = images.join(images.groupBy(group).agg(F.count("*").alias("_n")), group)
+    n, i = F.col("_n"), F.col("idx") - 1
+    cols = F.when(n <= 3, F.least(n, F.lit(2))).otherwise(F.least(n, F.lit(columns)))
+    lines = F.ceil(n / cols)
+    whole = lambda total, parts: F.floor((F.lit(total) - (parts - 1) * gap) / parts)
+    usable_w, usable_h = slide_width - 2 * margin, slide_height - 2 * margin - title_height
+    width, height = F.when((n == 3) & (i == 0), usable_w).otherwise(whole(usable_w, cols)), whole(usable_h, lines)
+    # of three, the second and third are below the first
+    col, row = F.when(n == 3, F.greatest(i - 1, F.lit(0))).otherwise(i % cols), F.when(n == 3, F.least(i, F.lit(1))).otherwise(F.floor(i / cols))
+    place = lambda c: c.cast("long")
+    return rows.select(group, "idx", place(margin + col * (whole(usable_w, cols) + gap)).alias("x"), place(title_height + margin + row * (height + gap)).alias("y"), place(width).alias("width"), place(height).alias("height"))
+
+
+#: Fixed values, in pixels: between image and text, what a text needs at least, and the share of the width that an image gets where that isn't left.
+TEXT_GAP, LEAST_TEXT_HEIGHT, LEAST_TEXT_WIDTH, IMAGE_SHARE = 20, 150, 280, 0.7
+
+
+def text_beside_image(ratio: Column, width: int, height: int, gap: int = TEXT_GAP) -> dict[str, Column]:
+    """layout, image_w, image_h, text_w, text_h in whole pixels: wide images on top if room for text is left below; others at the side in full height if it is left there; else at the side, narrower."""
+    pixels = lambda c: F.bround(c).cast("int")
+    top_h, side_w = pixels(width / ratio), pixels(height * ratio)
+    on_top = (ratio > 1.5) & (height - top_h - gap >= LEAST_TEXT_HEIGHT)
+    full = (ratio <= 1.5) & (width - side_w - gap >= LEAST_TEXT_WIDTH)
+    narrow = round(width * IMAGE_SHARE)
+    pick = lambda a, b, c: F.when(on_top, a).when(full, b).otherwise(c).cast("int")
+    return {
+        "layout": F.when(on_top, "top-bottom").otherwise("left-right"),
+        "image_w": pick(width, side_w, narrow),
+        "image_h": pick(top_h, height, F.least(pixels(F.lit(narrow) / ratio), F.lit(height))),
+        "text_w": pick(width, width - side_w - gap, max(width - narrow - gap, LEAST_TEXT_WIDTH)),
+        "text_h": pick(height - top_h - gap, height, height),
+    }
 
 
 def validate_positions(expected: DataFrame, found: DataFrame, keys: list[str], tolerance: float = 1.0) -> DataFrame:

@@ -40,6 +40,10 @@ def _shaped(issues: DataFrame, kind: str, page: str | None = "page", tier: Colum
     return issues.select("deck", number.alias("page"), F.lit(kind).alias("type"), (F.lit(None).cast("string") if tier is None else tier).alias("tier"))
 
 
+#: Checks of single pages, which one pass makes together.
+PAGE_CHECKS = ("C1_PLACEHOLDER", "C2_EMPTY_PAGE", "C3_CONTENT_MATCH", "C7_GARBLED")
+
+
 def _one_type(kind: str):
     def check(pages: DataFrame, source: DataFrame | None) -> DataFrame:
         return _shaped(gates.page_checks(pages, "deck", "page", "text").where(F.col("type") == kind), kind)
@@ -106,7 +110,12 @@ CHECKS |= {"C4_REDUNDANCY": _redundant, "C5_CONTINUITY": _continuity, "C6_SOURCE
 
 def run_checks(pages: DataFrame, source: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """(deck, page, type, tier, severity) of all checks, or of those named: a critical outlier is critical, a complete structure no issue but a row."""
-    found = reduce(DataFrame.unionByName, (CHECKS[n](pages, source).select("deck", "page", "type", "tier") for n in names or CHECKS))
+    names = list(names or CHECKS)
+    own = [n for n in names if n in PAGE_CHECKS]
+    parts = [CHECKS[n](pages, source) for n in names if n not in own]
+    if own:
+        parts.insert(0, gates.page_checks(pages, "deck", "page", "text").where(F.col("type").isin(own)).withColumn("page", F.col("page").cast("long")))
+    found = reduce(DataFrame.unionByName, (p.select("deck", "page", "type", "tier") for p in parts))
     severity = F.lit("warning")
     for kind, value in SEVERITY.items():
         severity = F.when(F.col("type") == kind, value).otherwise(severity)

@@ -9,11 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .crawl import resolved
+from .scans import ends_before_next
 
 #: Elements without content of their own.
 CLUTTER = ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-SENTENCE_ENDS = r"[.!?:;。！？：；…][\"'”’)\]]*$"
+
+
+def unescaped(text: Column) -> Column:
+    """The five XML entities resolved."""
+    for entity, by in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(by))
+    return text
 
 
 def strip_html(markup: Column) -> Column:
@@ -24,21 +32,49 @@ def strip_html(markup: Column) -> Column:
     return X.collapse(out)
 
 
-def page_metadata(html: Column, url: Column) -> dict[str, Column]:
-    """title, description, author and date; the date from meta tags, else the text, else the URL."""
-    meta = lambda name: F.nullif(F.regexp_extract(html, f'<meta name="{name}" content="([^"]*)"', 1), F.lit(""))
-    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    title = F.coalesce(found(html, "<title>([^<]*)</title>"), found(html, "<h1[^>]*>([^<]*)</h1>"))
-    date = F.coalesce(meta("date"), found(html, "([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.translate(found(url, "([0-9]{4}/[0-9]{2}/[0-9]{2})"), "/", "-"))
-    return {"title": title, "description": meta("description"), "author": meta("author"), "date": date}
+#: Where a page's metadata stand, the first that is there counts; and patterns of dates and sources in its text.
+DATE_METAS = ("article:published_time", "og:published_time", "pubdate", "publishdate", "date")
+DESCRIPTION_METAS, AUTHOR_METAS = ("description", "og:description", "twitter:description"), ("author", "article:author")
+_DAY = r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}日?"
+DATE_PATTERNS = (rf"发布[时日]间[：:]\s*({_DAY})", rf"日期[：:]\s*({_DAY})", rf"({_DAY})\s*(?:发布|来源)", r"时间[：:]\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2})")
+SOURCE_PATTERNS = (r"来源[：:]\s*([^\s<]+)", r"发布(?:单位|机构)[：:]\s*([^\s<]+)")
+
+
+def meta_tags(html: Column) -> Column:
+    """A map of a page's meta tags: the lower-cased name, or property, to its content; the last of a name counts."""
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
+    value = lambda tag, name: F.regexp_replace(attribute(tag, name), r"(?s)^[^=]*=\s*.(.*).$", "$1")
+    pairs = F.transform(F.regexp_extract_all(html, F.lit("(?is)<meta\\b[^>]*>"), F.lit(0)), lambda tag: F.struct(F.lower(F.coalesce(F.nullif(value(tag, "name"), F.lit("")), value(tag, "property"))).alias("k"), X.strip(unescaped(value(tag, "content"))).alias("v")))
+    named = F.filter(pairs, lambda x: (x["k"] != "") & (x["v"] != ""))
+    return F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.map_from_arrays(F.array(x["k"]), F.array(x["v"]))))
+
+
+def page_metadata(html: Column, url: Column, metas: Column | None = None) -> dict[str, Column]:
+    """title (without a site's name), date, description and author; the date from meta tags, else from the text, else from the address.
+
+    Missing ones are empty, a missing title is ``Untitled``. ``metas``: :func:`meta_tags` of the page, if it is at hand as a column.
+    """
+    metas = meta_tags(html) if metas is None else metas
+    first = lambda names: F.coalesce(*[F.try_element_at(metas, F.lit(n)) for n in names])
+    found = lambda c, p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
+    text = unescaped(F.regexp_replace(html, "<[^>]*>", ""))
+    day = F.regexp_replace(F.translate(F.coalesce(*[found(text, p) for p in DATE_PATTERNS]), "年月", "--"), "日", "")
+    month, in_url = r"(\d{4})(\d{2})[/_](?:t\d+_)?", r"(\d{4})[-/](\d{2})[-/](\d{2})"
+    by_url = F.coalesce(F.when(url.rlike(month), F.concat_ws("-", F.regexp_extract(url, month, 1), F.regexp_extract(url, month, 2))), F.when(url.rlike(in_url), F.concat_ws("-", *[F.regexp_extract(url, in_url, g) for g in (1, 2, 3)])))
+    title = X.clean_title(unescaped(F.regexp_extract(html, "(?is)<title[^>]*>([^<]*)</title>", 1)))
+    empty = F.lit("")
+    return {
+        "title": F.coalesce(F.nullif(title, empty), F.try_element_at(metas, F.lit("og:title")), F.lit("Untitled")),
+        "date": F.coalesce(first(DATE_METAS), day, by_url, empty),
+        "description": F.coalesce(first(DESCRIPTION_METAS), empty),
+        "author": F.coalesce(first(AUTHOR_METAS), *[found(text, p) for p in SOURCE_PATTERNS], empty),
+    }
 
 
 def links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
     """(key, link): absolute addresses of all anchors; relative ones resolved against the page's address."""
     found = pages.select(key, url, F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit('href="([^"#]+)"'), F.lit(1)))).alias("href"))
-    origin, folder = F.regexp_extract(F.col(url), "^([a-z]+://[^/?#]+)", 1), F.regexp_extract(F.col(url), "^([a-z]+://[^?#]*/)", 1)
-    link = F.when(F.col("href").rlike("^[a-z]+:"), F.col("href")).when(F.col("href").startswith("/"), F.concat(origin, "href")).otherwise(F.concat(F.when(folder == F.concat(F.regexp_extract(F.col(url), "^([a-z]+://)", 1)), F.concat(origin, F.lit("/"))).otherwise(folder), "href"))
-    return found.select(key, link.alias("link"))
+    return found.select(key, resolved(F.col(url), F.col("href")).alias("link"))
 
 
 #: Classes and ids that contents of pages often have; of the first two a part is enough, whatever its case.
@@ -157,56 +193,139 @@ def font_levels(spans: DataFrame, doc: str, size: str, text: str) -> DataFrame:
     return rows.select(doc, size, F.when(F.col(size) == F.col("body"), 0).otherwise(rank).alias("level")).where("level <= 3")
 
 
-def heading_level(level: Column, text: Column, bold: Column) -> Column:
-    """The level of a line, 0 if it is none: long lines and whole sentences aren't; bold short ones are at 3."""
-    plain = (F.length(text) > 80) | text.rlike(SENTENCE_ENDS)
-    return F.when(plain, 0).when(level > 0, level).when(bold & (F.length(text) <= 40), 3).otherwise(0)
+#: What a heading may be: its size under a level's by so much, its length, the body's size where none is known, and how much larger a plain lower heading must be.
+NEARLY, LONGEST_HEADING, BODY_SIZE, CLEARLY = 0.5, 80, 12, 2
+
+
+def heading_level(size: Column, sizes: dict[str, Column], text: Column, bold: Column) -> Column:
+    """The level of a line by its size: 1 to 3, 0 for none. ``sizes``: h1, h2, h3 and body, null where a document has none.
+
+    Long lines are none; nor are sentences, but for numbered headings that end in a full stop; nor are lower headings in plain type that are hardly larger than the body.
+    """
+    level = F.lit(0)
+    for n in (3, 2, 1):
+        level = F.when(F.coalesce(size >= sizes[f"h{n}"] - NEARLY, F.lit(False)), n).otherwise(level)
+    line = X.strip(text)
+    sentence = line.rlike("[.。!！?？]$") & ~line.rlike("^[0-9第]+[.、章节]")
+    weak = ~bold & (level >= 2) & (size < F.coalesce(sizes["body"], F.lit(BODY_SIZE)) + CLEARLY)
+    return F.when((level > 0) & ((F.length(line) > LONGEST_HEADING) | sentence | weak), 0).otherwise(level)
 
 
 def list_item(line: Column) -> Column:
-    """A list item in one form (``- x`` or ``1. x``); null for other lines."""
-    return F.when(line.rlike("^[ \\t]*[•·▪◦*–-][ \\t]+"), F.regexp_replace(line, "^[ \\t]*[•·▪◦*–-][ \\t]+", "- ")).when(line.rlike("^[ \\t]*[0-9]{1,3}[.)、][ \\t]*"), F.regexp_replace(line, "^[ \\t]*([0-9]{1,3})[.)、][ \\t]*", "$1. "))
+    """A list item in one form (``- x`` or ``1. x``); null for other lines. Round and angular bullets need no blank, dashes and asterisks do."""
+    line = X.strip(line)
+    bullet, number = f"^([•●○◦▪▸►]{X.BLANK}*|[-–—*]{X.BLANK}+)", f"^([0-9]+)[.、)]{X.BLANK}*"
+    return F.when(line.rlike(bullet), F.regexp_replace(line, bullet, "- ")).when(line.rlike(number), F.regexp_replace(line, number, "$1. "))
+
+
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
 def without_footer(text: Column) -> Column:
-    return X.strip(F.regexp_replace(text, r"(?i)[ \t]*(page [0-9]+( of [0-9]+)?|[0-9]{4}-[0-9]{2}-[0-9]{2})[ \t]*$", ""))
+    """Without a month, year and page number at the end (``November 2025 8``, ``2025年11月 8``), and blanks there."""
+    blank = X.BLANK
+    out = F.regexp_replace(text, f"(?i){blank}*(?:{MONTHS}){blank}+[0-9]{{4}}{blank}+[0-9]{{1,3}}{blank}*$", "")
+    out = F.regexp_replace(out, f"{blank}*[0-9]{{4}}年[0-9]{{1,2}}月{blank}+[0-9]{{1,3}}{blank}*$", "")
+    return F.regexp_replace(out, f"{blank}+$", "")
 
 
 def clean_blank_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[ \\t]+(\n|$)", "$1"), "\n{3,}", "\n\n")
 
 
-def repeated_lines(lines: DataFrame, doc: str, page: str, line: str, share: float = 0.6, sample: int = 20, above: int = 40) -> DataFrame:
-    """(doc, line) that occur on over ``share`` of the sampled pages: running heads and feet.
+#: The share of a page's height that is its head, and its foot; of long documents' pages so many at both ends count.
+BAND, EDGE_PAGES, ALL_PAGES = 0.15, 20, 40
+
 
-    Over ``above`` pages only the first and last ``sample`` count; documents of under 3 pages have none.
-    Occurrences count, not pages.
+def repeated_blocks(blocks: DataFrame, doc: str, page: str, text: str, share: float = 0.6, sample: int = EDGE_PAGES, above: int = ALL_PAGES) -> DataFrame:
+    """(doc, text, times, pages): running heads and feet: texts of blocks (y0, y1, height) that touch the top of a page, or else the bottom, on over ``share`` of the pages.
+
+    Heads and feet are counted apart, by occurrences; of documents of over ``above`` pages the first and last ``sample`` count, those of under 3 have none.
     """
-    pages = lines.select(doc, page).distinct().groupBy(doc).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(page)).alias("all"))
-    # only documents over the bound need ranks; they are the pages' own, not the corpus'
-    pages = pages.where("n >= 3").withColumn("picked", F.when(F.col("n") > above, F.concat(F.slice("all", 1, sample), F.slice("all", -sample, sample))).otherwise(F.col("all")))
-    rows = lines.join(pages.select(doc, "picked"), doc).where(F.array_contains("picked", F.col(page)) & (F.trim(line) != ""))
-    counts = rows.groupBy(doc, F.trim(line).alias(line)).agg(F.count("*").alias("times"), F.first(F.size("picked")).alias("pages"))
-    return counts.where(F.col("times") / F.col("pages") > share).select(doc, line, "times", "pages")
+    pages = blocks.select(doc, page).distinct()
+    ends = pages.groupBy(doc).agg(F.count("*").alias("_n")).where("_n >= 3")
+    rank = lambda order: F.row_number().over(Window.partitionBy(doc).orderBy(order))
+    picked = pages.join(ends, doc).withColumns({"_up": rank(F.asc(page)), "_down": rank(F.desc(page))}).where((F.col("_n") <= above) | (F.col("_up") <= sample) | (F.col("_down") <= sample))
+    picked = picked.select(doc, page, F.when(F.col("_n") <= above, F.col("_n")).otherwise(2 * sample).alias("pages"))
+    line, edge = X.strip(F.col(text)), BAND * F.col("height")
+    band = F.when((F.col("y0") < edge) & (F.col("y1") > 0), "head").when((F.col("y1") > F.col("height") - edge) & (F.col("y0") < F.col("height")), "foot")
+    rows = blocks.select(doc, page, line.alias(text), band.alias("_band")).where(f"_band is not null and {text} != ''").join(picked, [doc, page])
+    counts = rows.groupBy(doc, text, "_band", "pages").agg(F.count("*").alias("times")).where(F.col("times") / F.col("pages") > share)
+    return counts.groupBy(doc, text).agg(F.max("times").alias("times"), F.max("pages").alias("pages"))
+
+
+def without_noise(blocks: DataFrame, noise: DataFrame, doc: str, text: str) -> DataFrame:
+    """Blocks whose text is no running head or foot of their document (doc, text), without their lines that are; blocks of which nothing is left go."""
+    found = noise.select(doc, F.col(text).alias("_noise")).distinct()
+    left = blocks.withColumn("_noise", X.strip(F.col(text))).join(found, [doc, "_noise"], "left_anti").drop("_noise")
+    # a document's noise is what its head and foot say: few texts
+    lines = left.join(found.groupBy(doc).agg(F.collect_set("_noise").alias("_set")), doc, "left")
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_set"), X.strip(x)), F.lit(False)))
+    return lines.withColumn(text, F.array_join(kept, "\n")).where((F.trim(text) != "") | F.col("_set").isNull()).drop("_set")
+
+
+#: A chapter's number and title on a page.
+CHAPTER = r"第\s*([0-9]+)\s*章\s*([^\n]+)"
+
+
+def chapters(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """(doc, chapter, title, start, end, pages): pages that name a chapter begin one, which ends before the next one's or with the document."""
+    last = pages.groupBy(doc).agg(F.max(page).alias("_last"))
+    found = pages.where(F.col(text).rlike(CHAPTER)).select(doc, F.regexp_extract(text, CHAPTER, 1).cast("int").alias("chapter"), X.strip(F.regexp_extract(text, CHAPTER, 2)).alias("title"), F.col(page).alias("start"))
+    out = ends_before_next(found.join(last, doc), doc, "start", "_last").drop("_last")
+    return out.withColumn("pages", F.col("end") - F.col("start") + 1)
+
+
+def front_matter(pages: DataFrame, doc: str, page: str, text: str, starts: DataFrame, trivial: int = 50) -> DataFrame:
+    """(doc, end): the pages, from 0, before a document's first chapter, if there are two or more and one of them has over ``trivial`` characters."""
+    first = starts.groupBy(doc).agg(F.min("start").alias("_first")).where("_first > 1")
+    before = pages.join(first, doc).where(F.col(page) < F.col("_first"))
+    return before.groupBy(doc, "_first").agg(F.max(F.length(X.strip(F.col(text)))).alias("_most")).where(F.col("_most") > trivial).select(doc, (F.col("_first") - 1).alias("end"))
+
+
+def _evenly(first: Column, last: Column, most: int) -> Column:
+    """An array of (first, last): the fewest chunks of at most ``most`` pages, as even as can be, the longer ones first."""
+    n = last - first + 1
+    parts = F.ceil(n / most)
+    base, more = F.floor(n / parts), n % parts
+    at = lambda k: first + k * base + F.least(k, more)
+    return F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: F.struct(at(k).cast("long").alias("first"), (at(k + 1) - 1).cast("long").alias("last")))
 
 
 def even_chunks(ranges: DataFrame, first: str, last: str, most: int) -> DataFrame:
-    """Each range in the fewest chunks of at most ``most`` pages, as even as can be."""
-    n = F.col(last) - F.col(first) + 1
-    parts = F.ceil(n / most)
-    size = F.ceil(n / parts)
-    return ranges.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("chunk_first", F.col(first) + F.col("chunk") * size).withColumn("chunk_last", F.least(F.col(last), F.col("chunk_first") + size - 1)).where("chunk_first <= chunk_last")
+    """Each range in the fewest chunks of at most ``most`` pages, as even as can be: 22 pages by 10 are 8, 7 and 7."""
+    rows = ranges.select("*", F.posexplode(_evenly(F.col(first), F.col(last), most)).alias("chunk", "_c"))
+    return rows.withColumns({"chunk": F.col("chunk").cast("long"), "chunk_first": F.col("_c.first"), "chunk_last": F.col("_c.last")}).drop("_c")
 
 
-def safe_chunk_pages(context_window: Column, tokens_a_page: int = 800, share: float = 0.5) -> Column:
-    """Pages that fit a share of a context window, between 3 and 15."""
-    return F.least(F.lit(15), F.greatest(F.lit(3), F.floor(context_window * share / tokens_a_page)))
+#: A context window's margin, what is taken of it beforehand and by each chunk, tokens of a page, and pages at least and at most.
+MARGIN, TAKEN, TAKEN_BY_CHUNK, PAGE_TOKENS, LEAST_PAGES, MOST_PAGES = 0.10, 50_000, 15_000, 800 * 1.5, 3, 15
 
 
-def slide_role(index: Column, total: Column, text: Column) -> Column:
-    """cover, ending, toc, chapter or content, in that order of precedence after the ending's words."""
+def safe_chunk_pages(context_window: Column, most: int | None = None) -> Column:
+    """Pages of a chunk that a context window has room for."""
+    room = F.floor(context_window * (1 - MARGIN)) - TAKEN - TAKEN_BY_CHUNK
+    pages = F.greatest(F.lit(LEAST_PAGES), F.floor(room / PAGE_TOKENS))
+    return F.least(pages, F.lit(min(most, MOST_PAGES) if most else MOST_PAGES))
+
+
+#: Words of a slide that say what it is.
+THANKS_WORDS = ("thank", "thanks", "q&a", "qa", "contact", "致谢", "谢谢", "感谢", "答疑", "联系方式")
+CONTENTS_WORDS = ("agenda", "contents", "content", "outline", "目录", "议程", "目录页")
+CHAPTER_WORDS = ("chapter", "part", "section", "章节", "部分")
+
+
+def slide_role(index: Column, total: Column, text: Column, texts: Column, images: Column, shapes: Column) -> Column:
+    """What a slide may be, by its words first (closing, contents, chapter), then by its place and how much is on it."""
     low = F.lower(text)
-    return F.when(index == 1, "cover").when((index == total) | X.any_contained(low, ("thank you", "the end", "q&a")), "ending").when(X.any_contained(low, ("contents", "agenda", "outline")), "toc").when(low.rlike("^(chapter|part|section) [0-9]+") | (F.length(low) < 30), "chapter").otherwise("content")
+    roles = [
+        (X.any_contained(low, THANKS_WORDS), "ending_candidate"), (X.any_contained(low, CONTENTS_WORDS), "toc_candidate"), (X.any_contained(low, CHAPTER_WORDS), "chapter_candidate"),
+        ((index == 1) & (images <= 3), "cover_candidate"), ((index == total) & (texts <= 6), "ending_candidate"), ((texts <= 3) & (shapes <= 12), "chapter_candidate"),
+    ]
+    out = F.lit("content_candidate")
+    for found, role in reversed(roles):
+        out = F.when(found, role).otherwise(out)
+    return out
 
 
 def table_alignment(cells: DataFrame, keys: list[str], col: str, value: str) -> DataFrame:
@@ -226,11 +345,14 @@ def _joined(rows: DataFrame, keys: list[str], order: str, text: str, by: str) ->
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p[text]), by).alias(text), F.count("*").alias("lines"))
 
 
-def joined_lines(lines: DataFrame, doc: str, order: str, text: str) -> DataFrame:
-    """Lines that don't end a sentence are joined to the next one."""
-    before = F.lag(text).over(Window.partitionBy(doc).orderBy(order))
-    runs = _runs(lines, [doc], order, before.rlike(SENTENCE_ENDS))
-    return _joined(runs, [doc, "_run"], order, text, " ").withColumnRenamed("_run", "block")
+def joined_lines(lines: DataFrame, doc: str, order: str, text: str, heading: Column | None = None, item: Column | None = None) -> DataFrame:
+    """Lines of a paragraph as one: a line goes on with the next unless it is empty or ends in ``.。!！?？:：;；``; headings and list items stand alone."""
+    alone = F.coalesce(heading if heading is not None else F.lit(False), F.lit(False)) | F.coalesce(item if item is not None else F.lit(False), F.lit(False))
+    rows = lines.withColumn("_alone", alone)
+    w = Window.partitionBy(doc).orderBy(order)
+    before = F.regexp_replace(F.lag(text).over(w), f"{X.BLANK}+$", "")
+    ends = (before == "") | before.rlike("[.。!！?？:：;；]$") | F.col("_alone") | F.lag("_alone").over(w)
+    return _joined(_runs(rows, [doc], order, ends), [doc, "_run"], order, text, " ").withColumnRenamed("_run", "block")
 
 
 def code_islands(lines: DataFrame, doc: str, page: str, order: str, text: str, is_code: Column) -> DataFrame:
@@ -265,32 +387,100 @@ def merged_headings(elements: DataFrame, doc: str, order: str, level: str, text:
     return elements.select(doc, order, level, text).groupBy(doc).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (doc, order, level, text)))
 
 
-def split_at_sections(sections: DataFrame, chapter: str, start: str, last: str, most: int, least: int = 2) -> DataFrame:
-    """(chapter, first, last): chunks of at most ``most`` pages that end before a section where one fits, else even cuts; a last chunk under ``least`` pages joins the one before."""
-    kinds = dict(sections.dtypes)
+def split_at_sections(sections: DataFrame, chapter: str, start: str, last: str, most: int, least: int = 3) -> DataFrame:
+    """(chapter, first, last): a chapter of at most ``most`` pages whole; a longer one cut before the sections that would make a chunk as long as that, though not after under ``least`` pages; what is still too
+    long evenly; a chunk of one page joins the one before it, or after.
 
-    def run(pdf):
-        starts, end = sorted(int(x) for x in pdf[start]), int(pdf[last].max())
-        low, out = starts[0], []
-        while low <= end:
-            fits = [s for s in [*starts, end + 1] if low < s <= low + most]
-            cut = max(fits) if fits else low + most
-            out.append([low, min(cut - 1, end)])
-            low = cut
-        if len(out) > 1 and out[-1][1] - out[-1][0] + 1 < least:
-            tail = out.pop()
-            out[-1][1] = tail[1]
-        return pd.DataFrame({chapter: [pdf[chapter].iloc[0]] * len(out), "first": [a for a, _ in out], "last": [b for _, b in out]})
-
-    return sections.groupBy(chapter).applyInPandas(run, f"{chapter} {kinds[chapter]}, first long, last long")
-
-
-def balanced_blocks(blocks: DataFrame, group: str, order: str, text: str, slots: Column) -> DataFrame:
-    """A group's n blocks in ``slots`` slots: runs of ceil(n / slots) blocks joined; fewer blocks leave slots empty."""
-    n = F.count("*").over(Window.partitionBy(group))
-    at = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    rows = blocks.withColumn("_size", F.ceil(n / slots)).withColumn("slot", F.floor(at / F.col("_size")) + 1)
-    return _joined(rows, [group, "slot"], order, text, "\n")
+    Each step is a fold over an array in the chapter's row.
+    """
+    by = sections.groupBy(chapter).agg(F.array_sort(F.collect_set(F.col(start).cast("long"))).alias("_s"), F.max(last).cast("long").alias("_end"))
+    kind = "array<struct<first:bigint,last:bigint>>"
+    chunk = lambda a, b: F.struct(a.cast("long").alias("first"), b.cast("long").alias("last"))
+    rows = by.withColumn("_start", F.element_at("_s", 1)).withColumn("_n", F.col("_end") - F.col("_start") + 1)
+
+    def cut(state: Column, section: Column) -> Column:
+        ends = (section - state["at"] >= most) & (section - state["at"] >= least)
+        return F.struct(F.when(ends, section).otherwise(state["at"]).alias("at"), F.when(ends, F.concat(state["done"], F.array(chunk(state["at"], section - 1)))).otherwise(state["done"]).alias("done"))
+
+    begin = F.struct(F.col("_start").alias("at"), F.array().cast(kind).alias("done"))
+    rows = rows.withColumn("_cut", F.aggregate("_s", begin, cut, lambda state: F.concat(state["done"], F.array(chunk(state["at"], F.col("_end"))))))
+    # one chunk, or a chunk that is too long, is cut evenly
+    rows = rows.withColumn("_even", F.flatten(F.transform("_cut", lambda c: F.when(c["last"] - c["first"] + 1 > most, _evenly(c["first"], c["last"], most)).otherwise(F.array(c)))))
+
+    def join(state: Column, c: Column) -> Column:
+        done, held = state["done"], state["held"]
+        single, any_ = c["last"] == c["first"], F.size(done) > 0
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(chunk(F.element_at(done, -1)["first"], c["last"])))
+        out = F.when(held.isNotNull(), F.concat(done, F.array(chunk(held, c["last"])))).when(single & any_, longer).when(single, done).otherwise(F.concat(done, F.array(c)))
+        return F.struct(out.alias("done"), F.when(held.isNull() & single & ~any_, c["first"]).alias("held"))
+
+    joined = F.aggregate("_even", F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("long").alias("held")), join, lambda state: state["done"])
+    whole = (F.col("_n") <= most) | (F.size("_even") == 1)
+    return rows.select(chapter, F.explode(F.when(whole, F.array(chunk(F.col("_start"), F.col("_end")))).otherwise(joined)).alias("_c")).select(chapter, "_c.first", "_c.last")
+
+
+def gap_worth(blocks: Column, preferred: int = 0) -> Column:
+    """Higher for a more natural number of blocks: most for 3, something for 2 to 5, little for 6 to 8; the number that was asked for is worth more. The numbers are fixed values."""
+    worth = F.when(blocks.between(2, 5), 20 - F.abs(blocks - 3) * 3).when(blocks.between(6, 8), 10 - blocks).otherwise(0)
+    return worth + (F.when(blocks == preferred, 5).otherwise(0) if preferred > 0 else F.lit(0))
+
+
+def best_gap(counts: list[tuple[int, Column]], preferred: int = 0) -> Column:
+    """Of candidate gaps, each with the number of blocks that it makes, the one of the greatest worth; the first of equal ones."""
+    each = F.array(*[F.struct(gap_worth(n, preferred).cast("long").alias("worth"), F.lit(-k).alias("place"), F.lit(gap).alias("gap")) for k, (gap, n) in enumerate(counts)])
+    return F.array_max(each)["gap"]
+
+
+def balanced_blocks(blocks: DataFrame, slots: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, slot, text): a group's n blocks in its slots, from 1. Too many are joined in runs of ceil(n / slots) by a blank line; of too few the last one is in every slot that is left.
+
+    ``slots``: (group, slots). Groups without blocks have no rows.
+    """
+    n = blocks.groupBy(group).agg(F.count("*").alias("_n"))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    runs = blocks.withColumn("_at", at).join(n.join(slots, group), group).withColumn("slot", F.when(F.col("_n") > F.col("slots"), F.ceil(F.col("_at") / F.ceil(F.col("_n") / F.col("slots")))).otherwise(F.col("_at")).cast("int"))
+    joined = _joined(runs, [group, "slot"], order, text, "\n\n").drop("lines")
+    every = n.join(slots, group).select(group, "_n", "slots", F.explode(F.sequence(F.lit(1), F.col("slots").cast("int"))).alias("slot"))
+    every = every.withColumn("_from", F.when(F.col("_n") < F.col("slots"), F.least(F.col("slot"), F.col("_n"))).otherwise(F.col("slot")).cast("int"))
+    return every.join(joined.withColumnRenamed("slot", "_from"), [group, "_from"], "left").select(group, "slot", F.coalesce(text, F.lit("")).alias(text))
+
+
+def paragraph_map(old: DataFrame, new: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """(group, slot, order, old, new): the old paragraphs of each slot (group, slot, order, text) and what replaces them; those that stay as they are left out.
+
+    A new text's paragraphs are its lines that aren't blank; what is over the old ones' number is joined to the last by ``；``; where there are fewer, the last old ones stay.
+    """
+    lines = F.filter(F.transform(F.split(F.replace(text, F.lit("\\n"), F.lit("\n")), "\n"), X.strip), lambda x: x != "")
+    fresh = new.select(group, "slot", lines.alias("_new"))
+    place = F.row_number().over(Window.partitionBy(group, "slot").orderBy(order))
+    rows = old.withColumn("_at", place).join(old.groupBy(group, "slot").agg(F.count("*").alias("_n")), [group, "slot"]).join(fresh, [group, "slot"])
+    rest = F.array_join(F.slice("_new", F.col("_at"), F.greatest(F.lit(1), F.size("_new"))), "；")
+    own = F.when((F.col("_at") == F.col("_n")) & (F.size("_new") > F.col("_n")), rest).otherwise(F.try_element_at("_new", F.col("_at")))
+    return rows.select(group, "slot", order, F.col(text).alias("old"), own.alias("new")).where("new is not null and old != new")
+
+
+#: A character's width and a line's height in sizes of type; EMU of an inch.
+CHARACTER, LINE, INCH = 0.55, 1.4, 914_400.0
+
+
+def slot_capacity(width: Column, height: Column, size: Column) -> Column:
+    """Characters that a box (in EMU) has room for at a size of type (in points, 12 if null): characters of a line times lines, one of each at least; 0 without width or size."""
+    points, wide, high = F.coalesce(size.cast("double"), F.lit(12.0)), F.coalesce(width, F.lit(0)) / INCH, F.coalesce(height, F.lit(0)) / INCH
+    across = F.greatest(F.lit(1), F.floor(wide * 72 / (points * CHARACTER)))
+    lines = F.when(high > 0, F.greatest(F.lit(1), F.floor(high / (points * LINE / 72)))).otherwise(1)
+    return F.when((points <= 0) | (wide <= 0), 0).otherwise(across * lines).cast("long")
+
+
+def assigned_slots(contents: DataFrame, slots: DataFrame, group: str, content: str, text: str, slot: str) -> DataFrame:
+    """(group, slot, content, capacity, length, over): the longest text to the slot (capacity, top, left) of the most room, rank by rank; slots without a text have null.
+
+    Slots of one capacity are in reading order, texts of one length in the order of their keys; ``over``: the text is longer than there is room.
+    """
+    w = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    s = slots.withColumn("_r", w(F.desc("capacity"), "top", "left", slot))
+    c = contents.select(group, content, F.length(text).cast("long").alias("length")).withColumn("_r", w(F.desc("length"), content))
+    out = s.select(group, slot, "capacity", "_r").join(c, [group, "_r"], "left")
+    return out.select(group, slot, content, "capacity", "length", F.coalesce(F.col("length") > F.col("capacity"), F.lit(False)).alias("over"))
 
 
 def promoted(pool: DataFrame, group: str, key: str, chosen: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def line_chart(t):
 
 
 @query(
-    """SELECT n_nationkey, row, col, (row - 1) * c + col AS index, round(120 + (col - 1) * (w + 20), 1) AS x, round(70 + (row - 1) * (h + 20), 1) AS y, round(w, 1) AS width, round(h, 1) AS height FROM
+    """SELECT n_nationkey, row, col, (row - 1) * c + col AS index, round(120 + (col - 1) * (w + 20), 1) AS x, round(70 + (row - 1) * (h + 20), 1) AS y, round(w, 1) AS width, round(h, 1) AS height, round(120 + (col - 1) * (w + 20) + w / 2, 1) AS cx, round(70 + (row - 1) * (h + 20) + h / 2, 1) AS cy FROM
     (SELECT n_nationkey, c, unnest(range(1, r + 1)) AS row, w, h FROM (SELECT n_nationkey, r, c, (1040 - (c - 1) * 20) / c AS w, (530 - (r - 1) * 20) / r AS h FROM (SELECT n_nationkey, n_nationkey % 4 + 1 AS r, n_nationkey % 3 + 1 AS c FROM nation))) JOIN (SELECT unnest(range(1, 4)) AS col) ON col <= c"""
 )
 def grid_layout(t):
@@ -67,27 +67,32 @@ def grid_layout(t):
     return L.grid(g, "n_nationkey", "r", "c", _AREA)
 
 
+_IMAGES = "SELECT l_orderkey AS slide, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS idx, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"
+
+
 @query(
-    """SELECT n_regionkey, idx, round(40 + ((idx - 1) % c) * (w + 20), 1) AS x, round(40 + floor((idx - 1) / c) * (h + 20), 1) AS y, round(w, 1) AS width, round(h, 1) AS height FROM
-    (SELECT *, (1200 - (c - 1) * 20) / c AS w, (640 - (ceil(n / c) - 1) * 20) / ceil(n / c) AS h FROM (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS idx, count(*) OVER (PARTITION BY n_regionkey) AS n, least(count(*) OVER (PARTITION BY n_regionkey), 3) AS c FROM nation))"""
+    f"""SELECT slide, idx, 457200 + CASE n WHEN 1 THEN 0 WHEN 2 THEN (idx - 1) * (5547360 + 182880) WHEN 3 THEN CASE idx WHEN 3 THEN 5547360 + 182880 ELSE 0 END ELSE (idx - 1) % 3 * (3637280 + 182880) END AS x,
+    914400 + 457200 + CASE WHEN n <= 2 THEN 0 WHEN n = 3 THEN CASE WHEN idx = 1 THEN 0 ELSE (5029200 - 182880) // 2 + 182880 END ELSE (idx - 1) // 3 * ((5029200 - (k - 1) * 182880) // k + 182880) END AS y,
+    CASE WHEN n = 1 OR (n = 3 AND idx = 1) THEN 11277600 WHEN n <= 3 THEN 5547360 ELSE 3637280 END AS width, CASE WHEN n <= 2 THEN 5029200 WHEN n = 3 THEN (5029200 - 182880) // 2 ELSE (5029200 - (k - 1) * 182880) // k END AS height
+    FROM (SELECT *, (n + 2) // 3 AS k FROM ({_IMAGES}))"""
 )
 def arranged_images(t):
-    images = t("nation").select("n_regionkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long").alias("idx"))
-    return L.arrange(images, "n_regionkey", 1280.0, 720.0)
+    images = t("lineitem").select(F.col("l_orderkey").alias("slide"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("idx"))
+    return L.arrange(images, "slide", 12_192_000, 6_858_000)
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN r > 1.5 THEN 'image-top' ELSE 'image-side' END AS layout, round(w, 1) AS width, round(CASE WHEN r > 1.5 THEN least(w / r, 408.0) ELSE least(700.0, w / r) END, 1) AS height
-    FROM (SELECT p_partkey, r, CASE WHEN r > 1.5 THEN 1200.0 ELSE least(700.0 * r, 708.0) END AS w FROM (SELECT p_partkey, p_size / 20.0 AS r FROM part))"""
+    """SELECT p_partkey, CASE WHEN on_top THEN 'top-bottom' ELSE 'left-right' END AS layout, CAST(CASE WHEN on_top THEN 1160 WHEN full_height THEN side ELSE 812 END AS INT) AS image_w, CAST(CASE WHEN on_top THEN top WHEN full_height THEN 560 ELSE least(round_even(812 / r, 0), 560) END AS INT) AS image_h,
+    CAST(CASE WHEN on_top THEN 1160 WHEN full_height THEN 1160 - side - 20 ELSE 328 END AS INT) AS text_w, CAST(CASE WHEN on_top THEN 560 - top - 20 ELSE 560 END AS INT) AS text_h FROM
+    (SELECT *, r > 1.5 AND 560 - top - 20 >= 150 AS on_top, r <= 1.5 AND 1160 - side - 20 >= 280 AS full_height FROM (SELECT p_partkey, r, round_even(1160 / r, 0) AS top, round_even(560 * r, 0) AS side FROM (SELECT p_partkey, p_size / 13.0::DOUBLE AS r FROM part)))"""
 )
 def layout_decision(t):
-    layout, w, h = L.text_beside_image((F.col("p_size") / 20.0).cast("double"), 1200.0, 700.0, 20.0)
-    return t("part").select("p_partkey", layout.alias("layout"), w.alias("width"), h.alias("height"))
+    found = L.text_beside_image(F.col("p_size") / 13.0, 1160, 560)
+    return t("part").select("p_partkey", *[c.alias(k) for k, c in found.items()])
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, coalesce(abs(a.l_quantity - b.l_quantity) <= 1 AND abs(a.l_tax - b.l_tax) <= 1, false) AS ok FROM (SELECT * FROM lineitem WHERE l_linenumber <= 2) a LEFT JOIN (SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, l_quantity, l_tax FROM lineitem WHERE l_linenumber = 2) b USING (l_orderkey, l_linenumber)")
+@query("SELECT a.l_orderkey, a.l_linenumber, coalesce(abs(a.l_quantity - b.l_quantity) <= 1 AND abs(a.l_tax - b.l_tax) <= 1, false) AS ok FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL) a LEFT JOIN (SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, min(l_quantity) AS l_quantity, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL) b USING (l_orderkey, l_linenumber)")
 def position_validation(t):
-    li = t("lineitem")
-    want = li.where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
-    got = li.where("l_linenumber = 2").select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
+    found = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("x"), F.min("l_tax").alias("y"))
+    want, got = found, found.withColumn("l_linenumber", F.col("l_linenumber") - 1)
     return L.validate_positions(want, got, ["l_orderkey", "l_linenumber"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import drawings as D
 from ..operators import gates as G
+from ..operators import registry as R
 from ._registry import query
 
 #: A storyline of our own for the synthetic tables' words.
@@ -177,36 +179,132 @@ def overall_verdict(t):
     return content.join(_gate(t).select("deck", F.col("passed").alias("gate_passed")), "deck").withColumn("passed", F.col("content_passed") & F.col("gate_passed"))
 
 
-_RULES = {"script": "<script", "style": "<style", "inline-event": "on(click|load)=", "iframe": "<iframe", "no-title": "<html>", "image": "<img[^>]*>", "long-text": ">[^<]{400,}<", "external-link": 'href="https?://', "comment": "<!--"}
+#: Fragments that pages get as drawings: faults of every rule, fills, fonts, sizes and images, by the page's number.
+_FRAGMENTS = [
+    '<clipPath id="c1"/><rect clip-path="url(#c1)" fill="#ab12cd"/>', "<clipPath id='c2'/><image href='img/p3.png' clip-path='url(#c3)'/><text>p3 © Brand#11</text>", '<svg data-pptx-crop="1" clip-path="url(#c4)"><clipPath id="c4"/></svg><image href="../img/p4.png"/>',
+    '<line marker-end="url(#m)" stroke="#000000"/>', '<pattern id="x"/><pattern data-pptx-pattern="plaid"/>', '<pattern data-pptx-pattern="stripes"/><set x="1"/>', '<symbol id="s"/><use href="#s"/>',
+    '<text font-family="Comic Sans MS" font-size="30px" fill="#AB12CD">x</text>', "<text font-family='Inter, Arial, sans-serif' font-size='900'>x</text>", '<foreignObject/><g x="1" opacity="0.5"/>', '<image href="data:image/png;base64,AA"/><image href="p5.png"/>', '<text font-size="18">y</text>', "",
+]
+_HEADS = ['<svg viewBox="0 0 1280 720" width="1280" height="720">', '<svg viewBox="0 0 1280 720" width="640" height="720">', '<svg viewBox="10 0 1280 720">', "<svg>", '<svg viewBox="0 0 800 600">']
+#: Of the pages' own markup its text only, so that drawings without a fault are among them.
+_DRAWINGS = f"""(SELECT page_id, [{", ".join(f"'{x}'" for x in _HEADS)}][CAST(page_id % 5 AS INT) + 1] || [{", ".join("'" + x.replace("'", "''") + "'" for x in _FRAGMENTS)}][CAST(page_id % 13 AS INT) + 1]
+    || CASE WHEN page_id % 7 = 0 THEN html ELSE '<text>' || left(regexp_replace(html, '<[^>]*>', '', 'g'), 60 + CAST(page_id % 50 AS INT)) || '</text>' END || '</svg>' AS svg FROM pages)"""
 
 
-@query("SELECT page_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN '{n}' END" for n, p in _RULES.items()) + "], lambda r: r IS NOT NULL)) AS rule FROM pages")
+def _drawings(t):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("page_id") % n + 1).cast("int"))
+    text = F.concat(F.lit("<text>"), F.left(F.regexp_replace("html", "<[^>]*>", ""), (60 + F.col("page_id") % 50).cast("int")), F.lit("</text>"))
+    return t("pages").select("page_id", F.concat(pick(_HEADS, 5), pick(_FRAGMENTS, 13), F.when(F.col("page_id") % 7 == 0, F.col("html")).otherwise(text), F.lit("</svg>")).alias("svg"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _rules_sql() -> list[tuple[str, str, str]]:
+    has = lambda p, c="svg": f"regexp_matches({c}, {_quoted(p)})"
+    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    first = lambda name, of="tags": f"""list_filter(list_transform({of}, lambda g: coalesce(nullif(regexp_extract(g, {_quoted(r"[ \t\r\n]" + name + value)}, 1), ''), regexp_extract(g, {_quoted(r"[ \t\r\n]" + name + value)}, 2))), lambda v: v <> '')"""
+    clipped = f"list_filter(tags, lambda g: {has(r'[ \t\r\n]clip-path\s*=', 'g')})"
+    stack = r"(?i)font-family[:\s=]*[\"']([^\"']+)[\"']"
+    named = "list_filter(list_transform(string_split(f, ','), lambda p: lower(regexp_replace(trim(p), '^[\"'']+|[\"'']+$', '', 'g'))), lambda p: p <> '' AND p NOT IN (" + ", ".join(map(_quoted, D.GENERIC_FONTS)) + "))"
+    safe, fills = ", ".join(map(_quoted, D.SAFE_FONTS)), ", ".join(map(_quoted, D.PATTERN_FILLS))
+    fill = r"""list_transform(list_filter(tags, lambda g: regexp_matches(g, '(?i)^<pattern\b')), lambda g: coalesce(nullif(regexp_extract(g, 'data-pptx-pattern\s*=\s*"([^"]*)"', 1), ''), ''))"""
+    side = lambda name: f"list_filter({first(name)}, lambda v: regexp_full_match(v, '[0-9]+'))[1]"
+    return [
+        *((n, "error", has(p, "low")) for n, p in D.FORBIDDEN.items()), *((n, "error", has(p)) for n, p in D.FORBIDDEN_CASED.items()),
+        ("id_with_style", "error", "contains(low, '<style') AND " + has(r"\bid\s*=")), ("symbol_with_use", "error", "contains(low, '<symbol') AND " + has(r"<use\b", "low")),
+        ("marker_without_definition", "error", has(r"""[ \t\r\n]marker-(?:start|end)\s*=\s*["']url\(#""") + " AND NOT contains(low, '<marker')"),
+        ("clip_on_shape", "error", f"contains(low, '<clippath') AND len(list_filter({clipped}, lambda g: NOT regexp_matches(g, '(?i)^<image\\b') AND NOT (regexp_matches(g, '(?i)^<svg\\b') AND regexp_matches(g, 'data-pptx-crop\\s*=\\s*\"1\"')))) > 0"),
+        ("clip_without_definition", "error", f"contains(low, '<clippath') AND len(list_filter({first('clip-path')}, lambda v: NOT list_contains({first('id')}, regexp_extract(v, '^url\\(#(.+)\\)$', 1)))) > 0"),
+        ("viewbox_missing", "error", f"len({first('viewBox')}) = 0"), ("viewbox_unusual", "warning", f"len({first('viewBox')}) > 0 AND NOT regexp_matches({first('viewBox')}[1], '^0 0 [0-9]+ [0-9]+')"),
+        ("viewbox_mismatch", "error", f"len({first('viewBox')}) > 0 AND {first('viewBox')}[1] <> '0 0 1280 720'"),
+        ("size_mismatch", "warning", f"coalesce(({side('width')} <> string_split({first('viewBox')}[1], ' ')[3] OR {side('height')} <> string_split({first('viewBox')}[1], ' ')[4]) AND {side('width')} IS NOT NULL AND {side('height')} IS NOT NULL, false)"),
+        ("long_text", "warning", has("<text[^>]*>[^<]{100,}</text>")),
+        ("unsafe_font", "warning", f"len(list_filter(regexp_extract_all(svg, {_quoted(stack)}, 1), lambda f: len({named}) > 0 AND {named}[-1] NOT IN ({safe}))) > 0"),
+        ("pattern_unnamed", "warning", f"list_contains({fill}, '')"), ("pattern_unknown", "error", f"len(list_filter({fill}, lambda v: v <> '' AND v NOT IN ({fills}))) > 0"),
+    ]
+
+
+_HITS = f"""(SELECT page_id, unnest(list_filter([{", ".join(f"CASE WHEN {p} THEN {{'rule': '{n}', 'severity': '{v}'}} END" for n, v, p in _rules_sql())}], lambda h: h IS NOT NULL)) AS h
+    FROM (SELECT *, lower(svg) AS low, regexp_extract_all(svg, '<[A-Za-z][^>]*>') AS tags FROM {_DRAWINGS}))"""
+
+
+def _rules():
+    return D.static_rules(F.col("svg"), F.lit("0 0 1280 720"))
+
+
+@query(f"SELECT page_id, h.rule AS rule, h.severity AS severity FROM {_HITS}")
 def static_rules(t):
-    return G.static_rules(t("pages"), "page_id", "html", _RULES)
+    return D.rule_hits(_drawings(t), "page_id", _rules())
+
+
+@query(
+    f"""WITH w AS (SELECT page_id, CASE WHEN bool_or(h.severity = 'error') THEN 'errors' WHEN count(h) > 0 THEN 'warnings' ELSE 'passed' END AS result FROM pages LEFT JOIN {_HITS} USING (page_id) GROUP BY page_id)
+    SELECT 'total' AS kind, 'drawings' AS name, count(*) AS n, 100 AS percent FROM w UNION ALL SELECT 'result', result, count(*), CAST(floor(count(*) * 100 / (SELECT count(*) FROM w)) AS INT) FROM w GROUP BY result
+    UNION ALL SELECT 'category', CASE {" ".join(f"WHEN h.rule = '{r}' THEN '{c}'" for r, c in D.CATEGORIES.items())} ELSE 'Other' END, count(*), NULL FROM {_HITS} WHERE h.severity = 'error' GROUP BY 2"""
+)
+def drawing_report(t):
+    return D.check_report(_drawings(t), _rules())
+
 
+_LOCK = (["#000000", "#fff"], ["Inter, Arial, sans-serif"], ["24"], 18.0)
 
-@query("SELECT value, count(DISTINCT page_id) AS files FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1))) AS value FROM pages) WHERE value NOT IN ('p', 'div', 'a', 'html', 'body') GROUP BY value")
+
+@query(
+    f"""SELECT kind, value, count(DISTINCT page_id) AS files FROM (SELECT page_id, 'color' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(svg, '\\b(?:fill|stroke|stop-color)\\s*=\\s*["''](#[0-9A-Fa-f]{{3,8}})["'']', 1), lambda v: upper(v)))) AS value FROM {_DRAWINGS}
+    UNION ALL SELECT page_id, 'font', unnest(list_distinct(regexp_extract_all(svg, 'font-family\\s*=\\s*["'']([^"'']+)["'']', 1))) FROM {_DRAWINGS}
+    UNION ALL SELECT page_id, 'size', unnest(list_distinct(list_transform(regexp_extract_all(svg, 'font-size\\s*=\\s*["'']([^"'']+)["'']', 1), lambda v: regexp_replace(v, 'px$', '')))) FROM {_DRAWINGS})
+    WHERE NOT (kind = 'color' AND value IN ('#000000', '#FFF')) AND NOT (kind = 'font' AND value = 'Inter, Arial, sans-serif') AND NOT (kind = 'size' AND (value = '24' OR coalesce(TRY_CAST(value AS DOUBLE) / 18 BETWEEN 0.5 AND 5, false))) GROUP BY ALL"""
+)
 def lock_drift(t):
-    return G.drift(t("pages"), "page_id", F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1)), ["p", "div", "a", "html", "body"])
+    return D.lock_drift(_drawings(t), "page_id", "svg", *_LOCK)
+
 
+_ASSETS = "SELECT 'p' || p_partkey || '.png' AS filename, '© ' || p_brand AS credit FROM part WHERE p_partkey % 4 <> 1"
 
-@query("SELECT d.doc_id FROM documents d WHERE contains(text, 'Licensed under CC BY') AND NOT contains(text, '©')")
+
+@query(f"SELECT page_id, filename FROM (SELECT page_id, svg, unnest(list_distinct(list_transform(regexp_extract_all(svg, '<image\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), lambda h: list_last(string_split(h, '/'))))) AS filename FROM {_DRAWINGS}) JOIN ({_ASSETS}) USING (filename) WHERE NOT contains(svg, credit)")
 def missing_attribution(t):
-    return t("documents").where(F.col("text").contains("Licensed under CC BY") & ~F.col("text").contains("©")).select("doc_id")
+    assets = t("part").where("p_partkey % 4 != 1").select(F.concat(F.lit("p"), "p_partkey", F.lit(".png")).alias("filename"), F.concat(F.lit("© "), "p_brand").alias("credit"))
+    return D.without_credit(_drawings(t), "page_id", "svg", assets)
+
 
+_SLIDES = "(SELECT deck, page, list_filter(list_transform(string_split(text || CASE WHEN (deck + page) % 5 = 0 THEN chr(10) || '还有 text' ELSE '' END, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f\\x0B]+|[ \\t\\r\\n\\f\\x0B]+$', '', 'g')), lambda x: x <> '') AS texts, ['000000', 'ffffff', NULL, '00000A'][CAST(page % 4 AS INT) + 1] AS background FROM {})"
 
-@query(f"SELECT deck, bool_and(length(text) <= 100) AS fits, bool_and(NOT contains(text, '�')) AS clean, bool_and(length(text) <= 100 AND NOT contains(text, '�')) AS passed FROM {_PAGES} GROUP BY deck")
+
+@query(
+    f"""SELECT deck, count(*) AS slides, count(*) FILTER (b) AS background_ok, count(*) FILTER (n = 0) AS translation_ok, count(*) FILTER (k = 0) AS overflow_ok, bool_and(b AND n = 0 AND k = 0) AS passed FROM
+    (SELECT deck, coalesce(upper(background) = '00000A', false) AS b, len(list_filter(texts, lambda x: regexp_matches(x, '[一-鿿]'))) AS n, len(list_filter(texts, lambda x: length(x) > 100)) AS k FROM {_SLIDES.format(_PAGES)}) GROUP BY deck"""
+)
 def deck_verification(t):
-    fits, clean = F.length("text") <= 100, ~F.col("text").contains("�")
-    return _pages(t).groupBy("deck").agg(F.min(fits).alias("fits"), F.min(clean).alias("clean"), F.min(fits & clean).alias("passed"))
+    """Turns as slides, their lines as texts, some of them in another language, on four backgrounds."""
+    pages = _pages(t).withColumn("text", F.concat("text", F.when((F.col("deck") + F.col("page")) % 5 == 0, "\n还有 text").otherwise("")))
+    ground = F.element_at(F.array(F.lit("000000"), F.lit("ffffff"), F.lit(None), F.lit("00000A")), (F.col("page") % 4 + 1).cast("int"))
+    slides = pages.select("deck", "page", F.split("text", "\n").alias("texts"), ground.alias("background"))
+    return G.deck_verification(G.slide_verification(slides, "deck", "page", "texts", "background", "00000a"), "deck")
 
 
-@query("SELECT p_partkey, greatest(8, p_size - CASE WHEN n > 80 THEN 6 WHEN n > 60 THEN 5 WHEN n > 45 THEN 4 WHEN n > 30 THEN 3 WHEN n > 20 THEN 2 WHEN n > 15 THEN 1 ELSE 0 END) AS size FROM (SELECT *, length(p_name || p_type || p_brand) AS n FROM part)")
+@query("SELECT p_partkey, CASE WHEN n > 80 THEN greatest(8, p_size - 6) WHEN n > 50 THEN greatest(8, p_size - 4) WHEN n > 30 THEN greatest(8, p_size - 2) WHEN n > 15 THEN greatest(8, p_size - 1) ELSE p_size END AS size FROM (SELECT *, length(repeat(p_name || p_type || p_brand, CAST(p_partkey % 4 AS INT))) AS n FROM part)")
 def font_shrink(t):
-    return t("part").select("p_partkey", G.fitted_size(F.col("p_size"), F.length(F.concat("p_name", "p_type", "p_brand"))).alias("size"))
+    text = F.repeat(F.concat("p_name", "p_type", "p_brand"), (F.col("p_partkey") % 4).cast("int"))
+    return t("part").select("p_partkey", G.fitted_size(F.col("p_size"), F.length(text)).alias("size"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<DIV')) AS n, md5(regexp_replace(html, '(?i)<DIV', '<section', 'g')) AS after FROM pages WHERE regexp_matches(html, '(?i)<DIV')")
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)div([^0-9A-Za-z]|$)')) + len(regexp_extract_all(html, '(?i)[.]example([^0-9A-Za-z]|$)')) AS n, md5(regexp_replace(regexp_replace(html, '(?i)div([^0-9A-Za-z]|$)', 'sec$1\\1', 'g'), '(?i)[.]example([^0-9A-Za-z]|$)', '.test\\1', 'g')) AS after FROM pages")
 def bulk_replacement(t):
-    p = t("pages").where(F.col("html").rlike("(?i)<DIV"))
-    return p.select("page_id", F.regexp_count("html", F.lit("(?i)<DIV")).cast("long").alias("n"), F.md5(F.regexp_replace("html", "(?i)<DIV", "<section")).alias("after"))
+    return D.replaced(t("pages"), "page_id", "html", {"DIV": "sec$1", ".example": ".test"}).select("page_id", F.col("n").cast("long").alias("n"), F.md5("html").alias("after"))
+
+
+_OWN_ISSUES = _ISSUES.replace(_has("text", _CLOSING), _has("text", G.CLOSING_WORDS))
+_CHECKS = f"""{_OWN_ISSUES[:-1]} UNION ALL SELECT deck, page, 'C5_CONTINUITY' FROM (SELECT deck, page, lag(page) OVER (PARTITION BY deck ORDER BY page) AS before FROM {_PAGES}) WHERE page <> before + 1)"""
+
+
+@query(
+    f"""SELECT deck, CAST(page AS BIGINT) AS page, type, CAST(NULL AS VARCHAR) AS tier, CASE WHEN type IN ('C1_PLACEHOLDER', 'C2_EMPTY_PAGE', 'C7_GARBLED') THEN 'error' ELSE 'warning' END AS severity FROM {_CHECKS}
+    UNION ALL SELECT deck, NULL, 'C8_STRUCTURE', CASE WHEN cover AND pages >= 2 AND closing THEN 'complete' ELSE 'incomplete' END, 'warning' FROM (SELECT deck, max(last) AS pages,
+        CASE WHEN max(last) >= 2 THEN max(CASE WHEN page = 1 THEN length(text) ELSE 0 END) >= 10 ELSE true END AS cover, bool_or(page >= last - 1 AND {_has("text", G.CLOSING_WORDS_STRUCTURE)}) AS closing FROM {_LASTED} GROUP BY deck)"""
+)
+def deck_checks(t):
+    """The checks of a deck's pages together, of which SQL can say; the others are in the unit tests."""
+    return R.run_checks(_pages(t), names=["C1_PLACEHOLDER", "C2_EMPTY_PAGE", "C3_CONTENT_MATCH", "C5_CONTINUITY", "C7_GARBLED", "C8_STRUCTURE"])

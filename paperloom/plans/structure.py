@@ -23,15 +23,35 @@ def html_flatten(t):
     return t("pages").select("page_id", S.strip_html(F.col("html")).alias("body"))
 
 
-_META = lambda n: f"""nullif(regexp_extract(html, '<meta name="{n}" content="([^"]*)"', 1), '')"""
+_UNESCAPE = "{}"
+for _e, _by in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _UNESCAPE = f"replace({_UNESCAPE}, '{_e}', '{_by}')"
+_STRIP = r"regexp_replace({}, '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g')"
+#: What some pages get, as the table's own have hardly any metadata.
+_EXTRA = [
+    '<meta property="og:Published_Time" content="2024-03-05T10:00">', "<p>发布时间： 2023年7月9日 来源：新华社 12</p>", '<meta name="DATE" content=" 2020-01-02 "><meta name="author" content="A &amp; B">',
+    '<meta property="og:description" content="d"><meta name="date" content="x"><meta name="date" content="y">', "<span>时间：2019/1/2</span><p>发布机构: 局 x</p>", "", "",
+]
+_LAST = "list_last(regexp_extract_all(html, '(?i)<meta (?:name|property)=\"{}\" content=\"([^\"]*)\"', 1))"
+_META = lambda n: f"nullif({_STRIP.format(_UNESCAPE.format(_LAST.format(n)))}, '')"
+_FIND = lambda c, *ps: "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, '{p}', 1), '')" for p in ps) + ")"
 
 
 @query(
-    f"""SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '')) AS title, {_META("description")} AS description, {_META("author")} AS author,
-    coalesce({_META("date")}, nullif(regexp_extract(html, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), replace(nullif(regexp_extract(url, '([0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}})', 1), ''), '/', '-')) AS date FROM pages"""
+    f"""SELECT page_id, coalesce(nullif(trim(regexp_replace(title, '[-_|].*?(政府|门户|网站|委员会).*$', '')), ''), {_META("og:title")}, 'Untitled') AS title,
+    coalesce({", ".join(map(_META, S.DATE_METAS))}, replace(replace(replace({_FIND("body", *S.DATE_PATTERNS)}, '年', '-'), '月', '-'), '日', ''),
+        CASE WHEN regexp_matches(url, '\\d{{4}}\\d{{2}}[/_]') THEN regexp_replace(regexp_extract(url, '(\\d{{6}})[/_]', 1), '^(....)', '\\1-') WHEN regexp_matches(url, '\\d{{4}}[-/]\\d{{2}}[-/]\\d{{2}}') THEN replace(regexp_extract(url, '\\d{{4}}[-/]\\d{{2}}[-/]\\d{{2}}'), '/', '-') END, '') AS date,
+    coalesce({", ".join(map(_META, S.DESCRIPTION_METAS))}, '') AS description, coalesce({", ".join(map(_META, S.AUTHOR_METAS))}, {_FIND("body", *S.SOURCE_PATTERNS)}, '') AS author
+    FROM (SELECT *, {_UNESCAPE.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {_UNESCAPE.format("regexp_replace(html, '<[^>]*>', '', 'g')")} AS body
+        FROM (SELECT page_id, CASE page_id % 7 WHEN 5 THEN url || '/202311/t2' WHEN 6 THEN url || '/2022/10/05' ELSE url END AS url,
+            replace(html, '</title>', CASE WHEN page_id % 3 = 0 THEN ' - 市政府门户</title>' ELSE '</title>' END) || [{", ".join(f"'{x}'" for x in _EXTRA)}][CAST(page_id % 7 AS INT) + 1] AS html FROM pages))"""
 )
 def html_metadata(t):
-    return t("pages").select("page_id", *[c.alias(k) for k, c in S.page_metadata(F.col("html"), F.col("url")).items()])
+    kind, add = (F.col("page_id") % 7).cast("int"), F.array(*[F.lit(x) for x in _EXTRA])
+    url = F.when(kind == 5, F.concat("url", F.lit("/202311/t2"))).when(kind == 6, F.concat("url", F.lit("/2022/10/05"))).otherwise(F.col("url"))
+    html = F.concat(F.replace("html", F.lit("</title>"), F.when(F.col("page_id") % 3 == 0, " - 市政府门户</title>").otherwise("</title>")), F.element_at(add, kind + 1))
+    pages = t("pages").select("page_id", url.alias("url"), html.alias("html")).withColumn("metas", S.meta_tags(F.col("html")))
+    return pages.select("page_id", *[c.alias(k) for k, c in S.page_metadata(F.col("html"), F.col("url"), F.col("metas")).items()])
 
 
 @query(
@@ -93,20 +113,38 @@ def _lines(t):
     return t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "l")
 
 
-@query(f"""SELECT doc_id, count(*) AS lines, count(*) FILTER (lvl > 0) AS headings FROM (SELECT doc_id, CASE WHEN length(l) > 80 OR regexp_matches(l, '[.!?:;。！？：；…]["''”’)\\]]*$') THEN 0 WHEN i % 5 = 0 THEN 2 WHEN i % 2 = 0 AND length(l) <= 40 THEN 3 ELSE 0 END AS lvl FROM {_LINES}) GROUP BY doc_id""")
+@query(
+    f"""SELECT doc_id, i, CASE WHEN lvl > 0 AND (length(x) > 80 OR (regexp_matches(x, '[.。!！?？]$') AND NOT regexp_matches(x, '^[0-9第]+[.、章节]')) OR (i % 2 = 1 AND lvl >= 2 AND size < 14)) THEN 0 ELSE lvl END AS level FROM
+    (SELECT *, CASE WHEN size >= 19.5 THEN 1 WHEN size >= 16.5 THEN 2 WHEN size >= 12.5 THEN 3 ELSE 0 END AS lvl FROM
+        (SELECT doc_id, i, {_STRIP.format("CASE WHEN i % 3 = 0 THEN i || '. ' || l ELSE l END")} AS x, [20, 17, 13, 12, 14][CAST(i * 7 % 5 AS INT) + 1] AS size FROM {_LINES}))"""
+)
 def heading_levels(t):
-    level = S.heading_level(F.when(F.col("i") % 5 == 0, 2).otherwise(0), F.col("l"), F.col("i") % 2 == 0)
-    return _lines(t).withColumn("lvl", level).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.when(F.col("lvl") > 0, 1).otherwise(0)).alias("headings"))
+    size = F.element_at(F.array(*[F.lit(x) for x in (20, 17, 13, 12, 14)]), (F.col("i") * 7 % 5 + 1).cast("int"))
+    line = F.when(F.col("i") % 3 == 0, F.concat("i", F.lit(". "), "l")).otherwise(F.col("l"))
+    sizes = {"h1": F.lit(20), "h2": F.lit(17), "h3": F.lit(13), "body": F.lit(12)}
+    return _lines(t).select("doc_id", "i", S.heading_level(size, sizes, line, F.col("i") % 2 == 0).alias("level"))
 
 
-@query("SELECT page_id, item FROM (SELECT page_id, regexp_replace(x, '^[ \\t]*([0-9]{1,3})[.)、][ \\t]*', '\\1. ') AS item FROM (SELECT page_id, page_id % 100 || ') ' || url AS x FROM pages))")
+_BULLETS = ["● ", "▸", "1234. ", "- ", "-", " * ", "7、", "12)", "(1) ", "• "]
+
+
+@query(
+    f"""SELECT doc_id, i, md5(CASE WHEN regexp_matches(x, '^[•●○◦▪▸►]') THEN '- ' || regexp_replace(x, '^[•●○◦▪▸►][ \t\r\n\f\x0B]*', '') WHEN regexp_matches(x, '^[-–—*][ \t\r\n\f\x0B]') THEN '- ' || regexp_replace(x, '^.[ \t\r\n\f\x0B]+', '')
+    WHEN regexp_matches(x, '^[0-9]+[.、)]') THEN regexp_extract(x, '^[0-9]+') || '. ' || regexp_replace(x, '^[0-9]+[.、)][ \t\r\n\f\x0B]*', '') END) AS item
+    FROM (SELECT doc_id, i, {_STRIP.format("[" + ", ".join(f"'{x}'" for x in _BULLETS) + "][CAST(i % 10 AS INT) + 1] || l")} AS x FROM {_LINES})"""
+)
 def list_items(t):
-    return t("pages").select("page_id", S.list_item(F.concat(F.col("page_id") % 100, F.lit(") "), F.col("url"))).alias("item"))
+    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in _BULLETS]), (F.col("i") % 10 + 1).cast("int")), "l")
+    return _lines(t).select("doc_id", "i", F.md5(S.list_item(line)).alias("item"))
+
+
+_FEET = [" November 2025 8", " 2025年11月 8 ", "  may 2024  123", " May 2024 1234", " Page 3 of 9", "2025年1月  9"]
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(x, '(?i)[ \t]*(page [0-9]+( of [0-9]+)?|[0-9]{4}-[0-9]{2}-[0-9]{2})[ \t]*$', ''), '^[ \t\r\n\f\x0B]+|[ \t\r\n\f\x0B]+$', '', 'g') AS body FROM (SELECT page_id, url || ' Page ' || page_id || ' of 99' AS x FROM pages)")
+@query(f"SELECT page_id, CASE WHEN page_id % 6 IN (3, 4) THEN rtrim(x) ELSE url END AS body FROM (SELECT *, url || [{', '.join(f"'{x}'" for x in _FEET)}][CAST(page_id % 6 AS INT) + 1] AS x FROM pages)")
 def footer_strip(t):
-    return t("pages").select("page_id", S.without_footer(F.concat("url", F.lit(" Page "), "page_id", F.lit(" of 99"))).alias("body"))
+    foot = F.element_at(F.array(*[F.lit(x) for x in _FEET]), (F.col("page_id") % 6 + 1).cast("int"))
+    return t("pages").select("page_id", S.without_footer(F.concat("url", foot)).alias("body"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM documents")
@@ -114,16 +152,40 @@ def clean_blank_lines(t):
     return t("documents").select("doc_id", F.md5(S.clean_blank_lines(F.col("text"))).alias("h"))
 
 
-_TURN_LINES = "(SELECT conv_id, turn, unnest(string_split(text, ' ')) AS l FROM conversations)"
+#: A turn's words as blocks on a page of 1000, from top to bottom.
+_BLOCKS = "(SELECT conv_id, turn, w[n] AS l, (n - 1) * 1000.0 / len(w) AS y0, n * 1000.0 / len(w) AS y1 FROM (SELECT conv_id, turn, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS n FROM conversations))"
+_NOISE = f"""(SELECT conv_id, l, max(times) AS times, any_value(n) AS pages FROM (SELECT conv_id, l, band, count(*) AS times, any_value(n) AS n FROM (SELECT *, CASE WHEN y0 < 150 THEN 'head' WHEN y1 > 850 THEN 'foot' END AS band
+    FROM (SELECT conv_id, turn, {_STRIP.format("l")} AS l, y0, y1 FROM {_BLOCKS})) JOIN (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) >= 3) USING (conv_id)
+    WHERE band IS NOT NULL AND l <> '' GROUP BY conv_id, l, band) WHERE times / n > 0.6 GROUP BY conv_id, l)"""
 
 
-@query(
-    f"""WITH l AS (SELECT conv_id, turn, trim(l) AS l FROM {_TURN_LINES}), p AS (SELECT conv_id, count(DISTINCT turn) AS n FROM l GROUP BY 1 HAVING count(DISTINCT turn) >= 3)
-    SELECT conv_id, l, times, pages FROM (SELECT conv_id, l, count(*) AS times, any_value(n) AS pages FROM l JOIN p USING (conv_id) WHERE l <> '' GROUP BY conv_id, l) WHERE times / pages > 0.6"""
-)
+def _blocks(t):
+    w = F.split("text", " ")
+    rows = t("conversations").select("conv_id", "turn", F.size(w).alias("k"), F.posexplode(w).alias("n", "l"))
+    return rows.select("conv_id", "turn", "l", (F.col("n") * 1000 / F.col("k")).alias("y0"), ((F.col("n") + 1) * 1000 / F.col("k")).alias("y1"), F.lit(1000).alias("height"))
+
+
+@query(f"SELECT conv_id, l, times, pages FROM {_NOISE}")
 def header_footer_noise(t):
-    lines = t("conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("l"))
-    return S.repeated_lines(lines, "conv_id", "turn", "l").withColumn("pages", F.col("pages").cast("long"))
+    return S.repeated_blocks(_blocks(t), "conv_id", "turn", "l")
+
+
+_BOOK = "(SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 AND turn > conv_id % 4 THEN text || chr(10) || ' 第 ' || turn || '章  T' || (turn % 2) || ' ' || chr(10) || 'x' ELSE text END AS text FROM conversations)"
+
+
+def _book(t):
+    named = F.concat("text", F.lit("\n 第 "), "turn", F.lit("章  T"), (F.col("turn") % 2).cast("string"), F.lit(" \nx"))
+    return t("conversations").select("conv_id", "turn", F.when(((F.col("conv_id") + F.col("turn")) % 3 == 0) & (F.col("turn") > F.col("conv_id") % 4), named).otherwise(F.col("text")).alias("text"))
+
+
+_CHAPTERS = f"""(SELECT conv_id, CAST(turn AS INT) AS chapter, 'T' || (turn % 2) AS title, turn AS start, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, last) AS "end" FROM {_BOOK} JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) USING (conv_id)
+    WHERE regexp_matches(text, '第\\s*([0-9]+)\\s*章\\s*([^\\n]+)'))"""
+
+
+@query(f'SELECT *, "end" - start + 1 AS pages FROM {_CHAPTERS}')
+def detected_chapters(t):
+    """Conversations as books, some of whose turns begin a chapter."""
+    return S.chapters(_book(t), "conv_id", "turn", "text")
 
 
 @query("SELECT source, doc_id AS start, coalesce(lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) - 1, max(doc_id) OVER (PARTITION BY source) + 10) AS \"end\" FROM documents")
@@ -133,9 +195,10 @@ def chapter_ranges(t):
     return scans.ends_before_next(d.join(last, "source"), "source", "start", "last").select("source", "start", "end")
 
 
-@query("SELECT source, min(doc_id) > 1 AND bool_or(n_chars > 5000) AS front_matter FROM documents GROUP BY source")
+@query(f"""SELECT conv_id, first - 1 AS "end" FROM (SELECT conv_id, min(start) AS first FROM {_CHAPTERS} GROUP BY 1 HAVING min(start) > 1) JOIN {_BOOK} USING (conv_id) WHERE turn < first GROUP BY conv_id, first HAVING max(length({_STRIP.format('text')})) > 50""")
 def front_matter(t):
-    return t("documents").groupBy("source").agg(((F.min("doc_id") > 1) & F.max(F.col("n_chars") > 5000)).alias("front_matter"))
+    book = _book(t)
+    return S.front_matter(book, "conv_id", "turn", "text", S.chapters(book, "conv_id", "turn", "text"))
 
 
 @query(
@@ -153,40 +216,48 @@ _GAPS = ", ".join(str(x) for x in (600, 1800, 3600, 7200, 14400))
 @query(
     f"""WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), g AS (SELECT unnest([{_GAPS}]) AS gap, unnest(range(5)) AS n),
     b AS (SELECT user_id, gap, n, count(*) FILTER (d > gap) + 1 AS blocks FROM (SELECT user_id, s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS d FROM e) CROSS JOIN g GROUP BY ALL)
-    SELECT user_id, arg_min(gap, (abs(blocks - 5), n)) AS gap FROM b GROUP BY user_id"""
+    SELECT user_id, arg_max(gap, (CASE WHEN blocks BETWEEN 2 AND 5 THEN 20 - abs(blocks - 3) * 3 WHEN blocks BETWEEN 6 AND 8 THEN 10 - blocks ELSE 0 END + CASE WHEN blocks = 4 THEN 5 ELSE 0 END, -n)) AS gap FROM b GROUP BY user_id"""
 )
 def gap_threshold(t):
-    """Of five candidate gaps, the first whose number of blocks is nearest to five; gaps are tried on one pass of the rows."""
+    """Of five candidate gaps, the one whose number of blocks is worth most, with four asked for; gaps are tried on one pass of the rows."""
     e = t("events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
     d = scans.differences(e, ["user_id"], ["s", "event_id"], "s", "d")
     gaps = (600, 1800, 3600, 7200, 14400)
     counts = d.groupBy("user_id").agg(*[(F.sum(F.when(F.col("d") > g, 1).otherwise(0)) + 1).alias(f"b{n}") for n, g in enumerate(gaps)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"b{n}") - 5).alias("off"), F.lit(n).alias("n"), F.lit(g).alias("gap")) for n, g in enumerate(gaps)]))
-    return counts.select("user_id", best["gap"].alias("gap"))
+    return counts.select("user_id", S.best_gap([(g, F.col(f"b{n}")) for n, g in enumerate(gaps)], preferred=4).alias("gap"))
 
 
 @query(
-    """SELECT n_nationkey, chunk, chunk_first, chunk_last FROM (SELECT n_nationkey, chunk, 1 + chunk * size AS chunk_first, least(last, 1 + chunk * size + size - 1) AS chunk_last FROM
-    (SELECT *, CAST(ceil(last / parts) AS BIGINT) AS size, unnest(range(0, parts)) AS chunk FROM (SELECT n_nationkey, n_nationkey * 3 + 1 AS last, CAST(ceil((n_nationkey * 3 + 1) / 10) AS BIGINT) AS parts FROM nation))) WHERE chunk_first <= chunk_last"""
+    """SELECT p_partkey, chunk, first + chunk * base + least(chunk, more) AS chunk_first, first + (chunk + 1) * base + least(chunk + 1, more) - 1 AS chunk_last FROM
+    (SELECT *, n // parts AS base, n % parts AS more, unnest(range(0, parts)) AS chunk FROM (SELECT *, CAST(ceil(n / 10) AS BIGINT) AS parts FROM (SELECT p_partkey, p_partkey % 5 AS first, CAST(p_size AS BIGINT) AS n FROM part)))"""
 )
 def even_chunks(t):
-    r = t("nation").select("n_nationkey", F.lit(1).cast("long").alias("first"), (F.col("n_nationkey").cast("long") * 3 + 1).alias("last"))
-    return S.even_chunks(r, "first", "last", 10).select("n_nationkey", "chunk", "chunk_first", "chunk_last")
+    r = t("part").select("p_partkey", (F.col("p_partkey") % 5).alias("first"), (F.col("p_partkey") % 5 + F.col("p_size") - 1).alias("last"))
+    return S.even_chunks(r, "first", "last", 10).select("p_partkey", "chunk", "chunk_first", "chunk_last")
 
 
-@query("SELECT p_partkey, least(15, greatest(3, CAST(floor(p_size * 1000 * 0.5 / 800) AS BIGINT))) AS pages FROM part")
+@query("SELECT p_partkey, CAST(least(15, greatest(3, floor((floor(p_size * 5000 * 0.9) - 50000 - 15000) / 1200))) AS BIGINT) AS pages FROM part")
 def safe_chunk_size(t):
-    return t("part").select("p_partkey", S.safe_chunk_pages(F.col("p_size") * 1000).alias("pages"))
+    return t("part").select("p_partkey", S.safe_chunk_pages(F.col("p_size") * 5000).cast("long").alias("pages"))
+
+
+_ANY = lambda words: " OR ".join(f"contains(low, '{w}')" for w in words)
+_MARKED = "CASE (conv_id * 7 + turn) % 9 WHEN 1 THEN 'Thank you all. ' WHEN 2 THEN 'AGENDA ' WHEN 3 THEN '第二章节 ' ELSE '' END"
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'cover' WHEN turn = max(turn) OVER (PARTITION BY conv_id) OR contains(lower(text), 'thank you') OR contains(lower(text), 'the end') OR contains(lower(text), 'q&a') THEN 'ending'
-    WHEN contains(lower(text), 'contents') OR contains(lower(text), 'agenda') OR contains(lower(text), 'outline') THEN 'toc' WHEN regexp_matches(lower(text), '^(chapter|part|section) [0-9]+') OR length(text) < 30 THEN 'chapter' ELSE 'content' END AS role FROM conversations"""
+    f"""SELECT conv_id, turn, CASE WHEN {_ANY(S.THANKS_WORDS)} THEN 'ending_candidate' WHEN {_ANY(S.CONTENTS_WORDS)} THEN 'toc_candidate' WHEN {_ANY(S.CHAPTER_WORDS)} THEN 'chapter_candidate' WHEN turn = 0 AND images <= 3 THEN 'cover_candidate'
+    WHEN turn = last AND texts <= 6 THEN 'ending_candidate' WHEN texts <= 3 AND shapes <= 12 THEN 'chapter_candidate' ELSE 'content_candidate' END AS role FROM (SELECT conv_id, turn, lower({_MARKED} || text) AS low, len(string_split(text, chr(10))) AS texts, conv_id % 6 AS images,
+    (conv_id + turn) % 20 AS shapes, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)"""
 )
 def slide_roles(t):
+    """Turns as slides: lines are texts; images and shapes by the keys; some have words that say what they are."""
     c = t("conversations")
     last = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("total"))
-    return c.join(last, "conv_id").select("conv_id", "turn", S.slide_role(F.col("turn") + 1, F.col("total"), F.col("text")).alias("role"))
+    kind = (F.col("conv_id") * 7 + F.col("turn")) % 9
+    text = F.concat(F.when(kind == 1, "Thank you all. ").when(kind == 2, "AGENDA ").when(kind == 3, "第二章节 ").otherwise(""), "text")
+    role = S.slide_role(F.col("turn") + 1, F.col("total"), text, F.size(F.split("text", "\n")), F.col("conv_id") % 6, (F.col("conv_id") + F.col("turn")) % 20)
+    return c.join(last, "conv_id").select("conv_id", "turn", role.alias("role"))
 
 
 @query("SELECT col, bool_and(regexp_matches(v, '^-?[0-9]+([.][0-9]+)?%?$')) AS numeric FROM (SELECT 'size' AS col, CAST(p_size AS VARCHAR) AS v FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'key', CAST(p_partkey AS VARCHAR) FROM part) WHERE v <> '' GROUP BY col")
@@ -205,36 +276,39 @@ def table_suppression(t):
     return R.uncovered(r.where("n <= 3"), r.where("n > 3"), "page", least=4).select("page", "n")
 
 
-@query("SELECT a.conv_id, a.turn, count(*) AS kept FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT conv_id, w FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY ALL HAVING count(*) > 5) x WHERE x.conv_id = a.conv_id AND x.w = a.w) GROUP BY ALL")
+@query(f"SELECT a.conv_id, a.turn, count(*) AS kept, md5(string_agg(a.l, ' ' ORDER BY a.y0)) AS h FROM {_BLOCKS} a WHERE NOT EXISTS (SELECT 1 FROM {_NOISE} x WHERE x.conv_id = a.conv_id AND x.l = {_STRIP.format('a.l')}) AND (trim(a.l, ' ') <> '' OR NOT EXISTS (SELECT 1 FROM {_NOISE} x WHERE x.conv_id = a.conv_id)) GROUP BY ALL")
 def noise_suppression(t):
-    words = t("conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
-    noise = words.groupBy("conv_id", "w").agg(F.count("*").alias("n")).where("n > 5")
-    return words.join(noise, ["conv_id", "w"], "left_anti").groupBy("conv_id", "turn").agg(F.count("*").alias("kept"))
+    kept = S.without_noise(_blocks(t), S.repeated_blocks(_blocks(t), "conv_id", "turn", "l"), "conv_id", "l")
+    parts = F.array_sort(F.collect_list(F.struct("y0", "l")))
+    return kept.groupBy("conv_id", "turn").agg(F.count("*").alias("kept"), F.md5(F.array_join(F.transform(parts, lambda p: p["l"]), " ")).alias("h"))
+
+
+_SLOTS = """SELECT o_orderkey, l_linenumber AS slot, any_value(w) AS w, any_value(h) AS h, any_value(size) AS size FROM (SELECT l_orderkey AS o_orderkey, l_linenumber, l_partkey % 9 * 914400 AS w, l_suppkey % 7 * 300000 AS h, CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity END AS size FROM lineitem) GROUP BY ALL"""
 
 
 @query(
-    """SELECT n_regionkey, n_nationkey, slot FROM (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY length(n_name) DESC, n_nationkey) AS r FROM nation)
-    JOIN (SELECT n_regionkey, slot, row_number() OVER (PARTITION BY n_regionkey ORDER BY capacity DESC, slot) AS r FROM (SELECT s_nationkey % 5 AS n_regionkey, s_nationkey AS slot, sum(s_acctbal) AS capacity FROM supplier GROUP BY ALL)) USING (n_regionkey, r)"""
+    f"""WITH s AS (SELECT *, CASE WHEN coalesce(size, 12) <= 0 OR w <= 0 THEN 0 ELSE greatest(1, floor(w / 914400.0 * 72 / (coalesce(size, 12) * 0.55))) * CASE WHEN h > 0 THEN greatest(1, floor(h / 914400.0 / (coalesce(size, 12) * 1.4 / 72))) ELSE 1 END END AS capacity
+        FROM (SELECT l_orderkey % 700 AS g, l_orderkey * 10 + l_linenumber AS slot, min(l_partkey) % 9 * 914400 AS w, min(l_suppkey) % 7 * 300000 AS h, CASE WHEN min(l_quantity) < 10 THEN NULL ELSE min(l_quantity) END AS size FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+    r AS (SELECT g, slot, CAST(capacity AS BIGINT) AS capacity, row_number() OVER (PARTITION BY g ORDER BY capacity DESC, h, w, slot) AS r FROM s),
+    c AS (SELECT doc_id % 700 AS g, doc_id AS content, length(text) AS length, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY length(text) DESC, doc_id) AS r FROM documents)
+    SELECT r.g, r.slot, c.content, r.capacity, c.length, coalesce(c.length > r.capacity, false) AS over FROM r LEFT JOIN c USING (g, r)"""
 )
 def slot_assignment(t):
-    """The longest texts to the largest slots, rank by rank, within each region."""
-    from pyspark.sql import Window
-
-    n = t("nation").withColumn("r", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc(F.length("n_name")), "n_nationkey")))
-    s = t("supplier").groupBy((F.col("s_nationkey") % 5).alias("n_regionkey"), F.col("s_nationkey").alias("slot")).agg(F.sum("s_acctbal").alias("capacity"))
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("capacity"), "slot")))
-    return n.join(s, ["n_regionkey", "r"]).select("n_regionkey", "n_nationkey", "slot")
-
-
-_ENDS = """regexp_matches(x, '[.!?:;。！？：；…]["''”’)\\]]*$')"""
+    """Documents as contents, order lines as boxes: the longest to the one with the most room, within each of 700 slides."""
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    slots = lines.selectExpr("l_orderkey % 700 as g", "l_orderkey * 10 + l_linenumber as slot", "p % 9 * 914400 as left", "s % 7 * 300000 as top", "if(q < 10, null, q) as size")
+    slots = slots.withColumn("capacity", S.slot_capacity(F.col("left"), F.col("top"), F.col("size")))
+    contents = t("documents").select((F.col("doc_id") % 700).alias("g"), F.col("doc_id").alias("content"), "text")
+    return S.assigned_slots(contents, slots, "g", "content", "text", "slot")
 
 
 @query(
     f"""SELECT doc_id, block, count(*) AS lines, md5(array_to_string(list(l ORDER BY i), ' ')) AS h FROM (SELECT doc_id, i, l, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM
-    (SELECT *, CASE WHEN coalesce({_ENDS.replace("x,", "lag(l) OVER (PARTITION BY doc_id ORDER BY i),")}, true) THEN 1 ELSE 0 END AS s FROM {_LINES})) GROUP BY doc_id, block"""
+    (SELECT *, CASE WHEN before IS NULL OR before = '' OR regexp_matches(before, '[.。!！?？:：;；]$') OR i % 7 = 3 OR (i - 1) % 7 = 3 OR i % 11 = 5 OR (i - 1) % 11 = 5 THEN 1 ELSE 0 END AS s
+        FROM (SELECT *, regexp_replace(lag(l) OVER (PARTITION BY doc_id ORDER BY i), '[ \t\r\n\f\x0B]+$', '') AS before FROM {_LINES}))) GROUP BY doc_id, block"""
 )
 def line_merging(t):
-    return S.joined_lines(_lines(t), "doc_id", "i", "l").select("doc_id", "block", "lines", F.md5("l").alias("h"))
+    return S.joined_lines(_lines(t), "doc_id", "i", "l", F.col("i") % 7 == 3, F.col("i") % 11 == 5).select("doc_id", "block", "lines", F.md5("l").alias("h"))
 
 
 @query(
@@ -256,11 +330,31 @@ def note_sections(t):
     return S.note_sections(marked, "doc_id", "i", "l").select("doc_id", "title", "lines", F.md5("l").alias("h"))
 
 
+_BALANCED = """(SELECT s.conv_id, s.slot, coalesce(x.text, '') AS text FROM (SELECT conv_id, n, slots, slot, CASE WHEN n < slots THEN least(slot, n) ELSE slot END AS source FROM (SELECT conv_id, count(*) AS n, 2 + conv_id % 4 AS slots, unnest(range(1, CAST(2 + conv_id % 4 AS INT) + 1)) AS slot FROM conversations GROUP BY conv_id)) s
+    LEFT JOIN (SELECT conv_id, slot, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM (SELECT conv_id, turn, text, CAST(CASE WHEN n > slots THEN ceil(i / ceil(n / slots)) ELSE i END AS BIGINT) AS slot FROM
+        (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, 2 + conv_id % 4 AS slots FROM conversations)) GROUP BY conv_id, slot) x ON x.conv_id = s.conv_id AND x.slot = s.source)"""
+
+
+def _slots(t):
+    return t("conversations").select("conv_id", (F.col("conv_id") % 4 + 2).cast("int").alias("slots")).distinct()
+
+
+@query(f"SELECT conv_id, CAST(slot AS INT) AS slot, md5(text) AS h FROM {_BALANCED}")
+def block_balancing(t):
+    """Turns as blocks for two to five slots."""
+    return S.balanced_blocks(t("conversations"), _slots(t), "conv_id", "turn", "text").select("conv_id", "slot", F.md5("text").alias("h"))
+
+
 @query(
-    """SELECT conv_id, slot, count(*) AS lines, md5(array_to_string(list(text ORDER BY turn), chr(10))) AS h FROM (SELECT conv_id, turn, text, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / ceil(count(*) OVER (PARTITION BY conv_id) / 3)) AS BIGINT) + 1 AS slot FROM conversations) GROUP BY conv_id, slot"""
+    f"""WITH n AS (SELECT conv_id, slot, list_filter(list_transform(string_split(replace(text, '\\n', chr(10)), chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS p FROM {_BALANCED}),
+    o AS (SELECT conv_id, slot, unnest(range(1, CAST(1 + (conv_id + slot) % 3 AS INT) + 1)) AS k, 1 + (conv_id + slot) % 3 AS n_old FROM n)
+    SELECT conv_id, CAST(slot AS INT) AS slot, k, md5(CASE WHEN k = n_old AND len(p) > n_old THEN array_to_string(p[k:], '；') ELSE p[k] END) AS h FROM o JOIN n USING (conv_id, slot) WHERE len(p) >= k"""
 )
-def block_balancing(t):
-    return S.balanced_blocks(t("conversations"), "conv_id", "turn", "text", F.lit(3)).select("conv_id", "slot", "lines", F.md5("text").alias("h"))
+def paragraph_overflow(t):
+    """The balanced blocks' paragraphs in one to three old ones a slot."""
+    new = S.balanced_blocks(t("conversations"), _slots(t), "conv_id", "turn", "text")
+    old = new.select("conv_id", "slot", F.explode(F.sequence(F.lit(1).cast("long"), 1 + (F.col("conv_id") + F.col("slot")) % 3)).alias("k")).withColumn("text", F.concat(F.lit("old "), "k"))
+    return S.paragraph_map(old, new, "conv_id", "k", "text").select("conv_id", "slot", "k", F.md5("new").alias("h"))
 
 
 @query()
@@ -269,11 +363,27 @@ def heading_merging(t):
     return S.merged_headings(rows, "doc_id", "i", "level", "l")
 
 
-@query()
+_EVEN = """list_transform(range(0, CAST(ceil((b - a + 1) / 10) AS INT)), lambda k: {'first': a + k * ((b - a + 1) // CAST(ceil((b - a + 1) / 10) AS BIGINT)) + least(k, (b - a + 1) % CAST(ceil((b - a + 1) / 10) AS BIGINT)),
+    'last': a + (k + 1) * ((b - a + 1) // CAST(ceil((b - a + 1) / 10) AS BIGINT)) + least(k + 1, (b - a + 1) % CAST(ceil((b - a + 1) / 10) AS BIGINT)) - 1})"""
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT conv_id, turn * 5 + turn * turn % 4 + 1 AS start, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT DISTINCT conv_id, turn FROM conversations)),
+    e AS (SELECT conv_id, min(start) AS first, (SELECT max(turn) FROM conversations c WHERE c.conv_id = s.conv_id) * 4 + 6 + conv_id % 5 AS last, count(*) AS n FROM s GROUP BY conv_id),
+    walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, first AS pos, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS done FROM e UNION ALL
+        SELECT w.conv_id, s.i, CASE WHEN start - pos >= 10 THEN start ELSE pos END, CASE WHEN start - pos >= 10 THEN list_append(done, {{'a': pos, 'b': start - 1}}) ELSE done END FROM walk w JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1),
+    cut AS (SELECT w.conv_id, e.first, e.last, list_append(done, {{'a': pos, 'b': e.last}}) AS done FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.n = w.i),
+    even AS (SELECT conv_id, first, last, row_number() OVER (PARTITION BY conv_id ORDER BY x.first) AS k, count(*) OVER (PARTITION BY conv_id) AS n, x FROM
+        (SELECT conv_id, first, last, unnest(CASE WHEN b - a + 1 > 10 THEN {_EVEN} ELSE [{{'first': a, 'last': b}}] END) AS x FROM (SELECT conv_id, first, last, unnest(done).a AS a, unnest(done).b AS b FROM cut)))
+    SELECT conv_id, CASE WHEN k = 2 AND held THEN before ELSE x.first END AS first, CASE WHEN tail THEN after ELSE x.last END AS last FROM
+        (SELECT *, n > 1 AND k > 1 AND x.first = x.last AS single, lead(x.first = x.last) OVER w AND NOT (n > 1 AND k = 1 AND x.first = x.last) AS tail, lead(x.last) OVER w AS after, lag(x.first = x.last) OVER w AS held, lag(x.first) OVER w AS before FROM even WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+    WHERE last - first + 1 <= 10 OR n = 1 OR NOT (single OR (k = 1 AND x.first = x.last))"""
+)
 def section_chunks(t):
+    """Conversations as chapters, turns as their sections, in chunks of up to ten pages."""
     c = t("conversations")
-    last = c.groupBy("conv_id").agg((F.max("turn") * 4 + 6).alias("last"))
-    return S.split_at_sections(c.join(last, "conv_id").select("conv_id", (F.col("turn") * 4 + 1).alias("start"), "last"), "conv_id", "start", "last", 10)
+    last = c.groupBy("conv_id").agg((F.max("turn") * 4 + 6 + F.col("conv_id") % 5).alias("last"))
+    return S.split_at_sections(c.join(last, "conv_id").selectExpr("conv_id", "turn * 5 + turn * turn % 4 + 1 as start", "last"), "conv_id", "start", "last", 10)
 
 
 @query("SELECT p_partkey, CASE WHEN c IS NULL THEN status WHEN p_partkey = c THEN 'promoted' WHEN status = 'selected' THEN 'candidate' ELSE status END AS status FROM (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 'selected' ELSE 'candidate' END AS status FROM part) LEFT JOIN (SELECT p_brand, min(p_partkey) AS c FROM part WHERE p_size > 45 GROUP BY 1) USING (p_brand)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -21,21 +22,22 @@ def text_runs(t):
 
 
 @query(
-    rf"""SELECT doc_id, len(list_distinct(k)) AS n_keywords, list_max(k) AS last_keyword FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: {_strip("x")}),
+    rf"""SELECT doc_id, len(list_distinct(k)) AS n_keywords, md5(array_to_string(list_sort(list_distinct(k)), ' ')) AS keywords FROM (SELECT doc_id, list_filter(list_transform(string_split(text, ' '), lambda x: {_strip("x")}),
     lambda x: length(x) BETWEEN 2 AND 30 AND NOT regexp_full_match(x, '[0-9 .,;:!?()\[\]{{}}_+=*/\\|%-]+')) AS k FROM documents)"""
 )
 def keyword_runs(t):
     k = X.keywords(F.split("text", " "))
-    return t("documents").select("doc_id", F.size(k).cast("long").alias("n_keywords"), F.array_max(k).alias("last_keyword"))
+    return t("documents").select("doc_id", F.size(k).cast("long").alias("n_keywords"), F.md5(F.array_join(F.array_sort(k), " ")).alias("keywords"))
 
 
 @query(
-    r"""SELECT doc_id, len(list_distinct(list_transform(list_concat(regexp_extract_all(c, '\b[a-zA-Z]{2,30}\b'), regexp_extract_all(c, '[0-9]+')), lambda x: lower(x)))) AS n_tokens
+    r"""SELECT doc_id, len(list_distinct(list_transform(list_concat(regexp_extract_all(c, '\b[a-zA-Z]{2,30}\b'), regexp_extract_all(c, '[0-9]+')), lambda x: lower(x)))) AS n_tokens,
+    md5(array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(c, '\b[a-zA-Z]{2,30}\b'), regexp_extract_all(c, '[0-9]+')), lambda x: lower(x)))), ' ')) AS tokens
     FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g') AS c FROM documents)"""
 )
 def search_token_sets(t):
     clean = F.regexp_replace("text", "[^a-zA-Z0-9]+", " ")
-    return t("documents").select("doc_id", F.size(X.search_tokens(clean)).cast("long").alias("n_tokens"))
+    return t("documents").select("doc_id", F.size(X.search_tokens(clean)).cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(X.search_tokens(clean)), " ")).alias("tokens"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:10], ' ') AS head FROM documents")
@@ -44,9 +46,9 @@ def content_token_bags(t):
     return t("documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(F.slice(tokens, 1, 10), " ").alias("head"))
 
 
-@query(r"SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[ \t\r\n,，、]+'), lambda x: x <> '')[1:5], ' ') AS terms FROM benchmark")
+@query(r"SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '[ \t\r\n,，、]+'), lambda x: x <> ''), ' ') AS terms FROM benchmark")
 def query_term_split(t):
-    return t("benchmark").select("item_id", F.array_join(F.slice(X.query_terms(F.col("text")), 1, 5), " ").alias("terms"))
+    return t("benchmark").select("item_id", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
 
 
 @query(
@@ -90,26 +92,40 @@ def first_line_titles(t):
     return t("documents").select("doc_id", X.first_line_title(F.col("text")).alias("title"))
 
 
-_SLUG = "left(regexp_replace(regexp_replace({}, '[^a-zA-Z0-9_一-鿿-]+|_+', '_', 'g'), '_+|^_+|_+$', '_', 'g'), {})"
+#: Texts as files' names: the first line, with folders and endings for some.
+_FILE = "CASE doc_id % 5 WHEN 0 THEN 'a/b.c/' || l || '.pptx' WHEN 1 THEN '  ' || l || '! ' WHEN 2 THEN '图_' || l || '-x.tar.gz' WHEN 3 THEN '***' ELSE l END"
 
 
-@query(f"SELECT doc_id, {_SLUG.format('text', 30)} AS slug FROM documents")
+@query(
+    f"""SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(list_last(string_split(regexp_replace({_FILE}, '/+$', ''), '/')), '(.)\\.[^.]+$', '\\1'), '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '^_+|_+$', '', 'g'), 30), ''), 'image') AS slug
+    FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)"""
+)
 def slug(t):
-    return t("documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+    line, kind = F.substring_index("text", "\n", 1), F.col("doc_id") % 5
+    name = F.when(kind == 0, F.concat(F.lit("a/b.c/"), line, F.lit(".pptx"))).when(kind == 1, F.concat(F.lit("  "), line, F.lit("! "))).when(kind == 2, F.concat(F.lit("图_"), line, F.lit("-x.tar.gz"))).when(kind == 3, "***").otherwise(line)
+    return t("documents").select("doc_id", X.slug(name).alias("slug"))
+
+
+_SAFE = "left(regexp_replace(regexp_replace(regexp_replace({}, '[ \\t\\r\\n\\f\\x0B]+', '_', 'g'), '[^一-龥a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'), 80)"
 
 
 @query(
-    f"""SELECT page_id, coalesce(nullif({_SLUG.format("title", 80)}, ''), {_SLUG.format("CASE WHEN path = '' THEN host ELSE host || '_' || path END", 80)}) AS base_name
-    FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '') AS title, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-    replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/+$', ''), '/', '_') AS path FROM pages)"""
+    f"""SELECT page_id, coalesce(nullif({_SAFE.format("title")}, ''), nullif({_SAFE.format("CASE WHEN path <> '' THEN host || '_' || path ELSE host END")}, ''), 'untitled') AS base_name
+    FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) WHEN 1 THEN '' ELSE '...' END AS title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+    regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages)"""
 )
 def url_base_names(t):
-    return t("pages").select("page_id", X.url_base_name(F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")), F.col("url")).alias("base_name"))
+    title = F.when(F.col("page_id") % 3 == 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1)).when(F.col("page_id") % 3 == 2, "...")
+    return t("pages").select("page_id", X.url_base_name(title, F.col("url")).alias("base_name"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), ' *[|_–—-] *[^|_–—-]{1,30}$', '')) AS title FROM pages")
+_SITE_NAMES = ["", " - 某市政府网", " | Spark", "_数据门户-x", " -- 委员会 | y", "网站"]
+
+
+@query(f"SELECT page_id, {_strip("regexp_replace(title, '[-_|].*?(政府|门户|网站|委员会).*$', '')")} AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || [{', '.join(f"'{x}'" for x in _SITE_NAMES)}][CAST(page_id % 6 AS INT) + 1] AS title FROM pages)")
 def clean_titles(t):
-    return t("pages").select("page_id", X.clean_title(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+    ending = F.element_at(F.array(*[F.lit(x) for x in _SITE_NAMES]), (F.col("page_id") % 6 + 1).cast("int"))
+    return t("pages").select("page_id", X.clean_title(F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), ending)).alias("title"))
 
 
 _CANON = _strip(r"regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^(Crawled|Imported):.*$', '\1:', 'g')")
@@ -120,9 +136,9 @@ def canonical_content(t):
     return t("documents").select("doc_id", F.md5(X.canonical_content(F.col("text"))).alias("content_key"))
 
 
-@query(f"SELECT conv_id, turn, trim(regexp_replace(text, '{_B}+', ' ', 'g')) AS folded FROM conversations")
+@query(f"SELECT conv_id, turn, trim(regexp_replace(translate(text || translate(text, 'aeT.', 'ａｅＴ．') || '　（１）', 'ａｅＴ．　（１）', 'aeT. (1)'), '{_B}+', ' ', 'g')) AS folded FROM conversations")
 def half_width_fold(t):
-    return t("conversations").select("conv_id", "turn", X.half_width(F.col("text")).alias("folded"))
+    return t("conversations").select("conv_id", "turn", X.half_width(F.concat("text", F.translate("text", "aeT.", "ａｅＴ．"), F.lit("　（１）"))).alias("folded"))
 
 
 @query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS title FROM documents")
@@ -136,14 +152,19 @@ def leading_numbers(t):
     return t("pages").select("page_id", X.leading_number(k).alias("number"), X.without_number(k).alias("rest"))
 
 
-_LINE = "l"
-for _p, _by in ((r"^ *#{1,6} +", ""), (r"^ *[-*+] +", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"[*_]{2}([^*_]+)[*_]{2}", r"\1"), ("`([^`]*)`", r"\1")):
-    _LINE = f"regexp_replace({_LINE}, '{_p}', '{_by}', 'g')"
+_LINE = f"regexp_replace(l, '{_B}+$', '')"
+for _p in X.SPOKEN:
+    _LINE = f"regexp_replace({_LINE}, '{_p}', '\\1', 'g')"
+_MARKS = ["# {} #", "**{}** and *{}*", "  ## {}", "- [{}](http://x.y/z) ~~{}~~", "__{}__ _{}_ `{}`", "   ", "{}", ""]
+_MARKED = " || chr(10) || ".join("'" + m.replace("{}", "' || l || '") + "'" for m in _MARKS)
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_strip(_LINE)}), lambda x: x <> ''), chr(10)) AS spoken FROM documents")
+@query(f"SELECT doc_id, md5({_strip(f"regexp_replace(array_to_string(list_transform(list_filter(string_split(md, chr(10)), lambda l: NOT starts_with(ltrim(l), '#')), lambda l: {_LINE}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")}) AS spoken FROM (SELECT doc_id, {_MARKED} || chr(10) || text AS md FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS l FROM documents))")
 def spoken_text(t):
-    return t("documents").select("doc_id", X.spoken(F.col("text")).alias("spoken"))
+    """Whole texts under a head of all marks around their first line."""
+    line = F.substring_index("text", "\n", 1)
+    marked = [F.concat(*[x for part in m.split("{}") for x in (F.lit(part), line)][:-1]) for m in _MARKS]
+    return t("documents").select("doc_id", F.md5(X.spoken(F.concat_ws("\n", *marked, "text"))).alias("spoken"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN w <= 0 OR h <= 0 THEN 'unknown' WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'square' END AS orientation, CASE WHEN w / h > 2.0 THEN 'ultra-wide' WHEN w / h > 1.5 THEN 'wide' WHEN w / h > 1.2 THEN 'standard' WHEN w / h > 0.8 THEN 'square' ELSE 'portrait' END AS ratio_class FROM (SELECT l_orderkey, l_linenumber, l_quantity AS w, CAST(l_orderkey % 50 + 1 AS DOUBLE) AS h FROM lineitem)")
@@ -191,9 +212,18 @@ def query_ladder(t):
     return t("benchmark").select("item_id", F.posexplode(X.query_ladder(F.col("text"))).alias("rung", "text")).select("item_id", (F.col("rung") + 1).cast("long").alias("rung"), "text")
 
 
-@query("SELECT p_partkey, concat_ws(' | ', 'part' || p_partkey || '.png: ' || p_name, 'by ' || p_brand, nullif(p_type, '')) AS credit FROM part")
+@query(
+    """SELECT p_partkey, concat_ws(' — ', CASE p_partkey % 4 WHEN 0 THEN 'http://x/' || p_partkey WHEN 1 THEN 'image' ELSE 'part' || p_partkey || '.png' END, concat_ws(' ', '"' || p_name || '"', CASE WHEN p_partkey % 3 > 0 THEN 'by ' || p_brand END,
+        'via ' || CASE p_partkey % 6 WHEN 0 THEN 'Openverse' WHEN 1 THEN 'Wikimedia Commons' WHEN 2 THEN 'Pexels' WHEN 3 THEN 'Pixabay' WHEN 4 THEN 'own' ELSE 'unknown' END),
+        'license: ' || CASE p_partkey % 5 WHEN 0 THEN p_type WHEN 1 THEN p_type || ' (u/' || p_size || ')' WHEN 2 THEN 'u/' || p_size END) AS credit FROM part"""
+)
 def attribution_text(t):
-    return t("part").select("p_partkey", X.attribution(F.concat(F.lit("part"), F.col("p_partkey"), F.lit(".png")), F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.lit("")).alias("credit"))
+    k = F.col("p_partkey")
+    pick = lambda n, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    file, url = F.when(k % 4 > 1, F.concat(F.lit("part"), k, F.lit(".png"))), F.when(k % 4 == 0, F.concat(F.lit("http://x/"), k))
+    terms, terms_url = pick(5, F.col("p_type"), F.col("p_type"), "", "", None), pick(5, "", F.concat(F.lit("u/"), "p_size"), F.concat(F.lit("u/"), "p_size"), None, "")
+    credit = X.attribution(file, url, F.col("p_name"), F.when(k % 3 > 0, F.col("p_brand")), pick(6, "openverse", "wikimedia", "pexels", "pixabay", "own", ""), terms, terms_url)
+    return t("part").select("p_partkey", credit.alias("credit"))
 
 
 _PLACEHOLDER = X.PLACEHOLDER
