@@ -11,7 +11,7 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -66,12 +66,26 @@ def relationships(files: DataFrame, pattern: str = r"_rels/.*\.rels$") -> DataFr
 def document_images(files: DataFrame, around: int = 3) -> DataFrame:
     """(path, target, idx, context): images of documents with their paragraph's text, or the nearest within ``around``."""
     p = paragraphs(files)
-    used = p.select("path", F.col("idx"), F.explode("images").alias("id"))
+    # what is near comes from windows over a document's paragraphs: no image meets all of them
+    line = F.when(X.strip(F.col("text")) != "", F.struct(F.col("idx").alias("at"), F.col("text")))
+    w = Window.partitionBy("path").orderBy("idx")
+    p = p.withColumns({"_up": F.last(line, ignorenulls=True).over(w.rowsBetween(-around, 0)), "_down": F.first(line, ignorenulls=True).over(w.rowsBetween(0, around))})
+    off = lambda c: F.struct(F.abs(F.col(f"{c}.at") - F.col("idx")).alias("off"), F.col(f"{c}.at").alias("at"), F.col(f"{c}.text").alias("text"))
+    best = F.array_min(F.filter(F.array(F.when(F.col("_up").isNotNull(), off("_up")), F.when(F.col("_down").isNotNull(), off("_down"))), lambda x: x.isNotNull()))
+    near = F.when(best["off"] <= around, best["text"])
+    used = p.select("path", "idx", F.coalesce(near, F.lit("")).alias("context"), F.explode("images").alias("id"))
     rels = relationships(files, r"^word/_rels/document\.xml\.rels$").select("path", "id", "target")
-    near = p.where(X.strip(F.col("text")) != "").select("path", F.col("idx").alias("at"), "text")
-    both = used.join(rels, ["path", "id"]).join(near, "path", "left").withColumn("off", F.abs(F.col("at") - F.col("idx")))
-    best = both.groupBy("path", "target", "idx").agg(F.min_by(F.struct("off", "text"), F.struct("off", "at")).alias("b"))
-    return best.select("path", "target", "idx", F.when(F.col("b.off") <= around, F.col("b.text")).otherwise("").alias("context"))
+    return used.join(rels, ["path", "id"]).select("path", "target", "idx", "context").distinct()
+
+
+def first_existing(spark, candidates: list[str]) -> str | None:
+    """The first path of a list that is there, on any file system that Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for c in candidates:
+        at = jvm.org.apache.hadoop.fs.Path(c)
+        if at.getFileSystem(conf).exists(at):
+            return c
+    return None
 
 
 def slide_images(files: DataFrame) -> DataFrame:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
+from ..operators import drawings as D
+from . import log
 
 
-def read_slide_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.SLIDE_INDEX).json(path, multiLine=True)
+def read_slide_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A slide index as one JSON text, or as one a line, as :func:`write_slide_index` writes it."""
+    return spark.read.schema(schemas.SLIDE_INDEX).json(path, multiLine=not lines)
 
 
 def slide_entries(index: DataFrame) -> DataFrame:
@@ -37,13 +40,29 @@ def image_entries(index: DataFrame) -> DataFrame:
     return each.select(F.lit("image").alias("source_type"), F.col("key").alias("source_id"), "source_file", text.alias("text"), F.coalesce("description_hint", "archive_name").alias("display_text"), tags.alias("search_tags"), "format", F.col("slide_number").cast("int").alias("slide_number"))
 
 
+def write_slide_index(slides: DataFrame, path: str) -> None:
+    """Slides (file, title, slide_num, text, keywords) as a JSON index, an index of one file on each line: what goes together is a file's slides, never the whole."""
+    number = F.col("slide_num").cast("string")
+    entries = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(number.alias("key"), value.alias("value")))))
+    by = slides.groupBy("file").agg(F.first("title", ignorenulls=True).alias("title"), entries(F.col("text")).alias("slides"), entries(F.coalesce("keywords", X.no_strings())).alias("slide_keywords"))
+    by.select(F.create_map("file", F.struct("title", "slides", "slide_keywords")).alias("files")).write.mode("overwrite").json(path)
+
+
 def write_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    """Appends records as JSON lines."""
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, transaction: str | None = None) -> None:
+    """Appends records as JSON lines, in one transaction: all of them or none, and none if the named transaction was there before."""
+    log.append(df, path, transaction)
+
+
+def publish_replacement(drawings: DataFrame, key: str, svg: str, pairs: dict[str, str], path: str, dry_run: bool = False) -> DataFrame:
+    """(key, n): the number of places of each drawing. All drawings are published, replaced, by one transaction of a log that hides what was there; a dry run writes nothing."""
+    found = D.replaced(drawings, key, svg, pairs)
+    if not dry_run:
+        log.append(found.select(key, svg), path, replace=True)
+    return found.select(key, "n")
 
 
 def write_by_key(df: DataFrame, key: str, path: str) -> None:

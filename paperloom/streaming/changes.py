@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import detect_changes, last_of_each
-from ..operators.scans import coalesced, undone  # noqa: F401  edits are read as feeds too
+from ..operators.scans import coalesced, undone
+from ..sources import log
 
 
 class Snapshots:
@@ -53,3 +54,9 @@ def watch(stream: DataFrame, snapshots: Snapshots, key: str, mark: str, order: s
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def commit_edits(edits: DataFrame, stream: str, order: list[str], signature: list[str], old: str, new: str, is_undo: str, path: str, transaction: str) -> None:
+    """Staged edits as one transaction of an append log: those that undos left, each run of one signature as a single edit. Committed again under the same name, nothing is added."""
+    left = undone(edits, stream, order, is_undo)
+    log.append(coalesced(left, stream, order, signature, old, new), path, transaction)
