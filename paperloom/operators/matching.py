@@ -17,8 +17,8 @@ from ..state import stored
 from .joins import first_tier, unique_matches
 
 Q, SAMPLED = 4, 16
-#: Bytes of the filters that keep other grams from being joined; they only spare work.
-PLACES = 1 << 18
+#: Bytes of the filters that keep other grams from being joined; they only spare work, and with over some 10^5 needles none.
+PLACES = 1 << 16
 
 
 def grams(text: Column, q: int) -> Column:
@@ -64,7 +64,7 @@ def match_titles(titles: DataFrame, title: str, key: str, stems: DataFrame, stem
     Of stems with the same text the first one is it. 0 and null: none.
     """
     of = lambda rows, c: rows.withColumns({"_exact": F.col(c), "_norm": F.nullif(X.normalized_title(F.col(c)), F.lit("")), "_num": X.leading_number(F.col(c))})
-    t, s = of(titles.select(key, title), title), of(stems.select(other, stem), stem)
+    t, s = stored(of(titles.select(key, title), title)), stored(of(stems.select(other, stem), stem))
     exact = t.join(s.groupBy("_exact").agg(F.min(other).alias(other)), "_exact").select(key, other)
     tiers = [exact, unique_matches(t, s, key, other, "_norm"), unique_matches(t, s, key, other, "_num")]
     # only titles without a match so far look for their text in others
