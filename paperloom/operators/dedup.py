@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..state import checkpointed
+from . import regions
 
 
 def keep_first(rows: DataFrame, groups: list[str], order: Column, key: str) -> DataFrame:
@@ -150,17 +151,27 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     return sent.groupBy("cell", "h", "g").applyInArrow(multiply, "i long, j long")
 
 
-def greedy_similar(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, kept): vectors in order of key; one is kept unless a kept one before it is more similar than the threshold.
+def greedy_clusters(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, kept, cluster): vectors in order of key; one is kept unless a kept one before it is more similar than the threshold. A cluster is named by the first kept one that absorbed its rows.
 
     Equal vectors that are that similar to themselves are folded first: the first one stands for all, and no other of them can be kept. So a group of copies adds no pairs.
     """
     v = F.col(vector)
     norm = F.aggregate(v, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     rows = vectors.select(key, vector, F.when(v.isNotNull() & (norm > threshold), v).alias("_same"))
-    first = keep_first(rows, ["_same"], F.col(key), key).where("kept").select(key)
-    judged = greedy_keep(first, similar_pairs(rows.join(first, key, "left_semi"), threshold, key, vector), key)
-    return vectors.select(key).join(judged, key, "left").select(key, F.coalesce("kept", F.lit(False)).alias("kept"))
+    firsts = rows.where("_same is not null").groupBy("_same").agg(F.min(key).alias("_first"))
+    named = checkpointed(rows.join(firsts, "_same", "left").select(key, vector, F.coalesce("_first", key).alias("_first")))
+    single = named.where(F.col(key) == F.col("_first")).select(key, vector)
+    edges = checkpointed(similar_pairs(single, threshold, key, vector))
+    judged = checkpointed(greedy_keep(single, edges, key))
+    owner = edges.join(judged.where("kept").select(F.col(key).alias("i")), "i").groupBy(F.col("j").alias(key)).agg(F.min("i").alias("_owner"))
+    settled = judged.join(owner, key, "left").select(F.col(key).alias("_first"), F.col("kept").alias("_kept"), F.when(F.col("kept"), F.col(key)).otherwise(F.col("_owner")).alias("cluster"))
+    return named.join(settled, "_first").select(key, (F.col("_kept") & (F.col(key) == F.col("_first"))).alias("kept"), "cluster")
+
+
+def greedy_similar(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, kept) of :func:`greedy_clusters`."""
+    return greedy_clusters(vectors, threshold, key, vector).select(key, "kept")
 
 
 def greedy_keep(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -185,10 +196,16 @@ def greedy_keep(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def removal_statistics(kept: DataFrame) -> DataFrame:
-    """total, kept, removed and the removal rate in percent."""
-    n = F.count("*")
-    k = F.sum(F.when(F.col("kept"), 1).otherwise(0))
-    return kept.agg(n.alias("total"), k.alias("kept"), (n - k).alias("removed"), F.when(n > 0, (n - k) * 100.0 / n).otherwise(0.0).alias("removal_rate"))
+    """One row of (kept, cluster): total, kept, removed, the removal rate in percent, how many clusters have more than one row, and the rows of the largest of them."""
+    by = kept.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("k"))
+    total, k = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))
+    rate = F.when(total > 0, (total - k) * 100.0 / total).otherwise(0.0)
+    return by.agg(total.alias("total"), k.alias("kept"), (total - k).alias("removed"), rate.alias("removal_rate"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("clusters"), F.max(F.when(F.col("n") > 1, F.col("n"))).alias("largest"))
+
+
+def cluster_sizes(kept: DataFrame) -> DataFrame:
+    """(cluster, size) of the clusters of more than one row."""
+    return kept.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
 
 
 def geometric_clusters(boxes: DataFrame, group: str, key: str, x: str, y: str, area: str, distance: float) -> DataFrame:
@@ -236,6 +253,48 @@ def contained_rectangles(rects: DataFrame, page: str, key: str, share: float = 0
     return a.join(b, [page, "cx", "cy"]).where(f"{first} and {across} + 1e-9 >= {share} * bw * bh").select("i", "j")
 
 
+#: What a figure must measure, its longest side to its shortest, and the share of itself or of a table that the two may have in common.
+FIGURE_WIDTH, FIGURE_HEIGHT, FIGURE_AREA, FIGURE_ASPECT, TABLE_SHARE = 100, 80, 30_000, 8, 0.5
+
+
+def figure_rectangles(rects: DataFrame, page: str, key: str, tables: DataFrame | None = None, cell: int = 16) -> DataFrame:
+    """(page, key, place): the rectangles (x, y, w, h) that are figures, numbered in reading order: large and compact enough, no table (page, x, y, w, h), and nine tenths of them not in a larger one that stays."""
+    w, h = F.col("w"), F.col("h")
+    big = rects.where((w >= FIGURE_WIDTH) & (h >= FIGURE_HEIGHT) & (w * h >= FIGURE_AREA) & (F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1)) <= FIGURE_ASPECT))
+    if tables is not None:
+        sides = lambda d, *more: d.select(page, *more, F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+        area = lambda side: (F.col(f"{side}.x1") - F.col(f"{side}.x0")) * (F.col(f"{side}.y1") - F.col(f"{side}.y0"))
+        both = regions.meeting(sides(big, key), sides(tables), page, cell).where(regions.overlap() > TABLE_SHARE * F.least(area("a"), area("b")))
+        big = big.join(both.select(F.col(f"a.{key}").alias(key)).distinct(), key, "left_anti")
+    big = checkpointed(big)
+    kept = greedy_keep(big, contained_rectangles(big, page, key, cell=cell), key).where("kept")
+    return big.join(kept, key, "left_semi").withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("y", "x", key))).select(page, key, "place")
+
+
+#: Where a page's foot begins, in EMU, and under which size in points a text there is a footnote.
+FOOT_TOP, FOOT_SIZE = 5_800_000, 12
+
+
+def outliers(blocks: DataFrame, page: list[str], order: str, tokens: Column, top: Column | None = None, size: Column | None = None) -> DataFrame:
+    """(page, order, sim, overall, outlier, critical): how like a page's other blocks each is, by the mean cosine of term frequencies, and all of them on average. Pages of three blocks or more.
+
+    A footnote (low on the page, in small type) counts for the others but is no outlier itself. The sum over a block's peers is a product with the peers' sum: linear in the page's tokens.
+    """
+    keys = [*page, order]
+    foot = F.coalesce((top > FOOT_TOP) & (size < FOOT_SIZE), F.lit(False)) if top is not None and size is not None else F.lit(False)
+    rows = blocks.select(*keys, tokens.alias("_tokens"), foot.alias("_foot"))
+    sizes = rows.groupBy(*page).agg(F.count("*").alias("_n")).where("_n >= 3")
+    tf = term_frequencies(rows, keys, F.col("_tokens"))
+    norms = tf.groupBy(*keys).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    unit = tf.join(norms, keys).select(*keys, "tok", (F.col("tf") / F.col("norm")).alias("u"))
+    every = unit.groupBy(*page, "tok").agg(F.sum("u").alias("all"))
+    sums = unit.join(every, [*page, "tok"]).groupBy(*keys).agg(F.sum(F.col("u") * (F.col("all") - F.col("u"))).alias("s"))
+    m = rows.join(sizes, page).join(sums, keys, "left").select(*keys, "_foot", (F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / (F.col("_n") - 1)).alias("sim"))
+    g = m.withColumn("overall", F.avg("sim").over(Window.partitionBy(*page)))
+    out = "not _foot and sim < 0.01 and overall > 0.02 and sim < 0.15 * overall"
+    return g.selectExpr(*keys, "sim", "overall", f"{out} as outlier", f"{out} and (sim < 0.003 or (overall > 0.03 and sim < 0.05 * overall)) as critical")
+
+
 def term_frequencies(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     """(keys, tok, tf)."""
     return rows.select(*keys, F.explode(tokens).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("tf"))

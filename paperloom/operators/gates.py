@@ -191,3 +191,33 @@ def deck_verification(verified: DataFrame, deck: str) -> DataFrame:
     """(deck, slides, background_ok, translation_ok, overflow_ok, passed) of :func:`slide_verification`: how many slides pass each check, and whether all pass all."""
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return verified.groupBy(deck).agg(F.count("*").alias("slides"), n(F.col("background_ok")).alias("background_ok"), n(F.col("left_over") == 0).alias("translation_ok"), n(F.col("long_texts") == 0).alias("overflow_ok"), F.bool_and("passed").alias("passed"))
+
+
+def keyword_coverage(source: DataFrame, order: str, tokens: Column, pages: DataFrame, page_tokens: Column, most: int = 20) -> DataFrame:
+    """(place, tok, covered): the commonest tokens of a source, the first met before others as common, and whether any page has them."""
+    each = source.select(order, F.posexplode(tokens).alias("_pos", "tok"))
+    top = each.groupBy("tok").agg(F.count("*").alias("n"), F.min(F.struct(order, "_pos")).alias("_first")).orderBy(F.desc("n"), "_first").limit(most)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_first")))  # ``most`` rows
+    have = pages.select(F.explode(page_tokens).alias("tok")).distinct().withColumn("_has", F.lit(True))
+    return top.join(have, "tok", "left").select("place", "tok", F.coalesce("_has", F.lit(False)).alias("covered"))
+
+
+def coverage_summary(covered: DataFrame, shown: int = 10) -> DataFrame:
+    """One row: covered, total, the first missing tokens, and the rate of coverage to two places (null without tokens)."""
+    n = F.sum(F.when(F.col("covered"), 1).otherwise(0))
+    missing = F.array_sort(F.collect_list(F.when(~F.col("covered"), F.struct("place", "tok"))))
+    return covered.agg(n.alias("covered"), F.count("*").alias("total"), F.transform(F.slice(missing, 1, shown), lambda x: x["tok"]).alias("missing"), F.round(n / F.count("*"), 2).alias("coverage_rate"))
+
+
+def project_validation(projects: DataFrame) -> DataFrame:
+    """A row for each format, and one for all (a null format): projects, valid ones (no error and no warning), with errors, with warnings only, without readme, without specification, with faults of drawings.
+
+    ``projects``: (format, errors, warnings, drawing_warnings, has_readme, has_spec), the first three numbers.
+    """
+    clean = (F.col("errors") == 0) & (F.col("warnings") == 0) & (F.col("drawing_warnings") == 0)
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    sets = projects.groupingSets([[F.col("format")], []], "format")
+    return sets.agg(
+        F.count("*").alias("projects"), n(clean).alias("valid"), n(F.col("errors") > 0).alias("has_errors"), n(~clean & (F.col("errors") == 0)).alias("has_warnings"),
+        n(~F.col("has_readme")).alias("missing_readme"), n(~F.col("has_spec")).alias("missing_spec"), n(F.col("drawing_warnings") > 0).alias("drawing_issues"), (F.grouping_id("format") == 1).alias("all_formats"),
+    )

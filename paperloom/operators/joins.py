@@ -29,6 +29,20 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, order: Column) -> DataFr
     return stored.join(latest, key, "left_anti").unionByName(latest)
 
 
+def merged_manifest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """The old rows in their order, those of a name that the new rows have replaced by the last of them; then the other new rows' last ones, in the order of their names' first sight.
+
+    Both have the same columns; ``place`` is (0, old order) or (1, order of first sight). Rows without a name are left out.
+    """
+    values = [c for c in old.columns if c not in (key, order)]
+    pack = F.struct(*values)
+    latest = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(pack, order).alias("_new"), F.min(order).alias("_first"))
+    rows = old.where(F.col(key).isNotNull()).select(key, F.col(order).alias("_at"), pack.alias("_old"))
+    kept = rows.join(latest, key, "left").select(key, F.coalesce("_new", "_old").alias("_r"), F.struct(F.lit(0).alias("part"), F.col("_at").alias("at")).alias("place"))
+    added = latest.join(rows, key, "left_anti").select(key, F.col("_new").alias("_r"), F.struct(F.lit(1).alias("part"), F.col("_first").alias("at")).alias("place"))
+    return kept.unionByName(added).select(key, "_r.*", "place")
+
+
 def unique_matches(left: DataFrame, right: DataFrame, key: str, other: str, on: str) -> DataFrame:
     """(key, other) for values of ``on`` that exactly one row on the right has."""
     single = right.groupBy(on).agg(F.count("*").alias("_n"), F.min(other).alias(other)).where("_n = 1").drop("_n")

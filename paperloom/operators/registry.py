@@ -86,16 +86,8 @@ def _structure(pages: DataFrame, source: DataFrame | None) -> DataFrame:
 def _outliers(pages: DataFrame, source: DataFrame | None) -> DataFrame:
     """C9: a block of a page that shares almost no words with the page's others. Pages of three blocks (lines) or more."""
     lines = pages.select("deck", "page", F.posexplode(F.split("text", "\n")).alias("n", "text")).where(F.length("text") >= 4)
-    sizes = lines.groupBy("deck", "page").agg(F.count("*").alias("k")).where("k >= 3")
-    tf = dedup.term_frequencies(lines, ["deck", "page", "n"], words(F.col("text")))
-    norms = tf.groupBy("deck", "page", "n").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    unit = tf.join(norms, ["deck", "page", "n"]).withColumn("u", F.col("tf") / F.col("norm"))
-    every = unit.groupBy("deck", "page", "tok").agg(F.sum("u").alias("all"))
-    sims = unit.join(every, ["deck", "page", "tok"]).groupBy("deck", "page", "n").agg(F.sum(F.col("u") * (F.col("all") - F.col("u"))).alias("s"))
-    m = lines.join(sizes, ["deck", "page"]).join(sims, ["deck", "page", "n"], "left").select("deck", "page", (F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / (F.col("k") - 1)).alias("sim"))
-    over = F.avg("sim").over(Window.partitionBy("deck", "page"))
-    out = m.withColumn("overall", over).where("sim < 0.01 and overall > 0.02 and sim < 0.15 * overall")
-    return _shaped(out, "C9_OUTLIER", "page", F.when(F.expr("sim < 0.003 or (overall > 0.03 and sim < 0.05 * overall)"), "critical").otherwise("notice"))
+    found = dedup.outliers(lines, ["deck", "page"], "n", words(F.col("text"))).where("outlier")
+    return _shaped(found, "C9_OUTLIER", "page", F.when(F.col("critical"), "critical").otherwise("notice"))
 
 
 def words(text: Column) -> Column:

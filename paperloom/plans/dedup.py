@@ -57,9 +57,13 @@ def greedy_dedup(t):
     return G.greedy_similar(t("embeddings"), 0.45)
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS removed, count(*) FILTER (NOT kept) * 100.0 / count(*) AS removal_rate FROM ({_greedy(0.45)})")
+_CLUSTERS = _greedy(0.45).rsplit("SELECT vec_id, NOT", 1)[0] + """, k AS MATERIALIZED (SELECT vec_id, NOT list_contains((SELECT dropped FROM walk ORDER BY step DESC LIMIT 1), vec_id) AS kept FROM embeddings),
+    o AS (SELECT e.j AS vec_id, min(e.i) AS owner FROM e JOIN k ON k.vec_id = e.i AND k.kept GROUP BY e.j), c AS (SELECT CASE WHEN kept THEN vec_id ELSE owner END AS cluster, count(*) AS n, count(*) FILTER (kept) AS kept FROM k LEFT JOIN o USING (vec_id) GROUP BY 1)"""
+
+
+@query(f"{_CLUSTERS} SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(n) - sum(kept) AS BIGINT) AS removed, (sum(n) - sum(kept)) * 100.0 / sum(n) AS removal_rate, count(*) FILTER (n > 1) AS clusters, max(n) FILTER (n > 1) AS largest FROM c")
 def dedup_statistics(t):
-    return G.removal_statistics(G.greedy_similar(t("embeddings"), 0.45))
+    return G.removal_statistics(G.greedy_clusters(t("embeddings"), 0.45))
 
 
 @query(f"SELECT vec_id, kept FROM ({_greedy(0.4)})")
@@ -125,23 +129,26 @@ def tf_cosine_adjacent(t):
     return out.select("conv_id", "turn", "nxt", "sim", (F.col("sim") > 0.75).alias("redundant"))
 
 
-_RECTS = "SELECT page, k, p % 20 AS x, s % 10 AS y, 5 + p % 37 AS w, 5 + s % 29 AS h FROM (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
+#: Order lines as rectangles of a page (an order); every fifth supplier's as a table.
+_RECTS = "SELECT page, k, s % 5 = 0 AS is_table, p % 240 AS x, s % 120 AS y, 60 + p % 440 AS w, 60 + s * 7 % 350 AS h FROM (SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)"
 
 
 @query(
-    f"""WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, k) AS n FROM ({_RECTS})),
+    f"""WITH RECURSIVE a AS MATERIALIZED ({_RECTS}), f AS (SELECT * FROM a WHERE NOT is_table AND w >= 100 AND h >= 80 AND w * h >= 30000 AND greatest(w, h) / least(w, h) <= 8 AND NOT EXISTS (SELECT 1 FROM a t WHERE t.is_table AND t.page = a.page
+        AND greatest(0, least(a.x + a.w, t.x + t.w) - greatest(a.x, t.x)) * greatest(0, least(a.y + a.h, t.y + t.h) - greatest(a.y, t.y)) > 0.5 * least(a.w * a.h, t.w * t.h))),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, k) AS n FROM f),
     e AS MATERIALIZED (SELECT a.page, a.n AS i, b.n AS j FROM r a JOIN r b ON a.page = b.page AND a.n < b.n AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.9 * b.w * b.h),
     before AS MATERIALIZED (SELECT r.page, r.n, coalesce(list(e.i), []) AS of FROM r LEFT JOIN e ON e.page = r.page AND e.j = r.n GROUP BY ALL),
     walk AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT page FROM r) UNION ALL
         SELECT walk.page, before.n, CASE WHEN len(list_filter(of, lambda x: list_contains(kept, x))) > 0 THEN kept ELSE list_append(kept, before.n) END FROM walk JOIN before ON before.page = walk.page AND before.n = walk.n + 1),
     done AS (SELECT page, arg_max(kept, n) AS kept FROM walk GROUP BY page)
-    SELECT r.k, list_contains(done.kept, r.n) AS kept FROM r JOIN done USING (page)"""
+    SELECT r.page, r.k, row_number() OVER (PARTITION BY r.page ORDER BY y, x, k) AS place FROM r JOIN done USING (page) WHERE list_contains(done.kept, r.n)"""
 )
 def rectangle_suppression(t):
-    """On each page (an order), rectangles that a larger one that stays covers to nine tenths go."""
+    """On each page (an order), the rectangles that are figures: large enough, no tables, and not in a larger one that stays."""
     each = t("lineitem").groupBy(F.col("l_orderkey").alias("page"), F.expr("l_orderkey * 10 + l_linenumber").alias("k")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    rows = each.selectExpr("page", "k", "p % 20 as x", "s % 10 as y", "5 + p % 37 as w", "5 + s % 29 as h")
-    return G.greedy_keep(rows, G.contained_rectangles(rows, "page", "k"), "k")
+    rows = each.selectExpr("page", "k", "s % 5 = 0 as is_table", "p % 240 as x", "s % 120 as y", "60 + p % 440 as w", "60 + s * 7 % 350 as h")
+    return G.figure_rectangles(rows.where("not is_table"), "page", "k", rows.where("is_table"), cell=128).withColumn("place", F.col("place").cast("long"))
 
 
 @query(
@@ -151,20 +158,10 @@ def rectangle_suppression(t):
     JOIN n a ON a.conv_id = x.conv_id AND a.turn = x.turn JOIN n b ON b.conv_id = y.conv_id AND b.turn = y.turn GROUP BY ALL),
     m AS (SELECT b.conv_id, b.turn, coalesce(sum(s.sim), 0) / (any_value(k.n) - 1) AS sim FROM blocks b JOIN k USING (conv_id) LEFT JOIN s ON s.conv_id = b.conv_id AND s.turn = b.turn GROUP BY b.conv_id, b.turn),
     g AS (SELECT *, avg(sim) OVER (PARTITION BY conv_id) AS overall FROM m)
-    SELECT conv_id, turn, sim, overall, sim < 0.01 AND overall > 0.02 AND sim < 0.15 * overall AS outlier, sim < 0.01 AND overall > 0.02 AND sim < 0.15 * overall AND (sim < 0.003 OR (overall > 0.03 AND sim < 0.05 * overall)) AS critical FROM g"""
+    SELECT conv_id, turn, sim, overall, NOT (turn > 5 AND conv_id % 2 = 0) AND sim < 0.01 AND overall > 0.02 AND sim < 0.15 * overall AS outlier, NOT (turn > 5 AND conv_id % 2 = 0) AND sim < 0.01 AND overall > 0.02 AND sim < 0.15 * overall AND (sim < 0.003 OR (overall > 0.03 AND sim < 0.05 * overall)) AS critical FROM g"""
 )
 def in_page_outliers(t):
-    """Blocks of a page (turns of a conversation) that share almost no words with the others."""
-    blocks = t("conversations").where(F.length("text") >= 4).select("conv_id", "turn", "text")
-    sizes = blocks.groupBy("conv_id").agg(F.count("*").alias("n")).where("n >= 3")
-    tf = G.term_frequencies(blocks, ["conv_id", "turn"], X.content_tokens(F.col("text")))
-    norms = tf.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    unit = tf.join(norms, ["conv_id", "turn"]).select("conv_id", "turn", "tok", (F.col("tf") / F.col("norm")).alias("u"))
-    # the sum over peers of dot products is a dot product with the peers' sum: linear in the page's tokens
-    totals = unit.groupBy("conv_id", "tok").agg(F.sum("u").alias("all"))
-    sims = unit.join(totals, ["conv_id", "tok"]).groupBy("conv_id", "turn").agg(F.sum(F.col("u") * (F.col("all") - F.col("u"))).alias("s"))
-    from pyspark.sql import Window
-
-    m = blocks.join(sizes, "conv_id").join(sims, ["conv_id", "turn"], "left").select("conv_id", "turn", (F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)) / (F.col("n") - 1)).alias("sim"))
-    g = m.withColumn("overall", F.avg("sim").over(Window.partitionBy("conv_id")))
-    return g.selectExpr("conv_id", "turn", "sim", "overall", "sim < 0.01 and overall > 0.02 and sim < 0.15 * overall as outlier", "sim < 0.01 and overall > 0.02 and sim < 0.15 * overall and (sim < 0.003 or (overall > 0.03 and sim < 0.05 * overall)) as critical")
+    """Blocks of a page (turns of a conversation) that share almost no words with the others; some are footnotes."""
+    blocks = t("conversations").where(F.length("text") >= 4)
+    top, size = F.lit(1_000_000) * F.col("turn"), F.when(F.col("conv_id") % 2 == 0, 10).otherwise(14)
+    return G.outliers(blocks, ["conv_id"], "turn", X.content_tokens(F.col("text")), top, size)

@@ -179,15 +179,20 @@ def layout_regions(t):
     return R.in_regions(points, regions, "page", "x", "y", least=1 << 20).groupBy("layout", "region").agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, CASE WHEN o.k IS NULL THEN 1 ELSE 0 END AS added FROM (SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_partkey % 2 = 0) o FULL JOIN (SELECT ps AS k, max(q) AS v FROM (SELECT l_partkey AS ps, l_quantity AS q FROM lineitem WHERE l_linenumber = 2) GROUP BY ps) n ON o.k = n.k")
+@query(
+    """WITH n AS (SELECT l_partkey AS k, arg_max(l_quantity, o) AS v, min(o) AS first FROM (SELECT l_partkey, l_quantity, l_orderkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS o FROM lineitem WHERE l_partkey IS NOT NULL) GROUP BY 1),
+    p AS (SELECT p_partkey AS k, p_retailprice AS v, p_size * 1000000 + p_partkey AS o FROM part WHERE p_partkey % 2 = 0)
+    SELECT p.k, coalesce(n.v, p.v) AS v, 0 AS part, CAST(p.o AS BIGINT) AS at_place FROM p LEFT JOIN n USING (k) UNION ALL SELECT k, v, 1, first FROM n WHERE k NOT IN (SELECT k FROM p)"""
+)
 def manifest_merge(t):
-    old = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("o"), F.lit(1).alias("has"))
-    new = t("lineitem").where("l_linenumber = 2").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_quantity").alias("n"))
-    return old.join(new, "k", "full_outer").select("k", F.coalesce("n", "o").alias("v"), F.when(F.col("has").isNull(), 1).otherwise(0).alias("added"))
+    """Parts as a manifest, all order lines as new entries."""
+    old = t("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), F.expr("cast(p_size * 1000000 + p_partkey as bigint)").alias("o"))
+    new = t("lineitem").select(F.col("l_partkey").alias("k"), F.col("l_quantity").alias("v"), F.expr("l_orderkey * 1000 + l_linenumber * 100 + cast(l_quantity as bigint)").alias("o"))
+    return J.merged_manifest(old, new, "k", "o").select("k", "v", F.col("place.part").alias("part"), F.col("place.at").alias("at_place"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size * 1.0 WHEN p_size > 20 THEN p_size * 914400 / 9525.0 ELSE 960.0 END AS width, coalesce(n, 1) AS usage FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) ON p_partkey = l_partkey")
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN p_size * 1.0 WHEN p_size > 20 THEN p_size * 914400 / 9525.0 ELSE 960.0 END AS width, coalesce(n, 1) AS usage FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
 def display_metadata_fallback(t):
-    used = t("lineitem").where("l_linenumber = 7").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    used = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
     inches, emu = F.when(F.col("p_size") > 40, F.col("p_size") * 1.0), F.when(F.col("p_size") > 20, F.col("p_size") * 914400 / 9525.0)
     return t("part").join(used, "p_partkey", "left").select("p_partkey", F.coalesce(inches.cast("double"), emu.cast("double"), F.lit(960.0)).alias("width"), F.coalesce("n", F.lit(1)).alias("usage"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dedup as G
+from ..operators import gates as Q
 from ._registry import query
 
 
@@ -37,17 +38,38 @@ def tokens_tf_top(t):
     return tf.groupBy("tok").agg(F.sum("tf").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "tok").limit(100)
 
 
-@query(
-    """WITH b AS (SELECT tok, count(*) AS n, min(item_id * 100000 + pos) AS first FROM (SELECT item_id, unnest(x) AS tok, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM benchmark)) GROUP BY tok),
-    top AS (SELECT tok FROM b ORDER BY n DESC, first LIMIT 20), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents)
-    SELECT tok, tok IN (SELECT tok FROM d) AS covered FROM top"""
-)
+_COVERED = """WITH b AS (SELECT tok, count(*) AS n, min((item_id, pos)) AS first FROM (SELECT item_id, unnest(x) AS tok, unnest(range(1, len(x) + 1)) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS x FROM benchmark)) GROUP BY tok),
+    top AS (SELECT tok, row_number() OVER (ORDER BY n DESC, first) AS place FROM b ORDER BY n DESC, first LIMIT 20), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM {pages}),
+    c AS (SELECT CAST(place AS INT) AS place, tok, tok IN (SELECT tok FROM d) AS covered FROM top)"""
+
+
+def _coverage(t, pages):
+    return Q.keyword_coverage(t("benchmark"), "item_id", X.content_tokens(F.col("text")), pages, X.content_tokens(F.col("text")))
+
+
+@query(f"{_COVERED.format(pages='documents')} SELECT place, tok, covered FROM c")
 def source_coverage(t):
     """The 20 commonest tokens of a source text, and which the pages cover anywhere."""
-    tokens = t("benchmark").select("item_id", F.posexplode(X.content_tokens(F.col("text"))).alias("pos", "tok"))
-    top = tokens.groupBy("tok").agg(F.count("*").alias("n"), F.min(F.col("item_id") * 100000 + F.col("pos")).alias("first")).orderBy(F.desc("n"), "first").limit(20)
-    deck = t("documents").select(F.explode(X.content_tokens(F.col("text"))).alias("tok")).distinct().withColumn("covered", F.lit(True))
-    return top.join(deck, "tok", "left").select("tok", F.coalesce("covered", F.lit(False)).alias("covered"))
+    return _coverage(t, t("documents"))
+
+
+@query(f"{_COVERED.format(pages='(SELECT role AS text FROM conversations UNION ALL SELECT lang FROM documents UNION ALL SELECT left(text, 40) FROM conversations)')} SELECT count(*) FILTER (covered) AS covered, count(*) AS total, array_to_string(list(tok ORDER BY place) FILTER (NOT covered)[1:10], ',') AS missing, round(count(*) FILTER (covered) / count(*), 2) AS coverage_rate FROM c")
+def coverage_rate(t):
+    """How much of the source a deck of short texts covers."""
+    c, d = t("conversations"), t("documents")
+    pages = c.select(F.col("role").alias("text")).union(d.select("lang")).union(c.select(F.left("text", F.lit(40))))
+    return Q.coverage_summary(_coverage(t, pages)).withColumn("missing", F.array_join("missing", ","))
+
+
+_PROJECTS = "o_orderpriority AS format, o_custkey % 3 AS errors, o_orderkey % 4 AS warnings, o_orderkey % 5 AS drawing_warnings, o_orderstatus <> 'O' AS has_readme, o_totalprice > 50000 AS has_spec"
+
+
+@query(
+    f"""SELECT format, count(*) AS projects, count(*) FILTER (errors = 0 AND warnings = 0 AND drawing_warnings = 0) AS valid, count(*) FILTER (errors > 0) AS has_errors, count(*) FILTER (errors = 0 AND (warnings > 0 OR drawing_warnings > 0)) AS has_warnings,
+    count(*) FILTER (NOT has_readme) AS missing_readme, count(*) FILTER (NOT has_spec) AS missing_spec, count(*) FILTER (drawing_warnings > 0) AS drawing_issues, grouping(format) = 1 AS all_formats FROM (SELECT {_PROJECTS} FROM orders) GROUP BY GROUPING SETS ((format), ())"""
+)
+def project_validation(t):
+    return Q.project_validation(t("orders").selectExpr(*_PROJECTS.split(", ")))
 
 
 @query("SELECT l_partkey, count(*) AS usage FROM lineitem GROUP BY 1 HAVING count(*) > 1")
