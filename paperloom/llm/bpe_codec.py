@@ -7,8 +7,8 @@ A run of white space longer than the library's regular-expression engine can bac
 out by rule: of a run of n characters before other text, the first n - 1 are one match; at the end
 of the text all n are.
 
-Null text: as empty. Empty text: no ids. Repeated rows: each is encoded. Extra columns: ignored
-by :func:`encode_decode`, which returns its own columns only.
+Null text: as empty. Empty text: no ids. Null, negative and wide ids: carried as they are. Repeated ids or rows: each is encoded, so
+there are no ties to settle. Very long texts: whole, ``ROWS`` texts of a batch at a time. Empty table: no rows. Extra columns, whatever their names: ignored, as every function returns its own columns only.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import slices
+
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK = 1 << 16
+#: Texts that a worker unpacks at once.
+ROWS = 64
 #: The white space of the pattern's ``\s`` (Unicode White_Space), as a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
 LONG_SPACE = re.compile(f"[{SPACE}]{{2000,}}")
@@ -84,7 +88,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     def run(batches):
         encoding = load(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             ids = [encode(encoding, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -96,7 +100,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str) -> DataFr
 
     def run(batches):
         encoding = load(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             data = [encoding.decode_bytes(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
 
@@ -108,7 +112,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
     def run(batches):
         encoding = load(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = encode(encoding, text)

@@ -18,7 +18,7 @@ size of the table, and those of groups over that by hashes of ids. A row's slot
 
 DataFrame functions only. The driver sees bins' sums, at most 2^FIRST_BITS, then 2^NEXT_BITS for each
 splitter, and the large groups. Null text: as empty. Null, negative and wide ids: by their hashes. Very long texts: a row each, whole. Rows that repeat id and text
-are one key: they stay in one shard. Ties: equal keys in any order. Empty table: no rows. The columns ``shard`` and ``slot`` of the input, if any, are replaced.
+are one key: they stay in one shard. Ties: equal keys in any order. Empty table: no rows. The columns ``shard`` and ``slot`` of the input, if any, are replaced; others may have any names.
 """
 
 from __future__ import annotations
@@ -193,7 +193,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     before = Window.partitionBy(_SHARD).orderBy(_BIN, _SUB).rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select(*place, F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias(_BASE))
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    # the added columns have names that a table is not likely to use, and end with this function
+    # the table's own columns travel as one, so that none can have the name of another
+    quoted = ["`" + c.replace("`", "``") + "`" for c in kept]
     rank = F.row_number().over(Window.partitionBy(place).orderBy(_H, _D))
-    ranked = binned(docs.select(*kept, h.alias(_H), d.alias(_D))).withColumn(_RANK, rank)
-    return ranked.join(base, place).select(*kept, F.col(_SHARD).alias("shard"), (F.col(_RANK) - 1 + F.col(_BASE)).alias("slot"))
+    ranked = binned(docs.select(F.struct(*map(F.col, quoted)).alias("_shard_row"), h.alias(_H), d.alias(_D))).withColumn(_RANK, rank)
+    return ranked.join(base, place).select("_shard_row.*", F.col(_SHARD).alias("shard"), (F.col(_RANK) - 1 + F.col(_BASE)).alias("slot"))
