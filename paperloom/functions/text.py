@@ -195,8 +195,8 @@ def orientation(width: Column, height: Column) -> Column:
 
 
 def ratio_class(ratio: Column) -> Column:
-    """Five classes of width to height."""
-    return F.when(ratio > 2.0, "ultra-wide").when(ratio > 1.5, "wide").when(ratio > 1.2, "standard").when(ratio > 0.8, "square").otherwise("portrait")
+    """Five classes of width to height; their names are fixed values."""
+    return F.when(ratio > 2.0, "Ultra-wide").when(ratio > 1.5, "Wide landscape").when(ratio > 1.2, "Standard landscape").when(ratio > 0.8, "Near square").otherwise("Portrait")
 
 
 #: Display names of licences by their lower-case aliases.
@@ -287,11 +287,30 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 
 
+#: Canvas formats, and other names of them.
+CANVAS_FORMATS = ("ppt169", "ppt43", "wechat", "xiaohongshu", "moments", "story", "banner", "a4")
+FORMAT_ALIASES = {"xhs": "xiaohongshu", "wechat_moment": "moments", "wechat-moment": "moments", "朋友圈": "moments", "小红书": "xiaohongshu"}
+
+
 def project_name(name: Column) -> dict[str, Column]:
-    """name, format and date of ``name_format_YYYYMMDD``; without that form the name alone."""
-    shape = r"^(.+)_([a-z0-9]+)_([0-9]{8})$"
-    fits = name.rlike(shape)
-    return {"name": F.when(fits, F.regexp_extract(name, shape, 1)).otherwise(name), "format": F.when(fits, F.regexp_extract(name, shape, 2)), "date": F.when(fits, F.try_to_date(F.regexp_extract(name, shape, 3), "yyyyMMdd"))}
+    """name, format and date of ``name_format_YYYYMMDD``, the format by its name or another name of it; else what stands before a known format and a date at the end. Null without a known format, or a date."""
+    low, shape = F.lower(name), r"^(.+)_([a-z0-9_-]+)_([0-9]{8})$"
+    raw = F.regexp_extract(low, shape, 2)
+    known = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FORMAT_ALIASES.items() for x in pair]), raw), raw)
+    fits = low.rlike(shape) & known.isin(*CANVAS_FORMATS)
+    longest = "|".join(sorted(CANVAS_FORMATS, key=len, reverse=True))
+    at_end = F.nullif(F.regexp_extract(low, f"_({longest})(?:_[0-9]{{8}})?$", 1), F.lit(""))
+    undated = F.regexp_replace(name, "_[0-9]{8}$", "")
+    rest = F.when(at_end.isNull(), undated).otherwise(F.regexp_replace(undated, f"(?i)_({longest})$", ""))
+    return {
+        "name": F.when(fits, F.left(name, F.length(F.regexp_extract(low, shape, 1)))).otherwise(rest),
+        "format": F.when(fits, known).otherwise(at_end),
+        "date": F.try_to_date(F.nullif(F.regexp_extract(name, "_([0-9]{8})$", 1), F.lit("")), "yyyyMMdd"),
+    }
+
+
+def has_chinese(text: Column) -> Column:
+    return F.coalesce(text.rlike(f"[{CJK}]"), F.lit(False))
 
 
 def search_tags(format_: Column, stem: Column, context: Column) -> Column:

@@ -43,6 +43,11 @@ def merged_manifest(old: DataFrame, new: DataFrame, key: str, order: str) -> Dat
     return kept.unionByName(added).select(key, "_r.*", "place")
 
 
+def unique_texts(rows: DataFrame, text: str, order: Column, letters: str) -> DataFrame:
+    """(text, first_seen): the distinct texts with one of some letters (a pattern), and where they are first seen, which is their order."""
+    return rows.where(F.col(text).rlike(letters)).groupBy(text).agg(F.min(order).alias("first_seen"))
+
+
 def unique_matches(left: DataFrame, right: DataFrame, key: str, other: str, on: str) -> DataFrame:
     """(key, other) for values of ``on`` that exactly one row on the right has."""
     single = right.groupBy(on).agg(F.count("*").alias("_n"), F.min(other).alias(other)).where("_n = 1").drop("_n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import joins as J
 from ._registry import query
 
 # blanks, as DuckDB's patterns name them
@@ -167,7 +168,7 @@ def spoken_text(t):
     return t("documents").select("doc_id", F.md5(X.spoken(F.concat_ws("\n", *marked, "text"))).alias("spoken"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN w <= 0 OR h <= 0 THEN 'unknown' WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'square' END AS orientation, CASE WHEN w / h > 2.0 THEN 'ultra-wide' WHEN w / h > 1.5 THEN 'wide' WHEN w / h > 1.2 THEN 'standard' WHEN w / h > 0.8 THEN 'square' ELSE 'portrait' END AS ratio_class FROM (SELECT l_orderkey, l_linenumber, l_quantity AS w, CAST(l_orderkey % 50 + 1 AS DOUBLE) AS h FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN w <= 0 OR h <= 0 THEN 'unknown' WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'square' END AS orientation, CASE WHEN w / h > 2.0 THEN 'Ultra-wide' WHEN w / h > 1.5 THEN 'Wide landscape' WHEN w / h > 1.2 THEN 'Standard landscape' WHEN w / h > 0.8 THEN 'Near square' ELSE 'Portrait' END AS ratio_class FROM (SELECT l_orderkey, l_linenumber, l_quantity AS w, CAST(l_orderkey % 50 + 1 AS DOUBLE) AS h FROM lineitem)")
 def aspect_class(t):
     w, h = F.col("l_quantity"), (F.col("l_orderkey") % 50 + 1).cast("double")
     return t("lineitem").select("l_orderkey", "l_linenumber", X.orientation(w, h).alias("orientation"), X.ratio_class(w / h).alias("ratio_class"))
@@ -248,6 +249,27 @@ def region_containment(t):
     return t("lineitem").groupBy(region.alias("l_shipmode_region")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT text, min(doc_id) AS first_seen FROM documents WHERE regexp_matches(text, '[äöüßéèñ]') GROUP BY text")
+_SOME_CHINESE = "(SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN left(text, 12) || '年' || doc_id % 9 WHEN 1 THEN '第' || doc_id % 30 || '页' ELSE left(text, 12) END AS text FROM documents)"
+
+
+@query(f"SELECT text, min(doc_id) AS first_seen FROM {_SOME_CHINESE} WHERE regexp_matches(text, '[一-鿿]') GROUP BY text")
 def unique_texts_in_order(t):
-    return t("documents").where(F.col("text").rlike("[äöüßéèñ]")).groupBy("text").agg(F.min("doc_id").alias("first_seen"))
+    """Openings of documents, some with Chinese letters, once each."""
+    kind = F.col("doc_id") % 4
+    text = F.when(kind == 0, F.concat(F.left("text", F.lit(12)), F.lit("年"), F.col("doc_id") % 9)).when(kind == 1, F.concat(F.lit("第"), F.col("doc_id") % 30, F.lit("页"))).otherwise(F.left("text", F.lit(12)))
+    return J.unique_texts(t("documents").select("doc_id", text.alias("text")), "text", F.col("doc_id"), f"[{X.CJK}]")
+
+
+_PROJECT = "p_name || CASE p_partkey % 6 WHEN 0 THEN '_PPT169_2024' || lpad(CAST(1 + p_partkey % 14 AS VARCHAR), 2, '0') || '05' WHEN 1 THEN '_xhs_20240229' WHEN 2 THEN '_story' WHEN 3 THEN '_other_20240101' WHEN 4 THEN '_wechat-moment_20241231' ELSE '-20240101' END"
+
+
+@query(
+    f"""SELECT p_partkey, p_name || CASE p_partkey % 6 WHEN 3 THEN '_other' WHEN 5 THEN '-20240101' ELSE '' END AS name, [{', '.join(f"'{x}'" for x in ('ppt169', 'xiaohongshu', 'story'))}, NULL, 'moments', NULL][CAST(p_partkey % 6 AS INT) + 1] AS format,
+    CAST(CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_partkey % 14 < 12 THEN TRY_CAST('2024-' || lpad(CAST(1 + p_partkey % 14 AS VARCHAR), 2, '0') || '-05' AS DATE) END WHEN 1 THEN DATE '2024-02-29' WHEN 3 THEN DATE '2024-01-01' WHEN 4 THEN DATE '2024-12-31' END AS VARCHAR) AS date FROM part"""
+)
+def project_names(t):
+    """Parts as projects whose names say their format and date in six ways."""
+    kind, k = F.col("p_partkey") % 6, F.col("p_partkey")
+    ending = F.when(kind == 0, F.concat(F.lit("_PPT169_2024"), F.lpad((1 + k % 14).cast("string"), 2, "0"), F.lit("05"))).when(kind == 1, "_xhs_20240229").when(kind == 2, "_story").when(kind == 3, "_other_20240101").when(kind == 4, "_wechat-moment_20241231").otherwise("-20240101")
+    found = X.project_name(F.concat("p_name", ending))
+    return t("part").select("p_partkey", found["name"].alias("name"), found["format"].alias("format"), found["date"].cast("string").alias("date"))

@@ -169,3 +169,14 @@ def test_stage_match_of_a_long_template(spark, most):
     assert {r.page: (r.stage_id, r.score) for r in m.collect()} == {1: ("s3", 18), 2: ("s9", 8), 3: (None, 0), 4: ("s1", 13)}
     report = gates.gate_report(m, stages, "deck", "page", "title").first()
     assert (report.pages, report.unmatched, report.missing, report.violations, report.passed) == (4, 1, 1, 1, False)
+
+
+def test_project_names(spark):
+    names = ["Deck_ppt169_20240131", "d_XHS_20240230", "a_b_story", "deck-20240131", "x_wechat_moment_20240101", "x_wechat-moment_20240101", "朋友圈_20240101", "n_unknown_20240101", "a_A4"]
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    parts = X.project_name(F.col("t"))
+    got = [(r.n, r.f, str(r.d)) for r in df.select(parts["name"].alias("n"), parts["format"].alias("f"), parts["date"].alias("d")).collect()]
+    assert got == [
+        ("Deck", "ppt169", "2024-01-31"), ("d", "xiaohongshu", "None"), ("a_b", "story", "None"), ("deck-20240131", None, "None"), ("x_wechat_moment", None, "2024-01-01"), ("x", "moments", "2024-01-01"), ("朋友圈", None, "2024-01-01"),
+        ("n_unknown", None, "2024-01-01"), ("a", "a4", "None"),
+    ]
