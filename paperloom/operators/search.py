@@ -21,12 +21,17 @@ def string_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def keyword_score(words: Column, text: Column, terms: list[str]) -> Column:
-    """Of each term 2 if a keyword has it, else 1 if the text has it; over twice the number of terms."""
+def keyword_score(words: Column | None, text: Column, terms: list[str]) -> Column:
+    """Of each term 2 if a keyword has it, else 1 if the text has it; over twice the number of terms.
+
+    Without ``words`` the keywords are all of the text's words between spaces: one of them has a term without a space exactly if the text has it, so no array of them is made.
+    """
     total = F.lit(0)
     low = F.lower(text)
     for term in terms:
-        total = total + F.when(F.exists(words, _contains(term)), 2).when(low.contains(term), 1).otherwise(0)
+        there = low.contains(term)
+        keyword = F.exists(words, _contains(term)) if words is not None else F.lit(False) if " " in term else there
+        total = total + F.when(keyword, 2).when(there, 1).otherwise(0)
     return total / (2.0 * len(terms))
 
 
@@ -34,7 +39,7 @@ def _contains(term: str):
     return lambda w: F.lower(w).contains(term)
 
 
-def keyword_search(items: DataFrame, terms: list[str], k: int, key: str, words: Column, text: Column) -> DataFrame:
+def keyword_search(items: DataFrame, terms: list[str], k: int, key: str, words: Column | None, text: Column) -> DataFrame:
     """The k items of the highest keyword score over 0; ties by key."""
     scored = items.withColumn("score", keyword_score(words, text, terms)).where("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k)

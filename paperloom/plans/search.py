@@ -13,16 +13,12 @@ TERMS = ["license", "the", "stupid"]
 _KW = "string_split(lower(text), ' ')"
 
 
-def _words(column: str = "text"):
-    return F.split(F.lower(column), " ")
-
-
 _KEYWORD_SCORE = "(" + " + ".join(f"CASE WHEN len(list_filter({_KW}, lambda w: contains(w, '{q}'))) > 0 THEN 2 WHEN contains(lower(text), '{q}') THEN 1 ELSE 0 END" for q in TERMS) + f") / {2 * len(TERMS)}.0"
 
 
 @query(f"SELECT doc_id, source, score FROM (SELECT doc_id, source, CAST({_KEYWORD_SCORE} AS DOUBLE) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50")
 def kw_search_topk(t):
-    return S.keyword_search(t("documents"), TERMS, 50, "doc_id", _words(), F.col("text")).select("doc_id", "source", "score")
+    return S.keyword_search(t("documents"), TERMS, 50, "doc_id", None, F.col("text")).select("doc_id", "source", "score")
 
 
 _TAGS = "list_distinct([lang, source] || regexp_extract_all(lower(text), '[a-z]+'))"
@@ -101,8 +97,8 @@ def hybrid_rerank(t):
     UNION ALL (SELECT 'benchmark' AS mode, item_id AS id, score FROM (SELECT item_id, CAST({_KEYWORD_SCORE} AS DOUBLE) AS score FROM benchmark) WHERE score > 0 ORDER BY score DESC, item_id LIMIT 5)"""
 )
 def multi_corpus_search(t):
-    a = S.keyword_search(t("documents"), TERMS, 5, "doc_id", _words(), F.col("text")).select(F.lit("documents").alias("mode"), F.col("doc_id").alias("id"), "score")
-    b = S.keyword_search(t("benchmark"), TERMS, 5, "item_id", _words(), F.col("text")).select(F.lit("benchmark").alias("mode"), F.col("item_id").alias("id"), "score")
+    a = S.keyword_search(t("documents"), TERMS, 5, "doc_id", None, F.col("text")).select(F.lit("documents").alias("mode"), F.col("doc_id").alias("id"), "score")
+    b = S.keyword_search(t("benchmark"), TERMS, 5, "item_id", None, F.col("text")).select(F.lit("benchmark").alias("mode"), F.col("item_id").alias("id"), "score")
     return a.unionByName(b)
 
 
@@ -166,7 +162,7 @@ def search_to_fill(t):
 
 @query(f"SELECT array_to_string(list(doc_id ORDER BY score DESC, doc_id), ',') AS merged FROM (SELECT doc_id, {_KEYWORD_SCORE} AS score FROM documents) WHERE doc_id IN (SELECT doc_id FROM (SELECT doc_id, {_KEYWORD_SCORE} AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10)")
 def search_and_merge(t):
-    top = S.keyword_search(t("documents"), TERMS, 10, "doc_id", _words(), F.col("text"))
+    top = S.keyword_search(t("documents"), TERMS, 10, "doc_id", None, F.col("text"))
     entries = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id")))
     return top.agg(F.array_join(F.transform(entries, lambda e: e["doc_id"].cast("string")), ",").alias("merged"))
 
