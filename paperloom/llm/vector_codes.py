@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import slices, written
 
-SCALE, PARTS, ENTRIES, ROUNDS, BITS = 4096, 8, 16, 6, 4
+SCALE, PARTS, ENTRIES, ROUNDS, BITS = 4096, 8, 16, 6, 3
 #: Integers under this are computed with in 64 bits, and wider ones in limbs of as many bits.
 LIMB = 24
 #: Vectors whose tables a worker makes at once.
@@ -66,19 +66,24 @@ class Codebooks:
         #: The cell of each entry's coordinate, and each cell's least and greatest integer.
         self.cell = np.stack([(points[:, j, None] >= edges[j, 1:-1]).sum(1) for j in range(parts * width)], 1).astype(np.int64) if parts * width else np.zeros((n, 0), np.int64)
         self.low, self.high = edges[:, :-1], np.maximum(edges[:, 1:] - 1, edges[:, :-1])
+        self.most = int(max((abs(x) for x in points.flat), default=0)) + 1
 
     def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) bounds of the distance of each vector's part to each entry, through tables by coordinate and cell."""
         parts, n, width = self.entries.shape
-        below, above = self.low - vectors[:, :, None], vectors[:, :, None] - self.high
+        low, high = self.low, self.high
+        if vectors.dtype == np.int64 and len(vectors) and width * (self.most + int(np.abs(vectors).max()) + 1) ** 2 < 1 << 31:
+            low, high, vectors = low.astype(np.int32), high.astype(np.int32), vectors.astype(np.int32)  # no sum leaves 32 bits
+        below, above = low - vectors[:, :, None], vectors[:, :, None] - high
         inside = np.maximum(np.maximum(below, above), 0)
         least = inside * inside
         far = np.maximum(np.abs(below), np.abs(above))
         most = far * far
-        at = np.arange(parts * width)
-        shape = (len(vectors), parts, width)
-        lower, upper = ([table[:, at, self.cell[e]].reshape(shape).sum(2) for e in range(n)] for table in (least, most))
-        return np.stack(lower, 2), np.stack(upper, 2)
+        cells = least.shape[2]
+        at = (np.arange(parts * width) * cells + self.cell).reshape(-1)  # of each entry's coordinates in a vector's table
+        shape = (len(vectors), n, parts, width)
+        lower, upper = (table.reshape(len(vectors), -1).take(at, 1).reshape(shape).sum(3, dtype=table.dtype).transpose(0, 2, 1) for table in (least, most))
+        return lower, upper
 
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """(entry of each part, its distance, distances that were refined) of vectors of integers."""
