@@ -594,7 +594,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     plain = lambda rows: Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
     got = queries.queries()[name](spark, sf)
