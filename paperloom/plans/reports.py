@@ -58,7 +58,7 @@ def coverage_rate(t):
     """How much of the source a deck of short texts covers."""
     c, d = t("conversations"), t("documents")
     pages = c.select(F.col("role").alias("text")).union(d.select("lang")).union(c.select(F.left("text", F.lit(40))))
-    return Q.coverage_summary(_coverage(t, pages)).withColumn("missing", F.array_join("missing", ","))
+    return Q.coverage_summary(_coverage(t, pages)).withColumn("missing", F.when(F.size("missing") > 0, F.array_join("missing", ",")))
 
 
 _PROJECTS = "o_orderpriority AS format, o_custkey % 3 AS errors, o_orderkey % 4 AS warnings, o_orderkey % 5 AS drawing_warnings, o_orderstatus <> 'O' AS has_readme, o_totalprice > 50000 AS has_spec"
