@@ -15,7 +15,7 @@ _IMAGES = """(SELECT l_orderkey AS file, l_linenumber * 100000 + l_partkey AS n,
     FROM (SELECT *, min(CASE WHEN large THEN n END) OVER (PARTITION BY file, content_hash) AS first FROM (SELECT *, width >= 100 AND height >= 100 AND width * height >= 30000 AND n_bytes >= 2048 AS large FROM {_IMAGES})) GROUP BY file, n"""
 )
 def kept_images(t):
-    rows = t("lineitem").selectExpr("l_orderkey as file", "l_linenumber * 100000 + l_partkey as n", "l_partkey % 700 as width", "l_suppkey * 13 % 900 as height", "cast(l_extendedprice as int) as n_bytes", "l_partkey % 50 as content_hash", "0 as x0", "0 as y0", "l_quantity as x1", "l_quantity * 2 as y1", "1000 as page_width", "1000 as page_height")
+    rows = t("lineitem").selectExpr("l_orderkey as file", "l_linenumber * 100000 + l_partkey as n", "l_partkey % 700 as width", "l_suppkey * 13 % 900 as height", "cast(rint(l_extendedprice) as int) as n_bytes", "l_partkey % 50 as content_hash", "0 as x0", "0 as y0", "l_quantity as x1", "l_quantity * 2 as y1", "1000 as page_width", "1000 as page_height")
     return figures.kept_images(rows, ["n"]).groupBy("file", "n").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
 
 

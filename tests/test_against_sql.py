@@ -36,3 +36,8 @@ def test_something_missing_is_named(differences):
     benchmark = "SELECT 1::BIGINT AS item_id, 'user zebra the' AS text"
     conversations = "SELECT 1::BIGINT AS conv_id, 'user' AS role, 'the a' AS text"
     assert differences("coverage_rate", benchmark=benchmark, conversations=conversations, documents="SELECT 'en' AS lang") == ([], [])
+
+
+def test_bytes_of_images_are_rounded(differences):
+    lines = "SELECT k AS l_orderkey, 1 AS l_linenumber, 150::BIGINT AS l_partkey, 16::BIGINT AS l_suppkey, 50.0::DOUBLE AS l_quantity, 2494.0 + k / 4.0 AS l_extendedprice FROM range(9) r(k)"
+    assert differences("kept_images", lineitem=lines) == ([], [])
