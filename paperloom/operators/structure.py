@@ -254,12 +254,14 @@ def repeated_blocks(blocks: DataFrame, doc: str, page: str, text: str, share: fl
     return counts.groupBy(doc, text).agg(F.max("times").alias("times"), F.max("pages").alias("pages"))
 
 
-def without_noise(blocks: DataFrame, noise: DataFrame, doc: str, text: str) -> DataFrame:
-    """Blocks whose text is no running head or foot of their document (doc, text), without their lines that are; blocks of which nothing is left go."""
+def without_noise(blocks: DataFrame, noise: DataFrame, doc: str, text: str, by_line: bool = True) -> DataFrame:
+    """Blocks whose text is no running head or foot of their document (doc, text), ``by_line`` without their lines that are; blocks of which nothing is left go."""
     found = noise.select(doc, F.col(text).alias("_noise")).distinct()
     left = blocks.withColumn("_noise", X.strip(F.col(text))).join(found, [doc, "_noise"], "left_anti").drop("_noise")
     # a document's noise is what its head and foot say: few texts
     lines = left.join(found.groupBy(doc).agg(F.collect_set("_noise").alias("_set")), doc, "left")
+    if not by_line:
+        return lines.where((F.trim(text) != "") | F.col("_set").isNull()).drop("_set")
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_set"), X.strip(x)), F.lit(False)))
     return lines.withColumn(text, F.array_join(kept, "\n")).where((F.trim(text) != "") | F.col("_set").isNull()).drop("_set")
 

@@ -41,3 +41,8 @@ def test_something_missing_is_named(differences):
 def test_bytes_of_images_are_rounded(differences):
     lines = "SELECT k AS l_orderkey, 1 AS l_linenumber, 150::BIGINT AS l_partkey, 16::BIGINT AS l_suppkey, 50.0::DOUBLE AS l_quantity, 2494.0 + k / 4.0 AS l_extendedprice FROM range(9) r(k)"
     assert differences("kept_images", lineitem=lines) == ([], [])
+
+
+def test_noise_inside_a_block_stays(differences):
+    rows = "SELECT 1::BIGINT AS conv_id, k AS turn, 'Head one two three four five six ' || CASE WHEN k = 1 THEN 'x\nHead' ELSE 'y' END || ' more words and still more' AS text FROM range(4) r(k)".replace("\n", "' || chr(10) || '")
+    assert differences("noise_suppression", conversations=rows) == ([], [])
