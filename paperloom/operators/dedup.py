@@ -208,31 +208,76 @@ def cluster_sizes(kept: DataFrame) -> DataFrame:
     return kept.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
 
 
+#: Rows of a group from which on its pairs aren't all listed at once; listed pairs at a time.
+LARGE_GROUP, PAIRS = 512, 1 << 21
+
+
+def _linked(x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
+    """The first row of each row's component, of one group: a search from each row that isn't reached yet."""
+    label = np.full(len(x), -1)
+    for i in range(len(x)):
+        if label[i] >= 0:
+            continue
+        label[i], todo = i, [i]
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero((label < 0) & (np.abs(x - x[at]) + np.abs(y - y[at]) < distance))
+            label[near] = i
+            todo += near.tolist()
+    return label
+
+
+def linked_rows(start: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, distance: float) -> np.ndarray:
+    """The first row of each row's component by links nearer than ``distance``, for groups of ``sizes`` rows that begin at ``start``."""
+    label = np.arange(len(x))
+    for g in np.flatnonzero(sizes > LARGE_GROUP).tolist():
+        rows = slice(start[g], start[g] + sizes[g])
+        label[rows] = start[g] + _linked(x[rows], y[rows], distance)
+    small = np.flatnonzero(sizes <= LARGE_GROUP)
+    chunk = np.cumsum(sizes[small] ** 2) // PAIRS
+    for some in np.split(small, np.flatnonzero(np.diff(chunk)) + 1):
+        row = np.repeat(start[some], sizes[some]) + np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some])
+        first, n = np.repeat(start[some], sizes[some]), np.repeat(sizes[some], sizes[some])
+        i = np.repeat(row, n)
+        j = np.repeat(first, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = (i != j) & (np.abs(x[i] - x[j]) + np.abs(y[i] - y[j]) < distance)
+        i, j = i[near], j[near]
+        while True:
+            before = label[row].copy()
+            np.minimum.at(label, i, label[j])
+            label[row] = label[label[row]]
+            if (label[row] == before).all():
+                break
+    return label
+
+
 def geometric_clusters(boxes: DataFrame, group: str, key: str, x: str, y: str, area: str, distance: float) -> DataFrame:
     """(group, key, cluster): single linkage by the centres' Manhattan distance; clusters by area, largest first.
 
-    A group is one page's shapes, which are few; groups are clustered in tasks of their own.
+    A group is one page's shapes, which are few: a row of arrays. Tasks cluster a batch of groups at once.
     """
-
-    def run(pdf):
-        pts, keys, areas = pdf[[x, y]].to_numpy(float), pdf[key].to_numpy(), pdf[area].to_numpy(float)
-        order = np.argsort(keys)
-        pts, keys, areas = pts[order], keys[order], areas[order]
-        label = np.full(len(keys), -1)
-        for i in range(len(keys)):
-            if label[i] >= 0:
-                continue
-            label[i], todo = i, [i]
-            while todo:
-                near = np.flatnonzero((label < 0) & (np.abs(pts - pts[todo.pop()]).sum(1) < distance))
-                label[near] = i
-                todo += near.tolist()
-        total = {c: areas[label == c].sum() for c in set(label.tolist())}
-        rank = {c: n for n, c in enumerate(sorted(total, key=lambda c: (-total[c], c)), 1)}
-        return pdf.iloc[order][[group, key]].assign(cluster=[rank[c] for c in label.tolist()])
-
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    at = F.col(group)
+    by = boxes.groupBy(at).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(area).cast("double").alias("a")))).alias("s"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            k, px, py, areas = lists.flatten().flatten()
+            px, py, areas = (c.to_numpy(zero_copy_only=False) for c in (px, py, areas))
+            start = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            label = linked_rows(start, sizes, px, py, distance)
+            total = np.bincount(label, np.nan_to_num(areas), len(label))
+            roots = np.flatnonzero(label == np.arange(len(label)))
+            roots = roots[np.lexsort((roots, -total[roots], owner[roots]))]
+            rank = np.zeros(len(label), np.int64)
+            own = owner[roots]
+            rank[roots] = np.arange(len(roots)) - np.searchsorted(own, own) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), k, pa.array(rank[label])], [group, key, "cluster"])
+
+    return by.mapInArrow(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
 def contained_rectangles(rects: DataFrame, page: str, key: str, share: float = 0.9, cell: int = 16) -> DataFrame:
