@@ -1,6 +1,7 @@
 """Joins of rectangles and points in two dimensions, by a grid of levels.
 
-A rectangle (x0, y0, x1, y1) has the level whose cells are as wide as its longer side: it touches four of these cells at most, whatever its size. Two
+A rectangle (x0, y0, x1, y1) has the level whose cells are as wide as its longer side: it touches four of these cells at most, whatever its size. A long and thin one has finer
+cells, ``THIN`` times its shorter side wide or a ``PIECES``th of its longer one, so that it doesn't meet all that lies beside it. Two
 rectangles meet in the cells of the coarser one's level; each pair is reported by one cell, that of the lower left corner of what they share. So it is an
 equi-join on (page, level, cell) without duplicates, and a page of many boxes is as many keys as it has cells. Bounds are inclusive: rectangles that touch meet.
 """
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = ("x0", "y0", "x1", "y1")
+#: From which ratio of its sides on a rectangle is long and thin, and how many cells it is cut into at most, along its longer side.
+THIN, PIECES = 8, 64
 #: A slide's size, and the regions (x0, x1, y0, y1) of the usual layouts.
 SLIDE_WIDTH, SLIDE_HEIGHT = 12_192_000, 6_858_000
 LAYOUTS = {
@@ -23,7 +26,9 @@ LAYOUTS = {
 
 def _levelled(rects: DataFrame, page: str, side: str, least: float) -> DataFrame:
     named = rects.select(F.col(page).alias(page), *(F.col(c).cast("double").alias(side + c) for c in SIDES), F.struct(*[c for c in rects.columns if c != page]).alias(side))
-    size = F.greatest(F.col(side + "x1") - F.col(side + "x0"), F.col(side + "y1") - F.col(side + "y0"))
+    wide, high = F.col(side + "x1") - F.col(side + "x0"), F.col(side + "y1") - F.col(side + "y0")
+    longer = F.greatest(wide, high)
+    size = F.least(longer, F.greatest(THIN * F.least(wide, high), longer / PIECES))
     level = F.when(size <= least, 0).otherwise(F.ceil(F.log2(size / least))).cast("int")
     return named.where((F.col(side + "x0") <= F.col(side + "x1")) & (F.col(side + "y0") <= F.col(side + "y1"))).withColumn(side + "level", level)
 

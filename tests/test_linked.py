@@ -24,3 +24,19 @@ def test_small_groups_share_tasks(spark):
     got = {(r.g, r.k): r.cluster for r in found.collect()}
     # one cluster where steps are 10; else the largest area first
     assert got == {(g, k): 1 if g % 3 == 0 else 4 - k for g in range(50) for k in range(4)}
+
+
+def test_thin_boxes_are_cut_along_their_longer_side(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import regions as R
+
+    rng = np.random.default_rng(3)
+    box = lambda n, w, h: [(0, k, float(x), float(y), float(x + rng.integers(0, w)), float(y + rng.integers(0, h))) for k, (x, y) in enumerate(rng.integers(0, 5000, (n, 2)))]
+    a, b = box(80, 4000, 9) + box(80, 9, 4000) + box(40, 300, 300), box(60, 4000, 30) + box(60, 40, 40)
+    kind = "p int, k long, x0 double, y0 double, x1 double, y1 double"
+    left, right = (spark.createDataFrame([(r[0], n, *r[2:]) for n, r in enumerate(rows)], kind) for rows in (a, b))
+    got = sorted(tuple(r) for r in R.meeting(left, right, "p", 4).select("a.k", F.col("b.k").alias("j")).collect())
+    assert got == sorted((i, j) for i, s in enumerate(a) for j, t in enumerate(b) if s[2] <= t[4] and t[2] <= s[4] and s[3] <= t[5] and t[3] <= s[5])
+    thin = spark.createDataFrame([(0, 1, 0.0, 0.0, 6e6, 1000.0)], kind)
+    assert R._levelled(thin, "p", "a", 4096).first().alevel == 5
