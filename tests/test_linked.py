@@ -40,3 +40,14 @@ def test_thin_boxes_are_cut_along_their_longer_side(spark):
     assert got == sorted((i, j) for i, s in enumerate(a) for j, t in enumerate(b) if s[2] <= t[4] and t[2] <= s[4] and s[3] <= t[5] and t[3] <= s[5])
     thin = spark.createDataFrame([(0, 1, 0.0, 0.0, 6e6, 1000.0)], kind)
     assert R._levelled(thin, "p", "a", 4096).first().alevel == 5
+
+
+def test_tokens_and_keywords_are_made_once(spark, tmp_path):
+    from paperloom import plans
+
+    spark.createDataFrame([(1, "Ab ab  x\ty 12 12 ...")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, most in (("search_token_sets", {"regexp_replace(": 1, "regexp_extract_all(": 4}), ("keyword_runs", {"array_distinct(": 2})):
+        df = plans.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all(plan.count(text) <= times for text, times in most.items()), plan
+        assert df.count() == 1
