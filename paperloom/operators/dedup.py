@@ -30,7 +30,9 @@ def shortest_path_entry(rows: DataFrame, group: str, path: str, order: str) -> D
 
 
 #: Rows of a block; two blocks meet in one matrix product. Cells that vectors are put into at most: their directions are sent to all tasks.
-BLOCK, CELLS = 2048, 1024
+BLOCK, CELLS = 8192, 1024
+#: Visitors of a block that are multiplied at once.
+SLICE = 512
 #: Bounds are widened by this share, as they are rounded.
 SLACK = 1e-9
 
@@ -94,7 +96,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     every cell, as in any exact join of such data. A cell's homes and visitors are cut into blocks; a pair of blocks is one matrix product in a task, whatever the cell's size. Rows are shuffled
     as often as blocks meet them, and nothing is a product of tables. Null vectors, and those of another length than the first by hash, have no pairs.
     """
-    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    # floats are moved as floats, and multiplied as doubles
+    kind = dict(vectors.dtypes)[vector] if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), (F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")).alias("v"))
     sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
     if sizes is None:
         return rows.select(F.col("k").alias("i"), F.col("k").alias("j"))
@@ -138,16 +142,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vec
     def multiply(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         is_home, home, keys = (table.column(c).to_numpy() for c in ("is_home", "home", "k"))
-        matrix = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(keys), width)
-        found = [np.zeros(0, np.int64)] * 2
-        if is_home.any() and not is_home.all():
-            x, y = np.nonzero(matrix[~is_home] @ matrix[is_home].T > threshold)
-            guest, host, same = keys[~is_home][x], keys[is_home][y], home[~is_home][x] == home[is_home][y]
+        matrix = table.column("v").combine_chunks().flatten().to_numpy().astype(float, copy=False).reshape(len(keys), width)
+        hosts, guests_at, found = np.flatnonzero(is_home), np.flatnonzero(~is_home), [(np.zeros(0, np.int64),) * 2]
+        other = matrix[hosts].T
+        for low in range(0, len(guests_at) if len(hosts) else 0, SLICE):
+            some = guests_at[low : low + SLICE]
+            x, y = np.nonzero(matrix[some] @ other > threshold)
+            guest, host, same = keys[some[x]], keys[hosts[y]], home[some[x]] == home[hosts[y]]
             keep = (guest != host) & (~same | (guest < host))
-            found = [np.minimum(guest, host)[keep], np.maximum(guest, host)[keep]]
-        return pa.table({"i": pa.array(found[0]), "j": pa.array(found[1])})
+            found.append((np.minimum(guest, host)[keep], np.maximum(guest, host)[keep]))
+        i, j = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"i": pa.array(i), "j": pa.array(j)})
 
-    sent = rows.mapInArrow(send, "cell long, h long, g long, is_home boolean, home long, k long, v array<double>")
+    sent = rows.mapInArrow(send, f"cell long, h long, g long, is_home boolean, home long, k long, v {kind}")
     return sent.groupBy("cell", "h", "g").applyInArrow(multiply, "i long, j long")
 
 

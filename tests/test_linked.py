@@ -51,3 +51,15 @@ def test_tokens_and_keywords_are_made_once(spark, tmp_path):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert all(plan.count(text) <= times for text, times in most.items()), plan
         assert df.count() == 1
+
+
+def test_similar_floats_by_slices(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(90, 8)).astype(np.float32)
+    monkeypatch.setattr(G, "SLICE", 7)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    product = v.astype(float) @ v.astype(float).T
+    assert G.BLOCK >= 8192
+    for block in (20, 2048):
+        got = {tuple(r) for r in G.similar_pairs(rows, 2.0, block=block).collect()}
+        assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if product[i, j] > 2.0}
