@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -374,19 +376,34 @@ def note_sections(lines: DataFrame, doc: str, order: str, text: str) -> DataFram
 
 
 def merged_headings(elements: DataFrame, doc: str, order: str, level: str, text: str, longest: int = 60) -> DataFrame:
-    """Neighbouring headings of one level as one, as long as the result is short. A fold in order, by document."""
-    kinds = dict(elements.dtypes)
+    """Neighbouring headings of one level as one, as long as the result is short. A fold in order, by document; tasks take a batch of documents, a row of arrays each."""
+    kinds, columns = dict(elements.dtypes), (order, level, text)
+    by = elements.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"c{n}") for n, c in enumerate(columns))))).alias("_rows"))
 
-    def run(pdf):
+    def merged(rows: list[list]) -> list[list]:
         out = []
-        for row in pdf.sort_values(order)[[doc, order, level, text]].itertuples(index=False, name=None):
-            if out and row[2] > 0 and out[-1][2] == row[2] and len(out[-1][3]) + 1 + len(row[3]) <= longest:
-                out[-1] = (*out[-1][:3], f"{out[-1][3]} {row[3]}")
+        for at, lev, line in sorted(rows, key=lambda row: row[0] is None):
+            if out and (lev or 0) > 0 and out[-1][1] == lev and len(out[-1][2]) + 1 + len(line) <= longest:
+                out[-1][2] += f" {line}"
             else:
-                out.append(row)
-        return pd.DataFrame(out, columns=[doc, order, level, text])
+                out.append([at, lev, line])
+        return out
 
-    return elements.select(doc, order, level, text).groupBy(doc).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (doc, order, level, text)))
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            kind = lists.type.value_type
+            fields = [c.to_pylist() for c in lists.flatten().flatten()]
+            ends = np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
+            found, owner, low = [], [], 0
+            for n, high in enumerate(ends):
+                rows = merged(list(zip(*(f[low:high] for f in fields), strict=True)))
+                found += rows
+                owner += [n] * len(rows)
+                low = high
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[k] for r in found], kind.field(k).type) for k in range(3))], [doc, *columns])
+
+    return by.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (doc, *columns)))
 
 
 def split_at_sections(sections: DataFrame, chapter: str, start: str, last: str, most: int, least: int = 3) -> DataFrame:

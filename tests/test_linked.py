@@ -63,3 +63,14 @@ def test_similar_floats_by_slices(spark, monkeypatch):
     for block in (20, 2048):
         got = {tuple(r) for r in G.similar_pairs(rows, 2.0, block=block).collect()}
         assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if product[i, j] > 2.0}
+
+
+def test_headings_of_many_documents_share_tasks(spark):
+    from paperloom.operators import structure as S
+
+    rows = [(d, n, level, "h" * 20) for d in range(30) for n, level in enumerate((1, 1, 1, 0, 0, 2, 1))]
+    found = S.merged_headings(spark.createDataFrame(rows, "d long, n int, level int, t string"), "d", "n", "level", "t")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    h = "h" * 20
+    one = [(0, 1, f"{h} {h}"), (2, 1, h), (3, 0, h), (4, 0, h), (5, 2, h), (6, 1, h)]
+    assert sorted(tuple(r) for r in found.collect()) == [(d, *r) for d in range(30) for r in one]
