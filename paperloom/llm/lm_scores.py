@@ -18,6 +18,9 @@ enough for all sizes, goes to the executors, as do the ``HOT`` most frequent tok
 is its shorter context's, plus the state's backoff weight, plus a *gain*, so that a traversal of the whole automaton adds to that of the hot
 one just the weights and gains of the contexts and arcs that are not hot, each of which is a key of the text's own n-grams. No
 frequent key takes part in the join, and a bitmap of fixed size spares it most keys that the model doesn't have. These sizes change no score.
+An n-gram's gain and its weight as a context have one key, and come as one sum: one that ends a text is no context of the model, as its end token is
+followed by none. Keys are evenly spread, so that their first bits deal them to buckets, where sorted arrays of asked keys meet those of the model; a bucket
+sends back a sum for each text. A batch of texts is known by its partition and place there, as rows read again come in the same order.
 
 N-grams that occur once are kept from the shuffle: tasks first send 32-bit fingerprints, four bytes an n-gram, and only n-grams whose fingerprint comes
 twice are counted by their keys.
@@ -31,11 +34,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, send, sent_within, signed, slices, written
+from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, send, sent_within, signed, slices, sweep, written
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -48,9 +51,13 @@ FLUSH_TOKENS = 1 << 20
 #: Bits of the filters: 16 MB. They only spare work.
 FILTER_BITS = 1 << 27
 #: Tokens that are traversed in a row; rows of documents that are scored at once.
-CUT, ROWS = 256, 2048
-#: What tells the key of a context's backoff weight from the n-gram's own.
-_WEIGHT = np.uint64(0xD6E8FEB86659FD93)
+CUT, ROWS = 64, 1024
+#: Training tokens to each bucket of keys, and keys of the model that a task sorts at once.
+BUCKET_TOKENS, MODEL_KEYS = 1 << 22, 1 << 20
+#: What tells the key of a token's backoff weight as a context, and of its own log-probability, from an n-gram's.
+_WEIGHT, _TOKEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Marks the number of a text that asks for a token, of ``ROWS`` at most.
+_ASKS_TOKEN = np.uint16(1 << 15)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +96,24 @@ def gram_keys(contexts: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     return mixed(contexts * _STEP + suffixes)
 
 
-def weight_keys(contexts: np.ndarray) -> np.ndarray:
-    return mixed(contexts ^ _WEIGHT)
+def weight_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of the weights of contexts of one token; a longer one's is its n-gram's key."""
+    return mixed(tokens ^ _WEIGHT)
+
+
+def token_keys(tokens: np.ndarray) -> np.ndarray:
+    return mixed(tokens ^ _TOKEN)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte: the first bytes of all, which are mostly 0, lie together for compression."""
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
 
 
 def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
@@ -104,13 +127,14 @@ def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
 
 
 def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
-    """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more."""
+    """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more, dealt by suffix."""
     def keys_of(batches):
         for hashes, counts in gathered(batches):
             *_, (_, _, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
             yield key
 
     sent = send(texts.sparkSession, repeated(texts.select("text"), keys_of, tokens, FILTER_BITS))
+    sweep(texts.sparkSession)
 
     def run(batches):
         wanted = sent.value
@@ -123,7 +147,7 @@ def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
                 some = at[low : low + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(context[some])), pa.array(signed(suffix[some])), pa.array(n[low : low + (1 << 16)])], ["context", "suffix", "c"])
 
-    return texts.select("text").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
+    return texts.select("text").mapInArrow(run, "context long, suffix long, c long").repartition("suffix").groupBy("context", "suffix").agg(F.sum("c").alias("c")).where("c > 1")
 
 
 def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: int, most: int, last: bool) -> tuple[DataFrame | None, DataFrame, tuple, tuple, int]:
@@ -138,39 +162,40 @@ def level(texts: DataFrame, shorter: DataFrame, size: int, tokens: int, least: i
     def keyed(batches):
         for batch in batches:
             context, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in ("context", "suffix"))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(gram_keys(context, suffix))), *batch.columns], ["key", *batch.schema.names])
-
-    def weighted(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(signed(weight_keys(batch.column(0).to_numpy().view(np.uint64)))), *batch.columns], ["key", *batch.schema.names])
+            keys = [pa.array(signed(k)) for k in (gram_keys(context, suffix), weight_keys(context) if size == 2 else context)]
+            yield pa.RecordBatch.from_arrays([*keys, *batch.columns], ["key", "weight_key", *batch.schema.names])
 
     with sent_within():
         low = ngrams(texts, size, tokens).join(shorter.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").select("context", "suffix", "c", "low")
         grams = written(low)
     hot = max(least, hot_count(grams, most))
-    sums = grams.groupBy("context").agg(F.max("c").alias("top"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"))
+    # n-grams move once, by context; a context's first one carries its state
+    dealt = grams.repartition("context")
+    sums = dealt.groupBy("context").agg(F.max("c").alias("top"), F.sum("c").alias("arcs_c"), F.count("*").alias("arcs"), F.sum("low").alias("arcs_low"), F.min("suffix").alias("first"))
     # every context is followed by a token; of its continuations that are no arcs each occurs once
-    states = sums.join(shorter.select(F.col("key").alias("context"), F.col("c")), "context")
-    states = states.withColumn("mass", DISCOUNT * (F.col("arcs") + F.col("c") - F.col("arcs_c")) / F.col("c"))
-    here = (F.col("arcs_c") - DISCOUNT * F.col("arcs")) / F.col("c") + F.col("mass") * F.col("arcs_low")
+    states = sums.join(shorter.select(F.col("key").alias("context"), F.col("c").alias("total")), "context")
+    states = states.withColumn("mass", DISCOUNT * (F.col("arcs") + F.col("total") - F.col("arcs_c")) / F.col("total"))
+    here = (F.col("arcs_c") - DISCOUNT * F.col("arcs")) / F.col("total") + F.col("mass") * F.col("arcs_low")
     weight = F.log10(F.greatest(1 - here, F.lit(1e-12)) / F.greatest(1 - F.col("arcs_low"), F.lit(1e-12)))
-    states = written(states.select("context", "top", "c", "mass", weight.alias("v")))
-    joined = grams.join(states.select("context", F.col("c").alias("total"), "mass", F.col("v").alias("backoff")), "context").select("context", "suffix", "c", "low", "total", "mass", "backoff")
-    joined = joined.mapInArrow(keyed, "key long, context long, suffix long, c long, low double, total long, mass double, backoff double")
+    states = states.select("context", "top", "first", "total", "mass", weight.alias("backoff"))
+    joined = dealt.join(states, "context").select("context", "suffix", "c", "low", "top", "first", "total", "mass", "backoff")
+    joined = joined.mapInArrow(keyed, "key long, weight_key long, context long, suffix long, c long, low double, top long, first long, total long, mass double, backoff double")
     p = (F.col("c") - DISCOUNT) / F.col("total") + F.col("mass") * F.col("low")
     lift = F.log10(p) - F.log10("low")
-    is_hot = F.col("c") >= hot
-    # only the hot ones need context, suffix and lift, and the others v
-    arcs = written(joined.select("key", "c", F.when(F.lit(not last), p).alias("p"), F.when(~is_hot, lift - F.col("backoff")).alias("v"), *(F.when(is_hot, F.col(c)).alias(c) for c in ("context", "suffix")), F.when(is_hot, lift).alias("lift")))
+    is_hot, is_first, hot_state = F.col("c") >= hot, F.col("first") == F.col("suffix"), F.col("top") >= hot
+    # only the hot ones need context, suffix and lift, and the others v; counts and p are for the next level
+    columns = {"v": F.when(~is_hot, lift - F.col("backoff")), "lift": F.when(is_hot, lift), "suffix": F.when(is_hot, F.col("suffix")), "context": F.when(is_hot | (is_first & hot_state), F.col("context"))}
+    columns |= {"weight": F.when(is_first, F.col("backoff")), "weight_key": F.when(is_first & ~hot_state, F.col("weight_key"))}
+    arcs = written(joined.select("key", *(() if last else ("c", p.alias("p"))), *(c.alias(n) for n, c in columns.items())))
     discard(grams)
-    table = arcs.where(is_hot).select("key", "context", "suffix", "lift").toArrow()
+    table = arcs.where("lift is not null").select("key", "context", "suffix", "lift").toArrow()
     hot_arcs = (*(table.column(c).to_numpy().view(np.uint64) for c in ("key", "context", "suffix")), table.column("lift").to_numpy())
-    table = states.where(F.col("top") >= hot).select("context", "v").toArrow()
-    hot_states = (table.column("context").to_numpy().view(np.uint64), table.column("v").to_numpy())
-    weights = states.where(F.col("top") < hot).select("context", "top", "v").mapInArrow(weighted, "key long, context long, top long, v double").select("key", "v")
-    cold = written(arcs.where(~is_hot).select("key", "v").union(weights))
-    discard(states)
-    longer = None if last else written(arcs.select("key", "c", "p"))
+    table = arcs.where("weight is not null and weight_key is null").select("context", "weight").toArrow()
+    hot_states = (table.column("context").to_numpy().view(np.uint64), table.column("weight").to_numpy())
+    cold = arcs.where("v is not null").select("key", "v").union(arcs.where("weight_key is not null").select("weight_key", "weight"))
+    if last:
+        return None, cold, hot_arcs, hot_states, hot
+    cold, longer = written(cold), written(arcs.select("key", "c", "p"))
     discard(arcs)
     return longer, cold, hot_arcs, hot_states, hot
 
@@ -183,6 +208,32 @@ def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == wanted, at
 
 
+class Keys:
+    """Sorted, evenly spread 64-bit keys, found by where those begin that share their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.begin = keys, None
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, -1 for those that aren't there."""
+        if self.begin is None:  # by whoever looks: it isn't sent
+            bits = max(1, len(self.keys).bit_length() - 1)
+            self.shift = np.uint64(64 - bits)
+            self.begin = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+            self.begin = np.append(self.begin, np.int32(len(self.keys)))
+        bucket = (wanted >> self.shift).astype(np.int64)
+        at, stop, out = self.begin[bucket], self.begin[bucket + 1], np.full(len(wanted), -1, np.int32)
+        left = np.flatnonzero(at < stop)
+        at, stop, wanted = at[left], stop[left], wanted[left]
+        while len(left):
+            there = self.keys[at]
+            same = there == wanted
+            out[left[same]] = at[same]
+            more = np.flatnonzero((there < wanted) & (at + 1 < stop))
+            left, at, stop, wanted = left[more], at[more] + 1, stop[more], wanted[more]
+        return out
+
+
 class Automaton:
     """States, arcs and failure arcs as arrays.
 
@@ -194,44 +245,62 @@ class Automaton:
     def __init__(self, arcs: list[tuple], weights: list[tuple]):
         self.order = 1 + len(arcs)
         # states by the size of their context; their numbers go on from size to size
-        self.by_size, self.backoff, self.of, low = [], [np.zeros(1)], [np.zeros(1, np.uint64)], 1
+        by_size, self.backoff, low = [], [np.zeros(1)], 1
         for context, weight in weights:
             order = np.argsort(context)
-            self.by_size.append((context[order], low))
+            by_size.append((context[order], low))
             self.backoff.append(weight[order])
-            self.of.append(context[order])
             low += len(order)
-        self.backoff, self.of = np.concatenate(self.backoff), np.concatenate(self.of)
-        self.size = np.repeat(np.arange(len(self.by_size) + 1), [1, *(len(c) for c, _ in self.by_size)])
-        self.fail = np.zeros(low, np.int64)
+        self.backoff = np.concatenate(self.backoff)
+        self.size = np.repeat(np.arange(len(by_size) + 1, dtype=np.int8), [1, *(len(c) for c, _ in by_size)])
+        self.fail = np.zeros(low, np.int32)
+        self.tokens = Keys(by_size[0][0] if by_size else np.zeros(0, np.uint64))
         self.keys, self.log, self.next = [], [], []
+
+        def state(contexts: np.ndarray, size: int) -> np.ndarray:
+            """The numbers of the states of these contexts; 0 for those that are none."""
+            if size > len(by_size):
+                return np.zeros(len(contexts), np.int32)
+            known, first = by_size[size - 1]
+            here, at = found(known, contexts)
+            return np.where(here, first + at, 0).astype(np.int32)
+
         for n, (key, _, suffix, lift) in enumerate(arcs, 1):
             order = np.argsort(key)
             key, suffix, lift = key[order], suffix[order], lift[order]
             # to the state of the whole n-gram, or else to where its suffix leads
-            to = self.state(key, n + 1)
-            below = found(self.keys[-1], suffix)[1] if n > 1 else None
-            shorter = self.state(suffix, 1) if n == 1 else self.next[-1][below]
+            to = state(key, n + 1)
+            below = found(self.keys[-1].keys, suffix)[1] if n > 1 else None
+            shorter = state(suffix, 1) if n == 1 else self.next[-1][below]
             self.log.append(lift if n == 1 else lift + self.log[-1][below])
-            self.keys.append(key)
+            self.keys.append(Keys(key))
             self.next.append(np.where(to > 0, to, shorter))
             # a state's failure arc leads to where its context's suffix leads
-            if n < len(self.by_size):
-                contexts, first = self.by_size[n]
+            if n < len(by_size):
+                contexts, first = by_size[n]
                 at = found(key, contexts)[1]
                 self.fail[first : first + len(contexts)] = shorter[at] if len(key) else 0
 
-    def state(self, contexts: np.ndarray, size: int) -> np.ndarray:
-        """The numbers of the states of these contexts; 0 for those that are none."""
-        if size > len(self.by_size):
-            return np.zeros(len(contexts), np.int64)
-        known, first = self.by_size[size - 1]
-        here, at = found(known, contexts)
-        return np.where(here, first + at, 0)
-
-    def traverse(self, hashes: np.ndarray, counts: np.ndarray, unigram: np.ndarray, cut: int = CUT) -> np.ndarray:
-        """What each token adds to the score. ``unigram``: what it adds at state 0, 0 for a token that is not at hand."""
-        total, out = len(hashes), unigram.copy()
+    def along(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each size, for each token: the arc of the n-gram that ends there, from size 2 on, -1 for none; and the state of the context that ends there, from size 1 on, 0 for none."""
+        arcs, states, key = [], [self.tokens.find(hashes) + 1], hashes
+        for n in range(1, self.order):
+            key = gram_keys(key[:-1], key[1:])
+            inside = np.flatnonzero((states[-1][n - 1 : -1] > 0) & (owner[: len(key)] == owner[n:])) if len(key) else np.zeros(0, np.int64)
+            arc = np.full(len(hashes), -1, np.int32)
+            arc[inside + n] = self.keys[n - 1].find(key[inside])
+            arcs.append(arc)
+            if n < self.order - 1:
+                at = np.flatnonzero(arc >= 0)
+                to = self.next[n - 1][arc[at]]
+                state = np.zeros(len(hashes), np.int32)
+                state[at] = np.where(self.size[to] == n + 1, to, 0)
+                states.append(state)
+        return arcs, states
+
+    def traverse(self, counts: np.ndarray, unigram: np.ndarray, arcs: list[np.ndarray], first: np.ndarray, cut: int = CUT) -> np.ndarray:
+        """What each token adds to the score, by the arcs and first states that :meth:`along` has. ``unigram``: what it adds at state 0, 0 for a token that is not at hand."""
+        total, out = len(unigram), unigram.copy()
         if self.order == 1 or not total:
             return out
         ends = np.cumsum(counts)
@@ -240,39 +309,29 @@ class Automaton:
         start = (ends - counts)[text] + (np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text]) * cut
         stop = np.minimum(start + cut, ends[text])
         begin = np.maximum(start - (self.order - 1), (ends - counts)[text])  # the tokens before a cut only lead to its state
-        first = self.state(hashes, 1)
-        # keys of the n-grams that begin at each token, by size; those over a text's end are never asked for
-        grams = [hashes]
-        state, at = np.zeros(len(text), np.int64), begin.copy()
-        for _ in range(self.order - 2):
-            grams.append(gram_keys(grams[-1][:-1], grams[-1][1:]))
-        active = np.arange(len(text))
-        while len(active):
-            pos, s = at[active], state[active]
-            counted = pos >= start[active]
-            going = np.flatnonzero(s > 0)
-            then = first[pos]
+        state, at = np.zeros(len(text), np.int32), begin
+        while len(at):
+            counted, then = at >= start, first[at]
+            going = np.flatnonzero(state > 0)
+            here = state[going]
             while len(going):
-                here, size, p = s[going], self.size[s[going]], pos[going]
-                done = np.zeros(len(going), bool)
+                size, p = self.size[here], at[going]
+                arc = np.full(len(going), -1, np.int32)
                 for n in range(1, self.order):
                     of = np.flatnonzero(size == n)
-                    if len(of):
-                        key = gram_keys(self.of[here[of]], grams[n - 1][p[of] - (n - 1)])
-                        hit, arc = found(self.keys[n - 1], key)
-                        took = of[hit]
-                        done[took] = True
-                        then[going[took]] = self.next[n - 1][arc[hit]]
-                        add = took[counted[going[took]]]
-                        out[p[add]] += self.log[n - 1][arc[hit]][counted[going[took]]]
-                back = ~done & counted[going]
-                out[p[back]] += self.backoff[here[back]]
-                s[going] = self.fail[here]
-                going = going[~done]
-                going = going[s[going] > 0]
-            state[active] = then
-            at[active] += 1
-            active = active[at[active] < stop[active]]
+                    arc[of] = arcs[n - 1][p[of]]
+                    took = of[arc[of] >= 0]
+                    then[going[took]] = self.next[n - 1][arc[took]]
+                    add = took[counted[going[took]]]
+                    out[p[add]] += self.log[n - 1][arc[add]]
+                back = np.flatnonzero(arc < 0)
+                add = back[counted[going[back]]]
+                out[p[add]] += self.backoff[here[add]]
+                here, going = self.fail[here[back]], going[back]
+                going, here = going[here > 0], here[here > 0]
+            at = at + 1
+            on = at < stop
+            state, at, start, stop = then[on], at[on], start[on], stop[on]
         return out
 
 
@@ -309,56 +368,148 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         hot_arcs.append(arcs)
         hot_states.append(states)
         cold, shorter = cold.union(more), longer
-    model = tokens.where(F.col("c") < often).select("key", F.log10("p").alias("v"), F.lit(True).alias("token")).union(cold.select("key", "v", F.lit(False)))
     # two places for each key
     second = F.shiftrightunsigned("key", 32)
     asked_places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
-    sent = docs.sparkSession.sparkContext.broadcast((hot_h[by], np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast((Keys(hot_h[by]), np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
+    sweep(docs.sparkSession)
+    bits_of_bucket = min(16, max(4, int(n // BUCKET_TOKENS).bit_length()))
+    schema = "bucket int, batch long, keys binary, owners binary, freqs binary, logs binary, docs binary"
+
+    def dealt(keys: np.ndarray, **columns):
+        """Rows of each bucket's part of sorted keys and of what belongs to them."""
+        cuts = np.searchsorted(keys >> np.uint64(64 - bits_of_bucket), np.arange((1 << bits_of_bucket) + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            yield {"bucket": b, "keys": packed(keys[cuts[b] : cuts[b + 1]])} | {name: x[cuts[b] : cuts[b + 1]].tobytes() for name, x in columns.items()}
+
+    def row_of(row: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "owners", "freqs", "logs", "docs"))]))
+
+    def model_rows(batches, of_tokens: bool):
+        def rows(parts):
+            key, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key = token_keys(key) if of_tokens else key
+            by = np.argsort(key)
+            return map(row_of, dealt(key[by], logs=v[by]))
+
+        parts, total = [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            total += batch.num_rows
+            if total >= MODEL_KEYS:
+                yield from rows(parts)
+                parts, total = [], 0
+        if parts:
+            yield from rows(parts)
 
     def run(batches):
         known_h, logs, automaton, bits = sent.value
         mask = np.uint64(FILTER_BITS - 1)
-        for batch in slices(batches, ROWS):
-            size = batch.num_rows
+
+        def maybe(keys: np.ndarray) -> np.ndarray:
+            """Numbers of the keys that the model may have."""
+            some = np.flatnonzero(is_set(bits, (keys & mask).astype(np.int64)))
+            return some[is_set(bits, ((keys[some] >> np.uint64(32)) & mask).astype(np.int64))]
+
+        partition = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, ROWS)):
+            size, number = batch.num_rows, (partition << 32) + number
             h, lengths = tokens_of(batch.column(2))
-            owner = np.repeat(np.arange(size), lengths)
-            known, at = found(known_h, h)
-            unigram = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
+            owner = np.repeat(np.arange(size, dtype=np.uint16), lengths)
+            at = known_h.find(h)
+            known = at >= 0
+            unigram = np.zeros(len(h))
+            unigram[known] = logs[at[known]]
             base = np.bincount(owner, unigram, size)
-            path = np.bincount(owner, automaton.traverse(h, lengths, unigram), size)
-            asked = [(owner[~known], h[~known], np.ones(int((~known).sum()), bool))]
-            for gram_size, (context, _, key, own) in enumerate(windows(h, owner, order), 1):
-                is_hot = automaton.state(context, gram_size) > 0
-                for wanted, maybe in ((key, ~found(automaton.keys[gram_size - 1], key)[0]), (weight_keys(context), ~is_hot)):
-                    some = np.flatnonzero(maybe)
-                    some = some[is_set(bits, (wanted[some] & mask).astype(np.int64))]
-                    some = some[is_set(bits, ((wanted[some] >> np.uint64(32)) & mask).astype(np.int64))]
-                    asked.append((own[some], wanted[some], np.zeros(len(some), bool)))
-            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t or b"") for t in batch.column(2).to_pylist()), "<i8").reshape(-1, 2)
-            own, key, token = (np.concatenate(x) for x in zip(*asked, strict=True))
-            by = np.lexsort((key, own))
-            own, key, token = own[by], key[by], token[by]
-            first = np.ones(len(own), bool)
-            first[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-            first = np.flatnonzero(first)
-            freq = np.diff(np.append(first, len(own)))
-            # a row of its own carries the document, and asks for nothing: its key is the text's, counted 0 times
-            own, key, token = np.concatenate([np.arange(size), own[first]]), np.concatenate([d[:, 0], signed(key[first])]), np.concatenate([np.zeros(size, bool), token[first]])
-            freq, nothing = np.concatenate([np.zeros(size, np.int64), freq]), np.arange(len(own)) >= size
+            arcs, states = automaton.along(h, owner)
+            path = np.bincount(owner, automaton.traverse(lengths, unigram, arcs, states[0]), size)
+            asked = [(owner[~known] | _ASKS_TOKEN, token_keys(h[~known]))]
+            key, there = h, np.ones(len(h), bool)  # n-grams that begin at each token, and whether the model may have them
+            for n in range(1, order):
+                if len(key) < 2:
+                    break
+                if n == 1:
+                    begin = np.flatnonzero((states[0][:-1] == 0) & (owner[:-1] == owner[1:]))
+                    wanted = weight_keys(key[begin])
+                    some = maybe(wanted)
+                    asked.append((owner[begin[some]], wanted[some]))
+                # an n-gram's context and suffix are the model's if it is; it is cold as an arc or as a context
+                key = gram_keys(key[:-1], key[1:])
+                is_cold = arcs[n - 1][n:] < 0 if n == order - 1 else states[n][n:] == 0
+                begin = np.flatnonzero((owner[: len(key)] == owner[n:]) & there[:-1] & there[1:] & is_cold)
+                some = begin[maybe(key[begin])]
+                asked.append((owner[some], key[some]))
+                there = arcs[n - 1][n:] >= 0
+                there[some] = True
+            own, key = (np.concatenate(x) for x in zip(*asked, strict=True))
+            by = np.argsort(key)
+            key = key[by]
+            # keys by their numbers, and the texts that ask for each in order
+            pair = np.zeros(len(key), np.int64)
+            pair[1:] = np.cumsum(key[1:] != key[:-1])
+            distinct = key[np.flatnonzero(np.diff(pair, prepend=-1))]
+            pair = np.sort((pair << 16) | own[by])
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            freq = np.diff(np.append(first, len(pair))).astype(np.uint32)
+            for row in dealt(distinct[pair[first] >> 16], owners=(pair[first] & 0xFFFF).astype(np.uint16), freqs=freq):
+                yield row_of(row | {"batch": number})
+            # what is known of the texts so far goes through some bucket
             n_known = np.bincount(owner[known], minlength=size)
-            docs_of = [pa.array(x[own], mask=nothing) for x in (lengths, n_known, base, path)]
-            take = pa.array(own)
-            out = pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(d[own, 0]), pa.array(d[own, 1]), pa.array(key), pa.array(freq), pa.array(token), *docs_of], names)
-            for low in range(0, out.num_rows, 1 << 16):
-                yield out.slice(low, 1 << 16)
-
-    names = ["doc_id", "held_out", "d1", "d2", "key", "freq", "asks_token", "n", "known", "base", "path"]
-    asked = docs.mapInArrow(run, "doc_id long, held_out boolean, d1 long, d2 long, key long, freq long, asks_token boolean, n long, known long, base double, path double")
-    joined = asked.join(model, "key", "left").where("asks_token or v is null or not token")
-    unknown = F.when(F.col("asks_token"), float(np.log10(0.5 / scale))).otherwise(0.0)
-    each = joined.withColumn("log", F.coalesce("v", unknown) * F.col("freq")).withColumn("hits", F.when(F.col("asks_token") & F.col("token"), F.col("freq")).otherwise(F.lit(0)))
-    asks_base = F.when(F.col("asks_token"), F.col("log")).otherwise(0.0)
-    total = each.groupBy("doc_id", "held_out", "d1", "d2").agg(F.sum("log").alias("log"), F.sum(asks_base).alias("asks_base"), F.sum("hits").alias("hits"), F.count("n").alias("copies"), *(F.max(c).alias(c) for c in ("n", "known", "base", "path")))
-    # rows that repeat id and text have asked for the same
-    out = total.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.expr("hits div copies")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("asks_base") / F.col("copies")).alias("base_score"), (F.col("path") + F.col("log") / F.col("copies")).alias("score"), F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
-    return out.drop("_copy")
+            so_far = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (lengths, n_known, base, path))], names)
+            yield row_of({"bucket": number % (1 << bits_of_bucket), "batch": number, "docs": so_far.serialize().to_pybytes()})
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    unknown = float(np.log10(0.5 / scale))
+    answers = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("docs", "owners", "logs", "token_owners", "token_logs", "token_hits"))])
+
+    def meet(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c) for c in ("batch", "keys", "owners", "freqs", "logs", "docs")}
+        rows = {"model": [], "asks": [], "docs": []}
+        for i, batch in enumerate(column["batch"].to_pylist()):
+            rows["model" if batch is None else "docs" if column["docs"][i].is_valid else "asks"].append(i)
+
+        def array(name: str, i: int, kind) -> np.ndarray:
+            return np.frombuffer(column[name][i].as_buffer(), kind)
+
+        keys = np.concatenate([unpacked(column["keys"][i].as_buffer()) for i in rows["model"]] or [np.zeros(0, np.uint64)])
+        v = np.concatenate([array("logs", i, np.float64) for i in rows["model"]] or [np.zeros(0)])
+        keys, _, _, of = grouped(keys)
+        v = np.bincount(of, v, len(keys))
+        out = [{"batch": column["batch"][i].as_py(), "docs": column["docs"][i].as_py()} for i in rows["docs"]]
+        for i in rows["asks"]:
+            own, freq = array("owners", i, np.uint16), array("freqs", i, np.uint32)
+            hit, at = found(keys, unpacked(column["keys"][i].as_buffer()))
+            log, token = np.zeros(len(own)), own >= _ASKS_TOKEN
+            log[token] = unknown
+            log[hit] = v[at[hit]]
+            row = {"batch": column["batch"][i].as_py()}
+            total = np.bincount(own[~token], (log * freq)[~token])
+            row |= {"owners": np.flatnonzero(total).astype(np.uint16).tobytes(), "logs": total[total != 0].tobytes()}
+            if token.any():
+                of = own[token] - _ASKS_TOKEN
+                total, hits = np.bincount(of, (log * freq)[token]), np.bincount(of, (hit * freq)[token]).astype(np.int64)
+                some = np.flatnonzero(total)
+                row |= {"token_owners": some.astype(np.uint16).tobytes(), "token_logs": total[some].tobytes(), "token_hits": hits[some].tobytes()}
+            out.append(row)
+        return pa.Table.from_pylist(out, answers)
+
+    def whole(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        docs_of = next(pa.ipc.read_record_batch(r["docs"], so_far_schema) for r in rows if r["docs"] is not None)
+        known, base, score = (docs_of.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
+        for r in rows:
+            if r["owners"]:
+                score[np.frombuffer(r["owners"], np.uint16)] += np.frombuffer(r["logs"])
+            if r["token_owners"]:
+                of, log = np.frombuffer(r["token_owners"], np.uint16), np.frombuffer(r["token_logs"])
+                score[of] += log
+                base[of] += log
+                known[of] += np.frombuffer(r["token_hits"], np.int64)
+        return pa.table([docs_of.column(0), docs_of.column(1), docs_of.column(2), pa.array(known), pa.array(np.full(len(known), n)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    so_far_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    rows = docs.mapInArrow(run, schema)
+    rows = rows.union(tokens.where(F.col("c") < often).select("key", F.log10("p").alias("v")).mapInArrow(lambda batches: model_rows(batches, True), schema))
+    rows = rows.union(cold.mapInArrow(lambda batches: model_rows(batches, False), schema))
+    met = rows.groupBy("bucket").applyInArrow(meet, "batch long, docs binary, owners binary, logs binary, token_owners binary, token_logs binary, token_hits binary")
+    return met.groupBy("batch").applyInArrow(whole, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
