@@ -1,7 +1,7 @@
 """A user's ranking function as a Python table function: called with a query and rows of the index, its results filled up, sorted and cut to k.
 
-``rank(query, rows)`` gets a list of dicts and returns some dicts, each with as many of the result's fields as it likes. It sees an index in chunks of ``CHUNK`` rows, and the
-index of a query in ``parts`` partitions, so that a query isn't a task; of every partition the best k go on, whose best k are the result. A function that fails on a chunk raises.
+``rank(query, rows)`` gets a list of dicts and returns some dicts, each with as many of the result's fields as it likes. It sees an index in chunks of ``CHUNK`` rows,
+where the index lies: its rows aren't shuffled and go to Python once for all queries; of every partition the best k go on, whose best k are the result. A function that fails on a chunk raises.
 """
 
 from __future__ import annotations
@@ -22,31 +22,31 @@ CHUNK = 1000
 Rank = Callable[[str, list[dict]], list[dict]]
 
 
-def table_function(rank: Rank, k: int, chunk: int = CHUNK):
-    """The table function: of each partition of a table with a column ``query``, the best k results, the first of equal ones by all their fields."""
+def table_function(queries: list[str], rank: Rank, k: int, chunk: int = CHUNK):
+    """The table function: of each partition of a table, the best k results of each query, the first of equal ones by all their fields."""
 
     class Ranked:
         def __init__(self):
-            self.query, self.rows, self.best = None, [], []
+            self.rows, self.best = [], {q: [] for q in queries}
 
         @staticmethod
         def analyze(index: AnalyzeArgument) -> AnalyzeResult:
-            if not index.isTable or "query" not in index.dataType.fieldNames():
-                raise ValueError("a table with a column query is needed")
-            schema = StructType().add("query", index.dataType["query"].dataType)
+            if not index.isTable:
+                raise ValueError("a table is needed")
+            schema = StructType().add("query", StringType())
             for name, value in DEFAULTS.items():
                 schema = schema.add(name, _KINDS[type(value)])
             return AnalyzeResult(schema=schema)
 
         def _rank(self) -> None:
-            for result in rank(self.query, self.rows) or ():
-                full = tuple(type(v)(result[n]) if result.get(n) is not None else v for n, v in DEFAULTS.items())
-                self.best.append((-full[list(DEFAULTS).index("score")], full))
-            self.best = heapq.nsmallest(k, self.best)
+            for query, best in self.best.items():
+                for result in rank(query, [dict(r) for r in self.rows]) or ():
+                    full = tuple(type(v)(result[n]) if result.get(n) is not None else v for n, v in DEFAULTS.items())
+                    best.append((-full[list(DEFAULTS).index("score")], full))
+                best[:] = heapq.nsmallest(k, best)
             self.rows = []
 
         def eval(self, index: Row):
-            self.query = index["query"]
             self.rows.append(index.asDict())
             if len(self.rows) >= chunk:
                 self._rank()
@@ -54,16 +54,18 @@ def table_function(rank: Rank, k: int, chunk: int = CHUNK):
         def terminate(self):
             if self.rows:
                 self._rank()
-            for _, full in self.best:
-                yield (self.query, *full)
+            for query, best in self.best.items():
+                for _, full in best:
+                    yield (query, *full)
 
     return F.udtf(Ranked)
 
 
-def ranked(index: DataFrame, queries: list[str], rank: Rank, k: int, parts: int = 8, chunk: int = CHUNK) -> DataFrame:
-    """(query, place, file, title, slide_num, text_preview, score, path_abs): the best k results of each query, from 1."""
-    asked = index.withColumn("_part", F.pmod(F.xxhash64(*index.columns), F.lit(parts))).withColumn("query", F.explode(F.array(*[F.lit(q) for q in queries])))
-    best = table_function(rank, k, chunk)(asked.asTable().partitionBy("query", "_part"))
+def ranked(index: DataFrame, queries: list[str], rank: Rank, k: int, parts: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(query, place, file, title, slide_num, text_preview, score, path_abs): the best k results of each query, from 1. ``parts``: partitions to deal the index to first, if it isn't to be taken as it lies."""
+    if parts:
+        index = index.repartition(parts)
+    best = table_function(queries, rank, k, chunk)(index.asTable())
     # k rows of each part
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), *(n for n in DEFAULTS if n != "score")))
     return best.withColumn("place", place).where(F.col("place") <= k).select("query", "place", *DEFAULTS)

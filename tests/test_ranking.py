@@ -20,6 +20,15 @@ def test_defaults_order_and_parts(spark):
     assert got == {"q": [(f"t{i}", 0.9, 1, "") for i in (19, 29, 39, 49)] + [("t18", 0.8, 1, "")], "few": [("t2", 0.2, 1, ""), ("t1", 0.1, 1, ""), ("t0", 0.0, 1, "")]}
 
 
+def test_the_index_stays_where_it_lies(spark):
+    """Only the best k of each partition and query move, so that no task's input grows with the index."""
+    index = spark.range(0, 4000, 1, 8)
+    ranked = K.ranked(index, ["a", "b"], lambda q, rows: [{"score": float(r["id"])} for r in rows], 3, chunk=100)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(query" in plan
+    assert sorted((r.query, r.score) for r in ranked.collect()) == [(q, float(s)) for q in "ab" for s in (3997, 3998, 3999)]
+
+
 def test_a_failure_is_raised(spark):
     index = spark.createDataFrame([(1,)], "id int")
     with pytest.raises(Exception, match="no such rank"):
