@@ -174,16 +174,23 @@ def markdown_of(html: str | None) -> tuple[str, str]:
     return ("\n\n".join(tree.lines[slice(*best)]) if best else whole), whole
 
 
+#: Pages that a worker unpacks from a batch at once.
+PAGES = 128
+
+
 def html_to_markdown(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, main, markdown): a parser is needed here, so pages go through it in Arrow batches."""
+    """(key, main, markdown): a parser is needed here, so pages go through it in Arrow batches, of which only a few pages are Python objects at a time."""
     kinds = dict(pages.dtypes)
 
     def run(batches):
-        for pdf in batches:
-            found = [markdown_of(x) for x in pdf[html]]
-            yield pd.DataFrame({key: pdf[key], "main": [m for m, _ in found], "markdown": [w for _, w in found]})
+        for batch in batches:
+            for low in range(0, batch.num_rows, PAGES):
+                some = batch.slice(low, PAGES)
+                found = [markdown_of(x) for x in some.column(1).to_pylist()]
+                columns = [some.column(0), *(pa.array(list(x), pa.string()) for x in zip(*found, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "main", "markdown"])
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kinds[key]}, main string, markdown string")
+    return pages.select(key, html).mapInArrow(run, f"{key} {kinds[key]}, main string, markdown string")
 
 
 def font_levels(spans: DataFrame, doc: str, size: str, text: str) -> DataFrame:

@@ -217,6 +217,14 @@ def test_main_content():
     assert structure.markdown_of("<p>short</p><footer>f</footer>") == ("short", "short") and structure.markdown_of(None) == ("", "")
 
 
+def test_pages_are_unpacked_a_few_at_a_time(spark):
+    n = 2 * structure.PAGES + 5
+    rows = spark.createDataFrame([(i, f"<p>t{i}</p>" if i % 7 else None) for i in range(n)], "k long, html string").coalesce(1)
+    out = structure.html_to_markdown(rows, "k", "html")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(i, *([f"t{i}" if i % 7 else ""] * 2)) for i in range(n)]
+
+
 def test_numbers_and_names(spark):
     rows = spark.createDataFrame([("12. Intro",), ("3 - Plan",), ("7| x",), ("Plan 9",), ("deck_ppt169_20240131",), ("deck-20240131",)], "t string")
     got = {r.t: r.p for r in rows.select("t", X.without_number(F.col("t")).alias("p")).collect()}
