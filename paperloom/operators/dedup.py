@@ -287,19 +287,26 @@ def geometric_clusters(boxes: DataFrame, group: str, key: str, x: str, y: str, a
     return by.mapInArrow(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
+#: Rectangles of a page up to which all are compared, without a grid.
+FEW = 64
+
+
 def contained_rectangles(rects: DataFrame, page: str, key: str, share: float = 0.9, cell: int = 16) -> DataFrame:
     """(i, j): of one page's rectangles (x, y, w, h), i covers ``share`` of j or more, over a half, and comes before it: larger, or as large with a lower key.
 
     What covers over half of a rectangle's area that way covers its centre, so j stands in its centre's cell of a grid, i in
-    all cells that it touches, and only those that meet in one are compared.
+    all cells that it touches, and only those that meet in one are compared. On a page of up to ``FEW`` all are, and none is in more than one row.
     """
     if share <= 0.75:
         raise ValueError("less than three quarters may be covered without the centre")
     r = rects.select(page, F.col(key).alias("k"), *(F.col(c).cast("double").alias(c) for c in "xywh"))
-    cells = lambda low, size: F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(low) + F.col(size)) / cell))
+    r = r.join(r.groupBy(page).agg((F.count("*") <= FEW).alias("_few")), page)
+    one = F.lit(0).cast("long")
+    cells = lambda low, size: F.when(F.col("_few"), F.array(one)).otherwise(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(low) + F.col(size)) / cell)))
+    centre = lambda low, size: F.when(F.col("_few"), one).otherwise(F.floor((F.col(low) + F.col(size) / 2) / cell))
     a = r.select(page, F.col("k").alias("i"), *(F.col(c).alias(f"a{c}") for c in "xywh"), F.explode(cells("x", "w")).alias("cx"), cells("y", "h").alias("cys"))
     a = a.select("*", F.explode("cys").alias("cy")).drop("cys")
-    b = r.select(page, F.col("k").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xywh"), F.floor((F.col("x") + F.col("w") / 2) / cell).alias("cx"), F.floor((F.col("y") + F.col("h") / 2) / cell).alias("cy"))
+    b = r.select(page, F.col("k").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xywh"), centre("x", "w").alias("cx"), centre("y", "h").alias("cy"))
     across = "greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by + bh) - greatest(ay, by))"
     first = "(aw * ah > bw * bh or (aw * ah = bw * bh and i < j))"
     return a.join(b, [page, "cx", "cy"]).where(f"{first} and {across} + 1e-9 >= {share} * bw * bh").select("i", "j")
