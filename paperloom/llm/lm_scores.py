@@ -19,8 +19,8 @@ is its shorter context's, plus the state's backoff weight, plus a *gain*, so tha
 one just the weights and gains of the contexts and arcs that are not hot, each of which is a key of the text's own n-grams. No
 frequent key takes part in the join, and a bitmap of fixed size spares it most keys that the model doesn't have. These sizes change no score.
 An n-gram's gain and its weight as a context have one key, and come as one sum: one that ends a text is no context of the model, as its end token is
-followed by none. Keys are evenly spread, so that their first bits deal them to buckets, where sorted arrays of asked keys meet those of the model; a bucket
-sends back a sum for each text. A batch of texts is known by its partition and place there, as rows read again come in the same order.
+followed by none. Keys are evenly spread, so that equal ranges of them are buckets, where sorted arrays of asked keys meet those of the model; a bucket
+sends back a sum for each text. Buckets are as many as keep what a task holds of them at one size, whatever the corpus. A batch of texts is known by its partition and place there, as rows read again come in the same order.
 
 N-grams that occur once are kept from the shuffle: tasks first send 32-bit fingerprints, four bytes an n-gram, and only n-grams whose fingerprint comes
 twice are counted by their keys.
@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _STEP, bitmap, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, send, sent_within, signed, slices, sweep, written
+from ._common import _STEP, discard, fold_of, grouped, hashed_words, is_set, mixed, places, repeated, send, sent_within, signed, slices, sweep, written
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
@@ -52,8 +52,8 @@ FLUSH_TOKENS = 1 << 20
 FILTER_BITS = 1 << 27
 #: Tokens that are traversed in a row; rows of documents that are scored at once.
 CUT, ROWS = 64, 1024
-#: Training tokens to each bucket of keys, and keys of the model that a task sorts at once.
-BUCKET_TOKENS, MODEL_KEYS = 1 << 22, 1 << 20
+#: Training tokens to each bucket of keys, keys of the model that a task sorts at once, and keys to a batch of buckets' rows.
+BUCKET_TOKENS, MODEL_KEYS, SENT_KEYS = 1 << 20, 1 << 19, 1 << 18
 #: What tells the key of a token's backoff weight as a context, and of its own log-probability, from an n-gram's.
 _WEIGHT, _TOKEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Marks the number of a text that asks for a token, of ``ROWS`` at most.
@@ -116,22 +116,28 @@ def unpacked(data) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
 
 
-def windows(hashes: np.ndarray, owner: np.ndarray, order: int):
-    """(context, suffix, key, owner) of the n-grams within texts, for each size from 2 to ``order``."""
+def bucket_begins(tokens: int) -> np.ndarray:
+    """The first key of each bucket, all equally wide: as many as keep a bucket's share of so many training tokens at ``BUCKET_TOKENS``."""
+    buckets = min(1 << 16, max(16, -(-tokens // BUCKET_TOKENS)))
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+
+
+def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, suffix, key) of all n-grams of ``size`` tokens, and the places of those within texts."""
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     key = hashes
-    for size in range(2, order + 1):
+    for _ in range(size - 1):
         context, suffix = key[:-1], key[1:]
         key = gram_keys(context, suffix)
-        inside = owner[: len(key)] == owner[size - 1 :]
-        yield context[inside], suffix[inside], key[inside], owner[: len(key)][inside]
+    return context, suffix, key, np.flatnonzero(owner[: len(key)] == owner[size - 1 :])
 
 
 def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
     """(context, suffix, c) of every n-gram of ``size`` tokens with a count of two or more, dealt by suffix."""
     def keys_of(batches):
         for hashes, counts in gathered(batches):
-            *_, (_, _, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
-            yield key
+            _, _, key, inside = windows(hashes, counts, size)
+            yield key[inside]
 
     sent = send(texts.sparkSession, repeated(texts.select("text"), keys_of, tokens, FILTER_BITS))
     sweep(texts.sparkSession)
@@ -139,8 +145,8 @@ def ngrams(texts: DataFrame, size: int, tokens: int) -> DataFrame:
     def run(batches):
         wanted = sent.value
         for hashes, counts in gathered(batches):
-            *_, (context, suffix, key, _) = windows(hashes, np.repeat(np.arange(len(counts)), counts), size)
-            keep = is_set(wanted, places(key, FILTER_BITS))
+            context, suffix, key, inside = windows(hashes, counts, size)
+            keep = inside[is_set(wanted, places(key[inside], FILTER_BITS))]
             context, suffix = context[keep], suffix[keep]
             _, at, n, _ = grouped(key[keep])
             for low in range(0, len(at), 1 << 16):
@@ -208,6 +214,47 @@ def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == wanted, at
 
 
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with two places of each key set, by its low and its high half; ``bits`` is a power of two up to 2^32.
+
+    Tasks send places as 16 bits in ranges of 65,536, each sent once by a task's batch, and a range comes back as its bits.
+    """
+    width = min(16, bits.bit_length() - 1)
+
+    def places_of(parts):
+        key = np.concatenate(parts)
+        place = np.concatenate([key, key >> np.uint64(32)]) & np.uint64(bits - 1)
+        place = np.unique(place.astype(np.uint32))
+        ranges, first = np.unique(place >> np.uint32(width), return_index=True)
+        there = (place & np.uint32((1 << width) - 1)).astype(np.uint16)
+        sent = [x.tobytes() for x in np.split(there, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(sent, pa.binary())], ["range", "places"])
+
+    def send_places(batches):
+        parts, total = [], 0
+        for batch in batches:
+            parts.append(batch.column(0).to_numpy().view(np.uint64))
+            total += batch.num_rows
+            if total >= MODEL_KEYS:
+                yield places_of(parts)
+                parts, total = [], 0
+        if total:
+            yield places_of(parts)
+
+    def meet(table: pa.Table) -> pa.Table:
+        found = np.zeros(1 << width, bool)
+        for here in table.column("places"):
+            found[np.frombuffer(here.as_buffer(), np.uint16)] = True
+        return pa.table({"range": table.column("range").slice(0, 1), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
+
+    table = keys.mapInArrow(send_places, "range int, places binary").groupBy("range").applyInArrow(meet, "range int, bits binary").toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    by_range = out.view(np.uint8).reshape(bits >> width, -1)
+    for place, there in zip(table.column("range").to_pylist(), table.column("bits"), strict=True):
+        by_range[place] = np.frombuffer(there.as_buffer(), np.uint8)
+    return out
+
+
 class Keys:
     """Sorted, evenly spread 64-bit keys, found by where those begin that share their first bits."""
 
@@ -368,29 +415,31 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         hot_arcs.append(arcs)
         hot_states.append(states)
         cold, shorter = cold.union(more), longer
-    # two places for each key
-    second = F.shiftrightunsigned("key", 32)
-    asked_places = cold.select(F.expr(f"key & {FILTER_BITS - 1}L").alias("place")).union(cold.select(second.bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")))
-    sent = docs.sparkSession.sparkContext.broadcast((Keys(hot_h[by]), np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), bitmap(asked_places, FILTER_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast((Keys(hot_h[by]), np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), key_bitmap(cold.select("key"), FILTER_BITS)))
     sweep(docs.sparkSession)
-    bits_of_bucket = min(16, max(4, int(n // BUCKET_TOKENS).bit_length()))
+    begins = bucket_begins(n)
     schema = "bucket int, batch long, keys binary, owners binary, freqs binary, logs binary, docs binary"
 
-    def dealt(keys: np.ndarray, **columns):
-        """Rows of each bucket's part of sorted keys and of what belongs to them."""
-        cuts = np.searchsorted(keys >> np.uint64(64 - bits_of_bucket), np.arange((1 << bits_of_bucket) + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            yield {"bucket": b, "keys": packed(keys[cuts[b] : cuts[b + 1]])} | {name: x[cuts[b] : cuts[b + 1]].tobytes() for name, x in columns.items()}
+    def rows_of(buckets: list[int], batch: int | None, **columns) -> pa.RecordBatch:
+        n = len(buckets)
+        values = [pa.array(buckets, pa.int32()), pa.array([batch] * n, pa.int64())]
+        values += [pa.array(columns.get(c, [None] * n), pa.binary()) for c in ("keys", "owners", "freqs", "logs", "docs")]
+        return pa.RecordBatch.from_arrays(values, ["bucket", "batch", "keys", "owners", "freqs", "logs", "docs"])
 
-    def row_of(row: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([row], pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "owners", "freqs", "logs", "docs"))]))
+    def dealt(batch: int | None, keys: np.ndarray, **columns):
+        """A row of each bucket's part of sorted keys and of what belongs to them, the rows of many buckets together."""
+        cuts = np.append(np.searchsorted(keys, begins), len(keys))
+        some = np.flatnonzero(np.diff(cuts))
+        for part in np.split(some, np.flatnonzero(np.diff(cuts[some] // SENT_KEYS)) + 1) if len(some) else ():
+            spans = [slice(cuts[b], cuts[b + 1]) for b in part.tolist()]
+            yield rows_of(part.tolist(), batch, keys=[packed(keys[x]) for x in spans], **{name: [values[x].tobytes() for x in spans] for name, values in columns.items()})
 
     def model_rows(batches, of_tokens: bool):
         def rows(parts):
             key, v = (np.concatenate(x) for x in zip(*parts, strict=True))
             key = token_keys(key) if of_tokens else key
             by = np.argsort(key)
-            return map(row_of, dealt(key[by], logs=v[by]))
+            return dealt(None, key[by], logs=v[by])
 
         parts, total = [], 0
         for batch in batches:
@@ -451,12 +500,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             pair = np.sort((pair << 16) | own[by])
             first = np.flatnonzero(np.diff(pair, prepend=-1))
             freq = np.diff(np.append(first, len(pair))).astype(np.uint32)
-            for row in dealt(distinct[pair[first] >> 16], owners=(pair[first] & 0xFFFF).astype(np.uint16), freqs=freq):
-                yield row_of(row | {"batch": number})
+            yield from dealt(number, distinct[pair[first] >> 16], owners=(pair[first] & 0xFFFF).astype(np.uint16), freqs=freq)
             # what is known of the texts so far goes through some bucket
             n_known = np.bincount(owner[known], minlength=size)
             so_far = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (lengths, n_known, base, path))], names)
-            yield row_of({"bucket": number % (1 << bits_of_bucket), "batch": number, "docs": so_far.serialize().to_pybytes()})
+            yield rows_of([number % len(begins)], number, docs=[so_far.serialize().to_pybytes()])
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     unknown = float(np.log10(0.5 / scale))

@@ -1,4 +1,5 @@
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -26,3 +27,37 @@ def test_asks_move_as_arrays_of_a_bucket(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("FlatMapGroupsInArrow") == 2
     assert sorted(r.doc_id for r in got.collect()) == list(range(40))
+
+
+def test_a_bucket_stays_small():
+    """A bucket is whole in the memory of a task: its share of the corpus has one size, and isn't up to twice or four times that."""
+    for tokens in (0, 1 << 20, 41_000_000, (1 << 31) - 1):
+        begins = lm_scores.bucket_begins(tokens)
+        assert begins[0] == 0 and (np.diff(begins) > 0).all() and len(begins) >= 16
+        assert tokens <= len(begins) << 20
+        widths = np.diff(begins)
+        assert int(widths.max()) - int(widths.min()) <= 1
+
+
+def test_windows_hold_one_size():
+    """Tokens of a task's memory are held as n-grams of the size that is counted, not of all sizes and their owners at once."""
+    tokens, counts = mixed(np.arange(1 << 18, dtype=np.uint64)), np.full(1 << 8, 1 << 10)
+    tracemalloc.start()
+    context, suffix, key, inside = lm_scores.windows(tokens, counts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * tokens.nbytes
+    assert len(key) == len(tokens) - 2 and len(inside) == len(tokens) - 2 * len(counts)
+    assert (key == lm_scores.gram_keys(context, suffix)).all() and (context[1:] == suffix[:-1]).all()
+    assert all(len(x) == 0 for x in lm_scores.windows(tokens[:1], np.array([1]), 3))
+
+
+def test_bitmap_has_both_places_of_each_key(spark):
+    keys = mixed(np.arange(3000, dtype=np.uint64))
+    table = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long").repartition(3)
+    for bits in (1 << 27, 1 << 20, 1 << 10):
+        got = np.unpackbits(lm_scores.key_bitmap(table, bits).view(np.uint8), bitorder="little")
+        want = np.zeros(bits, np.uint8)
+        want[(keys & np.uint64(bits - 1)).astype(np.int64)] = want[((keys >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+        assert (got == want).all()
+    assert not lm_scores.key_bitmap(table.where("false"), 1 << 20).any()
