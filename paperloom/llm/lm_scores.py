@@ -50,14 +50,12 @@ END = mixed(np.array([0x5851F42D4C957F2D], np.uint64))[0]
 FLUSH_TOKENS = 1 << 20
 #: Bits of the filters: 16 MB. They only spare work.
 FILTER_BITS = 1 << 27
-#: Tokens that are traversed in a row; rows of documents that are scored at once.
+#: Tokens that are traversed in a row; rows of documents that are scored at once, 1,024 at most, as their numbers move in ten bits.
 CUT, ROWS = 64, 1024
 #: Training tokens to each bucket of keys, keys of the model that a task sorts at once, and keys to a batch of buckets' rows.
 BUCKET_TOKENS, MODEL_KEYS, SENT_KEYS = 1 << 20, 1 << 19, 1 << 18
 #: What tells the key of a token's backoff weight as a context, and of its own log-probability, from an n-gram's.
 _WEIGHT, _TOKEN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-#: Marks the number of a text that asks for a token, of ``ROWS`` at most.
-_ASKS_TOKEN = np.uint16(1 << 15)
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +120,20 @@ def bucket_begins(tokens: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
 
+def ten_bits(numbers: np.ndarray) -> bytes:
+    """Numbers below 1,024: the low bytes of all, then the two bits above of four in a byte."""
+    high = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
+    high[: len(numbers)] = numbers >> 8
+    high = high.reshape(-1, 4)
+    return (numbers & 255).astype(np.uint8).tobytes() + (high[:, 0] | high[:, 1] << 2 | high[:, 2] << 4 | high[:, 3] << 6).tobytes()
+
+
+def of_ten_bits(data, n: int) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8)
+    high = (packed[n:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+    return packed[:n] | high.ravel()[:n].astype(np.uint16) << 8
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, suffix, key) of all n-grams of ``size`` tokens, and the places of those within texts."""
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -261,6 +273,18 @@ class Keys:
     def __init__(self, keys: np.ndarray):
         self.keys, self.begin = keys, None
 
+    def __getstate__(self):
+        """Differences of keys byte by byte, without the first bytes that are 0 in all."""
+        planes = np.frombuffer(packed(self.keys), np.uint8).reshape(8, -1)
+        width = max((k + 1 for k in range(8) if planes[k].any()), default=0)
+        return len(self.keys), planes[:width].tobytes()
+
+    def __setstate__(self, state):
+        n, data = state
+        planes = np.zeros((8, n), np.uint8)
+        planes.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
+        self.keys, self.begin = unpacked(planes), None
+
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each wanted key, -1 for those that aren't there."""
         if self.begin is None:  # by whoever looks: it isn't sent
@@ -415,7 +439,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         hot_arcs.append(arcs)
         hot_states.append(states)
         cold, shorter = cold.union(more), longer
-    sent = docs.sparkSession.sparkContext.broadcast((Keys(hot_h[by]), np.log10((hot_c[by] + 0.5) / scale), Automaton(hot_arcs, hot_states), key_bitmap(cold.select("key"), FILTER_BITS)))
+    sent = docs.sparkSession.sparkContext.broadcast((Keys(hot_h[by]), hot_c[by].astype(np.min_scalar_type(hot_c.max(initial=0))), Automaton(hot_arcs, hot_states), key_bitmap(cold.select("key"), FILTER_BITS)))
     sweep(docs.sparkSession)
     begins = bucket_begins(n)
     schema = "bucket int, batch long, keys binary, owners binary, freqs binary, logs binary, docs binary"
@@ -432,7 +456,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         some = np.flatnonzero(np.diff(cuts))
         for part in np.split(some, np.flatnonzero(np.diff(cuts[some] // SENT_KEYS)) + 1) if len(some) else ():
             spans = [slice(cuts[b], cuts[b + 1]) for b in part.tolist()]
-            yield rows_of(part.tolist(), batch, keys=[packed(keys[x]) for x in spans], **{name: [values[x].tobytes() for x in spans] for name, values in columns.items()})
+            yield rows_of(part.tolist(), batch, keys=[packed(keys[x]) for x in spans], **{name: [(ten_bits(values[x]) if name == "owners" else values[x].tobytes()) for x in spans] for name, values in columns.items()})
 
     def model_rows(batches, of_tokens: bool):
         def rows(parts):
@@ -451,8 +475,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         if parts:
             yield from rows(parts)
 
+    def asks(batch: int, own: np.ndarray, key: np.ndarray):
+        """Rows of what the texts of a batch ask for: n-grams, or tokens if its number is inverted."""
+        by = np.argsort(key)
+        key = key[by]
+        # keys by their numbers, and the texts that ask for each in order
+        pair = np.zeros(len(key), np.int64)
+        pair[1:] = np.cumsum(key[1:] != key[:-1])
+        distinct = key[np.flatnonzero(np.diff(pair, prepend=-1))]
+        pair = np.sort((pair << 16) | own[by])
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        freq = np.diff(np.append(first, len(pair))).astype(np.uint32)
+        return dealt(batch, distinct[pair[first] >> 16], owners=(pair[first] & 0xFFFF).astype(np.uint16), freqs=freq)
+
     def run(batches):
-        known_h, logs, automaton, bits = sent.value
+        known_h, known_c, automaton, bits = sent.value
+        logs = np.log10((known_c.astype(np.float64) + 0.5) / scale)
         mask = np.uint64(FILTER_BITS - 1)
 
         def maybe(keys: np.ndarray) -> np.ndarray:
@@ -472,7 +510,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             base = np.bincount(owner, unigram, size)
             arcs, states = automaton.along(h, owner)
             path = np.bincount(owner, automaton.traverse(lengths, unigram, arcs, states[0]), size)
-            asked = [(owner[~known] | _ASKS_TOKEN, token_keys(h[~known]))]
+            asked = [(owner[:0], h[:0])]
             key, there = h, np.ones(len(h), bool)  # n-grams that begin at each token, and whether the model may have them
             for n in range(1, order):
                 if len(key) < 2:
@@ -490,17 +528,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                 asked.append((owner[some], key[some]))
                 there = arcs[n - 1][n:] >= 0
                 there[some] = True
-            own, key = (np.concatenate(x) for x in zip(*asked, strict=True))
-            by = np.argsort(key)
-            key = key[by]
-            # keys by their numbers, and the texts that ask for each in order
-            pair = np.zeros(len(key), np.int64)
-            pair[1:] = np.cumsum(key[1:] != key[:-1])
-            distinct = key[np.flatnonzero(np.diff(pair, prepend=-1))]
-            pair = np.sort((pair << 16) | own[by])
-            first = np.flatnonzero(np.diff(pair, prepend=-1))
-            freq = np.diff(np.append(first, len(pair))).astype(np.uint32)
-            yield from dealt(number, distinct[pair[first] >> 16], owners=(pair[first] & 0xFFFF).astype(np.uint16), freqs=freq)
+            yield from asks(number, *(np.concatenate(x) for x in zip(*asked, strict=True)))
+            yield from asks(~number, owner[~known], token_keys(h[~known]))
             # what is known of the texts so far goes through some bucket
             n_known = np.bincount(owner[known], minlength=size)
             so_far = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (lengths, n_known, base, path))], names)
@@ -525,20 +554,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         v = np.bincount(of, v, len(keys))
         out = [{"batch": column["batch"][i].as_py(), "docs": column["docs"][i].as_py()} for i in rows["docs"]]
         for i in rows["asks"]:
-            own, freq = array("owners", i, np.uint16), array("freqs", i, np.uint32)
+            freq = array("freqs", i, np.uint32)
+            own = of_ten_bits(column["owners"][i].as_buffer(), len(freq))
             hit, at = found(keys, unpacked(column["keys"][i].as_buffer()))
-            log, token = np.zeros(len(own)), own >= _ASKS_TOKEN
-            log[token] = unknown
+            batch = column["batch"][i].as_py()
+            log = np.full(len(own), unknown if batch < 0 else 0.0)
             log[hit] = v[at[hit]]
-            row = {"batch": column["batch"][i].as_py()}
-            total = np.bincount(own[~token], (log * freq)[~token])
-            row |= {"owners": np.flatnonzero(total).astype(np.uint16).tobytes(), "logs": total[total != 0].tobytes()}
-            if token.any():
-                of = own[token] - _ASKS_TOKEN
-                total, hits = np.bincount(of, (log * freq)[token]), np.bincount(of, (hit * freq)[token]).astype(np.int64)
-                some = np.flatnonzero(total)
-                row |= {"token_owners": some.astype(np.uint16).tobytes(), "token_logs": total[some].tobytes(), "token_hits": hits[some].tobytes()}
-            out.append(row)
+            total = np.bincount(own, log * freq)
+            some = np.flatnonzero(total)
+            if batch < 0:
+                hits = np.bincount(own, hit * freq).astype(np.int64)
+                out.append({"batch": ~batch, "token_owners": ten_bits(some), "token_logs": total[some].tobytes(), "token_hits": hits[some].tobytes()})
+            else:
+                out.append({"batch": batch, "owners": ten_bits(some), "logs": total[some].tobytes()})
         return pa.Table.from_pylist(out, answers)
 
     def whole(table: pa.Table) -> pa.Table:
@@ -546,10 +574,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         docs_of = next(pa.ipc.read_record_batch(r["docs"], so_far_schema) for r in rows if r["docs"] is not None)
         known, base, score = (docs_of.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
         for r in rows:
-            if r["owners"]:
-                score[np.frombuffer(r["owners"], np.uint16)] += np.frombuffer(r["logs"])
-            if r["token_owners"]:
-                of, log = np.frombuffer(r["token_owners"], np.uint16), np.frombuffer(r["token_logs"])
+            if r["logs"]:
+                log = np.frombuffer(r["logs"])
+                score[of_ten_bits(r["owners"], len(log))] += log
+            if r["token_logs"]:
+                log = np.frombuffer(r["token_logs"])
+                of = of_ten_bits(r["token_owners"], len(log))
                 score[of] += log
                 base[of] += log
                 known[of] += np.frombuffer(r["token_hits"], np.int64)

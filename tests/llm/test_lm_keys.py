@@ -1,3 +1,4 @@
+import pickle
 import sys
 import tracemalloc
 from pathlib import Path
@@ -61,3 +62,15 @@ def test_bitmap_has_both_places_of_each_key(spark):
         want[(keys & np.uint64(bits - 1)).astype(np.int64)] = want[((keys >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)] = 1
         assert (got == want).all()
     assert not lm_scores.key_bitmap(table.where("false"), 1 << 20).any()
+
+
+def test_what_moves_is_packed():
+    """Numbers of texts take ten bits, not sixteen, and keys that are sent no byte that is 0 in all differences."""
+    for n in (0, 1, 3, 4, 1023, 1024):
+        numbers = np.arange(n, dtype=np.uint16)[::-1]
+        data = lm_scores.ten_bits(numbers)
+        assert len(data) == n + -(-n // 4) and (lm_scores.of_ten_bits(data, n) == numbers).all()
+    for n in (0, 1, 1 << 17):
+        keys = lm_scores.Keys(np.sort(mixed(np.arange(n, dtype=np.uint64))))
+        data = pickle.dumps(keys)
+        assert (pickle.loads(data).keys == keys.keys).all() and (n < 2 or len(data) < 7.1 * n)
