@@ -246,19 +246,25 @@ def clean_blank_lines(text: Column) -> Column:
 BAND, EDGE_PAGES, ALL_PAGES = 0.15, 20, 40
 
 
-def repeated_blocks(blocks: DataFrame, doc: str, page: str, text: str, share: float = 0.6, sample: int = EDGE_PAGES, above: int = ALL_PAGES) -> DataFrame:
+def repeated_blocks(blocks: DataFrame, doc: str, page: str, text: str, share: float = 0.6, sample: int | None = EDGE_PAGES, above: int = ALL_PAGES, pages: DataFrame | None = None) -> DataFrame:
     """(doc, text, times, pages): running heads and feet: texts of blocks (y0, y1, height) that touch the top of a page, or else the bottom, on over ``share`` of the pages.
 
-    Heads and feet are counted apart, by occurrences; of documents of over ``above`` pages the first and last ``sample`` count, those of under 3 have none.
+    Heads and feet are counted apart, by occurrences; of documents of over ``above`` pages the first and last ``sample`` count, or all if that is None; those of under 3 have none.
+    ``pages`` has a row (doc, page) for those without a block too; else the pages are those of the blocks.
     """
-    pages = blocks.select(doc, page).distinct()
-    ends = pages.groupBy(doc).agg(F.count("*").alias("_n")).where("_n >= 3")
-    rank = lambda order: F.row_number().over(Window.partitionBy(doc).orderBy(order))
-    picked = pages.join(ends, doc).withColumns({"_up": rank(F.asc(page)), "_down": rank(F.desc(page))}).where((F.col("_n") <= above) | (F.col("_up") <= sample) | (F.col("_down") <= sample))
-    picked = picked.select(doc, page, F.when(F.col("_n") <= above, F.col("_n")).otherwise(2 * sample).alias("pages"))
+    pages = (blocks if pages is None else pages).select(doc, page)
+    on = [doc]
+    if sample is None:
+        picked = pages.groupBy(doc).agg(F.count_distinct(page).alias("pages")).where("pages >= 3")
+    else:
+        pages, on = pages.distinct(), [doc, page]
+        ends = pages.groupBy(doc).agg(F.count("*").alias("_n")).where("_n >= 3")
+        rank = lambda order: F.row_number().over(Window.partitionBy(doc).orderBy(order))
+        picked = pages.join(ends, doc).withColumns({"_up": rank(F.asc(page)), "_down": rank(F.desc(page))}).where((F.col("_n") <= above) | (F.col("_up") <= sample) | (F.col("_down") <= sample))
+        picked = picked.select(doc, page, F.when(F.col("_n") <= above, F.col("_n")).otherwise(2 * sample).alias("pages"))
     line, edge = X.strip(F.col(text)), BAND * F.col("height")
     band = F.when((F.col("y0") < edge) & (F.col("y1") > 0), "head").when((F.col("y1") > F.col("height") - edge) & (F.col("y0") < F.col("height")), "foot")
-    rows = blocks.select(doc, page, line.alias(text), band.alias("_band")).where(f"_band is not null and {text} != ''").join(picked, [doc, page])
+    rows = blocks.select(doc, page, line.alias(text), band.alias("_band")).where(f"_band is not null and {text} != ''").join(picked, on)
     counts = rows.groupBy(doc, text, "_band", "pages").agg(F.count("*").alias("times")).where(F.col("times") / F.col("pages") > share)
     return counts.groupBy(doc, text).agg(F.max("times").alias("times"), F.max("pages").alias("pages"))
 

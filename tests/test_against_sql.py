@@ -46,3 +46,11 @@ def test_bytes_of_images_are_rounded(differences):
 def test_noise_inside_a_block_stays(differences):
     rows = "SELECT 1::BIGINT AS conv_id, k AS turn, 'Head one two three four five six ' || CASE WHEN k = 1 THEN 'x\nHead' ELSE 'y' END || ' more words and still more' AS text FROM range(4) r(k)".replace("\n", "' || chr(10) || '")
     assert differences("noise_suppression", conversations=rows) == ([], [])
+
+
+@pytest.mark.parametrize("name", ["noise_suppression", "header_footer_noise"])
+def test_all_turns_count_for_noise(differences, name):
+    # of 100 turns "Mid" begins the 64 in the middle, "Ends" the others; four turns of ten have no text
+    text = "CASE WHEN conv_id = 2 AND k > 5 THEN NULL ELSE (CASE WHEN k BETWEEN 18 AND 81 THEN 'Mid' ELSE 'Ends' END) || ' one two three four five six seven Foot' || (k % 3) END"
+    rows = f"SELECT conv_id, k AS turn, {text} AS text FROM range(100) r(k), (VALUES (1::BIGINT), (2::BIGINT)) c(conv_id) WHERE conv_id = 1 OR k < 10"
+    assert differences(name, conversations=rows) == ([], [])
