@@ -54,3 +54,12 @@ def test_all_turns_count_for_noise(differences, name):
     text = "CASE WHEN conv_id = 2 AND k > 5 THEN NULL ELSE (CASE WHEN k BETWEEN 18 AND 81 THEN 'Mid' ELSE 'Ends' END) || ' one two three four five six seven Foot' || (k % 3) END"
     rows = f"SELECT conv_id, k AS turn, {text} AS text FROM range(100) r(k), (VALUES (1::BIGINT), (2::BIGINT)) c(conv_id) WHERE conv_id = 1 OR k < 10"
     assert differences(name, conversations=rows) == ([], [])
+
+
+def test_search_tokens_of_whole_texts(differences, spark, tmp_path):
+    texts = ["数字化转型 AI", "三个字 ab", "café au lait", "x１２ ٣٤ 5a_b c-dd", "abc中文", "Über UBER uber", "", "é"]
+    rows = " UNION ALL ".join(f"SELECT {k}::BIGINT AS doc_id, '{text}' AS text" for k, text in enumerate(texts)) + " UNION ALL SELECT 99, NULL"
+    assert differences("search_token_sets", documents=rows) == ([], [])
+    got = {r.doc_id: r.n_tokens for r in plans.queries()["search_token_sets"](spark, str(tmp_path)).collect()}
+    # a run of five characters is itself and its 4, 3 and 2 windows; words end where any letters do
+    assert got == {0: 11, 1: 2, 2: 2, 3: 4, 4: 1, 5: 1, 6: 0, 7: 0, 99: 0}
